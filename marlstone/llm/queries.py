@@ -7,23 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, url_filter
+from . import bpe, chat_format, context_mixing, exact_dedup, packing, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
 from .common import table
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"), toxicity.remainder(F.col("doc_id"), 10) == 0)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "item", "role", "kind", "call_id", "status", "linked_turn", "anchor", "depth", F.sha2("json", 256).alias("json_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, labels, learn_from=~held_out)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "threshold", "toxic")
+
+
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -55,10 +84,31 @@ WITH u AS (
 SELECT page_id, host, path, h || p AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r(a, c) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a
+), c AS (
+  SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a
+)
+SELECT c.vec_id, count(l.b) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN l ON l.a = c.vec_id GROUP BY c.vec_id, c.component_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_mixing": op1_context_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
+    "op4_shingle_join": op4_shingle_join,
     "op5_packing": op5_packing,
+    "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_vector_join": op9_vector_join,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL}
