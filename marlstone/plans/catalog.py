@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import books, market  # noqa: F401
+from . import books, finding, market  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
