@@ -106,5 +106,5 @@ def headed_text(text: Column, title: str = "Document") -> Column:
 
 
 def without_inline_metadata(text: Column) -> Column:
-    """Text before the metadata tail, without leading blank lines."""
-    return F.regexp_replace(F.split(text, r"(?m)^X - (?:Definition|References|Details)", 2)[0], r"^\s+", "")
+    """Text before the metadata tail, without white space around it."""
+    return F.regexp_replace(F.split(text, r"(?m)^X - (?:Definition|References|Details)", 2)[0], r"^\s+|\s+$", "")
