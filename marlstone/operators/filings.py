@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import lookup
 from . import documents
@@ -18,23 +19,22 @@ RAW_FORMS = ["ARS"]
 # Priority by form.
 PRIORITY = {"10-K": 1, "10-Q": 1, "20-F": 1, "40-F": 1, "DEF 14A": 2, "DEFA14A": 2, "DEF 14C": 2, "8-K": 2, "3": 3, "4": 3, "5": 3}
 CORE_FORMS = ["10-K", "20-F", "40-F"]
-SECTION = "array<struct<label:string,title:string,text:string,char_start:int,char_end:int,is_pointer:boolean,target:string>>"
-FEED = "struct<form:array<string>,accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>"
+SECTION = T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("label", "title", "text")), *(T.StructField(c, T.IntegerType()) for c in ("char_start", "char_end")), T.StructField("is_pointer", T.BooleanType()), T.StructField("target", T.StringType())]))
 
 
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(documents.html_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_markdown(html: pd.Series) -> pd.Series:
     return html.map(documents.html_markdown)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xml_report(xml: pd.Series) -> pd.Series:
     return xml.map(documents.xml_report)
 
@@ -44,7 +44,7 @@ def sections(content: pd.Series, form: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([documents.sections(c, f, k) for c, f, k in zip(content, form, kind, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks(text: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([documents.chunks(t, int(n)) for t, n in zip(text, tokens, strict=True)], dtype=object)
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import lookup, money
 from . import documents
@@ -101,22 +102,22 @@ def monitored(theses: DataFrame, components: DataFrame) -> DataFrame:
     return e.withColumn("outcome", outcome).withColumn("changed", (F.col("outcome") == "scored") & (F.col("action") != before))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def metadata_json(content: pd.Series) -> pd.Series:
     return content.map(documents.metadata)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def table_cells(content: pd.Series, header: pd.Series) -> pd.Series:
     return pd.Series([documents.table(c, h) for c, h in zip(content, header, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<struct<header:string,body:string,written:boolean>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("header", T.StringType()), T.StructField("body", T.StringType()), T.StructField("written", T.BooleanType())])))
 def letter_sections(content: pd.Series) -> pd.Series:
     return pd.Series([documents.letter_sections(c) for c in content], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def loose_scores(raw: pd.Series) -> pd.Series:
     keys = ("business_health", "insider_alignment", "thesis_integrity")
     return raw.map(lambda r: json.dumps(documents.loose_json(r, keys)))
