@@ -58,6 +58,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+# The table holds plain messages only: no tool calls, no results.
+OP6_SQL = r"""
+SELECT conv_id, turn, 0 AS item, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, CAST(NULL AS BIGINT) AS linked_turn,
+  turn AS anchor, 0 AS depth, sha256(CAST(to_json(struct_pack(content := coalesce(text, ''), role := role)) AS VARCHAR)) AS json_sha256
+FROM conversations
+"""
+
 OP7_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -111,4 +118,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_join": op9_vector_join,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL}
