@@ -92,7 +92,7 @@ query("agg18_evaluation", f"WITH {SEARCH_SQL}, fr AS (SELECT gd.query_id, min(ra
 query("jn09_chosen_paths", "SELECT CAST(number AS BIGINT) AS node, number % 5 AS pos FROM theses WHERE number < 100")(
     lambda spark, d: (lambda t: search.pick_by_path(nodes(spark, d).select("node", F.col("accession").alias("path")), F.col("chosen"), t).select("node", F.col("pos").cast("bigint").alias("pos")))(view(spark, d, "theses").where("number < 100").groupBy((F.col("number") - F.col("number") % 5).alias("g")).agg(F.transform(F.array_sort(F.collect_list("number")), lambda x: F.concat(F.lit(" "), x.cast("string"))).alias("chosen")))
 )
-query("agg20_token_estimate", "SELECT ticker, sum(length(text)) // 4 AS tokens FROM nodes GROUP BY ticker")(lambda spark, d: nodes(spark, d).groupBy("ticker").agg((F.floor(F.sum(F.length("text")) / 4)).alias("tokens")))
+query("agg20_token_estimate", "SELECT ticker, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens FROM nodes GROUP BY ticker")(lambda spark, d: nodes(spark, d).groupBy("ticker").agg((F.floor(F.sum(F.length("text")) / 4)).alias("tokens")))
 query("src14_index_listing", "SELECT ticker, node FROM nodes WHERE ticker < 'src5' ORDER BY ticker DESC, node DESC")(lambda spark, d: nodes(spark, d).where("ticker < 'src5'").select("ticker", "node").orderBy(F.desc("ticker"), F.desc("node")))
 
 

@@ -66,7 +66,7 @@ HOLDS = [1, 5, 20]
 TRADE_SQL = f"""WITH {PANEL_SQL}, h(hold) AS (VALUES (1), (5), (20)),
 s AS (SELECT 'full' AS period, 'combined' AS signal, hold, combined AS fire, g.* FROM g, h UNION ALL SELECT 'full', 'big_blue_day', hold, big_blue_day, g.* FROM g, h UNION ALL SELECT 'full', 'capitulation', hold, capitulation, g.* FROM g, h),
 k AS (SELECT *, lag(i) OVER (PARTITION BY signal, hold ORDER BY i) AS before FROM s WHERE fire),
-t AS (SELECT *, sum(CASE WHEN before IS NULL OR i - before > hold THEN 1 ELSE 0 END) OVER (PARTITION BY signal, hold ORDER BY i ROWS UNBOUNDED PRECEDING) AS trade FROM k),
+t AS (SELECT *, CAST(sum(CASE WHEN before IS NULL OR i - before > hold THEN 1 ELSE 0 END) OVER (PARTITION BY signal, hold ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trade FROM k),
 u AS (SELECT period, signal, hold, trade, min(i) AS entry_i, least(max(i) + hold, max(n) - 1) AS exit_i FROM t GROUP BY 1, 2, 3, 4),
 tr AS (SELECT u.*, a.date AS entry_date, b.date AS exit_date, a.eq_close AS entry_price, b.eq_close AS exit_price, b.eq_close / a.eq_close - 1 AS trade_return, pow(pow(1.04, 1.0 / 252), exit_i - entry_i) - 1 AS cash_return FROM u JOIN p a ON a.i = entry_i JOIN p b ON b.i = exit_i),
 x0 AS (SELECT *, max(CASE WHEN fire THEN i END) OVER (PARTITION BY signal, hold ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_fire FROM s),
