@@ -46,6 +46,19 @@ def leading_dimensions(units: DataFrame, k: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _with_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A unit vector beside each v, which has components and is not zero; scaled first, so that no square overflows."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = batch["v"].value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = batch["v"].flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            starts = ends - sizes
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts), sizes)
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), sizes)
+            unit = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, unit], names=[*batch.schema.names, "unit"])
+
+
 def _by_size(column: pa.Array) -> list[tuple[int, np.ndarray]]:
     """(n, the vectors of n components) of a list column."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -112,10 +125,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, blo
     valid = fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
     rows = rows.withColumn("v", F.when(valid, F.transform("v", lambda x: x + 0.0)))
     classes = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("rep"))
-    largest = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    classes = materialise(classes.withColumn("unit", F.transform(scaled, lambda x: x / length)), "classes")
+    label_type = dict(vectors.dtypes)["label"]
+    classes = materialise(classes.mapInArrow(_with_units, f"label {label_type}, v array<double>, weight long, rep long, unit array<double>"), "classes")
     axes = leading_dimensions(classes, dims)
     side = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
@@ -130,7 +141,6 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, blo
                     cells[i] = x
             yield pa.RecordBatch.from_arrays([batch["label"], batch["rep"], batch["weight"], unit, pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64()))], names=["label", "rep", "weight", "unit", "n", "cell"])
 
-    label_type = dict(vectors.dtypes)["label"]
     placed = classes.select("label", "rep", "weight", "unit").mapInArrow(place, f"label {label_type}, rep long, weight long, unit array<double>, n int, cell array<long>")
     ordered = placed.repartitionByRange("label", "n", "cell", "rep").sortWithinPartitions("label", "n", "cell", "rep")
 
