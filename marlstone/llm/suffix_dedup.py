@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import RollingHash, materialise
 
 #: Bytes of text hashed at once; positions need 24 bits.
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def _cut(length: int, with_text: bool, keep: Sequence[str]):
     return run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * with_text
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, bucket_rows: int = 1000, with_text: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, bucket_rows: int = 200, with_text: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if asked for, spans ([start, end) pairs) and kept (bytes); then the string columns keep.
 
     Every byte covered by a string of `length` bytes that also starts anywhere else, in any document or the same one, is
