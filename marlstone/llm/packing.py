@@ -11,8 +11,10 @@ its place by its rank among them, which needs only counts of lengths per block o
 from __future__ import annotations
 
 import bisect
+import gc
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -23,17 +25,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .common import materialise
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters on which Python's and the tokenizer's white space differ, and the start of the special tokens' strings.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-_CACHED = 400_000
+#: Words on which lower-casing and the split below are all that the tokenizer does before its merges.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_CACHED = 250_000
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of whole texts. The tokenizer never merges across white space, so ids are kept by word."""
+    """Token ids of whole texts. The tokenizer never merges across white space, so ids are kept by word.
+
+    Two tables are kept: when the younger is full it becomes the elder, and words found in the elder move on, so words that recur stay.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,10 +51,25 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ids: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        chars = byte_characters()
+        self.shown = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+    def clear(self) -> None:
+        self.ids, self.elder = {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self.whole(word)
+        tokenize = self.tokenizer.model.tokenize
+        runs = _SPLIT.findall(word.lower())
+        if not word.isascii():
+            runs = [r.translate(self.shown) for r in runs]
+        return array("I", [t.id for r in runs for t in tokenize(r)]).tobytes()
+
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if _ODD.search(text):
@@ -55,10 +79,12 @@ class WordEncoder:
             return b"".join([ids[w] for w in words])
         except KeyError:
             if len(ids) > _CACHED:
-                ids.clear()
+                self.elder, self.ids = ids, {}
+                ids = self.ids
+            elder = self.elder
             for w in dict.fromkeys(words):
                 if w not in ids:
-                    ids[w] = self.whole(w)
+                    ids[w] = elder.get(w) or self.word(w)
             return b"".join([ids[w] for w in words])
 
 
@@ -149,17 +175,22 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         block, seen = f"{TaskContext.get().partitionId()}", {}
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    seen[n] = seen.get(n, -1) + 1
-                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(part), block, seen[n]) + (part,) * with_ids)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        gc.disable()  # the tables hold no cycles, and going through them again and again takes time
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                    ids = encode(text.as_py() or "") + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        n = len(part) // 4
+                        seen[n] = seen.get(n, -1) + 1
+                        rows.append((doc_id, piece, at // 4, n, zlib.crc32(part), block, seen[n]) + (part,) * with_ids)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        finally:  # the worker goes on to other tasks
+            encode.clear()
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
