@@ -3,11 +3,13 @@
 A pair of bytes that stands next to each other inside no token of the vocabulary can never be joined by a merge, so a
 cut between the two is certain: the fragments between such cuts are encoded independently and their ids concatenated.
 The tokenizer's own first split (added tokens, then its pattern) is made before that. Whole pieces, from a space that
-follows a visible character to the next, recur often; their ids and bytes are kept in a bounded table per worker.
+follows a visible character to the next, recur often; their ids and bytes are kept in two bounded tables per worker: when the younger is
+full it becomes the elder, and pieces found in the elder move on, so pieces that recur stay.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -21,7 +23,13 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_50k.json"
 #: A space after a character that is white space by no definition: the pattern always starts a new match there.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
-_CACHED = 300_000
+#: A space that may belong to a run of white space.
+_RUN = re.compile(r"[\s\x1c-\x1f\x85] ")
+#: Pieces whose characters are letters, digits and marks by any version of Unicode: the pattern's matches are found here.
+_PLAIN = re.compile("[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+| +(?![^ ])| +")
+_CACHED = 250_000
 _coders: dict[str, Coder] = {}
 
 
@@ -42,6 +50,8 @@ class Coder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        chars = byte_characters()
+        self.shown = {c: "".join(chars[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x100)]}
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
@@ -52,44 +62,62 @@ class Coder:
         for token in self.bytes_of.values():
             t = np.frombuffer(token, np.uint8)
             self.joined[t[:-1], t[1:]] = True
-        chars = byte_characters()
-        self.certain = {chars[a] + chars[b] for a, b in zip(*np.nonzero(~self.joined), strict=True)}
+        self.certain = {chars[a]: {chars[b] for b in np.flatnonzero(~self.joined[a])} for a in range(256)}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces: dict[str, tuple[str, int, bytes]] = {}  # by what follows the piece's space
+        self.elder: dict[str, tuple[str, int, bytes]] = {}
+
+    def clear(self) -> None:
+        self.pieces, self.elder = {}, {}
 
     def fragments(self, word: str) -> list[str]:
         """A word, in byte characters, cut at the certain boundaries."""
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] in self.certain), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        certain = self.certain
+        cuts = [i for i, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if b in certain[a]]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def words(self, piece: str) -> list[str]:
+        """The pattern's matches in a piece, in byte characters."""
+        if not _PLAIN.fullmatch(piece):
+            return [word for word, _ in self.split(piece)]
+        found = _SPLIT.findall(piece)
+        return [w.translate(self.shown) for w in found]
 
     def encode_piece(self, piece: str) -> list[int]:
-        return [t.id for word, _ in self.split(piece) for f in self.fragments(word) for t in self.model.tokenize(f)]
+        return [t.id for word in self.words(piece) for f in self.fragments(word) for t in self.model.tokenize(f)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def piece(self, piece: str) -> tuple[str, int, bytes]:
+    def describe(self, piece: str) -> tuple[str, int, bytes]:
         """Ids as decimals joined by commas, their number, and the bytes they decode to."""
-        if len(self.pieces) > _CACHED:
-            self.pieces.clear()
         ids = self.encode_piece(piece)
-        out = self.pieces[piece] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
-        return out
+        return ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces that encode independently, in order, spaces included."""
-        if not text:
-            return []
-        parts = _CUT.split(text)
-        return [parts[0]] * bool(parts[0]) + [" " + p for p in parts[1:]]
+    def after_space(self, rest: str) -> tuple[str, int, bytes]:
+        """Of a piece of one space and rest."""
+        if len(self.pieces) > _CACHED:
+            self.elder, self.pieces = self.pieces, {}
+        out = self.elder.get(rest) or self.describe(" " + rest)
+        self.pieces[rest] = out
+        return out
 
     def coded(self, text: str) -> list[tuple[str, int, bytes]]:
-        out, known = [], self.pieces
+        """Of each piece of a text, in order."""
+        out: list[tuple[str, int, bytes]] = []
         for k, part in enumerate(self.at_added.split(text) if self.at_added and self.at_added.search(text) else [text]):
             if k % 2:
                 out.append((str(self.added[part]), 1, part.encode()))
-            else:
-                out += [known.get(p) or self.piece(p) for p in self.cut(part)]
+                continue
+            first, *rest = _CUT.split(part) if _RUN.search(part) else part.split(" ")
+            if first:
+                out.append(self.describe(first))
+            try:
+                out += list(map(self.pieces.__getitem__, rest))
+            except KeyError:
+                out += [self.pieces.get(p) or self.after_space(p) for p in rest]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -112,14 +140,19 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(vocabulary)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                coded = code.coded(text.as_py() or "")
-                ids = ",".join([x[0] for x in coded if x[1]])
-                decoded = b"".join([x[2] for x in coded]).decode("utf-8", "replace")
-                rows.append((doc_id, sum([x[1] for x in coded]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) + ((list(map(int, ids.split(","))) if ids else []), decoded) * with_ids)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        gc.disable()  # the tables hold no cycles, and going through them again and again takes time
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                    parts, numbers, shown = zip(*code.coded(text.as_py() or ""), strict=True) if text.as_py() else ((), (), ())
+                    ids = ",".join(parts)
+                    decoded = b"".join(shown).decode("utf-8", "replace")
+                    rows.append((doc_id, sum(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) + ((list(map(int, ids.split(","))) if ids else []), decoded) * with_ids)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        finally:  # the worker goes on to other tasks
+            code.clear()
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
