@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import LOWER
 
 _TRIM = b".,;:!?\"'()[]{}<>*&%#$@~`^_=+|/\\-"
-_TOKENS_AT_ONCE = 200_000
+_TOKENS_AT_ONCE = 50_000
 
 
 @dataclass
@@ -213,7 +213,7 @@ def _scorer(model: Model, bits: int):
 
         def scores(group: list[list[bytes]]) -> np.ndarray:
             nonlocal vectors
-            if len(ids) > 300_000:
+            if len(ids) > 100_000:
                 ids.clear()
                 vectors = vectors[:0]
             known = len(ids)
