@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import filings, theses, trees
+from ..operators import filings, letters, theses, trees
 from ..sources import merge, tables
 from ..streaming import queue
 from .bindings import view
@@ -255,3 +255,9 @@ def contents(spark, d):
 query("jn10_title_pairs", f"WITH {TITLES_SQL} SELECT doc, title, page, physical FROM toc WHERE physical >= 9")(lambda spark, d: trees.matching_titles(*contents(spark, d), 9).select("doc", "title", "page", "physical"))
 query("agg25_page_offset", f"WITH {TITLES_SQL}, f AS (SELECT doc, physical - page AS o, count(*) AS n, min(pos) AS p FROM toc GROUP BY 1, 2) SELECT doc, arg_max(o, struct_pack(n := n, p := -p)) AS \"offset\" FROM f GROUP BY doc")(lambda spark, d: trees.page_offset(trees.matching_titles(*contents(spark, d), 0)))
 query("win14_page_spans", "SELECT doc, pos, CASE WHEN nx IS NULL THEN 999 WHEN nopen THEN greatest(start, nx - 1) ELSE nx END AS \"end\" FROM (SELECT node // 20 AS doc, node % 20 AS pos, node % 20 // 2 AS start, lead(node % 20 // 2) OVER w AS nx, lead(node % 3 = 0) OVER w AS nopen FROM nodes WINDOW w AS (PARTITION BY node // 20 ORDER BY node))")(lambda spark, d: trees.page_spans(view(spark, d, "nodes").select(F.floor(F.col("node") / 20).alias("doc"), (F.col("node") % 20).alias("pos"), F.floor(F.col("node") % 20 / 2).alias("start"), (F.col("node") % 3 == 0).alias("opens_page")), F.lit(999)).select("doc", "pos", "end"))
+
+# --- letters
+query("sec14_quarter_bodies", "SELECT lower(color) AS color, '## Q2' || chr(10) || chr(10) || '### Regime & Environment' || chr(10) || 'Regime: ' || upper(lower(color)) || chr(10) || chr(10) || '### Active Theses' || chr(10) || string_agg('- ' || thesis || ' (' || bucket || ')', chr(10) ORDER BY thesis) AS body FROM theses WHERE status = 'active' GROUP BY lower(color)")(lambda spark, d: letters.quarter_bodies(written(spark, d), 2))
+query("sec18_scaffolds", "SELECT thesis, '# ' || thesis || chr(10) || chr(10) || '```yaml' || chr(10) || 'ticker: ' || thesis || chr(10) || 'bucket: ' || bucket || chr(10) || 'status: draft' || chr(10) || '```' || chr(10) || chr(10) || '## Kill Conditions' || chr(10) || chr(10) || '## Evidence' || CASE WHEN number % 2 = 0 THEN chr(10) || '1. a' || chr(10) || '2. b' ELSE '' END AS content FROM theses")(
+    lambda spark, d: (lambda t: letters.scaffold(t, t.where("number % 2 = 0").select("thesis", F.explode(F.array(F.struct(F.lit(2).alias("place"), F.lit("b").alias("citation")), F.struct(F.lit(1).alias("place"), F.lit("a").alias("citation")))).alias("x")).select("thesis", "x.*")))(written(spark, d))
+)
