@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur more than once; bytes of a character cut in two go too."""
+    """Texts without the passages of 51 words, or of 400 bytes, that occur more than once; bytes of a character cut in two go too."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +43,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             columns = {c: batch[c] for c in ("doc_id", "lang", "source")} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in COLUMNS], names=COLUMNS)
 
-    cut = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
+    cut = suffix_dedup.remove_passages(docs, keep=("lang", "source"))
     return cut.select("doc_id", "kept", "lang", "source").mapInArrow(decode, "doc_id long, text string, lang string, source string, n_chars long")
 
 

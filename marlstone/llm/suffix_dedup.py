@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, materialise
+from .common import SPACES, RollingHash, materialise
 
 #: Bytes of text hashed at once; positions need 24 bits.
 _CHUNK = 1 << 20
+#: Bytes that stand for a word where words are compared.
+_CODE = 5
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -201,17 +204,62 @@ def _cut(length: int, with_text: bool, keep: Sequence[str]):
     return run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * with_text
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, bucket_rows: int = 200, with_text: bool = True, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if asked for, spans ([start, end) pairs) and kept (bytes); then the string columns keep.
+def _word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ASCII white space."""
+    inside = ~_IS_SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    return edges[::2], edges[1::2]
 
-    Every byte covered by a string of `length` bytes that also starts anywhere else, in any document or the same one, is
-    removed; strings are judged on the input. Null text counts as empty; texts shorter than length lose nothing. A
-    repeated row is another document: its strings all recur. doc_id may be null or repeated, since a document is
-    known by doc_id and text hash. Other columns are not read. An empty table gives an empty result.
-    """
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as the codes of its words: strings of words are strings of bytes."""
+    for batch in batches:
+        codes = []
+        for text in batch["text"]:
+            text = text.as_py()
+            h = RollingHash(np.frombuffer(text, np.uint8))(*_word_bounds(text))
+            codes.append(h.view(np.uint8).reshape(-1, 8)[:, :_CODE].tobytes())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tkey"], pa.array(codes, pa.binary())], names=["doc_id", "tkey", "text"])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _cut_both(length: int, words: int, keep: Sequence[str]):
+    """The text without its runs of repeated bytes and of repeated words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, by_byte, by_word in zip(batch["text"], batch["runs"], batch["word_runs"], strict=True):
+                text = text.as_py()
+                spans = [(x["at"], x["at"] + x["width"] - 1 + length) for x in by_byte.as_py() or []]
+                if found := by_word.as_py():
+                    starts, ends = _word_bounds(text)
+                    for a, b in _merged([(x["at"], x["at"] + x["width"] - 1 + words * _CODE) for x in found]):
+                        spans.append((int(starts[-(-a // _CODE)]), int(ends[b // _CODE - 1])))  # only words covered in full
+                spans = _merged(spans)
+                rows.append(b"".join(text[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(text)], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.binary()), *(batch[c] for c in keep)], names=["doc_id", "kept", *keep])
+
+    return run
+
+
+def _bytes_of(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    return docs.select("doc_id", text, *keep).withColumn("tkey", F.xxhash64("text"))
+
+
+def _repeated(base: DataFrame, length: int, gram: int, bucket_rows: int) -> DataFrame:
+    """(d, k, runs) of the documents of base (doc_id, tkey, text) in which strings of `length` bytes recur: their starts as (at, width)."""
     gram = min(gram, length)
-    # Kept strings are judged as bytes: positions are byte offsets.
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tkey", F.xxhash64("text"))
     spans = "doc_id long, tkey long, at long, width long"
     runs = materialise(base.mapInArrow(_find_runs(length, gram), spans + ", akey long, hctx long"), "runs")
     again = runs.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
@@ -229,8 +277,37 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, bucket_ro
     dealt = starts.where("once").join(twice, "h", "left_semi").select("doc_id", "tkey", "at", F.lit(1).cast("long").alias("width"))
     found = settled.unionByName(refined).unionByName(dealt)
     found = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "width")).alias("runs"))  # a document's own runs
-    found = found.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "runs")
-    rows = base.select("doc_id", "text", "tkey") if not keep else docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), *keep).withColumn("tkey", F.xxhash64("text"))
+    return found.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "runs")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, bucket_rows: int = 200, with_text: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if asked for, spans ([start, end) pairs) and kept (bytes); then the string columns keep.
+
+    Every byte covered by a string of `length` bytes that also starts anywhere else, in any document or the same one, is
+    removed; strings are judged on the input. Null text counts as empty; texts shorter than length lose nothing. A
+    repeated row is another document: its strings all recur. doc_id may be null or repeated, since a document is
+    known by doc_id and text hash. Other columns are not read. An empty table gives an empty result.
+    """
+    # Kept strings are judged as bytes: positions are byte offsets.
+    found = _repeated(_bytes_of(docs), length, gram, bucket_rows)
+    rows = _bytes_of(docs, keep)
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left")
     run, schema = _cut(length, with_text, keep)
     return both.select("doc_id", "text", "runs", *keep).mapInArrow(run, schema + "".join(f", {c} string" for c in keep))
+
+
+def remove_passages(docs: DataFrame, words: int = 51, length: int = 400, bucket_rows: int = 200, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, kept (bytes), then the string columns keep.
+
+    Removed are the bytes that remove_repeats removes, and every run of `words` words (between ASCII white space, whatever the
+    white space) that also starts anywhere else, from its first byte to its last. Words are compared by 40-bit hashes.
+    """
+    base = _bytes_of(docs)
+    by_byte = _repeated(base, length, 64, bucket_rows)
+    coded = base.mapInArrow(_coded, "doc_id long, tkey long, text binary")
+    by_word = _repeated(coded, words * _CODE, 8 * _CODE, bucket_rows)
+    found = by_byte.select("d", "k", "runs", F.lit(None).cast("array<struct<at:long,width:long>>").alias("word_runs"))
+    found = found.unionByName(by_word.select("d", "k", F.lit(None).cast("array<struct<at:long,width:long>>").alias("runs"), F.col("runs").alias("word_runs")))
+    found = found.groupBy("d", "k").agg(F.max("runs").alias("runs"), F.max("word_runs").alias("word_runs"))  # one of each at most
+    both = _bytes_of(docs, keep).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left")
+    return both.select("doc_id", "text", "runs", "word_runs", *keep).mapInArrow(_cut_both(length, words, keep), "doc_id long, kept binary" + "".join(f", {c} string" for c in keep))

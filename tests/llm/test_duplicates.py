@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -171,6 +172,59 @@ def test_long_texts_are_cut_into_chunks(spark, monkeypatch):
     assert got[0] == (1 << 20) + 5000 - 1000 and got[1] == got[0]
 
 
+def brute_passages(texts, words, length):
+    """The kept bytes, by words and by bytes."""
+    data = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", d)] for d in data]
+    runs = [[tuple(d[a:b] for a, b in p[i : i + words]) for i in range(len(p) - words + 1)] for d, p in zip(data, places, strict=True)]
+    by_word = Counter(r for doc in runs for r in doc)
+    by_byte = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d, p, doc in zip(data, places, runs, strict=True):
+        gone = bytearray(len(d))
+        spans = [(i, i + length) for i in range(len(d) - length + 1) if by_byte[d[i : i + length]] > 1]
+        spans += [(p[i][0], p[i + words - 1][1]) for i, r in enumerate(doc) if by_word[r] > 1]
+        for a, b in spans:
+            gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(x for x, g in zip(d, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [200, 1])
+def test_passages_of_short_words(spark, bucket_rows):
+    rng = random.Random(9)
+    words = lambda n, most=4: [rng.choice("abcdefghé") * rng.randint(1, 2) + rng.choice("klmnop") * rng.randint(0, most - 2) for _ in range(n)]
+    texts = ["", None, " \n", "a", "z " * 60, " ".join(words(30)) + "x" * 450, "x" * 450 + " y"]
+    for n in (49, 50, 51, 52, 55, 60):
+        p = words(n)
+        texts += [" ".join(words(rng.randint(0, 40)) + ["u"] + p + ["v"] + words(rng.randint(0, 40))) for _ in range(2)] + ["  ".join(["q", *p[:-1], p[-1] + "!"])]
+    p, q = words(51), words(51)
+    texts += [" ".join([*p, *q]), "\t".join([*p, "w", *q]), " ".join(words(300, 9))]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_passages(docs(spark, texts), bucket_rows=bucket_rows, keep=("h",)).collect()}
+    want = brute_passages(texts, 51, 400)
+    for i, w in enumerate(want):
+        assert got[i].split() == w.split(), i
+    assert max(len(" ".join(p).encode()), len(" ".join(q).encode())) < 300 and got[len(texts) - 1] == want[-1] == texts[-1].encode()
+    assert suffix_dedup.remove_passages(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_pipeline_cuts_passages_of_51_short_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = lambda n: [rng.choice("abcdefgh") + rng.choice("klmnop") * rng.randint(0, 2) for _ in range(n)]
+    rows, passages = [], {}
+    for n in range(51, 61):
+        passages[n] = " ".join(words(n))
+        rows += [(10 * n + k, " ".join(words(20)) + f" u{n}{k} " + passages[n] + f" v{n}{k} " + " ".join(words(20)), "en", "s", 0) for k in range(2)]
+    clean = [(k, " ".join(words(120)), "en", "s", 0) for k in range(20)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_passages(spark, spark.createDataFrame(rows + clean, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    for i, text, *_ in rows:
+        n = i // 10
+        assert got[i] == text.replace(passages[n], "")
+    assert all(got[i] == text for i, text, *_ in clean)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 8))
