@@ -9,7 +9,8 @@ every shingle is a part of its own, follow the same count.
 
 Three things keep buckets small, none of which loses a link. Equal sets are one class from the start. Shingles known to be very frequent stay out of the
 domain; the few sets that then have too many empty parts also sign over the whole domain. And a class whose `sketch` least shingle hashes are nearly all its own
-can't be similar to another: of a pair at t = 0.75, under 8 of 32 shared ones are seen once in 10**9 such pairs.
+can't be similar to another: of a pair at t = 0.75, under 8 of 32 shared ones are seen once in 10**9 such pairs. Sets of at most 24 shingles,
+whose partners have whole sketches, must share 3/4 of theirs; sets of 25 to 31 must share 8, and always do, since a partner has at most 9 shingles beyond its sketch.
 
 Buckets give candidates to a pivot, their smallest member; candidates are verified on whole sets, and what is joined is settled. Components that
 still share a bucket form a cluster. A cluster is resolved in one task, where only sets outside the largest component are compared with the others, and
@@ -280,7 +281,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, cluster_mb: int = 32)
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     each = classes.select("rep", "n", F.explode("sketch").alias("shingle"))
     again = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    enough = F.when(F.col("n") >= SKETCH, F.lit(SHARED)).otherwise(F.ceil(F.col("n") * percent / 100))
+    # Only where the sketch of every similar set is whole, all shared shingles are seen.
+    enough = F.when(100 * F.col("n") > percent * SKETCH, F.lit(SHARED)).otherwise(F.ceil(F.col("n") * percent / 100))
     kept = each.join(again, "shingle", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("rep", "n")
     texts = base.join(classes.select("doc_id", "tkey", "rep").join(kept.select("rep"), "rep"), ["doc_id", "tkey"]).select("rep", "text")
     sets = texts.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])

@@ -105,6 +105,20 @@ def test_near(spark, cluster_mb, chain):
     assert got == brute_components(texts)
 
 
+def test_near_about_the_size_of_a_sketch(spark):
+    texts = []
+    for n, more in ((31, 10), (31, 8), (31, 9), (30, 10), (25, 8), (28, 9), (24, 8), (32, 10), (41, 13)):
+        for k in range(12):  # n shingles, and a copy with words appended
+            words = [f"{n}.{more}.{k}.{i}" for i in range(n + 4 + more)]
+            texts += [" ".join(words[: n + 4]), " ".join(words)]
+    for k in range(12):  # 31 and 39 shingles, 30 shared
+        words = [f"s{k}.{i}" for i in range(43)]
+        texts += [" ".join(["other", *words[1:35]]), " ".join(words)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(docs(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert got == want and sum(c != i for i, (_, c) in want.items()) == len(texts) // 2
+
+
 def test_near_edges(spark):
     df = spark.createDataFrame([(1, "a b c", "x", "y"), (1, "a b c", "x", "y"), (2, "A  b c", None, None), (None, "a b c", None, None), (1, "other words", None, None)], DOC)
     got = sorted(((r["doc_id"], r["component_id"]) for r in shingle_join.jaccard_components(df).collect()), key=str)
