@@ -193,8 +193,6 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4096, remembered: in
             if signature[i] != current:
                 close()
                 current, members, streaming = int(signature[i]), [], False
-            elif j - i == 1 and not members:
-                continue
             own = reps[i:j].tolist()
             if streaming:
                 out_b.extend([current] * len(own))

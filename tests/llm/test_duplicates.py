@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,12 @@ def test_near_edges(spark):
     assert shingle_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_large_bucket_that_ends_one_row_into_a_batch():
+    batches = [pa.RecordBatch.from_arrays([pa.array([7] * len(reps) + more, pa.int64()), pa.array([*reps, *range(50, 50 + len(more))], pa.int64())], names=["signature", "rep"]) for reps, more in ((range(6), []), ([6], [8, 8, 9]), ([], [10]))]
+    got = {(b, r) for x in shingle_join._buckets(iter(batches), most=4) for b, r in zip(x["bucket"].to_pylist(), x["rep"].to_pylist(), strict=True)}
+    assert got == {(7, r) for r in range(7)} | {(8, 50), (8, 51)}
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     tried = 0
