@@ -21,17 +21,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.where("score < 0.7").select(COLUMNS)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents, each with a number `row` that stays: doc_id may be null or repeated."""
+    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), name)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(COLUMNS)
+    """One row of each group of equal texts."""
+    docs = numbered(docs, "numbered-copies")
+    kept = exact_dedup.exact_dedup(docs, row=F.col("row")).where("kept").select("row")
+    return docs.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component."""
-    found = shingle_join.jaccard_components(docs)
-    kept = found.where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(COLUMNS)
+    """One row of each component, that of the smallest doc_id; null comes last. Rows without doc_id take part as any others."""
+    docs = numbered(docs, "numbered-near-copies")
+    found = shingle_join.jaccard_components(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c")))
+    kept = found.join(docs.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.c").alias("row"))
+    return docs.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

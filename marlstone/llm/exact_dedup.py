@@ -37,20 +37,21 @@ def directory(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[i
     return sorted(out)
 
 
-def exact_dedup(docs: DataFrame, key: Column | None = None, depth: int = 10, capacity: int = 50_000) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket.
+def exact_dedup(docs: DataFrame, key: Column | None = None, depth: int = 10, capacity: int = 50_000, row: Column | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, row.
 
     Of rows whose normalised texts are equal, the one with the most code points in the original text stays, then the
     smallest doc_id (a null doc_id comes last). Null text counts as empty; empty texts equal one another. A repeated
     doc_id: rows are ranked as any others; of fully equal rows one stays (kept is true for just one). Other
     columns, whatever their names, are not read. An empty table gives an empty result.
     key: the hash of the column `norm` used as the key (for tests); it may collide, since bytes are compared.
+    row: the number by which a row is known, another for each; by default they are numbered here.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("norm", normalised(F.col("text")))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.monotonically_increasing_id() if row is None else row).alias("row")).withColumn("norm", normalised(F.col("text")))
     base = base.withColumn("h", F.xxhash64("norm") if key is None else key)
     slot = F.shiftrightunsigned("h", 64 - depth).cast("int")
-    index = materialise(base.select("doc_id", F.length("text").alias("n_cp"), "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), slot.alias("slot"), F.monotonically_increasing_id().alias("row")), "index")
+    index = materialise(base.select("doc_id", F.length("text").alias("n_cp"), "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), slot.alias("slot"), "row"), "index")
     counts = {r["slot"]: r["count"] for r in index.groupBy("slot").count().collect()}  # at most 2**depth rows
     schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("slot", "bucket", "local_depth")])
     slots = F.broadcast(spark.createDataFrame(directory(counts, depth, capacity), schema))  # 2**depth rows

@@ -134,3 +134,22 @@ def test_pipeline(spark, tmp_path):
     assert 1002 not in seen["near_dedup"] and clean[2][0] in seen["near_dedup"]
     assert passage not in seen["passages"][1003] and passage not in seen["passages"][1004] and "u2 u3 u4" in seen["passages"][1004]
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(seen["passages"])
+
+
+def test_pipeline_with_repeated_rows_and_null_ids(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    same, lone, shared, near, other = text(), text(), text(), text(), text()
+    rows = [(1, same), (1, same), (1, same), (None, lone), (None, shared), (None, shared), (7, shared.replace(" ", "  ", 1)), (5, other), (5, near), (3, near + " more"), (None, near + " yet"), (None, None), (9, "")]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(rows, DOC).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, keep = {}, corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: seen.setdefault(name, keep(df, name)))
+    corpus_pipeline.run(spark, str(tmp_path))
+    texts = lambda name: sorted(((r["doc_id"], r["text"]) for r in seen[name].collect()), key=str)
+    known = [(1, same), (None, lone), (7, shared.replace(" ", "  ", 1)), (5, other), (3, near + " more"), (9, "")]
+    assert texts("stage-exact_dedup") == sorted([*known, (5, near), (None, near + " yet")], key=str)
+    assert texts("stage-near_dedup") == texts("stage-passages") == sorted(known, key=str)
