@@ -83,9 +83,9 @@ def matching_titles(toc: DataFrame, found: DataFrame, least: int) -> DataFrame:
 
 
 def page_offset(pairs: DataFrame) -> DataFrame:
-    """The commonest difference, the one seen first of several."""
+    """The commonest difference, the one seen first of several: at the least place, then the least."""
     d = pairs.withColumn("offset", F.col("physical") - F.col("page")).groupBy("doc", "offset").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return d.groupBy("doc").agg(F.max_by("offset", F.struct("n", -F.col("first"))).alias("offset"))
+    return d.groupBy("doc").agg(F.max_by("offset", F.struct("n", -F.col("first"), -F.col("offset"))).alias("offset"))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ SELECT CAST(c_custkey AS STRING) AS thesis,
   CASE c_nationkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'watchlist' ELSE 'draft' END AS status,
   CASE c_custkey % 6 WHEN 0 THEN 'green' WHEN 1 THEN 'blue' WHEN 2 THEN 'orange' WHEN 3 THEN 'red' WHEN 4 THEN 'danger' ELSE 'Red' END AS color,
   c_acctbal AS balance, c_custkey AS number
-FROM {customer} WHERE c_custkey < 300
+FROM {customer}
 """
 
 VIEWS["requests"] = """

@@ -89,8 +89,8 @@ query("top08_lens", f"WITH {SEARCH_SQL} SELECT query_id, node, place AS rank FRO
 query("agg18_evaluation", f"WITH {SEARCH_SQL}, fr AS (SELECT gd.query_id, min(rank) AS rank FROM gd LEFT JOIN rk ON rk.query_id = gd.query_id AND rk.rank < 5 AND list_contains(expected, label) GROUP BY 1) SELECT count(*) AS queries, floor(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END) * 1e6 + 0.5) / 1e6 AS hit_rate, floor(avg(coalesce(1.0 / (rank + 1), 0)) * 1e6 + 0.5) / 1e6 AS mrr FROM fr")(
     lambda spark, d: search.evaluate(search.top_hits(hits(spark, d), nodes(spark, d), 5), gold(spark, d)).select("queries", scalar.r6(F.col("hit_rate")).alias("hit_rate"), scalar.r6(F.col("mrr")).alias("mrr"))
 )
-query("jn09_chosen_paths", "SELECT CAST(number AS BIGINT) AS node, number % 5 AS pos FROM theses WHERE number < 100")(
-    lambda spark, d: (lambda t: search.pick_by_path(nodes(spark, d).select("node", F.col("accession").alias("path")), F.col("chosen"), t).select("node", F.col("pos").cast("bigint").alias("pos")))(view(spark, d, "theses").where("number < 100").groupBy((F.col("number") - F.col("number") % 5).alias("g")).agg(F.transform(F.array_sort(F.collect_list("number")), lambda x: F.concat(F.lit(" "), x.cast("string"))).alias("chosen")))
+query("jn09_chosen_paths", "SELECT CAST(number AS BIGINT) AS node, number % 5 AS pos FROM theses WHERE number IN (SELECT node FROM nodes)")(
+    lambda spark, d: (lambda t: search.pick_by_path(nodes(spark, d).select("node", F.col("accession").alias("path")), F.col("chosen"), t).select("node", F.col("pos").cast("bigint").alias("pos")))(view(spark, d, "theses").groupBy((F.col("number") - F.col("number") % 5).alias("g")).agg(F.transform(F.array_sort(F.collect_list("number")), lambda x: F.concat(F.lit(" "), x.cast("string"))).alias("chosen")))
 )
 query("agg20_token_estimate", "SELECT ticker, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens FROM nodes GROUP BY ticker")(lambda spark, d: nodes(spark, d).groupBy("ticker").agg((F.floor(F.sum(F.length("text")) / 4)).alias("tokens")))
 query("src14_index_listing", "SELECT ticker, node FROM nodes WHERE ticker < 'src5' ORDER BY ticker DESC, node DESC")(lambda spark, d: nodes(spark, d).where("ticker < 'src5'").select("ticker", "node").orderBy(F.desc("ticker"), F.desc("node")))
@@ -98,13 +98,13 @@ query("src14_index_listing", "SELECT ticker, node FROM nodes WHERE ticker < 'src
 
 def filings(spark, d):
     n = nodes(spark, d)
-    chunk = lambda i: F.struct(F.lit(i).alias("chunk_index"), F.col("text").substr(F.lit(1 + 500 * i), F.lit(500)).alias("text"), F.lit(f"chunk {i}").alias("summary"))
-    chunks = F.when(F.length("text") > 1000, F.array(chunk(0), chunk(1))).otherwise(F.array().cast("array<struct<chunk_index:int,text:string,summary:string>>"))
+    chunk = lambda i: F.struct(i.alias("chunk_index"), F.col("text").substr(1 + 500 * i, F.lit(500)).alias("text"), F.concat(F.lit("chunk "), i.cast("string")).alias("summary"))
+    chunks = F.when(F.length("text") > 1000, F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 500).cast("int")), chunk)).otherwise(F.array().cast("array<struct<chunk_index:int,text:string,summary:string>>"))
     section = F.struct("label", "title", "text", "summary", F.array(F.lit("growth"), F.col("label")).alias("themes"), F.array(F.lit("what is it")).alias("questions"), chunks.alias("chunks"))
     return n.groupBy("ticker", "accession").agg(F.collect_list(section).alias("sections"))
 
 
-query("sec10_flatten", "SELECT accession, i AS chunk, label, CASE WHEN i IS NULL THEN summary ELSE 'chunk ' || CAST(i AS VARCHAR) END || ' growth ' || label AS summary, CASE WHEN i IS NULL THEN text ELSE substr(text, 1 + 500 * i, 500) END AS text FROM (SELECT *, unnest(CASE WHEN length(text) > 1000 THEN [0, 1] ELSE [NULL] END) AS i FROM nodes)")(lambda spark, d: search.flatten_filings(filings(spark, d)).select("accession", "chunk", "label", "summary", "text"))
+query("sec10_flatten", "SELECT accession, i AS chunk, label, CASE WHEN i IS NULL THEN summary ELSE 'chunk ' || CAST(i AS VARCHAR) END || ' growth ' || label AS summary, CASE WHEN i IS NULL THEN text ELSE substr(text, 1 + 500 * i, 500) END AS text FROM (SELECT *, unnest(CASE WHEN length(text) > 1000 THEN range(0, (length(text) + 499) // 500) ELSE [NULL] END) AS i FROM nodes)")(lambda spark, d: search.flatten_filings(filings(spark, d)).select("accession", "chunk", "label", "summary", "text"))
 query("sec11_weak_queries", f"WITH {SEARCH_SQL} SELECT query_id, max(score) < 3.0 AS weak FROM hits GROUP BY 1")(lambda spark, d: hits(spark, d).groupBy("query_id").agg((F.max("score") < 3.0).alias("weak")))
 query("sec12_paraphrases", "SELECT thesis, ['growth of ' || thesis] AS kept FROM theses")(lambda spark, d: view(spark, d, "theses").select("thesis", search.clean_paraphrases(F.array(F.concat(F.lit("- 1. growth of "), "thesis"), F.lit("*  "), F.upper("bucket"), F.lit("x" * 400)), F.col("bucket")).alias("kept")))
 query("sec17_hit_rows", f"WITH {SEARCH_SQL} SELECT query_id, rk.node, rk.ticker || ' 10-K filed 2024-01-31 → ' || rk.label AS citation FROM rk WHERE rank < 3")(lambda spark, d: search.top_hits(hits(spark, d), nodes(spark, d), 3).select("query_id", "node", scalar.citation(F.col("ticker"), F.lit("10-K"), F.lit("2024-01-31"), F.col("label")).alias("citation")))

@@ -71,7 +71,7 @@ def reports(spark, d):
 for key in ("sec01_curated_sections", "sec02_sections_after_contents", "sec04_sections_by_form"):
     kind = {"sec01": "10-K", "sec02": "10-Q", "sec04": "8-K"}[key[:5]]
     query(key)(lambda spark, d, kind=kind: reports(spark, d).select("report", F.posexplode(filings.sections("content", F.lit(kind), F.lit("html"))).alias("pos", "s")).select("report", "pos", "s.label", "s.title", "s.is_pointer", "s.target", F.length("s.text").alias("size")))
-BODY_SQL = "bd AS (SELECT node, label, CASE node % 6 WHEN 0 THEN 'See the Annual Report to Shareholders.' WHEN 1 THEN 'Refer to our Proxy Statement' WHEN 2 THEN 'and' WHEN 3 THEN 'see pages 5 to 8' ELSE text END AS body FROM nodes), tg AS (SELECT *, CASE WHEN node % 6 = 0 THEN 'annual_report_same_doc' WHEN node % 6 = 1 THEN 'def14a' WHEN node % 6 = 2 THEN 'parser_bug' WHEN node % 6 = 3 THEN 'unknown' WHEN length(body) >= 500 THEN NULL ELSE 'parser_bug' END AS target FROM bd WHERE node % 6 < 4 OR length(body) >= 500)"
+BODY_SQL = "bd AS (SELECT node, label, CASE node % 6 WHEN 0 THEN 'See the Annual Report to Shareholders.' WHEN 1 THEN 'Refer to our Proxy Statement' WHEN 2 THEN 'and' WHEN 3 THEN 'see pages 5 to 8' ELSE text END AS body FROM nodes), tg AS (SELECT *, CASE WHEN node % 6 = 0 THEN 'annual_report_same_doc' WHEN node % 6 = 1 THEN 'def14a' WHEN node % 6 = 2 THEN 'parser_bug' WHEN node % 6 = 3 THEN 'unknown' WHEN length(body) >= 500 THEN NULL WHEN NOT regexp_matches(body, '(?i)\\brefer\\b|\\bsee\\b|\\bincorporat(?:ed|ing)\\b|\\bset\\s+forth\\b|\\binformation\\s+required\\b|\\bpages?\\s+\\d') THEN 'parser_bug' WHEN regexp_matches(body, '(?i)annual\\s+report\\s+to\\s+(?:stockholders|shareholders)|exhibit\\s+13\\b') THEN 'annual_report_same_doc' WHEN regexp_matches(body, '(?i)proxy\\s+statement|schedule\\s+14a|def\\s*14a') THEN 'def14a' ELSE 'unknown' END AS target FROM bd)"
 
 
 def bodies(spark, d):
@@ -80,7 +80,7 @@ def bodies(spark, d):
     body = F.col("text")
     for i, c in enumerate(cases):
         body = F.when(F.col("node") % 6 == i, c).otherwise(body)
-    n = n.withColumn("body", body).where("node % 6 < 4 OR length(body) >= 500")
+    n = n.withColumn("body", body)
     return n.withColumn("target", filings.pointer_target(F.col("body")))
 
 
@@ -89,13 +89,13 @@ query("flt10_recoverable", f"WITH {BODY_SQL} SELECT node FROM tg WHERE label IN
 
 
 def manifests(spark, d):
-    n = view(spark, d, "nodes").where("node % 6 < 4")
+    n = view(spark, d, "nodes")
     r = lambda i, cat: F.format_string(f"<Report><ShortName>S{i} %d</ShortName><LongName>L</LongName><HtmlFileName>R{i}.htm</HtmlFileName><MenuCategory>{cat}</MenuCategory><Position>{i}</Position></Report>", "node")
     return n.select("accession", F.concat(F.lit("<FilingSummary><MyReports>"), r(1, "Cover"), r(2, "Statements"), r(3, "Statements"), F.lit("</MyReports></FilingSummary>")).alias("xml"))
 
 
-query("str13_manifest", "SELECT accession, i AS pos, 'S' || CAST(i AS VARCHAR) || ' ' || accession AS name, 'R' || CAST(i AS VARCHAR) || '.htm' AS file FROM nodes, (VALUES (1), (2), (3)) v(i) WHERE node % 6 < 4")(lambda spark, d: manifests(spark, d).select("accession", F.explode(filings.manifest_reports(F.col("xml"))).alias("r")).select("accession", F.col("r.Position").cast("int").alias("pos"), F.col("r.ShortName").alias("name"), F.col("r.HtmlFileName").alias("file")))
-query("flt13_statements", "SELECT accession, 2 AS n FROM nodes WHERE node % 6 < 4")(lambda spark, d: manifests(spark, d).select("accession", F.size(filings.statements(filings.manifest_reports(F.col("xml")))).alias("n")))
+query("str13_manifest", "SELECT accession, i AS pos, 'S' || CAST(i AS VARCHAR) || ' ' || accession AS name, 'R' || CAST(i AS VARCHAR) || '.htm' AS file FROM nodes, (VALUES (1), (2), (3)) v(i)")(lambda spark, d: manifests(spark, d).select("accession", F.explode(filings.manifest_reports(F.col("xml"))).alias("r")).select("accession", F.col("r.Position").cast("int").alias("pos"), F.col("r.ShortName").alias("name"), F.col("r.HtmlFileName").alias("file")))
+query("flt13_statements", "SELECT accession, 2 AS n FROM nodes")(lambda spark, d: manifests(spark, d).select("accession", F.size(filings.statements(filings.manifest_reports(F.col("xml")))).alias("n")))
 
 
 def recovered(spark, d):
@@ -162,7 +162,7 @@ def refreshed(spark, d):
 
 
 query("agg07_refreshed", f"WITH {RISK_SQL} SELECT c.thesis, c.pos, CASE c.pos % 7 WHEN 0 THEN risk WHEN 1 THEN CASE WHEN (balance - 5000.0) / 5000.0 * 100 > 40 THEN 90 WHEN (balance - 5000.0) / 5000.0 * 100 > 25 THEN 75 WHEN (balance - 5000.0) / 5000.0 * 100 > 10 THEN 60 WHEN (balance - 5000.0) / 5000.0 * 100 > 0 THEN 45 WHEN (balance - 5000.0) / 5000.0 * 100 > -20 THEN 30 ELSE 15 END WHEN 2 THEN CASE WHEN number % 2 = 1 THEN score WHEN number - 50 < 0 THEN 35 WHEN number - 50 <= 30 THEN 85 WHEN number - 50 <= 90 THEN 75 WHEN number - 50 <= 180 THEN 60 ELSE 55 END ELSE score END AS score FROM components c JOIN rs ON rs.thesis = c.thesis")(lambda spark, d: refreshed(spark, d).select("thesis", "pos", "score"))
-query("agg28_monitoring", f"WITH {ACTION_SQL} SELECT thesis, overall, action, 'scored' AS outcome FROM ac WHERE status = 'active'")(lambda spark, d: theses.monitored(written(spark, d).withColumn("score_before", F.col("number") % 100), parts(spark, d)).select("thesis", "overall", "action", "outcome"))
+query("agg28_monitoring", f"WITH {ACTION_SQL} SELECT thesis, overall, action, CASE WHEN has THEN 'scored' ELSE 'unscored' END AS outcome FROM ac WHERE status = 'active'")(lambda spark, d: theses.monitored(written(spark, d).withColumn("score_before", F.col("number") % 100), parts(spark, d)).select("thesis", "overall", "action", "outcome"))
 query("agg23_by_status", "SELECT status, count(*) AS n, array_to_string(list(thesis ORDER BY thesis), ', ') AS members FROM theses GROUP BY status")(lambda spark, d: written(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("thesis")), ", ").alias("members")))
 query("flt12_active", "SELECT thesis FROM theses WHERE status = 'active'")(lambda spark, d: written(spark, d).where("status = 'active'").select("thesis"))
 MOVES_SQL = "mv AS (SELECT thesis, CASE WHEN balance > 0 THEN (balance - number) / nullif(CAST(number AS DOUBLE), 0) * 100 END AS move_pct FROM theses)"
@@ -177,7 +177,7 @@ query("mth07_moves", f"WITH {MOVES_SQL} SELECT thesis, move_pct, CASE WHEN move_
 query("dat01_quarters", "SELECT ticker, date, CAST(quarter(date) AS INT) AS quarter FROM bars")(lambda spark, d: view(spark, d, "bars").select("ticker", "date", scalar.quarter_of(F.col("date")).alias("quarter")))
 query("dat02_file_dates", "SELECT date, CAST(DATE '1998-01-15' - date AS INT) AS age, (DATE '1998-01-15' - date) > 14 AS stale FROM bars WHERE ticker = 'EQ'")(lambda spark, d: view(spark, d, "bars").where("ticker = 'EQ'").select(scalar.name_date(F.concat(F.lit("watch-"), F.col("date").cast("string"), F.lit(".md"))).alias("date")).select("date", F.datediff(F.to_date(F.lit("1998-01-15")), "date").alias("age"), scalar.stale(F.col("date"), F.to_date(F.lit("1998-01-15"))).alias("stale")))
 query("mth06_numbers", "SELECT thesis, CASE WHEN number % 4 < 2 THEN balance END AS x, CASE WHEN balance > 1 THEN balance / 100 ELSE balance END AS share FROM theses")(lambda spark, d: written(spark, d).select("thesis", scalar.number(F.when(F.col("number") % 4 < 2, F.col("balance").cast("string")).when(F.col("number") % 4 == 2, "NaN").otherwise("n/a")).alias("x"), scalar.yield_fraction(F.col("balance")).alias("share")))
-query("str21_formats", "SELECT thesis, format('${:.1f}M', number + 1.0) AS short, format('{:+.1f}%', number + 0.3) AS pct FROM theses WHERE number < 999")(lambda spark, d: written(spark, d).where("number < 999").select("thesis", scalar.short_money((F.col("number") + 1) * 1e6).alias("short"), scalar.percent(F.col("number") + 0.3).alias("pct")))
+query("str21_formats", "SELECT thesis, CASE WHEN number + 1 >= 1000000 THEN format('${:.1f}T', ((number + 50001) // 100000) / 10.0) WHEN number + 1 >= 1000 THEN format('${:.1f}B', ((number + 51) // 100) / 10.0) ELSE format('${:.1f}M', number + 1.0) END AS short, format('{:+.1f}%', number + 0.3) AS pct FROM theses")(lambda spark, d: written(spark, d).select("thesis", scalar.short_money((F.col("number") + 1) * 1e6).alias("short"), scalar.percent(F.col("number") + 0.3).alias("pct")))
 query("str20_watchlists", "SELECT CAST(number AS INT) AS rank, thesis AS ticker, bucket AS sector, CAST(number AS DOUBLE) AS score, number * 1e6 AS price FROM theses")(
     lambda spark, d: theses.watchlist(written(spark, d).select(F.lit("w.md").alias("name"), F.concat(F.lit("| Rank | Ticker | Sector | Score |\n| --- | --- | --- | --- |\n| "), F.concat_ws(" | ", F.col("number").cast("string"), "thesis", "bucket", F.concat(F.lit("**"), F.col("number").cast("string"), F.lit("**")), *[F.lit("x")] * 9, F.concat(F.lit("$"), F.col("number").cast("string"), F.lit("M"))), F.lit(" |")).alias("content"))).drop("name")
 )
@@ -244,16 +244,16 @@ query("pix04_codes", "SELECT doc, code, CASE WHEN code LIKE '%.%' THEN split_par
 query("pix05_page_groups")(lambda spark, d: trees.page_groups(pages(spark, d), 2000))
 query("pix06_valid_pages", "SELECT node, CASE WHEN node - 20 BETWEEN 1 AND 500 THEN node - 20 END AS start FROM nodes")(lambda spark, d: trees.valid_pages(view(spark, d, "nodes").select("node", F.col("node").alias("start")), F.lit(500), F.lit(-20)))
 query("pix07_leaves", f"WITH {OUTLINE_SQL}, pr AS (SELECT a.doc, a.node, (SELECT max(b.node) FROM ol b WHERE b.doc = a.doc AND b.node < a.node AND b.level < a.level) AS parent FROM ol a) SELECT doc, node FROM pr p WHERE NOT EXISTS (SELECT 1 FROM pr q WHERE q.doc = p.doc AND q.parent = p.node)")(lambda spark, d: trees.leaves(trees.parents_by_level(outline(spark, d))).select("doc", "node"))
-TITLES_SQL = "toc AS (SELECT node // 20 AS doc, node % 20 AS pos, label AS title, node % 20 + 3 AS page, node % 20 + 3 + CASE WHEN node % 7 = 0 THEN 9 ELSE 5 END AS physical FROM nodes WHERE node % 20 < 4)"
+TITLES_SQL = "toc AS (SELECT node // 20 AS doc, node % 20 AS pos, label AS title, node % 20 + 3 AS page, node % 20 + 3 + CASE WHEN node % 7 = 0 THEN 9 ELSE 5 END AS physical FROM nodes), tp AS (SELECT a.doc, a.title, a.pos, a.page, b.physical FROM toc a JOIN toc b ON a.doc = b.doc AND a.title = b.title)"
 
 
 def contents(spark, d):
-    n = view(spark, d, "nodes").where("node % 20 < 4").select(F.floor(F.col("node") / 20).alias("doc"), (F.col("node") % 20).alias("pos"), F.col("label").alias("title"), (F.col("node") % 20 + 3).alias("page"), F.col("node"))
+    n = view(spark, d, "nodes").select(F.floor(F.col("node") / 20).alias("doc"), (F.col("node") % 20).alias("pos"), F.col("label").alias("title"), (F.col("node") % 20 + 3).alias("page"), F.col("node"))
     return n.select("doc", "pos", "title", "page"), n.select("doc", "title", (F.col("page") + F.when(F.col("node") % 7 == 0, 9).otherwise(5)).alias("physical"))
 
 
-query("jn10_title_pairs", f"WITH {TITLES_SQL} SELECT doc, title, page, physical FROM toc WHERE physical >= 9")(lambda spark, d: trees.matching_titles(*contents(spark, d), 9).select("doc", "title", "page", "physical"))
-query("agg25_page_offset", f"WITH {TITLES_SQL}, f AS (SELECT doc, physical - page AS o, count(*) AS n, min(pos) AS p FROM toc GROUP BY 1, 2) SELECT doc, arg_max(o, struct_pack(n := n, p := -p)) AS \"offset\" FROM f GROUP BY doc")(lambda spark, d: trees.page_offset(trees.matching_titles(*contents(spark, d), 0)))
+query("jn10_title_pairs", f"WITH {TITLES_SQL} SELECT doc, title, page, physical FROM tp WHERE physical >= 9")(lambda spark, d: trees.matching_titles(*contents(spark, d), 9).select("doc", "title", "page", "physical"))
+query("agg25_page_offset", f"WITH {TITLES_SQL}, f AS (SELECT doc, physical - page AS o, count(*) AS n, min(pos) AS p FROM tp GROUP BY 1, 2) SELECT doc, arg_max(o, struct_pack(n := n, p := -p, o := -o)) AS \"offset\" FROM f GROUP BY doc")(lambda spark, d: trees.page_offset(trees.matching_titles(*contents(spark, d), 0)))
 query("win14_page_spans", "SELECT doc, pos, CASE WHEN nx IS NULL THEN 999 WHEN nopen THEN greatest(start, nx - 1) ELSE nx END AS \"end\" FROM (SELECT node // 20 AS doc, node % 20 AS pos, node % 20 // 2 AS start, lead(node % 20 // 2) OVER w AS nx, lead(node % 3 = 0) OVER w AS nopen FROM nodes WINDOW w AS (PARTITION BY node // 20 ORDER BY node))")(lambda spark, d: trees.page_spans(view(spark, d, "nodes").select(F.floor(F.col("node") / 20).alias("doc"), (F.col("node") % 20).alias("pos"), F.floor(F.col("node") % 20 / 2).alias("start"), (F.col("node") % 3 == 0).alias("opens_page")), F.lit(999)).select("doc", "pos", "end"))
 
 # --- letters
