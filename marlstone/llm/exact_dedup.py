@@ -2,8 +2,8 @@
 
 Rows of the index (key, byte digest, rank of the row) are written to the shared folder. The directory starts with one
 bucket and doubles: a bucket that holds more than `capacity` rows splits on the next bit of the key, down to
-`depth` bits; rows of a bucket that is still too full stay chained in it. Buckets are ranges of keys, so each owner
-task works on whole key ranges. Within a bucket, rows of one key form a chain and their normalised bytes are compared
+`depth` bits; rows of a bucket that is still too full stay chained in it. Buckets are ranges of keys and label the rows; Spark's
+grouping by bucket, key and bytes takes the place of owner tasks, and the index is not laid out by bucket. Within a bucket, rows of one key form a chain and their normalised bytes are compared
 (the bytes themselves are grouping keys, combined before the shuffle, so a hot text costs one row per task).
 """
 
