@@ -2,19 +2,21 @@
 
 Sets of sizes a and b with Jaccard similarity of at least t differ in at most (a + b) (1 - t) / (1 + t) shingles, and their sizes
 within a factor of t. Sizes are cut into bands of that factor; a set takes part in the group of its own band and in that of the
-next, so similar sets meet in one group, whose largest size bounds their difference by some k. The domain of shingles is cut
-into n parts by hash. Two sets that differ in k shingles agree on at least n - k parts: with n > k + E, on more than E. A set's signatures are
-its shingles of each part that is not empty; sets with at most E empty parts that are similar share one. The rest, and sets of small groups, for which
-every shingle is a part of its own, follow the same count.
+next, so similar sets meet in one group, whose largest size bounds their difference by some k. There the domain of shingles is cut
+by hash into n first-level parts, and each of these into three second-level ones. Sets that differ in k shingles differ in at most
+one in n - k/2 of the first-level parts at least, so there they agree on two of the three second-level ones: signatures are the subsets of two
+second-level parts, with the set's shingles in them. A part in which a set fills under two second-level ones is weak: an agreement there may
+be one on nothing. Sets with so few weak parts that one agreement is left share a signature with all similar ones; the others also sign another way.
 
 Three things keep buckets small, none of which loses a link. Equal sets are one class from the start. Shingles known to be very frequent stay out of the
-domain; the few sets that then have too many empty parts also sign over the whole domain. And a class whose `sketch` least shingle hashes are nearly all its own
-can't be similar to another: of a pair at t = 0.75, under 8 of 32 shared ones are seen once in 10**9 such pairs. Sets of at most 24 shingles,
-whose partners have whole sketches, must share 3/4 of theirs; sets of 25 to 31 must share 8, and always do, since a partner has at most 9 shingles beyond its sketch.
-
-Buckets give candidates to a pivot, their smallest member; candidates are verified on whole sets, and what is joined is settled. Components that
-still share a bucket form a cluster. A cluster is resolved in one task, where only sets outside the largest component are compared with the others, and
-a link joins components at once. Clusters of over `cluster_mb` of sets are gone through pivot by pivot instead, with a join for each round.
+domain; the few sets that then have too many weak parts also sign over the whole domain, and those that have too many even so (small sets) by each of their shingles.
+And a class whose `SKETCH` least shingle hashes are nearly all its own can't be similar to another: of a pair at t = 0.75, under 8 of 32 shared ones are seen
+once in 10**9 such pairs (`sketch=False` does without this). Sets of at most 24 shingles, whose partners have whole sketches, must share 3/4 of theirs; sets of 25
+to 31 must share 8, and always do, since a partner has at most 9 shingles beyond its sketch.
+
+Buckets give candidates; candidates are verified on whole sets. First each set is held against one pivot of its buckets, for a fixed number of rounds: that
+joins large groups at the cost of a pair for each set. Then all pairs of sets that share a bucket and are in different components are verified at
+once. Large buckets are dealt out in pairs of blocks, so that no task holds one. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, RollingHash, connected_components, materialise, mix
 
 SKETCH, SHARED = 32, 8
-#: Groups of sets up to this size take every shingle as a part.
-_FINE = 64
+#: Second-level parts of each first-level part; signatures leave one out.
+_SECOND = 3
 #: A shingle is frequent from this many classes on; at most so many are told apart.
 _FREQUENT, _MOST_FREQUENT = 50, 200_000
 
@@ -53,24 +55,44 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def most_apart(size: int, percent: int) -> int:
+    """The most shingles in which a set of this size and one similar to it can differ."""
+    return (size + size * 100 // percent) * (100 - percent) // (100 + percent)
+
+
 @cache
-def group_plan(g: int, percent: int) -> tuple[int, int, int]:
-    """(k, n, E) of group g: the largest difference, the number of parts (0: every shingle), the most empty parts."""
+def group_plan(g: int, percent: int) -> tuple[int, int]:
+    """(k, n) of group g: the largest difference, the number of first-level parts."""
     ratio = 100 / percent
     largest = int(ratio ** (g + 1) + 1e-9)
-    k = int(2 * largest * (100 - percent) / (100 + percent) + 1e-9)
-    if largest <= _FINE:
-        return k, 0, 0
-    least, n = ratio ** (g - 1), k + 2
-    while True:
-        empty = np.exp(-least / n)
-        if n * (1 - empty) >= k + 2 + 2 * np.sqrt(n * empty * (1 - empty)) or n > 6 * k:
-            return k, n, n - k - 1
-        n += max(1, n // 50)
+    k, n = 2 * largest * (100 - percent) // (100 + percent), 1
+    while n <= k:
+        n += 1
+        for size in (largest * (percent / 100) ** 2, largest * percent / 100, largest):  # enough parts that are not weak
+            empty = np.exp(-size / (n * _SECOND))
+            weak = empty**_SECOND + _SECOND * (1 - empty) * empty ** (_SECOND - 1)
+            if n * (1 - weak) - 2 * np.sqrt(n * weak * (1 - weak)) < min(k, most_apart(int(size), percent)) // 2 + 1:
+                break
+        else:
+            break
+    return k, n
 
 
-def _signed(values: np.ndarray, salt: int) -> np.ndarray:
-    return mix(values + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)))
+def _subsets(s: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, int]:
+    """Signatures of the sorted set s under n first-level parts, and how many of these are weak.
+
+    Each first-level part is cut into _SECOND second-level ones; a signature is what is in all but one of them, unless that is nothing.
+    """
+    part = ((s >> np.uint64(32)) * np.uint64(n * _SECOND) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    sums, filled = np.zeros(n * _SECOND, np.uint64), np.zeros(n * _SECOND, np.int8)
+    if len(s):
+        sums[part[first]] = np.add.reduceat(mix(s), first)
+        filled[part[first]] = 1
+    sums, filled = sums.reshape(n, _SECOND), filled.reshape(n, _SECOND)
+    left, some = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums, filled.sum(axis=1)[:, None] - filled
+    place = np.arange(n * _SECOND, dtype=np.uint64).reshape(n, _SECOND) + np.uint64(salt << 40)
+    return mix(left + mix(place))[some > 0], int((filled.sum(axis=1) < 2).sum())
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75) -> np.ndarray:
@@ -79,25 +101,17 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75) -> np.nda
     band = int(np.log(len(s)) / np.log(100 / percent) + 1e-9)
     rare = s[~np.isin(s, frequent, assume_unique=True)] if len(frequent) else s
     for g in (band, band + 1):
-        k, n, most_empty = group_plan(g, percent)
+        k, n = group_plan(g, percent)
         if not k:
             continue  # only equal sets
-        for whole, own in ((0, rare), (1, s)):
-            salt = 4 * g + 2 * whole
-            if not n:
-                out.append(_signed(own if not whole else s, salt))
-                if len(own) > k:
-                    break
-                continue
-            part = ((own >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            if len(own):
-                out.append(_signed(np.add.reduceat(mix(own), first) + mix(part[first].astype(np.uint64)), salt))
-            if n - len(first) <= most_empty:
+        most_weak = n - 1 - min(k, most_apart(len(s), percent)) // 2
+        for tier, own in enumerate((rare, s)):
+            found, weak = _subsets(own, n, 4 * g + tier)
+            out.append(found)
+            if weak <= most_weak:
                 break
         else:
-            if n:
-                out.append(_signed(np.zeros(1, np.uint64), 4 * g + 3))  # too many empty parts even so
+            out.append(mix(s + np.uint64((4 * g + 2) << 40)))
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
@@ -160,20 +174,24 @@ def _sign(frequent: np.ndarray, percent: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4096, remembered: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by signature and rep: (bucket, rep) of buckets with several members, equal buckets once."""
-    told: set[int] = set()
+def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4096, remembered: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by signature and rep: (bucket, rep) of buckets with several members, equal buckets once (of those remembered)."""
+    told: set[tuple[int, ...]] = set()
+    held = 0
     current, members, streaming = None, [], False
     out_b: list[int] = []
     out_r: list[int] = []
 
     def close() -> None:
+        nonlocal held
         if streaming or len(members) < 2:
             return
-        key = hash(tuple(members))
+        key = tuple(members)
         if key not in told:
-            if len(told) >= remembered:
+            held += len(key)
+            if held > remembered:
                 told.clear()
+                held = len(key)
             told.add(key)
             out_b.extend([current] * len(members))
             out_r.extend(members)
@@ -219,70 +237,75 @@ def _verify(percent: int):
     return run
 
 
-def _links_across(sets: list[np.ndarray], parts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join all parts of a cluster that are linked at all.
+def _across(at_once: int = 1 << 20):
+    """Over rows sorted by bucket and its blocks i and j: the pairs of sets in different components, pairs of some time ago again.
 
-    One set's shared shingles with all others are counted at once, over the places where its shingles occur.
+    side: 0 for rows of block i, 1 for those of block j, 2 where both are one.
     """
-    sizes = np.array([len(s) for s in sets])
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
-    label = np.unique(parts, return_inverse=True)[1]
-    largest = np.bincount(label).argmax()
-    links = []
-    for i in np.flatnonzero(label != largest):  # all pairs across parts have a member outside the largest
-        first, last = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-        shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), minlength=len(sets))
-        for j in np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (label != label[i])).tolist():
-            if label[i] != label[j]:
-                links.append((int(i), j))
-                label[label == label[j]] = label[i]
-    return links
-
-
-def _resolve(percent: int):
-    """Over rows sorted by cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
+        current, rows, found, total = None, [], [], 0
+
+        def told() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len({r[1] for r in rows}) > 1:
-                reps = [r[0] for r in rows]
-                links = _links_across([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            nonlocal found, total
+            if not rows:
+                return
+            side, rep, c = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            step = max(1, at_once // max(1, len(right)))
+            for k in range(0, len(left), step):
+                own = left[k : k + step]
+                i, j = np.nonzero((c[own][:, None] != c[right]) & ((rep[own][:, None] < rep[right]) | (side[own][:, None] != 2)))
+                x, y = rep[own[i]], rep[right[j]]
+                if len(x):
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    total += len(x)
+                if total > at_once:
+                    yield told()
+                    found, total = [], 0
 
         for batch in batches:
-            for cluster, rep, c, s in zip(batch["cluster"].to_pylist(), batch["rep"].to_pylist(), batch["c"].to_pylist(), batch["shingles"], strict=True):
-                if cluster != current:
+            for key, row in zip(zip(*(batch[x].to_pylist() for x in ("bucket", "i", "j")), strict=True), zip(*(batch[x].to_pylist() for x in ("side", "rep", "c")), strict=True), strict=True):
+                if key != current:
                     yield from flush()
-                    current, rows = cluster, []
-                rows.append((rep, c, s.as_py()))
+                    current, rows = key, []
+                rows.append(row)
         yield from flush()
+        if found:
+            yield told()
 
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, cluster_mb: int = 32) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, rounds: int = 3, block_rows: int = 2000, sketch: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Documents link when 100 times the shared shingles are at least percent times all of both (percent of 75 or more is what the sketch is sized for).
     component_id is the smallest doc_id reached. Null and empty texts, and those of white space alone, have no shingles and link with nothing; a
-    text of under five words is one shingle. Rows without doc_id link with nothing and keep a null component_id. Repeated rows are equal sets, so one component. Other columns are
-    not read. An empty table gives an empty result.
+    text of under five words is one shingle; a very long one is one set in one task. Rows without doc_id link with nothing and keep a null component_id. Repeated rows are
+    equal sets, so one component. Other columns are not read. An empty table gives an empty result.
+    rounds: how often each set is held against one pivot first, once at least; block_rows: members of a bucket that one task holds; sketch: whether
+    sets without company in their sketches are left out.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tkey", F.xxhash64("text"))
     rows = materialise(base.mapInArrow(_sketches, "doc_id long, tkey long, n long, h1 long, h2 long, sketch array<long>"), "sketches")
     linked = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("doc_id", "tkey", "sketch")))
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    each = classes.select("rep", "n", F.explode("sketch").alias("shingle"))
-    again = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    # Only where the sketch of every similar set is whole, all shared shingles are seen.
-    enough = F.when(100 * F.col("n") > percent * SKETCH, F.lit(SHARED)).otherwise(F.ceil(F.col("n") * percent / 100))
-    kept = each.join(again, "shingle", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("rep", "n")
-    texts = base.join(classes.select("doc_id", "tkey", "rep").join(kept.select("rep"), "rep"), ["doc_id", "tkey"]).select("rep", "text")
+    if sketch:
+        each = classes.select("rep", "n", F.explode("sketch").alias("shingle"))
+        again = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+        # Only where the sketch of every similar set is whole, all shared shingles are seen.
+        enough = F.when(100 * F.col("n") > percent * SKETCH, F.lit(SHARED)).otherwise(F.ceil(F.col("n") * percent / 100))
+        kept = each.join(again, "shingle", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("rep")
+    else:
+        kept = classes.select("rep")
+    kept = materialise(classes.join(kept, "rep", "left_semi").select("rep", "n", "sketch", "doc_id", "tkey"), "about")
+    texts = base.join(kept.select("doc_id", "tkey", "rep"), ["doc_id", "tkey"]).select("rep", "text")
     sets = texts.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
     sets = materialise(sets, "sets")
     often = sets.select("shingles").mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > _FREQUENT)
@@ -291,51 +314,41 @@ def jaccard_components(docs: DataFrame, percent: int = 75, cluster_mb: int = 32)
     signed = sets.mapInArrow(_sign(frequent, percent), "signature long, rep long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = signed.repartition(parts, "signature").sortWithinPartitions("signature", "rep").mapInArrow(_buckets, "bucket long, rep long")
-    members = materialise(members, "buckets")
-    about = classes.join(kept.select("rep"), "rep", "left_semi").select("rep", "n", "sketch")
-    about = materialise(about, "about")
+    left = materialise(members.withColumn("c", F.col("rep")), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
-        x, y = (about.select(*(F.col(c).alias(c + s) for c in ("rep", "n", "sketch"))) for s in ("1", "2"))
+        x, y = (kept.select(*(F.col(c).alias(c + s) for c in ("rep", "n", "sketch"))) for s in ("1", "2"))
         near = pairs.join(x, F.col("a") == F.col("rep1")).join(y, F.col("b") == F.col("rep2"))
-        near = near.where((100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & ((F.least("n1", "n2") < SKETCH) | (F.size(F.array_intersect("sketch1", "sketch2")) >= SHARED)))
+        near = near.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+        if sketch:
+            near = near.where((F.least("n1", "n2") < SKETCH) | (F.size(F.array_intersect("sketch1", "sketch2")) >= SHARED))
         both = near.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
         return materialise(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
 
-    def with_pivot(of: DataFrame) -> DataFrame:
-        pivots = of.groupBy("bucket").agg(F.min("rep").alias("pivot"))
-        return of.join(pivots, "bucket")
-
-    star = with_pivot(members).where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
-    star = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    links = verified(star)
-    components = connected_components(links).withColumnRenamed("id", "rep")
-
-    def mixed_buckets(of: DataFrame) -> DataFrame:
-        """(bucket, rep, c) of the buckets that hold several components."""
-        labelled = of.join(components, "rep", "left").select("bucket", "rep", F.coalesce("component_id", "rep").alias("c"))
-        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-        return materialise(labelled.join(mixed.select("bucket", "c1"), "bucket"), "mixed-buckets")
-
-    left = mixed_buckets(members)
-    clusters = connected_components(left.select(F.col("c1").alias("a"), F.col("c").alias("b"))).select(F.col("id").alias("c"), F.col("component_id").alias("cluster"))
-    waiting = left.select("rep", "c").distinct().join(clusters, "c").join(about, "rep")
-    size = waiting.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"))
-    waiting = materialise(waiting.join(size, "cluster"), "clusters")
-    ready = waiting.where(F.col("bytes") <= cluster_mb << 20).join(sets, "rep").select("cluster", "rep", "c", "shingles")
-    found = ready.repartition(parts, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(_resolve(percent), "a long, b long")
-    links = materialise(links.union(found), "jaccard-links")
-    components = connected_components(links).withColumnRenamed("id", "rep")
-    large = waiting.where(F.col("bytes") > cluster_mb << 20).select("c").distinct()
-    left = left.join(large, "c", "left_semi").select("bucket", "rep")
-    while not left.isEmpty():
-        left = mixed_buckets(left).select("bucket", "rep")
-        turned = materialise(with_pivot(left), "pivots").where("rep <> pivot")
-        more = verified(turned.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-        left = turned.select("bucket", "rep")  # all of a pivot's pairs are known now
-        links = materialise(links.union(more), "jaccard-links")
+    def mixed(of: DataFrame, components: DataFrame) -> DataFrame:
+        """(bucket, rep, c, m) of the buckets that hold several components, with their numbers of members."""
+        labelled = of.select("bucket", "rep").join(components, "rep", "left").select("bucket", "rep", F.coalesce("component_id", "rep").alias("c"))
+        several = labelled.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("bucket", "m")
+        return materialise(labelled.join(several, "bucket"), "mixed-buckets")
+
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    for r in range(max(rounds, 1)):
+        place = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "c")
+        pivots = left.groupBy("bucket").agg(F.min(place).alias("p"))
+        star = left.join(pivots, "bucket").where("c <> p.c").groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("shared"))
+        star = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+        found = verified(star)
+        links = links.union(found)
         components = connected_components(links).withColumnRenamed("id", "rep")
+        left = mixed(left, components)
+    # The rest: every pair in different components.
+    blocks = F.ceil(F.col("m") / block_rows)
+    own = left.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "c")
+    pairs = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(), "a long, b long").distinct()
+    components = connected_components(links.union(verified(pairs))).withColumnRenamed("id", "rep")
     known = classes.select("n", "h1", "h2", "rep", "least").join(components, "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
     known = known.join(known.groupBy("c").agg(F.min("least").alias("smallest")), "c").select("n", "h1", "h2", "smallest")
     out = linked.select("doc_id", "n", "h1", "h2").join(known, ["n", "h1", "h2"])

@@ -99,13 +99,30 @@ def near_texts(chain):
     return texts
 
 
-@pytest.mark.parametrize(("cluster_mb", "chain"), [(64, 70), (0, 6)])
-def test_near(spark, cluster_mb, chain):
+@pytest.mark.parametrize(("rounds", "block_rows", "sketch", "chain"), [(3, 2000, True, 70), (1, 3, False, 6), (1, 2000, True, 30)])
+def test_near(spark, rounds, block_rows, sketch, chain):
     texts = near_texts(chain)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(docs(spark, texts), cluster_mb=cluster_mb).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(docs(spark, texts), rounds=rounds, block_rows=block_rows, sketch=sketch).collect()}
     assert got == brute_components(texts)
 
 
+def test_pairs_across_blocks_and_batches():
+    rng = random.Random(3)
+    members = {b: sorted(rng.sample(range(100), 40)) for b in (5, 6)}
+    part = {r: r % 3 for r in range(100)}
+    rows = []
+    for b, reps in members.items():
+        for rep in reps:
+            for other in range(4):
+                own = rep % 4
+                rows.append((b, min(own, other), max(own, other), 2 if own == other else 0 if own < other else 1, rep, part[rep]))
+    rows.sort(key=lambda r: r[:3])
+    names = ["bucket", "i", "j", "side", "rep", "c"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + 7], strict=True)], names=names) for k in range(0, len(rows), 7)]
+    got = {(a, b) for x in shingle_join._across(50)(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)}
+    assert got == {(a, b) for reps in members.values() for a in reps for b in reps if a < b and part[a] != part[b]}
+
+
 def test_near_about_the_size_of_a_sketch(spark):
     texts = []
     for n, more in ((31, 10), (31, 8), (31, 9), (30, 10), (25, 8), (28, 9), (24, 8), (32, 10), (41, 13)):
