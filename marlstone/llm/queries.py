@@ -16,7 +16,7 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False, words=51)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
