@@ -139,12 +139,104 @@ def test_scores_without_training_rows(spark):
     assert context_mixing.score(df.limit(0), F.lit(False)).count() == 0
 
 
-def test_costs_are_a_distribution():
-    """Bits of all one-byte continuations sum to at most 1 in probability."""
-    tables = np.zeros((len(context_mixing.ORDERS), 1 << context_mixing.TABLE_BITS, 2), np.float32)
-    words = [b"aba", b"abb", b"ca", b""]
-    context_mixing.count_bits(words, np.array([5, 3, 2, 4]), tables)
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 15))) for _ in range(80)) for _ in range(40)] + ["x y " * 40, None, "x" * 300_000]
+    df = spark.createDataFrame([*rows(texts), (None, "a b", "h", "n"), *rows(texts)[:2]], DOC)
+    held = F.col("doc_id") % 5 == 0
+    found = [sorted((str(r["doc_id"]), r["score"], r["base_score"]) for r in context_mixing.score(df.repartition(n), held, documents_a_bucket=10).collect()) for n in (1, 5)]
+    for (i, a, b), (j, c, d) in zip(*found, strict=True):
+        assert i == j and a == pytest.approx(c, rel=1e-9) and b == pytest.approx(d, rel=1e-9)
+    assert len(found[0]) == len(texts) + 3
+
+
+def test_repetition_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        seq = [rng.randrange(4) for _ in range(rng.randint(1, 40))]
+        context, hit = context_mixing.repeats_of(np.array(seq))
+        run = 0
+        for t, word in enumerate(seq):
+            q = max((i for i in range(t - 1) if seq[i] == seq[t - 1]), default=-1) if t else -1
+            if q < 0:
+                assert context[t] == -1 and not hit[t]
+                run = 0
+                continue
+            size = sum(run >= x for x in (1, 2, 3, 4, 8, 16))
+            agrees = q >= 1 and t >= 2 and seq[q - 1] == seq[t - 2]
+            assert context[t] == (size * 2 + agrees) * 2 + (q + 1 == t - 1)
+            assert hit[t] == (seq[q + 1] == word)
+            run = run + 1 if hit[t] else 0
+
+
+def spelt_by_hand(mixer, words, counts, word, z):
+    """Bits of one word, by counting anew for each bit."""
+    cm = context_mixing
+    coded = [w + b" " if w else b"\n" for w in words]
+    data = word + b" " if word else b"\n"
+    long, total = len(word) > cm.LONG, 0.0
+    for at, byte in enumerate(data):
+        for j in range(7, -1, -1):
+            node = (byte | 256) >> (j + 1)
+
+            def seen(width, own):
+                n = [0, 0]
+                for w, c in zip(coded, counts, strict=True):
+                    if (len(w) - 1 > cm.LONG) == long:
+                        for i, b in enumerate(w):
+                            if w[max(0, i - width) : i] == data[max(0, at - width) : at] and (b | 256) >> (j + 1) == node and (width < 99 or i == at):
+                                n[b >> j & 1] += c[z] if own else sum(c)
+                return n
+
+            found = [seen(k, True) for k in cm.ORDERS] + [seen(99, True), seen(99, False)]
+            inputs = [math.log((b + 0.02) / (a + 0.02)) for a, b in found] + [0.3]
+            known = [sum(sum(n) > x for x in (0, 2, 15)) for n in found[-2:]]
+            gate = (known[0] * cm.LEVELS + known[1]) * (len(cm.ORDERS) + 1) + sum(sum(n) > 0 for n in found[: len(cm.ORDERS)])
+            weights = mixer.first[gate] + mixer.second[j * 4 + min(at // 2, 3)]
+            odds = min(max(float(np.float32(inputs) @ weights), -cm.FAR), cm.FAR)
+            p, x = 1 / (1 + math.exp(-odds)), (odds + cm.FAR) * (cm.CELLS - 1) / (2 * cm.FAR)
+            low = min(int(x), cm.CELLS - 2)
+            n0, n1 = mixer.cells[gate, low] * (1 - x + low) + mixer.cells[gate, low + 1] * (x - low)
+            p = 0.5 * p + 0.5 * (n1 + 8 * p) / (n0 + n1 + 8)
+            total -= math.log2(p if byte >> j & 1 else 1 - p)
+    return total
+
+
+def small_mixer():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("ab", k=rng.randint(1, 7))).encode() for _ in range(40)} | {b"", b"a" * 13, b"a" * 12 + b"bb", b"a" * 12 + b"bc", b"x" * 12}, key=lambda w: (context_mixing.family_of(w), w))
+    counts = np.array([[rng.choice([0, 1, 5, 30]) if z in (0, 3) else 0 for z in range(context_mixing.CLASSES)] for _ in words])
+    tables = np.zeros((context_mixing.TABLES, 1 << context_mixing.TABLE_BITS, 2), np.float32)
+    trained = context_mixing.edges_of(words, counts, *np.nonzero(counts))
+    context_mixing.count_bits(trained, tables)
     mixer = context_mixing.Mixer.fresh(tables)
-    context_mixing.learn(mixer, words, np.array([5, 3, 2, 4]), 0.02)
-    every = [bytes([a]) for a in range(256) if a not in (10, 32)] + [b""]
-    assert (2.0 ** -context_mixing.costs(mixer, every)).sum() <= 1.0001
+    for _ in range(5):
+        context_mixing.learn(mixer, trained, np.arange(len(trained.byte)), 0.02)
+    return mixer, words, counts
+
+
+def test_bits_against_brute_force(monkeypatch):
+    slots = {}  # none collide
+
+    def slots_of(contexts, node):
+        keys = zip(contexts.ravel().tolist(), np.broadcast_to(node, contexts.shape).ravel().tolist(), strict=True)
+        return np.array([slots.setdefault(k, len(slots)) for k in keys]).reshape(contexts.shape)
+
+    monkeypatch.setattr(context_mixing, "slots_of", slots_of)
+    mixer, words, counts = small_mixer()
+    pairs = np.array([(i, z) for i in range(0, len(words), 3) for z in (0, 3)]).T
+    got = context_mixing.costs(mixer, context_mixing.edges_of(words, counts, *pairs))
+    for i, z, bits in zip(*pairs.tolist(), got, strict=True):
+        assert bits == pytest.approx(spelt_by_hand(mixer, words, counts, words[i], z), rel=1e-4)
+
+
+def test_costs_are_a_distribution():
+    """Bits of all one-byte words, and of two-byte ones that begin alike, sum to at most 1 in probability (whether a word is long is coded apart)."""
+    mixer, words, counts = small_mixer()
+    more = [bytes([a]) for a in range(256) if a not in (10, 32)] + [b"a" + bytes([a]) for a in range(256) if a not in (10, 32)]
+    every = sorted({w for w in {*words, *more} if len(w) <= context_mixing.LONG}, key=lambda w: (context_mixing.family_of(w), w))
+    known = dict(zip(words, counts, strict=True))
+    counts = np.array([known.get(w, np.zeros(context_mixing.CLASSES, np.int64)) for w in every])
+    pairs = np.arange(len(every)), np.full(len(every), 3)
+    bits = context_mixing.costs(mixer, context_mixing.edges_of(every, counts, *pairs))
+    assert (2.0**-bits).sum() <= 1.0001
