@@ -2,9 +2,11 @@
 
 An assistant message whose text is a JSON object with `tool_calls` (each an id, a name and arguments) holds calls; a message of the
 role `tool` whose text is a JSON object with `tool_call_id` is a result. Calls and results are hash-joined by conversation
-and identifier. Arguments may name earlier calls as "$<id>"; a call comes after those it names. The order is a topological one given by columns to sort
-by (anchor, depth, turn, item): a result is anchored at its call, and a call no earlier than the calls it names. It needs no group of a conversation's rows in
-one place, however long a conversation is.
+and identifier. Arguments may name other calls as "$<id>"; a call comes after those it names. The order is a topological one given by columns to sort
+by (anchor, depth, turn, item): the anchor of a call is the last turn of itself and the calls it names, directly or through others, and a result is anchored
+at its call. Calls of one anchor that name each other are told apart by depth. It needs no group of a conversation's rows in one place, however
+long a conversation is. A call that names calls of earlier turns only, as in any real chat, is placed at once, however long the chain;
+rounds are needed for calls that name later turns (one for each that follows the other), and for those of one anchor.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no spaces, text as it is, and no NaN."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces, text as it is. A ValueError for what UTF-8 JSON can't hold: NaN, infinities, lone surrogates."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
 
 
 def fault(tool: str | None, arguments: object, schemas: dict[str, dict]) -> str | None:
@@ -78,8 +82,9 @@ def items_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> li
         tool, arguments = call.get("name"), call.get("arguments")
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments)
-                canonical(arguments)
+                read = json.loads(arguments)
+                canonical(read)
+                arguments = read
             except (ValueError, RecursionError):
                 pass
         key = call.get("id") if isinstance(call.get("id"), str) else None
@@ -91,10 +96,11 @@ def items_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> li
 def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
     """One row per item: conv_id, turn, item, role, kind, call_id, tool, status, linked_turn, anchor, depth, json.
 
-    kind: message, call or result. status of a call: invalid: <why> (its arguments), unanswered, cyclic (it names itself, through others) or
-    ok; of a result: orphan (no such call) or ok; of a message: ok. Of calls with one identifier in a conversation the first counts, the others are
+    kind: message, call or result. status of a call: invalid: <why> (its arguments), unanswered, cyclic (it has no place in its anchor, since it names itself through others, or names such a
+    call there) or ok; of a result: orphan (no such call) or ok; of a message: ok. Of calls with one identifier in a conversation the first counts, the others are
     invalid: repeated id; every result of an identifier is linked. Names of calls that aren't there are ignored. linked_turn: the call's of a result, the first result's of a call. Null text counts as
-    empty; rows with null conv_id or turn keep their rows and link with nothing. Text that isn't such JSON is a plain message. Repeated rows are messages of their own.
+    empty; rows with null conv_id or turn keep their rows and link with nothing. Text that isn't such JSON, or can't be written as UTF-8 JSON again (NaN, lone
+    surrogates), is a plain message; arguments like that stay the string they are. Very long texts are parsed whole. Repeated rows are messages of their own.
     Other columns are not read. An empty table gives an empty result.
     """
     schema = "conv_id long, turn long, role string, item int, kind string, call_id string, tool string, fault string, names array<string>, json string"
@@ -114,26 +120,37 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> Dat
     first = calls.groupBy(*key).agg(F.min(place).alias("p"), F.min_by("names", place).alias("names"))
     answers = items.where("kind = 'result' AND conv_id IS NOT NULL AND turn IS NOT NULL").groupBy(*key).agg(F.min("turn").alias("answered"))
     first = first.join(answers, key, "left").select(*key, F.col("p.id").alias("first_id"), F.col("p.turn").alias("call_turn"), "answered", "names")
-    # Depth and anchor of each call, level by level, over calls that name others only.
-    state = materialise(first.select(*key, "first_id", "call_turn", "answered", "names", F.col("call_turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic")), "calls")
-    edges = state.select("conv_id", F.col("call_id"), F.explode("names").alias("named")).join(state.select("conv_id", F.col("call_id").alias("named")), ["conv_id", "named"])
+    state = materialise(first.select(*key, "first_id", "call_turn", "answered", "names", F.col("call_turn").alias("anchor")), "calls")
+    edges = state.select("conv_id", F.col("call_id"), F.explode(F.array_distinct("names")).alias("named")).join(state.select("conv_id", F.col("call_id").alias("named")), ["conv_id", "named"])
     edges = materialise(edges, "call-names")
-    open_calls = edges.select(*key).distinct()
-    level = 0
+    # Anchors: a round for each time that a later turn is named.
+    of_named = lambda c: state.select("conv_id", F.col("call_id").alias("named"), F.col(c).alias("a"))
+    while True:
+        later = edges.join(of_named("anchor"), ["conv_id", "named"]).groupBy(*key).agg(F.max("a").alias("a"))
+        raised = materialise(later.join(state.select(*key, "anchor"), key).where("a > anchor").select(*key, "a"), "raised")
+        if raised.isEmpty():
+            break
+        state = materialise(state.join(raised, key, "left").withColumn("anchor", F.coalesce("a", "anchor")).drop("a"), "calls")
+    # Depths, level by level, among calls of one anchor.
+    near = edges.join(of_named("anchor"), ["conv_id", "named"]).join(state.select(*key, "anchor"), key).where("a = anchor").select(*key, "named")
+    near = materialise(near, "names-within-anchors")
+    state = materialise(state.withColumn("depth", F.lit(0)).withColumn("cyclic", F.lit(False)), "calls")
+    open_calls = materialise(near.select(*key).distinct(), "open-calls")
     while not open_calls.isEmpty():
-        blocked = edges.join(open_calls.select("conv_id", F.col("call_id").alias("named")), ["conv_id", "named"], "left_semi").select(*key).distinct()
-        ready = open_calls.join(blocked, key, "left_anti")
-        if ready.isEmpty():  # what is left names itself
+        blocked = near.join(open_calls.select("conv_id", F.col("call_id").alias("named")), ["conv_id", "named"], "left_semi").select(*key).distinct()
+        ready = materialise(open_calls.join(blocked, key, "left_anti"), "ready-calls")
+        if ready.isEmpty():  # what is left names itself, or such calls
             state = state.join(open_calls.withColumn("left", F.lit(True)), key, "left").withColumn("cyclic", F.coalesce("left", "cyclic")).drop("left")
             state = materialise(state, "calls")
             break
-        level += 1
-        before = edges.join(ready, key).join(state.select("conv_id", F.col("call_id").alias("named"), F.col("anchor").alias("a"), F.col("depth").alias("d")), ["conv_id", "named"])
-        before = before.groupBy(*key).agg(F.max("a").alias("a"), F.max("d").alias("d"))
-        state = state.join(before, key, "left").withColumn("anchor", F.greatest("anchor", "a")).withColumn("depth", F.coalesce(F.col("d") + 1, "depth")).drop("a", "d")
+        before = near.join(ready, key).join(of_named("depth"), ["conv_id", "named"]).groupBy(*key).agg(F.max("a").alias("d"))
+        state = state.join(before, key, "left").withColumn("depth", F.coalesce(F.col("d") + 1, "depth")).drop("d")
         state = materialise(state, "calls")
         open_calls = materialise(open_calls.join(ready, key, "left_anti"), "open-calls")
-    linked = items.join(state.drop("names"), key, "left")
+    alone = F.col("call_id").isNull() | F.col("conv_id").isNull()  # most rows: they take no part in the join, so no task gets all of them
+    places = state.drop("names")
+    linked = items.where(~alone).join(places, key, "left")
+    linked = linked.unionByName(items.where(alone), allowMissingColumns=True)
     is_call, is_result = F.col("kind") == "call", (F.col("kind") == "result") & F.col("turn").isNotNull()
     status = (
         F.when(is_call & F.col("fault").isNotNull(), F.concat(F.lit("invalid: "), "fault"))
