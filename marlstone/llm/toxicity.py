@@ -1,12 +1,13 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
 Words (lower-cased A-Z, outer punctuation off) are embedded as the sum of two rows of a hashed table. Filters one, two
-and three words wide slide over a text, each keeps its largest response, and a logistic layer reads these maxima. The
-embedding starts from what the training rows say of each hashed row (a lower bound of its log odds) in its first
-dimension and small noise in the others; all of it is then trained by Adagrad.
+and three words wide slide over a text, each keeps its largest response, and a logistic layer reads these maxima. All of it is trained by Adagrad. The
+embedding starts from small noise, with what the training rows say of each hashed row (a lower bound of its log odds) in its first dimension; with
+`informed=False` from noise alone, which comes to the same with enough labels and to less with few (see the README for figures).
 
 A filter of width k responds with a sum of k terms, one for each of its words, so scoring looks up each distinct word's
-terms once and adds. Thresholds are set for each language on labelled rows that training has not seen.
+terms once and adds. Thresholds are set for each language on labelled rows that training has not seen: the one of the best F1, drawn towards
+that of all languages, and that towards 0.7, the more the fewer toxic rows it rests on.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER
+from .common import LOWER, materialise
 
 _TRIM = b".,;:!?\"'()[]{}<>*&%#$@~`^_=+|/\\-"
 _TOKENS_AT_ONCE = 50_000
@@ -81,21 +82,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, bits: int, seed: int = 7, dims: int = 8, filters: int = 8, epochs: int = 4, rate: float = 0.1, batch: int = 32) -> Model:
+def train(texts: list[np.ndarray], labels: np.ndarray, bits: int, seed: int = 7, dims: int = 8, filters: int = 8, epochs: int = 4, rate: float = 0.1, batch: int = 32, informed: bool = True) -> Model:
     """texts: of each, the (n, 2) table rows of its words."""
     rng = np.random.default_rng(seed)
     size = 1 << bits
-    positive, negative = np.zeros(size), np.zeros(size)
-    for t, y in zip(texts, labels, strict=True):
-        (positive if y else negative)[np.unique(t)] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    odds = np.log((positive + 0.5) / (n1 + 1)) - np.log((negative + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (positive + 0.5) + 1 / (negative + 0.5))
-    table = rng.normal(0, 0.01, (size, dims))
-    table[:, 0] = np.maximum(odds, 0) / 2
-    model = Model(table, [rng.normal(0, 0.05, (w, dims, filters)) for w in (1, 2, 3)], np.full(3 * filters, -0.2), rng.normal(0, 0.1, 3 * filters), float(np.log(max(n1, 1) / max(n0, 1))))
-    for f in model.filters:
-        f[0, 0, : filters // 2] += 1
-    model.weight[[k * filters + i for k in range(3) for i in range(filters // 2)]] += 1
+    bias = float(np.log(max(n1, 1) / max(n0, 1)))
+    if informed:
+        positive, negative = np.zeros(size), np.zeros(size)
+        for t, y in zip(texts, labels, strict=True):
+            (positive if y else negative)[np.unique(t)] += 1
+        odds = np.log((positive + 0.5) / (n1 + 1)) - np.log((negative + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (positive + 0.5) + 1 / (negative + 0.5))
+        table = rng.normal(0, 0.01, (size, dims))
+        table[:, 0] = np.maximum(odds, 0) / 2
+        model = Model(table, [rng.normal(0, 0.05, (w, dims, filters)) for w in (1, 2, 3)], np.full(3 * filters, -0.2), rng.normal(0, 0.1, 3 * filters), bias)
+        for f in model.filters:
+            f[0, 0, : filters // 2] += 1
+        model.weight[[k * filters + i for k in range(3) for i in range(filters // 2)]] += 1
+    else:
+        table = rng.normal(0, 0.1, (size, dims))
+        model = Model(table, [rng.normal(0, 0.3, (w, dims, filters)) for w in (1, 2, 3)], np.zeros(3 * filters), np.abs(rng.normal(0, 0.3, 3 * filters)) * rng.choice([-1, 1], 3 * filters), bias)
     sums = {k: np.full(np.shape(v), 1e-3) for k, v in (("table", table), ("shift", model.shift), ("weight", model.weight), ("bias", 0.0), *((f"f{i}", f) for i, f in enumerate(model.filters)))}
 
     def step(name: str, value, gradient):
@@ -141,31 +147,32 @@ def train(texts: list[np.ndarray], labels: np.ndarray, bits: int, seed: int = 7,
     return model
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray, default: float) -> float:
-    """The threshold of the best F1, of all that give it the one closest to default; default if a class is missing."""
+def calibrated(scores: np.ndarray, labels: np.ndarray, default: float, drawn: float = 20.0) -> float:
+    """The threshold of the best F1, of all that give it the one closest to default, drawn towards default as if by `drawn` toxic rows more; default if a class is missing."""
     if not labels.any() or labels.all():
         return default
     order = np.argsort(scores)
     s, y = scores[order], labels[order]
     cuts = [(2 * y[i:].sum() / (len(y) - i + y.sum()), i) for i in range(len(y)) if not i or s[i] > s[i - 1]]
     best = max(f for f, _ in cuts)
-    first = next(i for f, i in cuts if f == best)
-    low = s[first - 1] if first else 0.0
-    return float(min(max(default, low + (s[first] - low) / 100), s[first]))
+    spans = [(s[i - 1] + (s[i] - s[i - 1]) / 100 if i else 0.0, s[i]) for f, i in cuts if f == best]
+    found = min((min(max(default, low), high) for low, high in spans), key=lambda t: abs(t - default))
+    return float((y.sum() * found + drawn * default) / (y.sum() + drawn))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18, learn_from: Column | None = None) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18, learn_from: Column | None = None, sample_words: int = 8_000_000) -> Model | None:
     """Train on at most `sample` labelled rows of each class (the least hashes of doc_id), whole texts.
 
     Every fourth of them is kept from training and sets the thresholds. labels: doc_id, toxic; of repeated ids the largest
-    label counts, null labels don't. None if a class is missing. learn_from: the rows of labels that may be seen.
+    label counts, null labels don't; of documents with one id the least text counts. If the rows have over sample_words words together, those of the largest
+    hashes are left out, so what the driver gathers is bounded whatever the lengths. None if a class is missing. learn_from: the rows of labels that may be seen.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (learn_from if learn_from is not None else F.lit(True)))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(sample).union(known.where("toxic = 0").orderBy(by_hash, "doc_id").limit(sample))
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -173,12 +180,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [rows_of(tokens_of(t.as_py()), bits).astype("<i4").tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"].cast(pa.int32()), batch["lang"], pa.array(found, pa.binary())], names=["doc_id", "toxic", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["lang"], pa.array(found, pa.binary())], names=["doc_id", "toxic", "lang", "words"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", lang.alias("lang"), text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "toxic")
-    rows = rows.mapInArrow(read, "doc_id long, toxic int, lang string, words binary").collect()  # 2 * sample rows
-    rows = sorted(rows, key=lambda r: (zlib.crc32(b"order%d" % r["doc_id"]), bytes(r["words"])))
+    rows = docs.select("doc_id", lang.alias("lang"), text.alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "toxic", "one.text", "one.lang")
+    rows = materialise(rows.mapInArrow(read, "doc_id long, toxic int, lang string, words binary"), "labelled")
+    sizes = rows.select("doc_id", "toxic", F.expr("octet_length(words) div 8").alias("n")).collect()  # numbers, 2 * sample of them
+    sizes.sort(key=lambda r: zlib.crc32(b"order%d" % r["doc_id"]))
+    within = [r["doc_id"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if total <= sample_words]
+    if len(within) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in within], "doc_id long")), "doc_id", "left_semi")
+    rows = sorted(rows.collect(), key=lambda r: zlib.crc32(b"order%d" % r["doc_id"]))
     if len({r["toxic"] for r in rows}) < 2:
         return None
     words = [np.frombuffer(r["words"], "<i4").reshape(-1, 2).astype(np.int64) for r in rows]
@@ -246,7 +259,8 @@ def score(docs: DataFrame, model: Model | None, bits: int = 18, keep: Sequence[s
     """One row per row of docs: the columns keep, score (0 to 1), threshold of its language, toxic (score >= threshold).
 
     Only the text decides the score; null and empty texts get that of an empty text. Without a model (a class had no labels) every
-    score is 0. Repeated rows and null doc_ids keep their rows; other columns are not read.
+    score is 0. Very long texts are scored whole, in groups of their own. Repeated rows and null doc_ids keep their rows; an empty table gives an empty
+    result; other columns are not read.
     """
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))

@@ -99,28 +99,52 @@ def near_texts(chain):
     return texts
 
 
-@pytest.mark.parametrize(("rounds", "block_rows", "sketch", "chain"), [(3, 2000, True, 70), (1, 3, False, 6), (1, 2000, True, 30)])
-def test_near(spark, rounds, block_rows, sketch, chain):
+@pytest.mark.parametrize(("rounds", "large", "sketch", "chain"), [(3, 64, True, 70), (1, 1, False, 6), (1, 3, True, 30)])
+def test_near(spark, rounds, large, sketch, chain):
     texts = near_texts(chain)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(docs(spark, texts), rounds=rounds, block_rows=block_rows, sketch=sketch).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(docs(spark, texts), rounds=rounds, large=large, sketch=sketch).collect()}
     assert got == brute_components(texts)
 
 
-def test_pairs_across_blocks_and_batches():
+def cut_into_batches(rows, names, size=7):
+    return [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size], strict=True)], names=names) for k in range(0, len(rows), size)]
+
+
+def told(found):
+    return [(a, b) for x in found for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
+
+
+def test_pairs_across_batches():
     rng = random.Random(3)
-    members = {b: sorted(rng.sample(range(100), 40)) for b in (5, 6)}
-    part = {r: r % 3 for r in range(100)}
+    members = {b: rng.sample(range(100), 40) for b in (5, 6)}
+    rows = [(b, rep, rep % 3) for b, reps in members.items() for rep in reps]
+    got = told(shingle_join._pairs(50)(iter(cut_into_batches(rows, ["bucket", "rep", "c"]))))
+    assert set(got) == {(a, b) for reps in members.values() for a in reps for b in reps if a < b and (a - b) % 3}
+
+
+def test_links_between_blocks_join_what_is_linked():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(100) > 0.12], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(60)]
+    parts = np.array([i % 50 for i in range(60)])
     rows = []
-    for b, reps in members.items():
-        for rep in reps:
-            for other in range(4):
-                own = rep % 4
-                rows.append((b, min(own, other), max(own, other), 2 if own == other else 0 if own < other else 1, rep, part[rep]))
+    for i, s in enumerate(sets):
+        for other in range(3):
+            own = i % 3
+            rows.append((9, min(own, other), max(own, other), 2 if own == other else 0 if own < other else 1, i, int(parts[i]), s.tobytes()))
     rows.sort(key=lambda r: r[:3])
-    names = ["bucket", "i", "j", "side", "rep", "c"]
-    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + 7], strict=True)], names=names) for k in range(0, len(rows), 7)]
-    got = {(a, b) for x in shingle_join._across(50)(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)}
-    assert got == {(a, b) for reps in members.values() for a in reps for b in reps if a < b and part[a] != part[b]}
+    got = told(shingle_join._between(75)(iter(cut_into_batches(rows, ["cluster", "i", "j", "side", "rep", "c", "shingles"]))))
+
+    def classes(links):
+        low = list(range(60))
+        find = lambda x: x if low[x] == x else find(low[x])
+        for a, b in [*links, *((i, i - 50) for i in range(50, 60))]:
+            a, b = find(a), find(b)
+            low[max(a, b)] = min(a, b)
+        return [find(i) for i in range(60)]
+
+    every = [(i, j) for i in range(60) for j in range(i) if shingle_join.similar(sets[i], sets[j])]
+    assert classes(got) == classes(every) and len(set(classes(every))) < 50 and all(shingle_join.similar(sets[a], sets[b]) for a, b in got)
 
 
 def test_near_about_the_size_of_a_sketch(spark):
@@ -181,15 +205,14 @@ def brute_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [200, 1])
-def test_passages(spark, bucket_rows):
+def test_passages(spark):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("abcdefé ") for _ in range(n))
     p, q = text(70), text(45)
     texts = ["", None, "short", text(300), "z" * 200, p + text(5), p + p]
     texts += [text(rng.randint(0, 60)) + rng.choice([p, p[3:], q, p[:50], q + q]) + text(rng.randint(0, 60)) for _ in range(40)] + [texts[3], texts[3][2:]]
     df = docs(spark, texts)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df, length=40, gram=8, bucket_rows=bucket_rows).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df, length=40, gram=8).collect()}
     assert got == dict(enumerate(brute_removal(texts, 40)))
 
 
@@ -228,8 +251,7 @@ def brute_passages(texts, words, length):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [200, 1])
-def test_passages_of_short_words(spark, bucket_rows):
+def test_passages_of_short_words(spark):
     rng = random.Random(9)
     words = lambda n, most=4: [rng.choice("abcdefghé") * rng.randint(1, 2) + rng.choice("klmnop") * rng.randint(0, most - 2) for _ in range(n)]
     texts = ["", None, " \n", "a", "z " * 60, " ".join(words(30)) + "x" * 450, "x" * 450 + " y"]
@@ -238,7 +260,7 @@ def test_passages_of_short_words(spark, bucket_rows):
         texts += [" ".join(words(rng.randint(0, 40)) + ["u"] + p + ["v"] + words(rng.randint(0, 40))) for _ in range(2)] + ["  ".join(["q", *p[:-1], p[-1] + "!"])]
     p, q = words(51), words(51)
     texts += [" ".join([*p, *q]), "\t".join([*p, "w", *q]), " ".join(words(300, 9))]
-    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_passages(docs(spark, texts), bucket_rows=bucket_rows, keep=("h",)).collect()}
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_passages(docs(spark, texts), keep=("h",)).collect()}
     want = brute_passages(texts, 51, 400)
     for i, w in enumerate(want):
         assert got[i].split() == w.split(), i

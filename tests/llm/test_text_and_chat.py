@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert set(model.thresholds) == {"de", "en"}
 
 
+@pytest.mark.parametrize("informed", [True, False])
+def test_toxicity_is_learnt_from_noise_too(informed):
+    rows, labels = toxic_corpus(1200, seed=3)
+    texts = [toxicity.rows_of(toxicity.tokens_of(t.encode()), 12) for _, t, *_ in rows]
+    truth = np.array([t for *_, t in labels], float)
+    model = toxicity.train(texts[:900], truth[:900], 12, informed=informed, epochs=12)
+    scores = toxicity.score_rows(model, texts[900:])
+    assert ((scores >= 0.7) == (truth[900:] == 1)).mean() >= 0.98
+
+
+def test_calibration_is_drawn_to_the_default():
+    few = toxicity.calibrated(np.array([0.1, 0.2, 0.9, 0.95]), np.array([False, True, True, True]), 0.7)
+    assert 0.6 < few < 0.7  # three toxic rows against twenty
+    many = toxicity.calibrated(np.tile([0.1, 0.2, 0.9], 500), np.tile([False, True, True], 500), 0.7)
+    assert 0.1 < many < 0.25
+    assert toxicity.calibrated(np.array([0.1, 0.9]), np.array([False, True]), 0.7) == pytest.approx(0.7)
+    assert toxicity.calibrated(np.array([0.1]), np.array([False]), 0.7) == 0.7
+
+
+def test_toxicity_gathers_bounded_words(spark):
+    rows, labels = toxic_corpus(60)
+    rows += [(i, "long " * 5000, "en", "s", 0) for i in (4, 8)]  # ids again, with very long texts
+    docs = spark.createDataFrame(rows, DOC)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marks, bits=12, sample_words=2000)
+    assert model is not None and toxicity.fit(docs, marks, bits=12, sample_words=0) is None
+    got = toxicity.score(docs, model, bits=12).collect()
+    assert len(got) == len(rows)
+
+
 def test_toxicity_without_a_class(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1)], DOC)
     marks = spark.createDataFrame([(1, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
@@ -107,6 +138,14 @@ def test_url_rules(spark, ranges):
     assert (by[4]["host"], by[4]["path"]) == ("www.example.net", "/en/1") and by[0]["host"] == by[0]["path"] == by[2]["host"] == ""
     assert url_filter.filter_urls(df.limit(0)).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
+    twice = [("allow", "NET", "/"), ("block", "net", "/"), ("allow", "net", "/")]
+    long = spark.createDataFrame([(k, f"http://{'a.' * 50_000}net/{k}", "h") for k in range(40)], "page_id long, url string, host string")
+    assert {(r["rule"], r["verdict"]) for r in url_filter.filter_urls(long, twice, urls_a_task=2).collect()} == {("net/", "block")}
+
+
+def test_sweep_pushes_and_pops():
+    got = {key: [r[1] + r[2] for r in stack] for key, _, stack in url_filter.swept([("block", "net", ""), ("allow", "a.net", "/"), ("allow", "b.a.net", ""), ("block", "c.net", ""), ("allow", "netx", ""), ("block", "net", "/x")])}
+    assert got == {"net.": ["net", "net/x"], "net.a.": ["net", "net/x", "a.net/"], "net.a.b.": ["net", "net/x", "a.net/", "b.a.net"], "net.c.": ["net", "net/x", "c.net"], "netx.": ["netx"]}
 
 
 def test_pipeline(spark, tmp_path):
@@ -153,3 +192,65 @@ def test_pipeline_with_repeated_rows_and_null_ids(spark, tmp_path, monkeypatch):
     known = [(1, same), (None, lone), (7, shared.replace(" ", "  ", 1)), (5, other), (3, near + " more"), (9, "")]
     assert texts("stage-exact_dedup") == sorted([*known, (5, near), (None, near + " yet")], key=str)
     assert texts("stage-near_dedup") == texts("stage-passages") == sorted(known, key=str)
+
+
+def test_chats_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for conv in range(40):
+        ids = [f"k{i}" for i in range(rng.randint(1, 9))]
+        for turn in range(rng.randint(1, 10)):
+            if rng.random() < 0.6:
+                some = rng.sample(ids, rng.randint(1, min(3, len(ids))))
+                rows.append((conv, turn, "assistant", call(*((i, "search", {"query": " ".join(["q"]), "limit": 1} if rng.random() < 0.3 else {"query": f"${rng.choice(ids)}"}) for i in some))))
+            else:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "none"]), "content": turn})))
+    rows += [(90, t, "assistant", call((f"c{t}", "search", {"query": f"$c{t - 1}" if t else "x"}))) for t in range(60)]  # each names the one before
+    rows += [(91, t, "assistant", call((f"c{t}", "search", {"query": f"$c{t + 1}"}))) for t in range(6)]  # each names the next
+    got = chat_format.format_chats(spark.createDataFrame([(*r, "x") for r in rows], CHAT)).collect()
+    items = [(c, t, i, kind, key, set(names)) for c, t, role, text in rows for i, kind, key, _, _, names, _ in chat_format.items_of(role, text, chat_format.SCHEMAS)]
+    first, answered = {}, {}
+    for c, t, i, kind, key, names in sorted(items, key=lambda x: x[:3]):
+        if kind == "call":
+            first.setdefault((c, key), (t, i, names))
+        elif kind == "result":
+            answered.setdefault((c, key), t)
+
+    def reached(start):
+        seen, todo = set(), [start]
+        while todo:
+            for name in first[todo.pop()][2]:
+                x = (start[0], name)
+                if x in first and x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    anchor = {x: max(first[y][0] for y in {x} | reached(x)) for x in first}
+    near = {x: {(x[0], n) for n in first[x][2] if anchor.get((x[0], n)) == anchor[x]} for x in first}
+    depth = {}
+    while ready := [x for x in first if x not in depth and near[x] <= set(depth)]:
+        depth.update({x: 1 + max((depth[y] for y in near[x]), default=-1) for x in ready})
+    for r in got:
+        x, place = (r["conv_id"], r["call_id"]), (r["turn"], r["item"])
+        if r["kind"] == "call":
+            want = "invalid: repeated id" if first[x][:2] != place else "cyclic" if x not in depth else "ok" if x in answered else "unanswered"
+            assert r["status"] == want
+            if first[x][:2] == place:
+                assert (r["anchor"], r["linked_turn"]) == (anchor[x], answered.get(x)) and (x not in depth or r["depth"] == 2 * depth[x] + 1)
+        elif r["kind"] == "result":
+            assert (r["status"], r["linked_turn"]) == (("ok", first[x][0]) if x in first else ("orphan", None))
+    assert len(got) == len(items)
+    assert len({r["status"] for r in got}) == 5
+
+
+def test_chats_that_json_cannot_hold(spark):
+    calls = lambda arguments: json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": arguments}]})
+    texts = [calls('{"query": NaN}'), calls("\ud800"), calls('{"query": "\\ud800"}'), '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": Infinity}}]}', '{"tool_call_id": "\\udfff"}']
+    rows = [(k, 0, "tool" if k == 4 else "assistant", t, "x") for k, t in enumerate(texts)]
+    rows += [rows[0], (7, 0, "assistant", calls({"query": "long " * 200_000}), "x")]
+    got = chat_format.format_chats(spark.createDataFrame(rows, CHAT)).collect()
+    kinds = {(r["conv_id"], r["item"]): (r["kind"], r["status"]) for r in got}
+    assert kinds[0, 1][0] == kinds[2, 1][0] == "call" and kinds[1, 0] == kinds[3, 0] == kinds[4, 0] == ("message", "ok") and (1, 1) not in kinds
+    assert sorted(r["status"] for r in got if r["conv_id"] == 0 and r["item"]) == ["invalid: arguments are no object"] * 2
+    assert max(len(r["json"]) for r in got) > 1_000_000
