@@ -6,17 +6,19 @@ next, so similar sets meet in one group, whose largest size bounds their differe
 by hash into n first-level parts, and each of these into three second-level ones. Sets that differ in k shingles differ in at most
 one in n - k/2 of the first-level parts at least, so there they agree on two of the three second-level ones: signatures are the subsets of two
 second-level parts, with the set's shingles in them. A part in which a set fills under two second-level ones is weak: an agreement there may
-be one on nothing. Sets with so few weak parts that one agreement is left share a signature with all similar ones; the others also sign another way.
+be one on nothing. Sets with so few weak parts that one agreement is left share a signature with all similar ones; the others also sign with each shingle as a
+part of its own, of which the least of a set do, one more than can be missing in a similar set.
 
 Three things keep buckets small, none of which loses a link. Equal sets are one class from the start. Shingles known to be very frequent stay out of the
-domain; the few sets that then have too many weak parts also sign over the whole domain, and those that have too many even so (small sets) by each of their shingles.
+domain; the few sets that consist of them by more than can be missing in a similar set also sign over the whole domain.
 And a class whose `SKETCH` least shingle hashes are nearly all its own can't be similar to another: of a pair at t = 0.75, under 8 of 32 shared ones are seen
 once in 10**9 such pairs (`sketch=False` does without this). Sets of at most 24 shingles, whose partners have whole sketches, must share 3/4 of theirs; sets of 25
 to 31 must share 8, and always do, since a partner has at most 9 shingles beyond its sketch.
 
 Buckets give candidates; candidates are verified on whole sets. First each set is held against one pivot of its buckets, for a fixed number of rounds: that
 joins large groups at the cost of a pair for each set. Then all pairs of sets that share a bucket and are in different components are verified at
-once. Large buckets are dealt out in pairs of blocks, so that no task holds one. Shingles are compared by 64-bit hashes.
+once. Those of large buckets are not written out: overlapping buckets form a cluster, whose sets are dealt out in pairs of blocks, and a task counts what
+each set of one block shares with all of the other, so neither a task nor the driver holds a bucket. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -100,18 +102,23 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75) -> np.nda
     out = []
     band = int(np.log(len(s)) / np.log(100 / percent) + 1e-9)
     rare = s[~np.isin(s, frequent, assume_unique=True)] if len(frequent) else s
+    missing = len(s) * (100 - percent) // 100  # of its own, in any similar set
     for g in (band, band + 1):
         k, n = group_plan(g, percent)
         if not k:
             continue  # only equal sets
         most_weak = n - 1 - min(k, most_apart(len(s), percent)) // 2
-        for tier, own in enumerate((rare, s)):
-            found, weak = _subsets(own, n, 4 * g + tier)
-            out.append(found)
-            if weak <= most_weak:
-                break
-        else:
-            out.append(mix(s + np.uint64((4 * g + 2) << 40)))
+        found, weak = _subsets(rare, n, 4 * g)
+        out.append(found)
+        if weak <= most_weak:
+            continue
+        out.append(mix(rare[: missing + 1] + np.uint64((4 * g + 1) << 40)))
+        if len(rare) > missing:
+            continue
+        found, weak = _subsets(s, n, 4 * g + 2)
+        out.append(found)
+        if weak > most_weak:
+            out.append(mix(s[: missing + 1] + np.uint64((4 * g + 3) << 40)))
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
@@ -175,12 +182,21 @@ def _sign(frequent: np.ndarray, percent: int):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4096, remembered: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by signature and rep: (bucket, rep) of buckets with several members, equal buckets once (of those remembered)."""
+    """Over rows sorted by signature and rep: (bucket, rep, m) of buckets with several members, equal buckets once (of those remembered).
+
+    m: how many members the bucket has; of a bucket of over `most`, how many it had when the row came.
+    """
     told: set[tuple[int, ...]] = set()
     held = 0
-    current, members, streaming = None, [], False
+    current, members, streaming, so_far = None, [], False, 0
     out_b: list[int] = []
     out_r: list[int] = []
+    out_m: list[int] = []
+
+    def tell(bucket: int, reps: list[int], m: int) -> None:
+        out_b.extend([bucket] * len(reps))
+        out_r.extend(reps)
+        out_m.extend([m] * len(reps))
 
     def close() -> None:
         nonlocal held
@@ -193,13 +209,12 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4096, remembered: in
                 told.clear()
                 held = len(key)
             told.add(key)
-            out_b.extend([current] * len(members))
-            out_r.extend(members)
+            tell(current, members, len(members))
 
     def ready() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_r, pa.int64())], names=["bucket", "rep"])
-        out_b.clear()
-        out_r.clear()
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_b, out_r, out_m)], names=["bucket", "rep", "m"])
+        for x in (out_b, out_r, out_m):
+            x.clear()
         return batch
 
     for batch in batches:
@@ -210,16 +225,15 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4096, remembered: in
                 continue
             if signature[i] != current:
                 close()
-                current, members, streaming = int(signature[i]), [], False
+                current, members, streaming, so_far = int(signature[i]), [], False, 0
             own = reps[i:j].tolist()
+            so_far += len(own)
             if streaming:
-                out_b.extend([current] * len(own))
-                out_r.extend(own)
+                tell(current, own, so_far)
             else:
                 members += own
                 if len(members) > most:
-                    out_b.extend([current] * len(members))
-                    out_r.extend(members)
+                    tell(current, members, so_far)
                     members, streaming = [], True
         if out_b:
             yield ready()
@@ -237,59 +251,92 @@ def _verify(percent: int):
     return run
 
 
-def _across(at_once: int = 1 << 20):
-    """Over rows sorted by bucket and its blocks i and j: the pairs of sets in different components, pairs of some time ago again.
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each key, of batches sorted by it."""
+    current, rows = None, []
+    for batch in batches:
+        for key, row in zip(zip(*(batch[x].to_pylist() for x in keys), strict=True), zip(*(batch[x].to_pylist() for x in columns), strict=True), strict=True):
+            if key != current:
+                if rows:
+                    yield rows
+                current, rows = key, []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    side: 0 for rows of block i, 1 for those of block j, 2 where both are one.
-    """
+
+def _pairs(at_once: int = 1 << 20):
+    """Over rows sorted by bucket: the pairs of sets in different components, a pair of some time ago again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows, found, total = None, [], [], 0
-
-        def told() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal found, total
-            if not rows:
-                return
-            side, rep, c = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            step = max(1, at_once // max(1, len(right)))
-            for k in range(0, len(left), step):
-                own = left[k : k + step]
-                i, j = np.nonzero((c[own][:, None] != c[right]) & ((rep[own][:, None] < rep[right]) | (side[own][:, None] != 2)))
-                x, y = rep[own[i]], rep[right[j]]
-                if len(x):
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-                    total += len(x)
-                if total > at_once:
-                    yield told()
-                    found, total = [], 0
+        found, total = [], 0
+        for rows in _grouped(batches, ("bucket",), ("rep", "c")):
+            rep, c = np.array(rows, np.int64).T
+            i, j = np.nonzero((c[:, None] != c) & (rep[:, None] < rep))
+            found.append(np.stack([rep[i], rep[j]], axis=1))
+            total += len(i)
+            if total > at_once:
+                yield _links(*np.unique(np.concatenate(found), axis=0).T)
+                found, total = [], 0
+        if total:
+            yield _links(*np.unique(np.concatenate(found), axis=0).T)
 
-        for batch in batches:
-            for key, row in zip(zip(*(batch[x].to_pylist() for x in ("bucket", "i", "j")), strict=True), zip(*(batch[x].to_pylist() for x in ("side", "rep", "c")), strict=True), strict=True):
-                if key != current:
-                    yield from flush()
-                    current, rows = key, []
-                rows.append(row)
-        yield from flush()
-        if found:
-            yield told()
+    return run
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], parts: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between the sets of left and of right that join all parts which are linked at all. parts: of left, then of right.
+
+    A set's shared shingles with all of right are counted at once, over the places where its shingles occur.
+    """
+    sizes = np.array([len(s) for s in right])
+    values = np.concatenate(right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(right), dtype=np.int32), sizes)[order]
+    label = np.unique(parts, return_inverse=True)[1]
+    mine, theirs = label[: len(left)], label[len(left) :]  # views: both see what is joined
+    links = []
+    for i, s in enumerate(left):
+        if (theirs == mine[i]).all():
+            continue
+        first, last = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        for j in np.flatnonzero((100 * shared >= percent * (sizes + len(s) - shared)) & (theirs != mine[i])).tolist():
+            if theirs[j] != mine[i]:
+                links.append((i, j))
+                label[label == theirs[j]] = mine[i]
+    return links
+
+
+def _between(percent: int):
+    """Over rows sorted by cluster and its blocks i and j. side: 0 for rows of block i, 1 for those of block j, 2 where both are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, ("cluster", "i", "j"), ("side", "rep", "c", "shingles")):
+            left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
+            if left and right and len({r[2] for r in rows}) > 1:
+                sets = [[np.frombuffer(r[3], np.uint64) for r in x] for x in (left, right)]
+                found = links_between(*sets, np.array([r[2] for r in left + right]), percent)
+                yield _links([left[i][1] for i, _ in found], [right[j][1] for _, j in found])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, rounds: int = 3, block_rows: int = 2000, sketch: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, rounds: int = 3, large: int = 16, block_mb: int = 2, sketch: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Documents link when 100 times the shared shingles are at least percent times all of both (percent of 75 or more is what the sketch is sized for).
     component_id is the smallest doc_id reached. Null and empty texts, and those of white space alone, have no shingles and link with nothing; a
     text of under five words is one shingle; a very long one is one set in one task. Rows without doc_id link with nothing and keep a null component_id. Repeated rows are
     equal sets, so one component. Other columns are not read. An empty table gives an empty result.
-    rounds: how often each set is held against one pivot first, once at least; block_rows: members of a bucket that one task holds; sketch: whether
-    sets without company in their sketches are left out.
+    rounds: how often each set is held against one pivot first, once at least; large: buckets of more members are compared where their sets are, in
+    blocks of block_mb; sketch: whether sets without company in their sketches are left out.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tkey", F.xxhash64("text"))
     rows = materialise(base.mapInArrow(_sketches, "doc_id long, tkey long, n long, h1 long, h2 long, sketch array<long>"), "sketches")
@@ -313,8 +360,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, rounds: int = 3, bloc
     frequent = np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64))
     signed = sets.mapInArrow(_sign(frequent, percent), "signature long, rep long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = signed.repartition(parts, "signature").sortWithinPartitions("signature", "rep").mapInArrow(_buckets, "bucket long, rep long")
-    left = materialise(members.withColumn("c", F.col("rep")), "buckets")
+    members = signed.repartition(parts, "signature").sortWithinPartitions("signature", "rep").mapInArrow(_buckets, "bucket long, rep long, m long")
+    members = materialise(members, "buckets")
+    met = members.groupBy("rep").agg(F.sum("m").alias("met"))
+    left = members.select("bucket", "rep", F.col("rep").alias("c"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -332,10 +381,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, rounds: int = 3, bloc
         several = labelled.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("bucket", "m")
         return materialise(labelled.join(several, "bucket"), "mixed-buckets")
 
+    # The first pivot is the member that meets most others, which of a text and its copies is most often the text itself; later ones are so by chance.
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     for r in range(max(rounds, 1)):
-        place = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "c")
-        pivots = left.groupBy("bucket").agg(F.min(place).alias("p"))
+        chance = F.pmod(F.xxhash64("rep", F.lit(r)), F.lit(1000)) / 1000
+        first = left.join(met, "rep").withColumn("met", F.col("met") if r == 0 else F.col("met") * chance)
+        pivots = first.groupBy("bucket").agg(F.max(F.struct("met", "rep", "c")).alias("p"))
         star = left.join(pivots, "bucket").where("c <> p.c").groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("shared"))
         star = star.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
         found = verified(star)
@@ -343,12 +394,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, rounds: int = 3, bloc
         components = connected_components(links).withColumnRenamed("id", "rep")
         left = mixed(left, components)
     # The rest: every pair in different components.
-    blocks = F.ceil(F.col("m") / block_rows)
-    own = left.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    pairs = left.where(F.col("m") <= large).select("bucket", "rep", "c").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(), "a long, b long").distinct()
+    wide = left.where(F.col("m") > large).select("bucket", "rep", "c")
+    ends = wide.join(wide.groupBy("bucket").agg(F.min("rep").alias("first")), "bucket").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    clusters = connected_components(ends).select(F.col("id").alias("rep"), F.col("component_id").alias("cluster"))
+    clustered = materialise(wide.select("rep", "c").distinct().join(clusters, "rep").join(kept.select("rep", "n"), "rep"), "clusters")
+    sizes = clustered.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / (block_mb << 20)).alias("blocks"))
+    own = clustered.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "c")
-    pairs = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(), "a long, b long").distinct()
-    components = connected_components(links.union(verified(pairs))).withColumnRenamed("id", "rep")
+    dealt = own.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "c").join(sets, "rep")
+    between = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_between(percent), "a long, b long")
+    links = links.union(verified(pairs)).union(materialise(between, "jaccard-links"))
+    components = connected_components(links).withColumnRenamed("id", "rep")
     known = classes.select("n", "h1", "h2", "rep", "least").join(components, "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
     known = known.join(known.groupBy("c").agg(F.min("least").alias("smallest")), "c").select("n", "h1", "h2", "smallest")
     out = linked.select("doc_id", "n", "h1", "h2").join(known, ["n", "h1", "h2"])
