@@ -6,6 +6,9 @@ first. Sorted sequences are cut into blocks; two blocks can hold a link only if
 each other in every dimension. Such pairs of blocks are joined recursively: both are halved in the sort order, halves whose boxes are
 provably distant are skipped, and small halves are compared by a matrix product in double precision.
 
+Neighbouring blocks of the sorted sequence form a group. A task joins two groups that have near blocks, and holds no more than these, so a block's vectors are sent
+once for each group that is near, not once for each block.
+
 Equal vectors are one class from the start, with their number as its weight. A pair of blocks yields, for each class, its number of
 links and the links of a spanning forest only, so a dense group costs rows in proportion to its size.
 """
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,13 +114,14 @@ def join_blocks(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.nd
     return links_a, links_b, edges
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, block: int = 256) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 8, block: int = 256, group: int = 32) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Rows link when their labels are equal and not null, their vectors have equal sizes and a cosine of at least threshold
     in double precision. Null, empty and zero vectors and those with null or non-finite components link with nothing, nor do rows
     without a vec_id. component_id is the smallest vec_id reached; kept: vec_id = component_id, or true for rows without vec_id. Repeated rows
-    are vectors of their own and link with each other. Other columns are not read. An empty table gives an empty result.
+    are vectors of their own and link with each other. Very long vectors are compared whole. Other columns are not read. An empty table gives an empty result.
+    dims: leading dimensions of the grid; block: vectors of a block; group: blocks of a group.
     """
     number = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", "label", number.alias("v"))
@@ -146,13 +151,17 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, blo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        number = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal number
             _, n, _, _, _, _ = rows[0]
+            own = (TaskContext.get().partitionId() << 32) + number // group
+            number += 1
             cells = np.array([r[2] for r in rows])
             return pa.RecordBatch.from_arrays(
-                [pa.array([rows[0][0]], label), pa.array([n], pa.int32()), pa.array([rows[0][3]], pa.int64()), pa.array([cells.min(axis=0)], pa.list_(pa.int64())), pa.array([cells.max(axis=0)], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array([r[5] for r in rows], np.float64), cells, np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)))],
-                names=["label", "n", "block", "lo", "hi", "vectors", "cells", "weights", "ids"],
+                [pa.array([rows[0][0]], label), pa.array([n], pa.int32()), pa.array([own], pa.int64()), pa.array([rows[0][3]], pa.int64()), pa.array([cells.min(axis=0)], pa.list_(pa.int64())), pa.array([cells.max(axis=0)], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array([r[5] for r in rows], np.float64), cells, np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)))],
+                names=["label", "n", "grp", "block", "lo", "hi", "vectors", "cells", "weights", "ids"],
             )
 
         label = None
@@ -166,36 +175,42 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, dims: int = 4, blo
         if rows:
             yield flush()
 
-    blocks = materialise(ordered.mapInArrow(cut, f"label {label_type}, n int, block long, lo array<long>, hi array<long>, vectors binary, cells binary, weights binary, ids binary"), "blocks")
-    boxes = blocks.select("label", "n", "block", "lo", "hi")
+    blocks = materialise(ordered.mapInArrow(cut, f"label {label_type}, n int, grp long, block long, lo array<long>, hi array<long>, vectors binary, cells binary, weights binary, ids binary"), "blocks")
+    boxes = blocks.select("label", "n", "grp", "block", "lo", "hi")
     one = boxes.withColumn("at", F.explode(F.sequence(F.col("lo")[0], F.col("hi")[0])))
-    two = boxes.withColumn("at", F.explode(F.sequence(F.col("lo")[0] - 1, F.col("hi")[0] + 1))).select("label", "n", "at", *(F.col(c).alias(c + "2") for c in ("block", "lo", "hi")))
+    two = boxes.withColumn("at", F.explode(F.sequence(F.col("lo")[0] - 1, F.col("hi")[0] + 1))).select("label", "n", "at", *(F.col(c).alias(c + "2") for c in ("grp", "block", "lo", "hi")))
     near = F.forall(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda x: (x["lo"] <= x["hi2"] + 1) & (x["lo2"] <= x["hi"] + 1))
-    pairs = one.join(two, ["label", "n", "at"]).where("block <= block2").where(near).select("block", "block2").distinct()
-    pairs = materialise(pairs, "block-pairs")
+    pairs = one.join(two, ["label", "n", "at"]).where("block <= block2").where(near).select("grp", "block", "grp2", "block2").distinct()
+    pairs = materialise(pairs.select(F.least("grp", "grp2").alias("g1"), F.greatest("grp", "grp2").alias("g2"), "block", "block2"), "block-pairs")
     data = ["vectors", "cells", "weights", "ids"]
-    left = blocks.select("block", *data)
-    right = blocks.select(*(F.col(c).alias(c + "2") for c in ("block", *data)))
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 100 + 1)
-    joined = pairs.join(left, "block").join(right, "block2").repartition(tasks, "block", "block2")
+    groups = pairs.select("g1", "g2").distinct()
+    sides = groups.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("grp"))
+    sent = sides.join(blocks.select("grp", "block", *data), "grp").select("g1", "g2", F.lit(0).alias("kind"), "block", F.lit(None).cast("long").alias("block2"), *data)
+    asked = pairs.select("g1", "g2", F.lit(1).alias("kind"), "block", "block2", *(F.lit(None).cast("binary").alias(c) for c in data))
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count())
+    joined = sent.unionByName(asked).repartition(tasks, "g1", "g2").sortWithinPartitions("g1", "g2", "kind", "block", "block2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                def part(suffix: str) -> tuple:
-                    w, ids = (np.frombuffer(batch[c + suffix][i].as_py(), np.int64) for c in ("weights", "ids"))
-                    return (np.frombuffer(batch["vectors" + suffix][i].as_py()).reshape(len(ids), -1), np.frombuffer(batch["cells" + suffix][i].as_py(), np.int64).reshape(len(ids), -1), w), ids
-
-                (a, ids), (b, ids2) = part(""), part("2")
-                same = batch["block"][i].as_py() == batch["block2"][i].as_py()
+            for i, (key, kind, left, right) in enumerate(zip(zip(batch["g1"].to_pylist(), batch["g2"].to_pylist(), strict=True), *(batch[c].to_pylist() for c in ("kind", "block", "block2")), strict=True)):
+                if key != current:
+                    current, held = key, {}
+                if kind == 0:
+                    w, ids = (np.frombuffer(batch[c][i].as_py(), np.int64) for c in ("weights", "ids"))
+                    held[left] = (np.frombuffer(batch["vectors"][i].as_py()).reshape(len(ids), -1), np.frombuffer(batch["cells"][i].as_py(), np.int64).reshape(len(ids), -1), w), ids
+                    continue
+                (a, ids), (b, ids2) = held[left], held[right]
+                same = left == right
                 na, nb, edges = join_blocks(a, b, same, threshold)
                 names = ids if same else np.concatenate([ids, ids2])
                 counted = na if same else np.concatenate([na, nb])
                 some = np.flatnonzero(counted)
-                e = np.array(edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[some], names[e[:, 0]]])), pa.array([None] * len(some) + names[e[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate([counted[some], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
+                if len(some):
+                    e = np.array(edges, np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[some], names[e[:, 0]]])), pa.array([None] * len(some) + names[e[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate([counted[some], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
 
-    found = materialise(joined.select("block", "block2", *data, *(c + "2" for c in data)).mapInArrow(compare, "a long, b long, n long"), "vector-links")
+    found = materialise(joined.mapInArrow(compare, "a long, b long, n long"), "vector-links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     components = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
     known = classes.select("label", "v", "rep", "weight").join(links, "rep", "left").join(components, "rep", "left")

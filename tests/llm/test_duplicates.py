@@ -46,7 +46,7 @@ def test_exact(spark, colliding):
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(3, "a b", "x", "y"), (None, "ab", None, None)]
     df = spark.createDataFrame(rows, DOC).repartition(4)
     key = F.shiftleft(F.xxhash64("norm") % 2, 62) if colliding else None
-    got = exact_dedup.exact_dedup(df, key=key, depth=4, capacity=5).collect()
+    got = exact_dedup.exact_dedup(df, key=key, depth=6, capacity=5).collect()
     norm = lambda t: (t or "").translate(dict.fromkeys((9, 10, 11, 12, 13, 32)))
     groups = {}
     for i, t, *_ in rows:
@@ -57,13 +57,23 @@ def test_exact(spark, colliding):
         g = groups[text_of[r["text_sha256"]]]
         assert r["group_size"] == len(g) and r["keep_id"] == min(g)[3]
     assert sum(r["kept"] for r in got) == len(groups)
+    chains = {(r["text_sha256"], r["chain"]) for r in got}
+    assert len(chains) == len(groups) and (max(c for _, c in chains) > 2) == colliding
+    assert len({r["bucket"] for r in got}) > 1
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
-def test_directory_splits():
-    d = exact_dedup.directory({0: 100, 1: 1, 2: 1, 3: 1}, 2, 50)
-    assert [x[0] for x in d] == [0, 1, 2, 3] and d[2][1:] == d[3][1:] == (2, 1) and d[0][2] == 2
-    assert {x[2] for x in exact_dedup.directory({}, 2, 50)} == {0}
+def test_directory_splits(spark):
+    rng = random.Random(1)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)] + [5] * 400 + [rng.randrange(1 << 50) for _ in range(300)]
+    buckets = exact_dedup.split_buckets(spark.createDataFrame([(k,) for k in keys], "h long"), 24, 50)
+    depth, slots = exact_dedup.directory(buckets)
+    assert [s for s, *_ in slots] == list(range(1 << depth))  # the buckets cover all keys
+    for prefix, local in buckets:
+        inside = [k for k in keys if (k % (1 << 64)) >> (64 - local) == prefix] if local else keys
+        assert len(inside) <= 50 or len(set(inside)) == 1 or local == 24
+    assert len({d for _, d in buckets}) > 3
+    assert exact_dedup.directory(exact_dedup.split_buckets(spark.createDataFrame([], "h long"), 24, 50)) == (0, [(0, 0, 0)])
 
 
 def brute_components(texts):
@@ -295,7 +305,7 @@ def test_vectors(spark):
     rows += [(500 + k, rows[k % 5][1], rows[k % 5][2]) for k in range(40)]
     rows += [(600, None, 1), (601, [0.0] * 8, 1), (602, [float("nan")] + [1.0] * 7, 1), (603, [None] + [1.0] * 7, 1), (604, [1.0] * 4, 1), (605, [2.0] * 4, 1), (606, [], 1), (607, [float("inf")] + [1.0] * 7, 1), (608, [1e-200] * 4, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_join.link_vectors(df, block=32).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_join.link_vectors(df, block=32, group=2).collect()}
     fine = [(i, np.array(v, float), g) for i, v, g in rows if g is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     low, links = {i: i for i, *_ in rows}, Counter()
     find = lambda x: x if low[x] == x else find(low[x])
@@ -312,6 +322,15 @@ def test_vectors(spark):
     assert vector_join.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_clashing_columns_and_long_ones(spark):
+    rng = np.random.default_rng(6)
+    long = [float(x) for x in rng.normal(size=5000)]
+    rows = [(1, long, "a", 1, 2, 3, 4), (2, [2 * x for x in long], "a", 1, 2, 3, 4), (3, long, "b", 1, 2, 3, 4), (4, long[::-1], "a", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep int, unit int, weight int, block int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_join.link_vectors(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
+
+
 def test_repeated_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)], "vec_id long, embedding array<double>, label int")
     got = sorted(((r["vec_id"], r["n_links"]) for r in vector_join.link_vectors(df).collect()), key=str)
