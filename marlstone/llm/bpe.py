@@ -20,6 +20,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from .common import release
+
 VOCABULARY = "byte_bpe_50k.json"
 #: A space after a character that is white space by no definition: the pattern always starts a new match there.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
@@ -29,7 +31,8 @@ _RUN = re.compile(r"[\s\x1c-\x1f\x85] ")
 _PLAIN = re.compile("[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+| +(?![^ ])| +")
-_CACHED = 250_000
+#: Pieces kept in a table, and the longest that is, so that a table's bytes are bounded too.
+_CACHED, _LONGEST = 250_000, 64
 _coders: dict[str, Coder] = {}
 
 
@@ -101,7 +104,8 @@ class Coder:
         if len(self.pieces) > _CACHED:
             self.elder, self.pieces = self.pieces, {}
         out = self.elder.get(rest) or self.describe(" " + rest)
-        self.pieces[rest] = out
+        if len(rest) <= _LONGEST:
+            self.pieces[rest] = out
         return out
 
     def coded(self, text: str) -> list[tuple[str, int, bytes]]:
@@ -133,7 +137,7 @@ def coder(name: str = VOCABULARY) -> Coder:
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
 
-    Null text counts as empty, which has no ids. Repeated rows and null doc_ids keep their rows; other columns are not read.
+    Null text counts as empty, which has no ids. Very long texts are gone through piece by piece and kept whole in one task. An empty table gives an empty result. Repeated rows and null doc_ids keep their rows; other columns are not read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_ids)
@@ -154,5 +158,6 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool
         finally:  # the worker goes on to other tasks
             code.clear()
             gc.enable()
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

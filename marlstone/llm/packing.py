@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import materialise
+from .common import materialise, release
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters on which Python's and the tokenizer's white space differ, and the start of the special tokens' strings.
@@ -34,7 +34,8 @@ _ODD = re.compile("[\x1c-\x1f]|<\\|")
 #: Words on which lower-casing and the split below are all that the tokenizer does before its merges.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-_CACHED = 250_000
+#: Words kept in a table, and the longest that is, so that a table's bytes are bounded too.
+_CACHED, _LONGEST = 250_000, 64
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -78,14 +79,20 @@ class WordEncoder:
         try:
             return b"".join([ids[w] for w in words])
         except KeyError:
-            if len(ids) > _CACHED:
-                self.elder, self.ids = ids, {}
-                ids = self.ids
-            elder = self.elder
-            for w in dict.fromkeys(words):
-                if w not in ids:
-                    ids[w] = elder.get(w) or self.word(w)
-            return b"".join([ids[w] for w in words])
+            out, long = [], {}  # long words are kept for the text only
+            for w in words:
+                found = ids.get(w) or long.get(w)
+                if found is None:
+                    found = self.elder.get(w) or self.word(w)
+                    if len(w) > _LONGEST:
+                        long[w] = found
+                    else:
+                        if len(ids) > _CACHED:
+                            self.elder, self.ids = ids, {}
+                            ids = self.ids
+                        ids[w] = found
+                out.append(found)
+            return b"".join(out)
 
 
 def encoder(name: str) -> WordEncoder:
@@ -191,6 +198,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY,
         finally:  # the worker goes on to other tasks
             encode.clear()
             gc.enable()
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

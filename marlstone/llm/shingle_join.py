@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, connected_components, materialise, mix
+from .common import LOWER, RollingHash, connected_components, materialise, mix, release
 
 SKETCH, SHARED = 32, 8
 #: Second-level parts of each first-level part; signatures leave one out.
@@ -137,6 +137,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h2.append(mix(mix(s) ^ np.uint64(len(s))).sum(dtype=np.uint64))
             sketch.append(s[:SKETCH].view(np.int64))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tkey"], pa.array(n, pa.int64()), *(_long(np.array(h, np.uint64)) for h in (h1, h2)), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "tkey", "n", "h1", "h2", "sketch"])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

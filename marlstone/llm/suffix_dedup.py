@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, RollingHash, forget, materialise, mix
+from .common import SPACES, RollingHash, forget, materialise, mix, release
 
 #: Bytes of text hashed at once; positions need 24 bits.
 _CHUNK = 1 << 20
@@ -170,6 +170,8 @@ def _find_runs(kinds: Sequence[Kind]):
         for k, columns in enumerate(waiting):
             if columns[0]:
                 yield flush(k, *columns)
+        waiting.clear()
+        release()
 
     return run
 
@@ -210,6 +212,8 @@ def _first_intervals(kinds: Sequence[Kind], size: int):
                         rows, total = [], 0
         if rows:
             yield _smaller(rows, kinds, None, size)
+        rows = []
+        release()
 
     return run
 

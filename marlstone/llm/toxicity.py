@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialise
+from .common import LOWER, materialise, release
 
 _TRIM = b".,;:!?\"'()[]{}<>*&%#$@~`^_=+|/\\-"
 _TOKENS_AT_ONCE = 50_000
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18,
     rows = sorted(rows.collect(), key=lambda r: zlib.crc32(b"order%d" % r["doc_id"]))
     if len({r["toxic"] for r in rows}) < 2:
         return None
-    words = [np.frombuffer(r["words"], "<i4").reshape(-1, 2).astype(np.int64) for r in rows]
+    words = [np.frombuffer(r["words"], "<i4").reshape(-1, 2) for r in rows]
     y = np.array([r["toxic"] for r in rows], float)
     held = np.arange(len(rows)) % 4 == 3
     if not 0 < y[~held].sum() < (~held).sum():
@@ -208,7 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18,
         spoken = np.array([rows[i]["lang"] or "" for i in late])
         for name in sorted(set(spoken) - {""}):
             own = spoken == name
-            model.thresholds[name] = calibrated(scores[own], y[late][own] > 0, model.threshold)
+            model.thresholds[str(name)] = calibrated(scores[own], y[late][own] > 0, model.threshold)
+    del rows, words
+    release()
     return model
 
 
@@ -251,6 +253,8 @@ def _scorer(model: Model, bits: int):
                 out.append(scores(group))
             if out:
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "_text"), pa.array(np.concatenate(out), pa.float64())], names=[*(c for c in batch.schema.names if c != "_text"), "score"])
+        ids, vectors = {}, vectors[:0]
+        release()
 
     return run
 
