@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import row_numbers
+
 
 def trade_fills(transactions: DataFrame) -> DataFrame:
     return transactions.where("transaction_type = 'Trade' AND symbol IS NOT NULL")
@@ -91,7 +93,7 @@ def theses_without_position(theses: DataFrame, broker: DataFrame) -> DataFrame:
 
 
 def by_size(pos: DataFrame) -> DataFrame:
-    """Open positions by value, largest first, closed ones after them, numbered (a small report)."""
+    """Open positions by value, largest first, and closed ones apart, numbered."""
     value = F.abs(F.col("qty").cast("double") * F.col("avg_price"))
     is_open = F.col("qty") != 0
-    return pos.withColumn("open", is_open).withColumn("value", value).withColumn("place", F.row_number().over(Window.partitionBy("open").orderBy(F.desc("value"), "symbol")))
+    return row_numbers(pos.withColumn("open", is_open).withColumn("value", value), "place", -F.col("value"), [F.col("symbol")], group="open")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, hurdle, lookup
+from .ordering import row_numbers
 
 # Bounds by regime (largest P/E, P/FCF, D/E; least ROE and operating margin in per cent).
 THRESHOLDS = {
@@ -52,30 +53,40 @@ def scored(candidates: DataFrame, color: str, strict: bool = False) -> DataFrame
     return candidates.withColumns({"composite": composite(factor_scores(strict)), "passed": passes(color)})
 
 
+def rounded(candidates: DataFrame, color: str) -> DataFrame:
+    """Scored, the composite rounded to one digit, as it is shown."""
+    return scored(candidates, color).withColumn("composite", F.floor(F.col("composite") * 10 + 0.5) / 10)
+
+
 def ranked(candidates: DataFrame, color: str, group: list[str] | None = None) -> DataFrame:
-    """rank by composite, best first, then ticker; of each group if columns are given (one screen otherwise).
+    """rank by composite, best first, then ticker; of each group if columns are given (one screen otherwise)."""
+    s = rounded(candidates, color)
+    if not group:
+        return row_numbers(s, "rank", -F.col("composite"), [F.col("ticker")])
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("composite"), "ticker")))
 
-    The composite is rounded to one digit, as it is shown, before ranking.
-    """
-    s = scored(candidates, color).withColumn("composite", F.floor(F.col("composite") * 10 + 0.5) / 10)
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("composite"), "ticker")
-    return s.withColumn("rank", F.row_number().over(w))
+
+def top_ranked(candidates: DataFrame, color: str, n: int) -> DataFrame:
+    """The first n of the ranking, numbered; n is what a report shows."""
+    first = rounded(candidates, color).orderBy(F.desc("composite"), "ticker").limit(n)
+    return first.groupBy().agg(F.collect_list(F.struct(*first.columns)).alias("all")).select(F.posexplode(F.array_sort("all", lambda a, b: F.when(a["composite"] > b["composite"], -1).when(a["composite"] < b["composite"], 1).when(a["ticker"] < b["ticker"], -1).otherwise(1))).alias("rank", "r")).select("r.*", (F.col("rank") + 1).alias("rank"))
 
 
 def sector_cap(ranks: DataFrame, size: int = 10, cap: int = 3, least_sectors: int = 4) -> DataFrame:
-    """decision of each ranked row: picked, displaced: <why>, or unreached (below the last pick).
+    """decision of each ranked row: picked, displaced: <why>, or unreached (below the last pick); place of those picked.
 
-    The cap is one more where the passing rows of the first 2 * size ranks have fewer than least_sectors sectors.
+    The cap is one more where the passing rows of the first 2 * size ranks have fewer than least_sectors sectors. Of each sector only the rows that a cap can let through are sorted.
     """
-    near = ranks.agg(F.count_distinct(F.when(F.col("passed") & (F.col("rank") <= 2 * size), F.col("sector"))).alias("sectors"))
-    r = ranks.crossJoin(F.broadcast(near)).withColumn("cap", F.when(F.col("sectors") < least_sectors, cap + 1).otherwise(cap))  # near: one row
-    r = r.withColumn("of_sector", F.when(F.col("passed"), F.row_number().over(Window.partitionBy("passed", "sector").orderBy("rank"))))
-    r = r.withColumn("eligible", F.col("passed") & (F.col("of_sector") <= F.col("cap")))
-    r = r.withColumn("place", F.when(F.col("eligible"), F.row_number().over(Window.partitionBy("eligible").orderBy("rank"))))
-    last = r.where(F.col("place") == size).agg(F.max("rank").alias("last_rank"))
-    r = r.crossJoin(F.broadcast(last))  # one row
-    decision = F.when(F.col("place") <= size, "picked").when(F.col("rank") > F.coalesce("last_rank", F.lit(2**31 - 1)), "unreached").when(~F.col("passed"), "displaced: threshold").otherwise("displaced: sector cap")
-    return r.withColumn("decision", decision).drop("sectors", "of_sector", "eligible", "last_rank")
+    near = ranks.where(F.col("rank") <= 2 * size).agg(F.count_distinct(F.when(F.col("passed"), F.col("sector"))).alias("sectors"))
+    best = ranks.where("passed").select("rank", "sector").withColumn("of_sector", F.row_number().over(Window.partitionBy("sector").orderBy("rank"))).where(F.col("of_sector") <= cap + 1)
+    limit = F.when(F.col("sectors") < least_sectors, cap + 1).otherwise(cap)
+    picks = best.crossJoin(F.broadcast(near)).where(F.col("of_sector") <= limit).orderBy("rank").limit(size)  # near: one row
+    picks = picks.agg(F.array_sort(F.collect_list("rank")).alias("picks"))  # size numbers
+    r = ranks.crossJoin(F.broadcast(picks))
+    place = F.nullif(F.array_position("picks", F.col("rank")), F.lit(0))
+    last = F.when(F.size("picks") == size, F.element_at("picks", -1)).otherwise(2**31 - 1)
+    decision = F.when(place.isNotNull(), "picked").when(F.col("rank") > last, "unreached").when(~F.col("passed"), "displaced: threshold").otherwise("displaced: sector cap")
+    return r.withColumns({"place": place.cast("int"), "decision": decision}).drop("picks")
 
 
 def return_bands(spark: SparkSession) -> DataFrame:
@@ -128,6 +139,6 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit(0.0)) for c in cols))
 
 
-def screen_context(spark: SparkSession, color: str, rate_pct: float | None, cape: float | None = None, universe: str = "S&P 500") -> DataFrame:
-    one = spark.createDataFrame([(color, rate_pct, cape, universe)], "color string, rate_pct double, cape double, universe string")
-    return one.withColumn("hurdle_pct", hurdle(F.col("rate_pct"), F.col("color"))).withColumn("stance", stance(F.col("color"), F.col("color") == "danger"))
+def contexts(rows: DataFrame) -> DataFrame:
+    """Screen contexts (color, rate_pct, ...) with their hurdle and stance; no rate, no hurdle."""
+    return rows.withColumn("hurdle_pct", hurdle(F.col("rate_pct"), F.col("color"))).withColumn("stance", stance(F.col("color"), F.col("color") == "danger"))

@@ -122,8 +122,8 @@ query("agg03_insider", f"WITH {SCORES_SQL} SELECT ticker, s_insider FROM s")(lam
 query("flt06_thresholds", f"WITH {SCORES_SQL} SELECT ticker FROM s WHERE passed")(lambda spark, d: candidates(spark, d).where(screener.passes("orange")).select("ticker"))
 query("win11_ranking", f"WITH {SCORES_SQL} SELECT ticker, composite, passed, rank FROM rk")(lambda spark, d: screener.ranked(candidates(spark, d), "orange").select("ticker", "composite", "passed", "rank"))
 query("win12_sector_cap", f"WITH {SCORES_SQL} SELECT ticker, rank, CASE WHEN place <= 10 THEN 'picked' WHEN rank > coalesce((SELECT max(rank) FROM pl WHERE place = 10), 2147483647) THEN 'unreached' WHEN NOT passed THEN 'displaced: threshold' ELSE 'displaced: sector cap' END AS decision FROM pl")(lambda spark, d: screener.sector_cap(screener.ranked(candidates(spark, d), "orange")).select("ticker", "rank", "decision"))
-query("agg24_sectors_near_top", f"WITH {SCORES_SQL} SELECT count(DISTINCT sector) AS sectors FROM rk WHERE passed AND rank <= 20")(lambda spark, d: screener.ranked(candidates(spark, d), "orange").agg(F.count_distinct(F.when(F.col("passed") & (F.col("rank") <= 20), F.col("sector"))).alias("sectors")))
-query("win15_ranked_table", f"WITH {SCORES_SQL} SELECT row_number() OVER (ORDER BY rank) AS line, ticker, composite FROM rk WHERE passed AND rank <= 50")(lambda spark, d: tables.numbered(screener.ranked(candidates(spark, d), "orange").where("passed AND rank <= 50"), "rank").select("line", "ticker", "composite"))
+query("agg24_sectors_near_top", f"WITH {SCORES_SQL} SELECT count(DISTINCT sector) AS sectors FROM rk WHERE passed AND rank <= 20")(lambda spark, d: screener.top_ranked(candidates(spark, d), "orange", 20).agg(F.count_distinct(F.when(F.col("passed"), F.col("sector"))).alias("sectors")))
+query("win15_ranked_table", f"WITH {SCORES_SQL} SELECT row_number() OVER (ORDER BY rank) AS line, ticker, composite FROM rk WHERE passed AND rank <= 50")(lambda spark, d: screener.top_ranked(candidates(spark, d), "orange", 50).where("passed").agg(F.array_sort(F.collect_list(F.struct("rank", "ticker", "composite"))).alias("rows")).select(F.posexplode("rows").alias("at", "r")).select((F.col("at") + 1).cast("bigint").alias("line"), "r.ticker", "r.composite"))
 BANDS_SQL = "b(lo, hi, return_low, return_high, confidence) AS (VALUES (-1e300, 10.0, 12.0, 16.0, 'high'), (10.0, 15.0, 8.0, 12.0, 'high'), (15.0, 20.0, 5.0, 8.0, 'moderate'), (20.0, 25.0, 2.0, 5.0, 'moderate'), (25.0, 30.0, 0.0, 3.0, 'moderate'), (30.0, 1e300, -2.0, 0.0, 'low'))"
 query("jn07_return_band", f"WITH {BANDS_SQL} SELECT ticker, coalesce(return_low, 0)::DOUBLE AS return_low, coalesce(return_high, 0)::DOUBLE AS return_high, (coalesce(return_low, 0)::DOUBLE + coalesce(return_high, 0)::DOUBLE) / 2 AS return_mid, coalesce(confidence, 'low') AS confidence FROM candidates LEFT JOIN b ON pe >= lo AND pe < hi")(lambda spark, d: screener.implied_returns(candidates(spark, d).select("ticker", "pe")).drop("pe"))
 
@@ -143,4 +143,3 @@ query("mth08_risk_free", "SELECT ticker, coalesce(pe, pfcf, roe) AS rate, CASE W
 query("src21_candidate_json", "SELECT ticker, sector, pe, roe FROM candidates")(lambda spark, d: tables.candidates_from_json(tables.json_lines(candidates(spark, d))).select("ticker", "sector", "pe", "roe"))
 query("src22_from_fundamentals", "SELECT ticker, CASE WHEN pfcf <> 0 THEN pe / pfcf END AS pfcf, roe / 100 AS de FROM candidates")(lambda spark, d: screener.candidates_from_fundamentals(candidates(spark, d).select("ticker", F.col("pe").alias("market_cap"), F.col("pfcf").alias("free_cash_flow"), F.col("roe").alias("debt_to_equity"))).select("ticker", "pfcf", "de"))
 query("src23_fallbacks", "SELECT ticker, coalesce(nullif(roe, 0), nullif(roic, 0), nullif(pe, 0)) AS value FROM candidates")(lambda spark, d: candidates(spark, d).select("ticker", screener.first_filled(F.col("roe"), F.col("roic"), F.col("pe")).alias("value")))
-query("src27_context", "SELECT 'red' AS color, 4.5::DOUBLE AS rate_pct, 31.0::DOUBLE AS cape, 'S&P 500' AS universe, 12.5::DOUBLE AS hurdle_pct, 'Maximum Value Only' AS stance")(lambda spark, d: screener.screen_context(spark, "red", 4.5, 31.0))

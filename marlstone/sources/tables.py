@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import us_or_iso_date
@@ -21,8 +21,12 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Replaces the tickers in bars, one folder each."""
-    bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+    """Replaces the files of the tickers in bars: CSV with a header, a folder each."""
+    bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").csv(path, header=True)
+
+
+def read_written_bars(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BAR.split(", ", 1)[1] + ", ticker string").csv(path, header=True).select("ticker", *(c.split()[0] for c in BAR.split(", ")[1:]))
 
 
 def bar_lines(bars: DataFrame) -> DataFrame:
@@ -75,8 +79,3 @@ def two_styles(bars: DataFrame) -> DataFrame:
     """Dates written in two styles and read again."""
     text = F.when(F.dayofmonth("date") % 2 == 0, F.date_format("date", "MM/dd/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
     return bars.select(us_or_iso_date(text).alias("date")).distinct()
-
-
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """line: the row's number in a rendered table, which is small."""
-    return rows.withColumn("line", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import row_numbers
 from ..operators.filings import coverage, form_of_status, priority
 from ..sources.merge import last_write_wins, newer_wins
 
@@ -25,8 +26,9 @@ def requests(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame
 def pending(batch: DataFrame) -> DataFrame:
     """Sound requests with their place: by priority (that of the form where none is given), then arrival, then id."""
     p = batch.where("id IS NOT NULL AND ticker IS NOT NULL").withColumn("priority", F.coalesce("priority", priority(F.col("form"))))
-    w = Window.partitionBy(F.lit(0)).orderBy("priority", "requested_at", "id")  # a micro-batch of bounded size
-    return p.withColumn("place", F.row_number().over(w))
+    # Priorities are a few whole numbers: with the time as a fraction they make one number to cut at.
+    when = F.coalesce(F.unix_micros(F.col("requested_at").cast("timestamp")), F.lit(0)) / 1e17
+    return row_numbers(p, "place", F.coalesce("priority", F.lit(-1)) + F.greatest(F.lit(0.0), F.least(F.lit(0.999), when)), [F.col("priority"), F.col("requested_at"), F.col("id")])
 
 
 def outcome(batch: DataFrame, index: DataFrame, commit: str | None) -> DataFrame:
@@ -61,3 +63,26 @@ def report(status: DataFrame) -> DataFrame:
     """Per ticker: filings, the last state, readiness and gaps."""
     last = status.groupBy(F.upper("ticker").alias("ticker")).agg(F.max_by("state", F.struct("requested_at", "accession")).alias("last_state"))
     return coverage(status).join(last, "ticker")
+
+
+def states(log: DataFrame) -> DataFrame:
+    """Per request of a log (id, kind, worker, at, seq): state pending, claimed, done or failed, with who claimed it and when it ended.
+
+    A request exists from its first enqueue. The first claim after that holds, whoever else claims it too; only what the claiming worker
+    reports after its claim ends it, and the first such report counts. A log is small rows and any order of them gives the same, so it can be read as a stream's table.
+    """
+    when = F.struct("at", "seq")
+    put = log.where("kind = 'enqueue'").groupBy("id").agg(F.min(when).alias("put"))
+    later = log.join(put, "id").where(when > F.col("put"))
+    claim = later.where("kind = 'claim'").groupBy("id").agg(F.min(F.struct("at", "seq", "worker")).alias("c")).select("id", F.col("c.worker").alias("claimed_by"), F.struct("c.at", "c.seq").alias("claimed"))
+    ended = later.where("kind IN ('done', 'failed')").join(claim, "id").where((F.col("worker") == F.col("claimed_by")) & (when > F.col("claimed")))
+    ended = ended.groupBy("id").agg(F.min(F.struct("at", "seq", "kind")).alias("e")).select("id", F.col("e.kind").alias("ended"), F.col("e.at").alias("ended_at"))
+    j = put.join(claim, "id", "left").join(ended, "id", "left")
+    return j.select("id", F.coalesce("ended", F.when(F.col("claimed_by").isNotNull(), "claimed"), F.lit("pending")).alias("state"), "claimed_by", "ended_at")
+
+
+def health(log: DataFrame, versions: DataFrame, current: str, now: Column, late_seconds: int) -> DataFrame:
+    """Per worker: when it last reported, whether that is too long ago, and whether it runs the current code. versions: worker, commit."""
+    seen = log.groupBy("worker").agg(F.max("at").alias("last_at"), F.count_if(F.col("kind") == "done").alias("done"), F.count_if(F.col("kind") == "failed").alias("failed"))
+    late = F.unix_timestamp(now) - F.unix_timestamp("last_at") > late_seconds
+    return versions.join(seen, "worker", "left").select("worker", "last_at", F.coalesce("done", F.lit(0)).alias("done"), F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce(late, F.lit(True)).alias("late"), (~F.col("commit").eqNullSafe(F.lit(current))).alias("outdated"))
