@@ -1,14 +1,19 @@
 """Field-weighted full-text ranking over a batch of queries, rank fusion, structural promotion, evaluation.
 
-Only the queries' terms leave the token arrays, so what is shuffled is their occurrences, not the text. Query tables are small by
+Nodes are tokenised once, into an inverted table (term, node, field, tf, size) and the sizes of all fields; document frequencies, field means, scores and candidates for phrases
+come from these two, which can be stored (sorted by term, so that a query's terms prune what is read). Query tables are small by
 nature, but nothing here needs that: the terms are joined, and Spark broadcasts them if they are small enough.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Words that are no search terms.
 STOP_WORDS = ["a", "an", "the", "and", "or", "but", "if", "then", "so", "as", "at", "by", "for", "from", "in", "into", "of", "on", "to", "with", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "this", "that", "these", "those", "it", "its", "which", "who", "whom", "what", "when", "where", "why", "how", "about", "against"]
 # Weights of the fields, and the parameters of the score and of rank fusion.
@@ -37,50 +42,89 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings: term, node, field, tf, size. sizes: field, n (nodes), mean (tokens; 1 if there are none)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+
 def field_tokens(nodes: DataFrame) -> DataFrame:
     """node, field, toks: one row per node and field."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("body")) for f in FIELDS)))
     return nodes.select("node", each.alias("f")).select("node", "f.field", tokens(F.col("f.body")).alias("toks"))
 
 
-def occurrences(fields: DataFrame, terms: DataFrame) -> DataFrame:
-    """node, field, term, tf, size for the terms asked for."""
-    words = fields.select("node", "field", F.size("toks").alias("size"), F.explode("toks").alias("term"))
-    return words.join(terms.select("term").distinct(), "term").groupBy("node", "field", "term", "size").agg(F.count("*").alias("tf"))
+def postings(nodes: DataFrame) -> DataFrame:
+    """Every term of every field with its count: a field's tokens are counted where they are, without a shuffle."""
+    fields = field_tokens(nodes).select("node", "field", F.size("toks").alias("size"), F.array_sort("toks").alias("toks"))
+    # Of the sorted tokens, the last places of each: their distances are the counts.
+    ends = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("at"), F.coalesce(F.get("toks", i + 1) != t, F.lit(True)).alias("last"))), lambda x: x["last"])
+    fields = fields.withColumn("ends", ends)
+    each = F.transform("ends", lambda x, i: F.struct(x["term"].alias("term"), (x["at"] - F.when(i > 0, F.get("ends", i - 1)["at"]).otherwise(-1)).cast("long").alias("tf")))
+    return fields.select("node", "field", "size", F.explode(each).alias("e")).select("e.term", "node", "field", "e.tf", "size")
+
+
+def field_sizes(nodes: DataFrame) -> DataFrame:
+    lengths = field_tokens(nodes).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean"))
+    return lengths.select("field", "n", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
+
+
+def index_of(nodes: DataFrame) -> Index:
+    return Index(postings(nodes), field_sizes(nodes))
+
+
+def by_term(table: DataFrame) -> DataFrame:
+    """The postings as they should be stored."""
+    return table.repartitionByRange("term", "node").sortWithinPartitions("term", "node")
+
+
+def occurrences(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of the terms asked for."""
+    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def statistics(fields: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf) and (field, mean tokens over all nodes, 1 if there are none)."""
-    n = fields.agg(F.count_distinct("node").alias("n"))
+def statistics(index: Index, found: DataFrame) -> DataFrame:
+    """(term, df, idf) of the terms found."""
+    n = index.sizes.agg(F.max("n").alias("n"))
     df = found.groupBy("term").agg(F.count_distinct("node").alias("df")).crossJoin(F.broadcast(n))  # n: one row
-    lengths = fields.groupBy("field").agg(F.avg(F.size("toks")).alias("mean"))
-    return df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf")), lengths.select("field", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
+    return df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
 
 
-def scores(nodes: DataFrame, queries: DataFrame, with_phrase: bool = True) -> DataFrame:
-    """query_id, node, score of the nodes a query hits, to three digits."""
-    terms, fields = query_terms(queries), field_tokens(nodes)
-    found = occurrences(fields, terms)
-    idf, mean = statistics(fields, found)
+def scores(nodes: DataFrame, queries: DataFrame, with_phrase: bool = True, index: Index | None = None) -> DataFrame:
+    """query_id, node, score of the nodes a query hits, to three digits. index: that of the nodes, if it is at hand."""
+    index = index or index_of(nodes)
+    terms = query_terms(queries)
+    found = occurrences(index, terms)
+    idf = statistics(index, found)
     weight = F.element_at(F.create_map(*[F.lit(x) for p in FIELDS.items() for x in p]), F.col("field"))
     part = weight * F.col("tf") / (1 - B + B * (F.col("size") / F.col("mean")))
-    by_term = found.join(F.broadcast(mean), "field").groupBy("node", "term").agg(F.sum(part).alias("wtf")).join(idf, "term")  # mean: one row per field
-    hit = by_term.withColumn("s", F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1))
-    total = hit.join(terms, "term").groupBy("query_id", "node").agg(F.sum("s").alias("score"))
+    by_node = found.join(F.broadcast(index.sizes), "field").groupBy("node", "term").agg(F.sum(part).alias("wtf")).join(idf, "term")  # sizes: one row per field
+    hit = by_node.withColumn("s", F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1))
+    within = F.array_distinct(tokens(inner_words(F.col("query"))))
+    terms = terms.join(queries.select("query_id", within.alias("inner")), "query_id")
+    shared = F.count(F.when(F.array_contains("inner", F.col("term")), 1))
+    total = hit.join(terms, "term").groupBy("query_id", "node").agg(F.sum("s").alias("score"), (shared == F.max(F.size("inner"))).alias("may_hold"))
     if with_phrase:
-        bonus = phrase_bonus(nodes, queries, terms.join(idf, "term"), total)
+        bonus = phrase_bonus(nodes, queries, terms.join(idf, "term"), total.where("may_hold"))
         total = total.join(bonus, ["query_id", "node"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
     return total.select("query_id", "node", (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("score")).where("score > 0")
 
 
+def inner_words(query: Column) -> Column:
+    """A phrase without its first and last word: where it stands in a text, these may be parts of words, the others are words."""
+    return F.regexp_replace(F.trim(query), r"^\S+|\S+$", "")
+
+
 def phrase_bonus(nodes: DataFrame, queries: DataFrame, weighted_terms: DataFrame, hits: DataFrame) -> DataFrame:
     """Half a field's weight times the rarest term's idf for each field that holds a query of two words or more verbatim.
 
-    A node that holds the phrase holds its terms, so only hits are looked at.
+    hits: the nodes that may hold it. A node that does has terms of it, all those of its inner words among them, so only such hits are joined with their texts.
     """
     rarest = weighted_terms.groupBy("query_id").agg(F.max("idf").alias("rarest")).where("rarest > 0")
     phrase = F.lower(F.trim("query"))
@@ -90,6 +134,19 @@ def phrase_bonus(nodes: DataFrame, queries: DataFrame, weighted_terms: DataFrame
     return j.select("query_id", "node", (total * F.col("rarest")).alias("bonus"))
 
 
+def holding(nodes: DataFrame, passages: DataFrame, index: Index) -> DataFrame:
+    """query_id, node of the nodes whose text holds a passage (query_id, passage).
+
+    Looked for among the nodes that have the passage's rarest inner term. Passages without any (one or two words, or stop words only) are not looked for.
+    """
+    terms = passages.select("query_id", F.explode(F.array_distinct(tokens(inner_words(F.col("passage"))))).alias("term"))
+    found = index.postings.where("field = 'text'").join(terms.select("term").distinct(), "term", "left_semi").select("term", "node")
+    counts = found.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    likely = rarest.join(found, "term").select("query_id", "node")
+    return likely.join(passages, "query_id").join(nodes.select("node", "text"), "node").where(F.contains("text", F.col("passage"))).select("query_id", "node")
+
+
 def top_hits(hits: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The k best of each query: by score, then ticker (last first), then node; rank from 0."""
     j = hits.join(nodes.select("node", "ticker", "label"), "node")
@@ -97,19 +154,29 @@ def top_hits(hits: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+def best_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The k first rows of each key, with rank from 0."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("rank") < k)
+
+
 def structural_label(query: Column) -> Column:
     """The section that a query's wording asks for."""
     q = F.lower(query)
     return F.when(F.exists(F.array(*map(F.lit, STATEMENT_PHRASES)), lambda p: F.contains(q, p)), "financial_statements")
 
 
-def with_structural(hits: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top hits, with the section asked for in the last place if no hit at all is of it; the newest node, by accession, stands for it."""
+def structural_targets(hits: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """The newest node of the section that a query's wording asks for, where none of its hits is of that section."""
     asked = queries.select("query_id", structural_label(F.col("query")).alias("label")).where("label IS NOT NULL")
     seen = hits.join(nodes.select("node", "label"), "node").select("query_id", "label")
     missing = asked.join(seen, ["query_id", "label"], "left_anti")
     target = nodes.groupBy("label").agg(F.max("node").alias("node"), F.max_by("ticker", "node").alias("ticker"))
-    extra = missing.join(target, "label").select("node", "query_id", F.lit(0.0).alias("score"), "ticker", "label")
+    return missing.join(target, "label").select("node", "query_id", F.lit(0.0).alias("score"), "ticker", "label")
+
+
+def with_structural(hits: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Top hits, with the section asked for in the last place if no hit at all is of it; the newest node, by accession, stands for it."""
+    extra = structural_targets(hits, nodes, queries)
     top = top_hits(hits, nodes, k)
     counts = top.groupBy("query_id").agg(F.count("*").alias("n"))
     extra = extra.join(counts, "query_id", "left").withColumn("rank", F.least(F.coalesce("n", F.lit(0)), F.lit(k - 1)).cast("int")).drop("n")
@@ -123,6 +190,50 @@ def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return ranked.where("weight > 0").groupBy("query_id", "node").agg(F.sum(part).alias("fused"), F.max("score").alias("score"))
 
 
+#: The score below which a query is weak, what a paraphrase's list weighs, and the score of a node picked from the catalog.
+WEAK, PARAPHRASE, PICKED = 3.0, 0.7, 2.0
+
+
+def search(nodes: DataFrame, queries: DataFrame, paraphrases: DataFrame, picks: DataFrame, k: int = 10, weak: float = WEAK, index: Index | None = None) -> DataFrame:
+    """query_id, node, score, rank, weak: the k best of each query.
+
+    A query whose best score is at least `weak` gets its hits, the section that its wording asks for in the last place. For a weak one lists are fused by rank: its hits, that
+    section, the hits of its paraphrases (query_id, paraphrase), and the nodes picked from the catalog (query_id, place from 0, node), with a fixed score. A hit keeps its best score.
+    """
+    index = index or index_of(nodes)
+    p = paraphrases.groupBy("query_id").agg(F.array_sort(F.collect_list("paraphrase")).alias("p")).select("query_id", F.posexplode("p").alias("place", "query"))
+    lists = queries.select("query_id", F.lit(-1).alias("place"), "query").unionByName(p)
+    lists = lists.withColumn("list", F.concat_ws("/", "query_id", "place"))
+    hits = scores(nodes, lists.select(F.col("list").alias("query_id"), "query"), index=index).withColumnRenamed("query_id", "list").join(lists.select("list", "query_id", "place"), "list")
+    hits = written(hits, "hits")
+    own = hits.where("place = -1")
+    best = queries.select("query_id").join(own.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left").select("query_id", (F.coalesce("best", F.lit(0.0)) < weak).alias("weak"))
+    strong = own.join(best.where("NOT weak"), "query_id", "left_semi").select("query_id", "node", "score")
+    easy = with_structural(strong, nodes, queries.join(best.where("NOT weak"), "query_id", "left_semi"), k).select("query_id", "node", "score", "rank", F.lit(False).alias("weak"))
+    poor = best.where("weak").select("query_id")
+    at = Window.partitionBy("list").orderBy(F.desc("score"), F.desc("ticker"), "node")
+    fused = hits.join(poor, "query_id", "left_semi").join(nodes.select("node", "ticker"), "node").withColumn("rank", F.row_number().over(at) - 1)
+    fused = fused.select("query_id", "node", "rank", "score", F.when(F.col("place") < 0, 1.0).otherwise(PARAPHRASE).alias("weight"))
+    wanted = structural_targets(own.select("query_id", "node", "score"), nodes, queries).join(poor, "query_id", "left_semi")
+    fused = fused.unionByName(wanted.select("query_id", "node", F.lit(0).alias("rank"), "score", F.lit(1.0).alias("weight")))
+    picked = picks.join(poor, "query_id", "left_semi").select("query_id", "node", F.col("place").cast("int").alias("rank"), F.lit(PICKED).alias("score"), F.lit(1.0).alias("weight"))
+    top = Window.partitionBy("query_id").orderBy(F.desc("fused"), "node")
+    ranked = fuse(fused.unionByName(picked)).withColumn("fused", F.floor(F.col("fused") * 1e9 + 0.5) / 1e9)
+    ranked = ranked.withColumn("rank", F.row_number().over(top) - 1).where(F.col("rank") < k)
+    return easy.unionByName(ranked.select("query_id", "node", "score", "rank", F.lit(True).alias("weak")))
+
+
+def hit_rows(found: DataFrame, nodes: DataFrame, queries: DataFrame, filed: Column) -> DataFrame:
+    """Hits with their citation and snippet: around the first query term, or the head of the text for one that was picked from the catalog."""
+    from ..functions.scalar import citation
+
+    terms = queries.select("query_id", tokens(F.col("query")).alias("terms"))
+    j = found.join(terms, "query_id").join(nodes.select("node", "ticker", "form", "label", "text"), "node")
+    head = F.when(F.length("text") > 240, F.concat(F.rtrim(F.substring("text", 1, 240)), F.lit("…"))).otherwise(F.col("text"))
+    shown = F.when(F.col("weak") & (F.col("score") == PICKED), head).otherwise(snippet(F.col("text"), F.col("terms")))
+    return j.select("query_id", "node", "rank", citation(F.col("ticker"), F.col("form"), filed, F.col("label")).alias("citation"), shown.alias("snippet"))
+
+
 def evaluate(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """hit@k and mean reciprocal rank over all gold queries (query_id, expected labels)."""
     r = ranked.where(F.col("rank") < k).join(gold, "query_id").where(F.array_contains("expected", F.col("label"))).groupBy("query_id").agg(F.min("rank").alias("rank"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import search
-from ..sources import tables
+from ..sources import scratch, tables
 from .bindings import view
 from .registry import query
 
@@ -18,8 +18,9 @@ def toks(text: str) -> str:
     return f"list_transform(list_filter(list_transform(regexp_extract_all(coalesce({text}, ''), '[A-Za-z][A-Za-z0-9\\-]*'), lambda w : lower(w)), lambda w : length(w) > 1 AND w NOT IN ({STOP})), lambda w : {stem})"
 
 
-SEARCH_SQL = f"""
-qs AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 4), ' ') AS query FROM benchmark),
+QS = "qs AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 4), ' ') AS query FROM benchmark)"
+MIXED_QS = "qs AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 4), ' ') || CASE WHEN item_id % 2 = 0 THEN ' balance sheet' ELSE '' END AS query FROM benchmark)"
+_RANKING = f"""
 qt AS (SELECT DISTINCT query_id, unnest({toks('query')}) AS term FROM qs),
 fs AS (SELECT node, 'title' AS field, 5.0 AS w, {toks('title')} AS t FROM nodes UNION ALL SELECT node, 'questions', 4.0, {toks('questions')} FROM nodes UNION ALL SELECT node, 'summary', 3.0, {toks('summary')} FROM nodes UNION ALL SELECT node, 'text', 1.0, {toks('text')} FROM nodes),
 ml AS (SELECT field, CASE WHEN avg(len(t)) = 0 THEN 1.0 ELSE avg(len(t)) END AS mean FROM fs GROUP BY field),
@@ -35,6 +36,15 @@ gd AS (SELECT q.query_id, list(DISTINCT n.label) AS expected FROM (SELECT item_i
 """
 
 
+def search_sql(asked: str) -> str:
+    """The CTEs of ranking for the queries of a CTE `qs`."""
+    return f"{asked}, {_RANKING}"
+
+
+SEARCH_SQL = search_sql(QS)
+
+
+
 def nodes(spark, d):
     return view(spark, d, "nodes")
 
@@ -43,14 +53,25 @@ def asked(spark, d):
     return tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ").alias("query"))
 
 
-def hits(spark, d):
-    return search.scores(nodes(spark, d), asked(spark, d))
+def index(spark, d):
+    """The index of the nodes, written once for an application and a folder of tables."""
+    parts = {name: scratch.stored(spark, (name, d), lambda make=make: make(nodes(spark, d))) for name, make in (("postings", lambda n: search.by_term(search.postings(n))), ("sizes", search.field_sizes))}
+    return search.Index(parts["postings"], parts["sizes"])
+
+
+def hits(spark, d, **more):
+    return search.scores(nodes(spark, d), asked(spark, d), index=index(spark, d), **more)
+
+
+def statistics(spark, d):
+    i = index(spark, d)
+    return search.statistics(i, search.occurrences(i, search.query_terms(asked(spark, d))))
 
 
 def gold(spark, d):
     b = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    # A few passages against all nodes: the test set's own definition of what is relevant.
-    return nodes(spark, d).join(F.broadcast(b), F.contains("text", F.col("passage"))).groupBy("query_id").agg(F.collect_set("label").alias("expected"))
+    n = nodes(spark, d)
+    return search.holding(n, b, index(spark, d)).join(n.select("node", "label"), "node").groupBy("query_id").agg(F.collect_set("label").alias("expected"))
 
 
 query("str01_tokens", f"SELECT node, {toks('summary')} AS toks FROM nodes")(lambda spark, d: nodes(spark, d).select("node", search.tokens(F.col("summary")).alias("toks")))
@@ -59,11 +80,13 @@ query("str03_snippet", "SELECT node, CASE WHEN spot = 0 THEN CASE WHEN length(te
     lambda spark, d: nodes(spark, d).select("node", search.snippet(F.col("text"), F.array(F.lit("thand"))).alias("snippet"))
 )
 query("str04_citation", "SELECT node, ticker || ' ' || form || ' filed 2024-01-31 → ' || label AS citation FROM nodes")(lambda spark, d: nodes(spark, d).select("node", scalar.citation(F.col("ticker"), F.col("form"), F.to_date(F.lit("2024-01-31")), F.col("label")).alias("citation")))
-query("str05_intent", "SELECT thesis, CASE WHEN number % 3 = 0 THEN 'financial_statements' END AS label FROM theses")(lambda spark, d: view(spark, d, "theses").select("thesis", search.structural_label(F.when(F.col("number") % 3 == 0, "Show the Balance Sheet, please").otherwise("what are the risks")).alias("label")))
-query("agg14_document_frequency", f"WITH {SEARCH_SQL} SELECT term, df FROM df")(lambda spark, d: (lambda t, f: search.statistics(f, search.occurrences(f, t))[0].select("term", "df"))(search.query_terms(asked(spark, d)), search.field_tokens(nodes(spark, d))))
-query("agg14_field_means", f"WITH {SEARCH_SQL} SELECT field, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM ml")(lambda spark, d: (lambda t, f: search.statistics(f, search.occurrences(f, t))[1].select("field", scalar.r6(F.col("mean")).alias("mean")))(search.query_terms(asked(spark, d)), search.field_tokens(nodes(spark, d))))
-query("agg16_idf", f"WITH {SEARCH_SQL} SELECT term, floor(idf * 1e6 + 0.5) / 1e6 AS idf FROM df")(lambda spark, d: (lambda t, f: search.statistics(f, search.occurrences(f, t))[0].select("term", scalar.r6(F.col("idf")).alias("idf")))(search.query_terms(asked(spark, d)), search.field_tokens(nodes(spark, d))))
-query("agg15_bm25f", f"WITH {SEARCH_SQL} SELECT query_id, node, floor(s * 1000 + 0.5) / 1000 AS score FROM sc")(lambda spark, d: search.scores(nodes(spark, d), asked(spark, d), with_phrase=False))
+query("str05_intent", f"SELECT thesis, CASE WHEN number % {len(search.STATEMENT_PHRASES) + 3} < {len(search.STATEMENT_PHRASES)} THEN 'financial_statements' END AS label FROM theses")(
+    lambda spark, d: view(spark, d, "theses").select("thesis", search.structural_label(F.concat_ws(" ", "bucket", F.lit("What of"), F.upper(F.element_at(F.array(*map(F.lit, (*search.STATEMENT_PHRASES, "risks", "balance of sheets", "cash"))), (F.col("number") % (len(search.STATEMENT_PHRASES) + 3) + 1).cast("int"))), "thesis")).alias("label"))
+)
+query("agg14_document_frequency", f"WITH {SEARCH_SQL} SELECT term, df FROM df")(lambda spark, d: statistics(spark, d).select("term", "df"))
+query("agg14_field_means", f"WITH {SEARCH_SQL} SELECT field, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM ml")(lambda spark, d: index(spark, d).sizes.select("field", scalar.r6(F.col("mean")).alias("mean")))
+query("agg16_idf", f"WITH {SEARCH_SQL} SELECT term, floor(idf * 1e6 + 0.5) / 1e6 AS idf FROM df")(lambda spark, d: statistics(spark, d).select("term", scalar.r6(F.col("idf")).alias("idf")))
+query("agg15_bm25f", f"WITH {SEARCH_SQL} SELECT query_id, node, floor(s * 1000 + 0.5) / 1000 AS score FROM sc")(lambda spark, d: hits(spark, d, with_phrase=False))
 query("agg17_phrase_bonus", f"WITH {SEARCH_SQL} SELECT query_id, node, score FROM hits")(lambda spark, d: hits(spark, d))
 query("top01_hits", f"WITH {SEARCH_SQL} SELECT query_id, node, score, rank FROM rk WHERE rank < 10")(lambda spark, d: search.top_hits(hits(spark, d), nodes(spark, d), 10).select("query_id", "node", "score", "rank"))
 
@@ -75,11 +98,10 @@ def mixed_queries(spark, d):
 
 def no_statements(spark, d):
     n = nodes(spark, d)
-    h = search.scores(n, mixed_queries(spark, d))
+    h = search.scores(n, mixed_queries(spark, d), index=index(spark, d))
     return h.join(n.where("label <> 'financial_statements'").select("node"), "node", "left_semi"), n, mixed_queries(spark, d)
 
 
-query("top02_structural")(lambda spark, d: search.with_structural(*no_statements(spark, d), 5).select("query_id", "node", "score", "rank"))
 query("top03_fusion", f"WITH {SEARCH_SQL}, rl AS (SELECT query_id, node, rank, score, 1.0 AS weight FROM rk WHERE rank < 20 UNION ALL SELECT query_id, node, 19 - rank, score, 0.7 FROM rk WHERE rank < 20) SELECT query_id, node, floor(sum(weight / (61 + rank)) * 1e9 + 0.5) / 1e9 AS fused, max(score) AS score FROM rl GROUP BY 1, 2")(
     lambda spark, d: (lambda t: search.fuse(t.withColumn("weight", F.lit(1.0)).unionByName(t.withColumn("rank", 19 - F.col("rank")).withColumn("weight", F.lit(0.7)))).withColumn("fused", F.floor(F.col("fused") * 1e9 + 0.5) / 1e9))(search.top_hits(hits(spark, d), nodes(spark, d), 20).select("query_id", "node", "rank", "score"))
 )
@@ -93,7 +115,6 @@ query("jn09_chosen_paths", "SELECT CAST(number AS BIGINT) AS node, number % 5 AS
     lambda spark, d: (lambda t: search.pick_by_path(nodes(spark, d).select("node", F.col("accession").alias("path")), F.col("chosen"), t).select("node", F.col("pos").cast("bigint").alias("pos")))(view(spark, d, "theses").groupBy((F.col("number") - F.col("number") % 5).alias("g")).agg(F.transform(F.array_sort(F.collect_list("number")), lambda x: F.concat(F.lit(" "), x.cast("string"))).alias("chosen")))
 )
 query("agg20_token_estimate", "SELECT ticker, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens FROM nodes GROUP BY ticker")(lambda spark, d: nodes(spark, d).groupBy("ticker").agg((F.floor(F.sum(F.length("text")) / 4)).alias("tokens")))
-query("src14_index_listing", "SELECT ticker, node FROM nodes WHERE ticker < 'src5' ORDER BY ticker DESC, node DESC")(lambda spark, d: nodes(spark, d).where("ticker < 'src5'").select("ticker", "node").orderBy(F.desc("ticker"), F.desc("node")))
 
 
 def filings(spark, d):
@@ -106,5 +127,4 @@ def filings(spark, d):
 
 query("sec10_flatten", "SELECT accession, i AS chunk, label, CASE WHEN i IS NULL THEN summary ELSE 'chunk ' || CAST(i AS VARCHAR) END || ' growth ' || label AS summary, CASE WHEN i IS NULL THEN text ELSE substr(text, 1 + 500 * i, 500) END AS text FROM (SELECT *, unnest(CASE WHEN length(text) > 1000 THEN range(0, (length(text) + 499) // 500) ELSE [NULL] END) AS i FROM nodes)")(lambda spark, d: search.flatten_filings(filings(spark, d)).select("accession", "chunk", "label", "summary", "text"))
 query("sec11_weak_queries", f"WITH {SEARCH_SQL} SELECT query_id, max(score) < 3.0 AS weak FROM hits GROUP BY 1")(lambda spark, d: hits(spark, d).groupBy("query_id").agg((F.max("score") < 3.0).alias("weak")))
-query("sec12_paraphrases", "SELECT thesis, ['growth of ' || thesis] AS kept FROM theses")(lambda spark, d: view(spark, d, "theses").select("thesis", search.clean_paraphrases(F.array(F.concat(F.lit("- 1. growth of "), "thesis"), F.lit("*  "), F.upper("bucket"), F.lit("x" * 400)), F.col("bucket")).alias("kept")))
-query("sec17_hit_rows", f"WITH {SEARCH_SQL} SELECT query_id, rk.node, rk.ticker || ' 10-K filed 2024-01-31 → ' || rk.label AS citation FROM rk WHERE rank < 3")(lambda spark, d: search.top_hits(hits(spark, d), nodes(spark, d), 3).select("query_id", "node", scalar.citation(F.col("ticker"), F.lit("10-K"), F.lit("2024-01-31"), F.col("label")).alias("citation")))
+query("sec12_paraphrases", "SELECT thesis, list_filter(['growth of ' || thesis, CASE WHEN number % 2 = 0 THEN bucket || ' ' || status END, CASE WHEN number % 3 = 0 THEN repeat('x', 399) END], lambda x : x IS NOT NULL) AS kept FROM theses")(lambda spark, d: view(spark, d, "theses").select("thesis", search.clean_paraphrases(F.array(F.concat(F.element_at(F.array(*map(F.lit, ("- 1. ", "* ", "• 23. ", ""))), (F.col("number") % 4 + 1).cast("int")), F.lit("growth of "), "thesis"), F.lit("*  "), F.when(F.col("number") % 2 == 0, F.concat_ws(" ", "bucket", "status")).otherwise(F.upper("bucket")), F.when(F.col("number") % 3 == 0, F.repeat(F.lit("x"), F.lit(399))).otherwise(F.repeat(F.lit("x"), F.lit(400)))), F.col("bucket")).alias("kept")))
