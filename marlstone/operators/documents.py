@@ -342,12 +342,6 @@ def table(content: str | None, header: str) -> list[list[str]]:
     return [r for r in rows[2:] if not any("[" in c for c in r)]
 
 
-def letter_sections(content: str | None) -> list[dict]:
-    """Second-level sections of a letter: header, body, and whether anything has been written there."""
-    parts = re.split(r"^(## .*)$", content or "", flags=re.M)
-    return [{"header": h[3:].strip(), "body": b.strip(), "written": "\n### " in b} for h, b in zip(parts[1::2], parts[2::2], strict=True)]
-
-
 def loose_json(raw: str | None, keys: tuple[str, ...]) -> dict[str, int]:
     """Scores by key from JSON that may stand in a fence or in prose, held to 0 to 100; missing ones are left out."""
     text = (raw or "").strip()

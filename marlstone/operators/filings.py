@@ -194,3 +194,9 @@ def full_tree(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
     j = nodes.join(summaries, ["accession", "label"], "left")
     s = F.struct("pos", "label", "title", "text", F.coalesce("made", F.lit("")).alias("summary"))
     return j.groupBy("accession").agg(F.array_sort(F.collect_list(s)).alias("sections")).withColumn("full", F.lit(True))
+
+
+def listing(sidecars: DataFrame) -> DataFrame:
+    """Indexed filings from their sidecars (json) alone; those that can't be read, or name no filing, are left out."""
+    r = sidecars.select(F.from_json("json", "accession string, ticker string, form string, filed date, sections int").alias("r")).select("r.*")
+    return r.where("accession IS NOT NULL AND ticker IS NOT NULL AND filed IS NOT NULL")

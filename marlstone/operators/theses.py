@@ -112,11 +112,6 @@ def table_cells(content: pd.Series, header: pd.Series) -> pd.Series:
     return pd.Series([documents.table(c, h) for c, h in zip(content, header, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("header", T.StringType()), T.StructField("body", T.StringType()), T.StructField("written", T.BooleanType())])))
-def letter_sections(content: pd.Series) -> pd.Series:
-    return pd.Series([documents.letter_sections(c) for c in content], dtype=object)
-
-
 @F.pandas_udf(T.StringType())
 def loose_scores(raw: pd.Series) -> pd.Series:
     keys = ("business_health", "insider_alignment", "thesis_integrity")
@@ -167,6 +162,15 @@ def watchlist(docs: DataFrame) -> DataFrame:
     return r.where("rank IS NOT NULL AND score IS NOT NULL")
 
 
+def listed_documents(names: DataFrame, but: str, suffix: str = ".md") -> DataFrame:
+    """Names of documents, sorted, without templates (names that contain `but`) and files of other kinds."""
+    return names.where(F.col("name").endswith(suffix) & ~F.contains("name", F.lit(but))).orderBy("name")
+
+
+def of_status(theses: DataFrame, status: str) -> DataFrame:
+    return theses.where(F.lower(F.trim("status")) == status.lower())
+
+
 def latest_document(docs: DataFrame) -> DataFrame:
     """The one whose name has the last date."""
     from ..functions.scalar import name_date
@@ -182,7 +186,41 @@ def moves(rows: DataFrame, threshold: float) -> DataFrame:
     return r.withColumn("note", note).withColumn("big", F.coalesce(F.abs("move_pct") >= threshold, F.lit(False)))
 
 
-def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> str:
-    """A small result as a Markdown table; made on the driver."""
-    body = [[("" if v is None else str(v)) for v in r] for r in rows.orderBy(*order).select(*columns).collect()]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [columns, ["---"] * len(columns), *body])
+def cost_basis(content: Column) -> Column:
+    """The cost basis that a thesis file states on a line of its own, in its fence or front matter."""
+    return F.regexp_extract(content, r"(?m)^cost_basis:\s*([^\n#]+)", 1).try_cast("double")
+
+
+def with_value(content: Column, key: str, value: Column) -> Column:
+    """The file with another value of a flat metadata key; what stands behind it, a comment, stays. Without the key nothing changes."""
+    shown = F.regexp_replace(value.cast("string"), r"([\\$])", r"\\$1")
+    return F.regexp_replace(content, F.lit(rf"(?m)^({key}:[ \t]*)[^\n#]*?([ \t]*(?:#[^\n]*)?)$"), F.concat(F.lit("$1"), shown, F.lit("$2")))
+
+
+def with_scores(content: Column, components: Column, overall: Column) -> Column:
+    """The file with other rows in its table of health components, and another score in the metadata. components: structs of name, weight, score, notes."""
+    rows = F.array_join(F.transform(components, lambda c: F.concat(F.lit("| "), c["name"], F.lit(" | "), c["weight"].cast("string"), F.lit("% | "), c["score"].cast("string"), F.lit("/100 | "), F.coalesce(c["notes"], F.lit("")), F.lit(" |"))), "\n")
+    safe = F.regexp_replace(rows, r"([\\$])", r"\\$1")
+    table = F.regexp_replace(content, F.lit(r"(?m)(^#+ *Thesis Health[^\n]*\n\s*^\|[^\n]*\n\|[ :|-]*\n)(?:\|[^\n]*\n)*"), F.concat(F.lit("$1"), safe, F.lit("\n")))
+    return with_value(table, "health_score", overall)
+
+
+def stock_view(theses: DataFrame, covered: DataFrame, fundamentals: DataFrame, hurdles: DataFrame, lens: DataFrame) -> DataFrame:
+    """One row per thesis: coverage, fundamentals, the regime's hurdle and the places of the lens's hits by dimension; all but the first NULL where nothing is indexed.
+
+    covered: thesis, indexed. fundamentals: thesis, pe, roe. hurdles: color, hurdle_pct. lens: thesis, dimension, node, rank.
+    """
+    views = lens.groupBy("thesis").agg(F.array_sort(F.collect_list(F.struct("dimension", "rank", "node"))).alias("views"))  # a few of each dimension
+    j = theses.join(covered, "thesis", "left").join(fundamentals, "thesis", "left").join(hurdles, "color", "left").join(views, "thesis", "left")
+    there = F.coalesce(F.col("indexed"), F.lit(0)) > 0
+    return j.select("thesis", F.coalesce("indexed", F.lit(0)).alias("filings"), (~there).alias("empty"), *(F.when(there, F.col(c)).alias(c) for c in ("pe", "roe", "hurdle_pct", "views")))
+
+
+def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with line, their line of a Markdown table."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]
+    return rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
+
+
+def markdown_head(columns: list[str]) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "| " + " | ".join(["---"] * len(columns)) + " |"]

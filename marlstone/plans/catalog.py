@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import books, finding, market, papers  # noqa: F401
+from . import books, finding, market, papers, records  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

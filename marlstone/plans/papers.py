@@ -44,33 +44,18 @@ query("flt08_priority", f"WITH {FORMS_SQL} SELECT id, {PRIORITY_SQL} AS priority
 query("flt09_coverage", f"WITH {FORMS_SQL}, c AS (SELECT ticker, bool_or(status = '10-K') AS core, bool_or(status = '10-Q') AS has_quarterly, bool_or(status = 'DEF 14A') AS has_proxy, count(*) AS indexed FROM nf WHERE NOT (CAST(ticker AS INT) % 3 = 0 AND status = '10-K') AND NOT (CAST(ticker AS INT) % 4 = 0 AND status = '10-Q') GROUP BY ticker) SELECT ticker, CASE WHEN core THEN '10-K' END AS core_form, core AS ready, has_quarterly, has_proxy, indexed, list_filter([CASE WHEN NOT core THEN 'annual report (10-K / 20-F)' END, CASE WHEN NOT has_quarterly THEN 'latest quarterly (10-Q)' END, CASE WHEN NOT has_proxy THEN 'proxy (DEF 14A)' END], lambda x : x IS NOT NULL) AS gaps FROM c")(
     lambda spark, d: filings.coverage(asked(spark, d).where((~((F.col("ticker").cast("int") % 3 == 0) & (filings.form_of_status(F.col("form")) == "10-K"))) & (~((F.col("ticker").cast("int") % 4 == 0) & (filings.form_of_status(F.col("form")) == "10-Q")))))
 )
-query("flt14_document_names", "SELECT id, 'doc.xml' AS document FROM requests")(lambda spark, d: asked(spark, d).select("id", scalar.without_style_prefix(F.concat(F.when(F.col("id") % 3 == 0, "xslF345X06/").otherwise(""), F.lit("doc.xml"))).alias("document")))
+query("flt14_document_names", "SELECT id, CASE WHEN id % 3 = 1 THEN 'forms/xsl/' ELSE '' END || ticker || '-' || id || '.xml' AS document FROM requests")(lambda spark, d: asked(spark, d).select("id", scalar.without_style_prefix(F.concat(F.when(F.col("id") % 3 == 0, F.concat(F.lit("xslF345X0"), F.col("id") % 7, F.lit("/"))).when(F.col("id") % 3 == 1, "forms/xsl/").otherwise(""), "ticker", F.lit("-"), F.col("id").cast("string"), F.lit(".xml"))).alias("document")))
 query("flt16_stale_trees", "SELECT id, CASE WHEN id % 3 = 0 THEN false ELSE id % 2 = 1 OR id % 5 = 0 END AS stale FROM requests")(lambda spark, d: asked(spark, d).select("id", filings.stale_tree(F.when(F.col("id") % 3 > 0, F.lit("a")), F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 2 == 1, "b").otherwise("a"))).alias("stale")))
 query("src10_ticker_map", "SELECT DISTINCT ticker, lpad(ticker, 10, '0') AS cik FROM requests")(lambda spark, d: feed(spark, d).select("ticker", F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik")))
 query("src11_latest_filing", f"WITH {FORMS_SQL} SELECT ticker, CAST(arg_max(id, struct_pack(f := CAST(requested_at AS DATE), i := -id)) AS VARCHAR) AS accession FROM nf WHERE feed = '10-K' GROUP BY ticker")(lambda spark, d: filings.recent_filings(filings.submissions(feed(spark, d)), "10-K", None, 1, F.current_date()).select("ticker", "accession"))
 query("src28_missing_manifests", "SELECT CAST(id AS VARCHAR) AS accession, CASE WHEN id % 4 = 0 THEN 'manifest' END AS manifest FROM requests")(lambda spark, d: filed(spark, d).select("accession").join(filed(spark, d).where("accession % 4 = 0").select("accession", F.lit("manifest").alias("manifest")), "accession", "left"))
 query("src29_indexed", "SELECT CAST(id AS VARCHAR) AS accession FROM requests WHERE id % 4 = 0")(lambda spark, d: filed(spark, d).select("accession").join(filed(spark, d).where("accession % 4 = 0").select("accession"), "accession", "left_semi"))
-query("src13_tree_records", "SELECT accession, label, title FROM nodes")(lambda spark, d: (lambda n: n.select(F.to_json(F.struct("accession", "label", "title")).alias("j")).select(F.from_json("j", "accession string, label string, title string, commit string").alias("r")).select("r.accession", "r.label", "r.title"))(view(spark, d, "nodes")))
 query("mrg04_filing_status", "SELECT ticker, form, CAST(max(id) AS BIGINT) AS id FROM requests GROUP BY 1, 2")(lambda spark, d: (lambda r: merge.newer_wins(r.where("id % 2 = 0").groupBy("ticker", "form").agg(F.max("id").alias("id")), r.groupBy("ticker", "form").agg(F.max("id").alias("id")), ["ticker", "form"]))(asked(spark, d)))
 query("mrg05_targets", f"WITH {FILED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker, form ORDER BY filed DESC, accession DESC) AS k FROM fi) SELECT ticker, accession FROM n WHERE k <= CASE form WHEN '10-K' THEN 2 WHEN '10-q/A' THEN 3 WHEN ' DEF 14A ' THEN 1 ELSE 0 END OR filed >= DATE '2024-01-30' - 2")(lambda spark, d: merge.top_per_form(filed(spark, d), {"10-K": 2, "10-q/A": 3, " DEF 14A ": 1}, 2, F.to_date(F.lit("2024-01-30"))).select("ticker", "accession"))
 
 # --- pages and sections
-query("str07_html_text")(lambda spark, d: tables.read(spark, d, "pages").select("page_id", filings.html_text("html").alias("text")))
-query("str08_html_markdown")(lambda spark, d: tables.read(spark, d, "pages").select("page_id", filings.html_markdown("html").alias("markdown")))
-query("sec03_page_sections")(lambda spark, d: filings.generic_sections(tables.read(spark, d, "pages").select(F.col("page_id").alias("id"), filings.html_markdown("html").alias("markdown"))))
 
 
-def reports(spark, d):
-    """Annual reports made of four documents each, with a table of contents."""
-    n = view(spark, d, "nodes").withColumn("report", F.floor(F.col("node") / 4)).where("length(text) > 200")
-    part = F.concat(F.lit("\nItem "), scalar.lookup(F.col("label"), {"business": "1. Business", "risk_factors": "1A. Risk Factors", "mdna": "7. Management's Discussion and Analysis", "financial_statements": "8. Financial Statements"}), F.lit("\nThe section follows. "), F.translate("text", "0123456789", ""))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", part.alias("p")))), lambda x: x["p"]), "\n")
-    return n.groupBy("report").agg(F.concat(F.lit("<p>Item 1. Business 4 - 9</p><p>Item 1A. Risk Factors 10 - 24</p><pre>"), body, F.lit("</pre>")).alias("content"))
-
-
-for key in ("sec01_curated_sections", "sec02_sections_after_contents", "sec04_sections_by_form"):
-    kind = {"sec01": "10-K", "sec02": "10-Q", "sec04": "8-K"}[key[:5]]
-    query(key)(lambda spark, d, kind=kind: reports(spark, d).select("report", F.posexplode(filings.sections("content", F.lit(kind), F.lit("html"))).alias("pos", "s")).select("report", "pos", "s.label", "s.title", "s.is_pointer", "s.target", F.length("s.text").alias("size")))
 BODY_SQL = "bd AS (SELECT node, label, CASE node % 6 WHEN 0 THEN 'See the Annual Report to Shareholders.' WHEN 1 THEN 'Refer to our Proxy Statement' WHEN 2 THEN 'and' WHEN 3 THEN 'see pages 5 to 8' ELSE text END AS body FROM nodes), tg AS (SELECT *, CASE WHEN node % 6 = 0 THEN 'annual_report_same_doc' WHEN node % 6 = 1 THEN 'def14a' WHEN node % 6 = 2 THEN 'parser_bug' WHEN node % 6 = 3 THEN 'unknown' WHEN length(body) >= 500 THEN NULL WHEN NOT regexp_matches(body, '(?i)\\brefer\\b|\\bsee\\b|\\bincorporat(?:ed|ing)\\b|\\bset\\s+forth\\b|\\binformation\\s+required\\b|\\bpages?\\s+\\d') THEN 'parser_bug' WHEN regexp_matches(body, '(?i)annual\\s+report\\s+to\\s+(?:stockholders|shareholders)|exhibit\\s+13\\b') THEN 'annual_report_same_doc' WHEN regexp_matches(body, '(?i)proxy\\s+statement|schedule\\s+14a|def\\s*14a') THEN 'def14a' ELSE 'unknown' END AS target FROM bd)"
 
 
@@ -120,17 +105,18 @@ query("agg19_summary_health", "SELECT count(*) AS n_full, count(*) FILTER (WHERE
 query("win13_header_spans", "SELECT node, node % 10 * 100 AS start, coalesce(lead(node % 10 * 100) OVER (PARTITION BY node // 10 ORDER BY node), 5000) AS \"end\" FROM nodes")(lambda spark, d: filings.header_spans(view(spark, d, "nodes").select(F.floor(F.col("node") / 10).alias("id"), "node", (F.col("node") % 10 * 100).alias("start"), F.lit(5000).cast("bigint").alias("limit"))).select("node", "start", "end"))
 query("str06_slugs", "SELECT node, trim(regexp_replace(lower(summary), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nodes")(lambda spark, d: view(spark, d, "nodes").select("node", scalar.slug(F.col("summary")).alias("slug")))
 query("str11_headed_text", "SELECT node, '# Document' || chr(10) || chr(10) || summary AS text FROM nodes WHERE NOT regexp_matches(summary, '(?m)^#{1,6}\\s')")(lambda spark, d: view(spark, d, "nodes").where(~F.rlike("summary", F.lit(r"(?m)^#{1,6}\s"))).select("node", scalar.headed_text(F.col("summary")).alias("text")))
-query("str12_content_types", "SELECT id, CASE id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'xml' WHEN 2 THEN 'text' ELSE 'html' END AS kind FROM requests")(lambda spark, d: asked(spark, d).select("id", scalar.content_type(F.element_at(F.array(*map(F.lit, ("a.htm", "b.XML", "c.txt", "d.HTML"))), (F.col("id") % 4 + 1).cast("int"))).alias("kind")))
-query("str14_inline_metadata", "SELECT node, regexp_replace(summary, '^\\s+|\\s+$', '', 'g') AS text FROM nodes")(lambda spark, d: view(spark, d, "nodes").select("node", scalar.without_inline_metadata(F.concat("summary", F.lit("\nX - Definition\nus-gaap tail"))).alias("text")))
+query("str12_content_types", "SELECT id, CASE id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'xml' WHEN 3 THEN 'html' ELSE 'text' END AS kind FROM requests")(lambda spark, d: asked(spark, d).select("id", scalar.content_type(F.concat("ticker", F.lit("."), "form", F.element_at(F.array(*map(F.lit, (".htm", ".XML", ".txt", ".HTML", ".xml.bak", ""))), (F.col("id") % 6 + 1).cast("int")))).alias("kind")))
+query("str14_inline_metadata", "SELECT node, regexp_replace(CASE WHEN node % 4 = 3 THEN summary || ' X - Definition ' || label ELSE summary END, '^\\s+|\\s+$', '', 'g') AS text FROM nodes")(lambda spark, d: view(spark, d, "nodes").select("node", scalar.without_inline_metadata(F.concat("summary", F.when(F.col("node") % 4 == 0, F.concat(F.lit("\nX - Definition\nus-gaap "), "label")).when(F.col("node") % 4 == 1, F.concat(F.lit("\n\nX - References "), "accession", F.lit("\nX - Details"))).when(F.col("node") % 4 == 3, F.concat(F.lit(" X - Definition "), "label")).otherwise("  \n"))).alias("text")))
 
 
 def ownership(spark, d):
     f = view(spark, d, "fills")
-    return f.select("id", F.format_string("<ownershipDocument><documentType>4</documentType><issuer><issuerName>N%s</issuerName></issuer><reportingOwner><rptOwnerName>Owner %d</rptOwnerName><isDirector>1</isDirector></reportingOwner><nonDerivativeTransaction><transactionShares><value>%d</value></transactionShares></nonDerivativeTransaction></ownershipDocument>", "symbol", "id", "quantity").alias("xml"))
+    role = F.when(F.col("id") % 3 == 0, "<isDirector>true</isDirector>").when(F.col("id") % 3 == 1, F.format_string("<isDirector>1</isDirector><isOfficer>1</isOfficer><officerTitle>Chief %s</officerTitle>", "account_number")).otherwise("")
+    return f.select("id", F.format_string('<ownershipDocument xmlns="x"><documentType>4</documentType><issuer><issuerName>N%s</issuerName></issuer><reportingOwner><rptOwnerName>Owner %d</rptOwnerName>%s</reportingOwner><nonDerivativeTransaction><transactionShares><value>%d</value></transactionShares></nonDerivativeTransaction></ownershipDocument>', "symbol", "id", role, "quantity").alias("xml"))
 
 
-query("str09_ownership_reports")(lambda spark, d: ownership(spark, d).select("id", filings.xml_report("xml").alias("report")))
-query("str10_xml_values", "SELECT id, 'N' || symbol AS issuer, CAST(quantity AS VARCHAR) AS shares, true AS director FROM fills")(lambda spark, d: ownership(spark, d).select("id", F.xpath_string("xml", F.lit("//issuer/issuerName")).alias("issuer"), F.xpath_string("xml", F.lit("//transactionShares/value")).alias("shares"), F.lower(F.xpath_string("xml", F.lit("//isDirector"))).isin("1", "true", "yes").alias("director")))
+query("str09_ownership_reports", "SELECT id, '# Form 4 — Insider Transaction Report' || chr(10) || chr(10) || '## Issuer' || chr(10) || '- Name: N' || symbol || chr(10) || chr(10) || '## Reporting owner(s)' || chr(10) || '- Owner ' || id || CASE id % 3 WHEN 0 THEN ' — Director' WHEN 1 THEN ' — Director, Officer (Chief ' || account_number || ')' ELSE '' END || chr(10) || chr(10) || '## Non-derivative transactions' || chr(10) || chr(10) || '| Date | Code | Shares | Acquired/Disposed | Price | Post-tx holdings | Security |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |' || chr(10) || '| — | — | ' || quantity || ' | — | — | — | — |' || chr(10) AS report FROM fills")(lambda spark, d: ownership(spark, d).select("id", filings.xml_report("xml").alias("report")))
+query("str10_xml_values", "SELECT id, 'N' || symbol AS issuer, CAST(quantity AS VARCHAR) AS shares, id % 3 < 2 AS director FROM fills")(lambda spark, d: ownership(spark, d).select("id", F.xpath_string(F.replace("xml", F.lit(' xmlns="x"'), F.lit("")), F.lit("//issuer/issuerName")).alias("issuer"), F.xpath_string(F.replace("xml", F.lit(' xmlns="x"'), F.lit("")), F.lit("//transactionShares/value")).alias("shares"), F.lower(F.xpath_string(F.replace("xml", F.lit(' xmlns="x"'), F.lit("")), F.lit("//isDirector"))).isin("1", "true", "yes").alias("director")))
 
 # --- theses
 OVERALL_SQL = "ov AS (SELECT thesis, coalesce(sum(score * weight)::DOUBLE / nullif(sum(weight), 0), 0) AS m, arg_min(name, struct_pack(s := score, p := pos)) AS weakest FROM components GROUP BY thesis), ovr AS (SELECT *, CAST(CASE WHEN m - floor(m) = 0.5 THEN CASE WHEN floor(m) % 2 = 0 THEN floor(m) ELSE floor(m) + 1 END ELSE floor(m + 0.5) END AS INT) AS overall FROM ov)"
@@ -164,7 +150,7 @@ def refreshed(spark, d):
 query("agg07_refreshed", f"WITH {RISK_SQL} SELECT c.thesis, c.pos, CASE c.pos % 7 WHEN 0 THEN risk WHEN 1 THEN CASE WHEN (balance - 5000.0) / 5000.0 * 100 > 40 THEN 90 WHEN (balance - 5000.0) / 5000.0 * 100 > 25 THEN 75 WHEN (balance - 5000.0) / 5000.0 * 100 > 10 THEN 60 WHEN (balance - 5000.0) / 5000.0 * 100 > 0 THEN 45 WHEN (balance - 5000.0) / 5000.0 * 100 > -20 THEN 30 ELSE 15 END WHEN 2 THEN CASE WHEN number % 2 = 1 THEN score WHEN number - 50 < 0 THEN 35 WHEN number - 50 <= 30 THEN 85 WHEN number - 50 <= 90 THEN 75 WHEN number - 50 <= 180 THEN 60 ELSE 55 END ELSE score END AS score FROM components c JOIN rs ON rs.thesis = c.thesis")(lambda spark, d: refreshed(spark, d).select("thesis", "pos", "score"))
 query("agg28_monitoring", f"WITH {ACTION_SQL} SELECT thesis, overall, action, CASE WHEN has THEN 'scored' ELSE 'unscored' END AS outcome FROM ac WHERE status = 'active'")(lambda spark, d: theses.monitored(written(spark, d).withColumn("score_before", F.col("number") % 100), parts(spark, d)).select("thesis", "overall", "action", "outcome"))
 query("agg23_by_status", "SELECT status, count(*) AS n, array_to_string(list(thesis ORDER BY thesis), ', ') AS members FROM theses GROUP BY status")(lambda spark, d: written(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("thesis")), ", ").alias("members")))
-query("flt12_active", "SELECT thesis FROM theses WHERE status = 'active'")(lambda spark, d: written(spark, d).where("status = 'active'").select("thesis"))
+query("flt12_active", "SELECT thesis FROM theses WHERE status = 'active'")(lambda spark, d: theses.of_status(written(spark, d), "active").select("thesis"))
 MOVES_SQL = "mv AS (SELECT thesis, CASE WHEN balance > 0 THEN (balance - number) / nullif(CAST(number AS DOUBLE), 0) * 100 END AS move_pct FROM theses)"
 
 
@@ -191,24 +177,8 @@ def files(spark, d):
 
 query("str16_thesis_metadata", "SELECT thesis || '.md' AS name, 'T' || thesis AS ticker, bucket, status, DATE '2024-01-05' AS opened, CAST(number AS INT) AS shares FROM theses")(lambda spark, d: theses.parsed(files(spark, d)).select("name", "ticker", "bucket", "status", "opened", "shares"))
 query("str15_metadata_json", "SELECT thesis || '.md' AS name, thesis AS company FROM theses")(lambda spark, d: theses.parsed(files(spark, d)).select("name", F.substring(F.get_json_object("json", "$.company"), 2, 99).alias("company")))
-query("str17_table_cells", "SELECT thesis || '.md' AS name, [['1', 'falls', 'daily', '2024-01-01']] AS cells FROM theses")(lambda spark, d: files(spark, d).select("name", theses.table_cells("content", F.lit("Kill Conditions")).alias("cells")))
-query("str18_components", "SELECT thesis || '.md' AS name, 'Risk' AS component, 40 AS weight, CAST(number % 100 AS INT) AS score FROM theses")(lambda spark, d: theses.components_of(theses.parsed(files(spark, d))).select("name", "component", "weight", "score"))
-query("str18_kill_conditions", "SELECT thesis || '.md' AS name, 'falls' AS description, 'daily' AS monitoring FROM theses")(lambda spark, d: theses.kill_conditions_of(theses.parsed(files(spark, d))).select("name", "description", "monitoring"))
-query("str22_cost_basis", "SELECT thesis || '.md' AS name, balance AS cost_basis FROM theses")(lambda spark, d: files(spark, d).select("name", F.regexp_extract("content", r"(?m)^cost_basis:\s*([^\n#]+)", 1).try_cast("double").alias("cost_basis")))
-query("src19_thesis_files", "SELECT thesis || '.md' AS name FROM theses ORDER BY name")(lambda spark, d: files(spark, d).select("name").orderBy("name"))
 query("src20_latest_watchlist", "SELECT 'watch-' || CAST(max(date) AS VARCHAR) || '.md' AS name FROM bars")(lambda spark, d: theses.latest_document(view(spark, d, "bars").select(F.concat(F.lit("watch-"), F.col("date").cast("string"), F.lit(".md")).alias("name")).distinct()).select("name"))
-query("sec13_letter_sections", "SELECT thesis, 'Q' || q AS header, q = 1 AS written FROM theses, (VALUES (1), (2)) v(q)")(lambda spark, d: written(spark, d).select("thesis", F.explode(theses.letter_sections(F.lit("# Letter\n\n## Q1\n\n### Regime\ngreen\n\n## Q2\n[To be populated.]\n"))).alias("s")).select("thesis", "s.header", "s.written"))
-query("sec15_letter_guards", "SELECT thesis, false AS may_finalize FROM theses")(lambda spark, d: written(spark, d).select("thesis", F.explode(F.array(F.lit(0))).alias("x"), theses.letter_sections(F.lit("## Q1\n\n### Regime\n")).alias("s")).select("thesis", (F.size(F.filter("s", lambda s: s["written"])) == 4).alias("may_finalize")))
-query("sec16_stock_view", "WITH r AS (SELECT ticker, count(*) AS n FROM requests GROUP BY 1) SELECT thesis, coalesce(n, 0) AS filings, n IS NULL AS empty FROM theses LEFT JOIN r ON r.ticker = thesis")(lambda spark, d: written(spark, d).join(filings.coverage(asked(spark, d)).select(F.col("ticker").alias("thesis"), "indexed"), "thesis", "left").select("thesis", F.coalesce("indexed", F.lit(0)).alias("filings"), F.col("indexed").isNull().alias("empty")))
-query("jsn01_key_repair", "SELECT thesis, 'S' || thesis AS summary, 0.0::DOUBLE AS severity FROM theses")(lambda spark, d: written(spark, d).select("thesis", F.from_json(F.to_json(F.struct(F.concat(F.lit("S"), "thesis").alias("gist"))), "map<string,string>").alias("m")).select("thesis", F.transform_keys("m", lambda k, v: F.when(k.isin("gist", "overview"), "summary").otherwise(k)).alias("m")).select("thesis", F.col("m")["summary"].alias("summary"), F.coalesce(F.try_element_at("m", F.lit("severity")).try_cast("double"), F.lit(0.0)).alias("severity")))
-query("jsn02_shape_check", "SELECT thesis, CASE WHEN number % 3 = 0 THEN ['missing:score'] WHEN number % 3 = 1 THEN ['wrongtype:score (want number)'] ELSE [] END AS problems FROM theses")(
-    lambda spark, d: written(spark, d)
-    .select("thesis", F.when(F.col("number") % 3 == 0, '{"a": 1}').when(F.col("number") % 3 == 1, '{"score": "x"}').otherwise('{"score": 1.5}').alias("j"))
-    .select("thesis", F.get_json_object("j", "$.score").alias("v"))
-    .select("thesis", F.array_compact(F.array(F.when(F.col("v").isNull(), F.lit("missing:score")), F.when(F.col("v").isNotNull() & F.col("v").try_cast("double").isNull(), F.lit("wrongtype:score (want number)")))).alias("problems"))
-)
 query("jsn03_loose_scores", "SELECT thesis, CAST(least(100, number) AS INT) AS business FROM theses")(lambda spark, d: written(spark, d).select("thesis", F.get_json_object(theses.loose_scores(F.format_string('Sure:\n```json\n{"business_health": {"score": %d}}\n```', "number")), "$.business_health").cast("int").alias("business")))
-query("src25_letters", "SELECT DISTINCT CAST(year(date) AS VARCHAR) || '.md' AS name FROM bars")(lambda spark, d: view(spark, d, "bars").select(F.concat(F.year("date").cast("string"), F.lit(".md")).alias("name")).distinct())
 
 # --- the queue
 query("top04_pending", f"WITH {FORMS_SQL} SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY {PRIORITY_SQL}, requested_at, CAST(id AS VARCHAR)) AS place FROM nf")(lambda spark, d: queue.pending(asked(spark, d).select(F.col("id").cast("string").alias("id"), "ticker", "form", "requested_at", F.lit(None).cast("int").alias("priority"), F.lit(False).alias("force"))).select("id", "place"))
@@ -237,11 +207,12 @@ def pages(spark, d):
     return view(spark, d, "nodes").select(F.floor(F.col("node") / 20).alias("doc"), (F.col("node") % 20).alias("page"), F.floor(F.length("text") / 4).alias("tokens"))
 
 
-query("pix01_markdown_nodes", "SELECT node AS doc, 2::BIGINT AS nodes FROM nodes")(lambda spark, d: trees.markdown_nodes(view(spark, d, "nodes").select(F.col("node").alias("doc"), F.lit("intro\n# One\ntext\n```\n# no heading\n```\n## Two\nmore").alias("content"))).groupBy("doc").agg(F.count("*").alias("nodes")))
+query("pix01_markdown_nodes", "SELECT node AS doc, i AS node, CASE i WHEN 1 THEN 1 ELSE CAST(1 + node % 5 AS INT) END AS level, CASE i WHEN 1 THEN 'One ' || label ELSE 'Two ' || accession END AS title, CASE i WHEN 1 THEN '# One ' || label || chr(10) || 'text' || CASE WHEN node % 3 > 0 THEN chr(10) || '```' || chr(10) || '# no heading ' || accession || chr(10) || '```' ELSE '' END ELSE repeat('#', CAST(1 + node % 5 AS INT)) || ' Two ' || accession || chr(10) || ticker END AS text FROM nodes, (VALUES (1), (2)) v(i)")(
+    lambda spark, d: trees.markdown_nodes(view(spark, d, "nodes").select(F.col("node").alias("doc"), F.concat(F.lit("intro\n# One "), "label", F.lit("\ntext"), F.when(F.col("node") % 3 > 0, F.concat(F.lit("\n```\n# no heading "), "accession", F.lit("\n```"))).otherwise(""), F.lit("\n"), F.repeat(F.lit("#"), (1 + F.col("node") % 5).cast("int")), F.lit(" Two "), "accession", F.lit("\n"), "ticker").alias("content")))
+)
 query("pix02_subtree_tokens", f"WITH {OUTLINE_SQL}, e AS (SELECT a.doc, a.node, (SELECT min(b.node) FROM ol b WHERE b.doc = a.doc AND b.node > a.node AND b.level <= a.level) AS stop FROM ol a) SELECT e.doc, e.node, sum(length(c.text) // 4)::BIGINT AS tokens FROM e JOIN ol c ON c.doc = e.doc AND c.node >= e.node AND (stop IS NULL OR c.node < stop) GROUP BY 1, 2")(lambda spark, d: trees.subtree_tokens(outline(spark, d)).select("doc", "node", "tokens"))
 query("pix03_parents", f"WITH {OUTLINE_SQL} SELECT a.doc, a.node, lpad(CAST(a.node AS VARCHAR), 4, '0') AS id, (SELECT max(b.node) FROM ol b WHERE b.doc = a.doc AND b.node < a.node AND b.level < a.level) AS parent FROM ol a")(lambda spark, d: trees.parents_by_level(outline(spark, d)).select("doc", "node", "id", "parent"))
 query("pix04_codes", "SELECT doc, code, CASE WHEN code LIKE '%.%' THEN split_part(code, '.', 1) END AS parent FROM (SELECT node // 20 AS doc, CASE WHEN node % 5 = 0 THEN CAST(node % 20 // 5 AS VARCHAR) ELSE CAST(node % 20 // 5 AS VARCHAR) || '.' || CAST(node % 5 AS VARCHAR) END AS code FROM nodes)")(lambda spark, d: trees.parents_by_code(view(spark, d, "nodes").select(F.floor(F.col("node") / 20).alias("doc"), F.when(F.col("node") % 5 == 0, F.floor(F.col("node") % 20 / 5).cast("string")).otherwise(F.concat_ws(".", F.floor(F.col("node") % 20 / 5).cast("string"), (F.col("node") % 5).cast("string"))).alias("code"))))
-query("pix05_page_groups")(lambda spark, d: trees.page_groups(pages(spark, d), 2000))
 query("pix06_valid_pages", "SELECT node, CASE WHEN node - 20 BETWEEN 1 AND 500 THEN node - 20 END AS start FROM nodes")(lambda spark, d: trees.valid_pages(view(spark, d, "nodes").select("node", F.col("node").alias("start")), F.lit(500), F.lit(-20)))
 query("pix07_leaves", f"WITH {OUTLINE_SQL}, pr AS (SELECT a.doc, a.node, (SELECT max(b.node) FROM ol b WHERE b.doc = a.doc AND b.node < a.node AND b.level < a.level) AS parent FROM ol a) SELECT doc, node FROM pr p WHERE NOT EXISTS (SELECT 1 FROM pr q WHERE q.doc = p.doc AND q.parent = p.node)")(lambda spark, d: trees.leaves(trees.parents_by_level(outline(spark, d))).select("doc", "node"))
 TITLES_SQL = "toc AS (SELECT node // 20 AS doc, node % 20 AS pos, label AS title, node % 20 + 3 AS page, node % 20 + 3 + CASE WHEN node % 7 = 0 THEN 9 ELSE 5 END AS physical FROM nodes), tp AS (SELECT a.doc, a.title, a.pos, a.page, b.physical FROM toc a JOIN toc b ON a.doc = b.doc AND a.title = b.title)"
