@@ -102,7 +102,7 @@ def with_views(sql: str) -> str:
             for key, value in _DUCK.items():
                 body = body.replace("{" + key + "}", value)
             used.append(f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', body)})")
-    text = re.sub(r"^\s*WITH\s+", "", sql, flags=re.I)
+    text = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", sql, flags=re.I)
     if not used:
         return sql
-    return "WITH " + ", ".join(used) + (", " + text if text != sql else " " + sql)
+    return ("WITH RECURSIVE " if re.match(r"\s*WITH\s+RECURSIVE\b", sql, flags=re.I) else "WITH ") + ", ".join(used) + (", " + text if text != sql else " " + sql)

@@ -90,7 +90,32 @@ for key, name in (("agg09_cagr", "cagr"), ("agg10_sharpe", "sharpe"), ("agg11_ma
     query(key, TRADE_SQL + f"SELECT signal, hold, floor({name} * {scale} + 0.5) / {scale} AS {name} FROM m")(lambda spark, d, name=name, scale=float(scale): backtest.metrics(backtest.exposure(sweep_runs(spark, d), RATE), RATE).select("signal", "hold", (F.floor(F.col(name) * scale + 0.5) / scale).alias(name)))
 query("agg12_strategy", TRADE_SQL + "SELECT m.signal, m.hold, coalesce(count(trade), 0) AS n_trades, floor(coalesce(avg(CASE WHEN trade IS NULL THEN NULL WHEN trade_return > cash_return THEN 1.0 ELSE 0.0 END), 0) * 1e6 + 0.5) / 1e6 AS win_rate, floor(coalesce(avg(trade_return), 0) * 1e6 + 0.5) / 1e6 AS avg_return FROM m LEFT JOIN tr ON m.signal = tr.signal AND m.hold = tr.hold GROUP BY 1, 2")(lambda spark, d: backtest.sweep(flags(spark, d), HOLDS, RATE).select("signal", "hold", "n_trades", r6(F.col("win_rate")).alias("win_rate"), r6(F.col("avg_return")).alias("avg_return")))
 PERIODS = {"full": (None, None), "before_1998": (None, "1997-12-31"), "from_1998": ("1998-01-01", None)}
-query("agg13_sweep")(lambda spark, d: backtest.sweep(flags(spark, d), [1, 2, 3, 5, 10, 20, 40, 60, 90], RATE, PERIODS))
+SWEEP_HOLDS = [1, 2, 3, 5, 10, 20, 40, 60, 90]
+BY = "PARTITION BY period, signal, hold"
+SWEEP_SQL = f"""WITH {PANEL_SQL}, h(hold) AS (VALUES {", ".join(f"({n})" for n in SWEEP_HOLDS)}), sg(signal) AS (VALUES ('combined'), ('big_blue_day'), ('capitulation')),
+pr(period, a, b) AS (VALUES {", ".join(f"('{k}', DATE '{a or '0001-01-01'}', DATE '{b or '9999-12-31'}')" for k, (a, b) in PERIODS.items())}),
+gp AS (SELECT * FROM (SELECT period, date, eq_close, eq_ret, combined, big_blue_day, capitulation, row_number() OVER (PARTITION BY period ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY period) AS n FROM g JOIN pr ON date BETWEEN a AND b) WHERE n >= 100),
+s AS (SELECT gp.*, signal, hold, CASE signal WHEN 'combined' THEN combined WHEN 'big_blue_day' THEN big_blue_day ELSE capitulation END AS fire FROM gp, h, sg),
+k AS (SELECT *, lag(i) OVER ({BY} ORDER BY i) AS before FROM s WHERE fire),
+t AS (SELECT *, sum(CASE WHEN before IS NULL OR i - before > hold THEN 1 ELSE 0 END) OVER ({BY} ORDER BY i ROWS UNBOUNDED PRECEDING) AS trade FROM k),
+u AS (SELECT period, signal, hold, trade, min(i) AS entry_i, least(max(i) + hold, max(n) - 1) AS exit_i FROM t GROUP BY 1, 2, 3, 4),
+tr AS (SELECT u.*, b.eq_close / a.eq_close - 1 AS trade_return, pow(pow(1.04, 1.0 / 252), exit_i - entry_i) - 1 AS cash_return FROM u JOIN gp a ON a.period = u.period AND a.i = entry_i JOIN gp b ON b.period = u.period AND b.i = exit_i),
+ta AS (SELECT period, signal, hold, count(*) AS n_trades, avg(CASE WHEN trade_return > cash_return THEN 1.0 ELSE 0.0 END) AS win_rate, avg(trade_return) AS avg_return FROM tr GROUP BY 1, 2, 3),
+x1 AS (SELECT *, coalesce(i - max(CASE WHEN fire THEN i END) OVER ({BY} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= hold, false) AS exposed FROM s),
+x AS (SELECT *, sum(CASE WHEN exposed THEN ln(1 + coalesce(eq_ret, 0)) ELSE ln(1.04) / 252 END) OVER ({BY} ORDER BY i ROWS UNBOUNDED PRECEDING) AS eq, sum(ln(1 + coalesce(eq_ret, 0))) OVER ({BY} ORDER BY i ROWS UNBOUNDED PRECEDING) AS held FROM x1),
+m0 AS (SELECT *, exp(eq - lag(eq) OVER ({BY} ORDER BY i)) - 1 AS ret, exp(eq - max(eq) OVER ({BY} ORDER BY i ROWS UNBOUNDED PRECEDING)) - 1 AS down, exp(held - max(held) OVER ({BY} ORDER BY i ROWS UNBOUNDED PRECEDING)) - 1 AS held_down FROM x),
+m AS (SELECT period, signal, hold, exp((arg_max(eq, i) - arg_min(eq, i)) / (date_diff('day', min(date), max(date)) / 365.25)) - 1 AS cagr, exp((arg_max(held, i) - arg_min(held, i)) / (date_diff('day', min(date), max(date)) / 365.25)) - 1 AS bh_cagr, min(down) AS max_dd, min(held_down) AS bh_dd, CASE WHEN stddev_samp(ret) > 1e-12 THEN (avg(ret) - (pow(1.04, 1.0 / 252) - 1)) / stddev_samp(ret) * sqrt(252) ELSE 0 END AS sharpe, avg(CASE WHEN exposed THEN 1.0 ELSE 0.0 END) AS time_in_market FROM m0 GROUP BY 1, 2, 3)
+SELECT m.period, m.signal, m.hold, floor(cagr * 1e3 + 0.5) / 1e3 AS cagr, {R("max_dd")}, {R("sharpe")}, coalesce(n_trades, 0) AS n_trades, floor(coalesce(win_rate, 0) * 1e6 + 0.5) / 1e6 AS win_rate, floor(coalesce(avg_return, 0) * 1e6 + 0.5) / 1e6 AS avg_return, {R("time_in_market")}, floor((max_dd - bh_dd) * 1e6 + 0.5) / 1e6 AS vs_hold_dd, cagr > bh_cagr AS beats_holding
+FROM m LEFT JOIN ta ON ta.period = m.period AND ta.signal = m.signal AND ta.hold = m.hold"""
+
+
+def swept(spark, d):
+    s = backtest.sweep(flags(spark, d), SWEEP_HOLDS, RATE, PERIODS)
+    six = ("max_dd", "sharpe", "win_rate", "avg_return", "time_in_market", "vs_hold_dd")
+    return s.select("period", "signal", "hold", "n_trades", (F.floor(F.col("cagr") * 1e3 + 0.5) / 1e3).alias("cagr"), *(r6(F.col(c)).alias(c) for c in six), (F.col("vs_hold_cagr") > 0).alias("beats_holding"))
+
+
+query("agg13_sweep", SWEEP_SQL)(swept)
 query("src24_trades_csv", TRADE_SQL + "SELECT concat_ws(',', signal, CAST(hold AS VARCHAR), CAST(entry_date AS VARCHAR), CAST(exit_date AS VARCHAR)) AS line FROM tr")(lambda spark, d: tables.csv_lines(backtest.trades(sweep_runs(spark, d), RATE), ["signal", "hold", "entry_date", "exit_date"]))
 
 # --- screening

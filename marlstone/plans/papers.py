@@ -91,7 +91,16 @@ def recovered(spark, d):
 
 
 query("sec06_recovery", f"WITH {BODY_SQL} SELECT CAST(node AS VARCHAR) AS accession, target, CASE WHEN label IN ('mdna', 'financial_statements') AND target IN ('annual_report_same_doc', 'unknown') AND node % 5 > 0 THEN '# S2 ' || node || chr(10) || chr(10) || 'table R2.htm' || chr(10) || chr(10) || '# S3 ' || node || chr(10) || chr(10) || 'table R3.htm' ELSE body END AS text, CASE WHEN label IN ('mdna', 'financial_statements') AND target IN ('annual_report_same_doc', 'unknown') AND node % 5 > 0 THEN 'filing_summary_r_files' END AS recovered_via FROM tg")(lambda spark, d: recovered(spark, d).select("accession", "target", "text", "recovered_via"))
-query("sec07_chunks")(lambda spark, d: view(spark, d, "nodes").select("node", F.posexplode(filings.chunks("text", F.lit(200))).alias("pos", "chunk")))
+#: Paragraphs, those over 200 tokens cut at sentences; runs of the others, and the sentences of each long one, are filled greedily up to 200 tokens.
+CHUNK_SQL = r"""WITH RECURSIVE pa AS (SELECT node, row_number() OVER (PARTITION BY node ORDER BY k) AS k, trim(p, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM (SELECT node, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS k FROM nodes) WHERE trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+lg AS (SELECT *, length(p) // 4 > 200 AS long FROM pa),
+gr AS (SELECT *, 2 * sum(CASE WHEN long THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY k) - CASE WHEN long THEN 1 ELSE 0 END AS grp FROM lg),
+un AS (SELECT node, grp, long, k, unnest(CASE WHEN long THEN string_split(regexp_replace(p, '([.!?])\s+([A-Z])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) ELSE [p] END) AS u, CASE WHEN long THEN generate_subscripts(string_split(regexp_replace(p, '([.!?])\s+([A-Z])', '\1' || chr(57344) || '\2', 'g'), chr(57344)), 1) ELSE generate_subscripts([p], 1) END AS j FROM gr),
+od AS (SELECT node, grp, long, u, length(u) // 4 AS size, row_number() OVER (PARTITION BY node, grp ORDER BY k, j) AS idx FROM un),
+f AS (SELECT node, grp, idx, 1 AS c, size AS used FROM od WHERE idx = 1 UNION ALL SELECT od.node, od.grp, od.idx, CASE WHEN used + size > 200 THEN c + 1 ELSE c END, CASE WHEN used + size > 200 THEN size ELSE used + size END FROM f JOIN od ON od.node = f.node AND od.grp = f.grp AND od.idx = f.idx + 1),
+ch AS (SELECT f.node, f.grp, c, CASE WHEN any_value(long) THEN string_agg(u, ' ' ORDER BY f.idx) ELSE string_agg(u, chr(10) || chr(10) ORDER BY f.idx) END AS chunk FROM f JOIN od ON od.node = f.node AND od.grp = f.grp AND od.idx = f.idx GROUP BY f.node, f.grp, c)
+SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY grp, c) - 1 AS INT) AS pos, chunk FROM ch"""
+query("sec07_chunks", CHUNK_SQL)(lambda spark, d: view(spark, d, "nodes").select("node", F.posexplode(filings.chunks("text", F.lit(200))).alias("pos", "chunk")))
 query("sec08_raw_trees", "SELECT ticker, count(*) AS sections, false AS full FROM nodes GROUP BY ticker")(lambda spark, d: filings.raw_tree(view(spark, d, "nodes").groupBy("ticker").agg(F.collect_list(F.struct("label", "title", "text")).alias("sections"))).select("ticker", F.size("sections").cast("bigint").alias("sections"), "full"))
 
 
