@@ -36,6 +36,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "item", "role", "kind", "call_id", "status", "linked_turn", "anchor", "depth", F.sha2("json", 256).alias("json_sha256"))
 
 
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with calls and results, made of the table's, which has none: every fourth turn asks, calls a search, answers it, and calls with arguments missing."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
+    name = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    asked = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") >= 4), F.concat(F.lit("$c"), (F.col("turn") - 4).cast("string"))).otherwise(F.concat(F.lit("q"), F.col("conv_id").cast("string")))
+    call = lambda tool, arguments: F.concat(F.lit('{"tool_calls": [{"name": "' + tool + '", "id": "'), name, F.lit('", "arguments": '), arguments, F.lit("}]}"))
+    text = (
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("hello "), F.col("conv_id").cast("string")))
+        .when(F.col("turn") % 4 == 1, call("search", F.concat(F.lit('{"query": "'), asked, F.lit('", "limit": 3}'))))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit('{"tool_call_id": "'), F.when(F.col("conv_id") % 5 == 0, "zz").otherwise(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"))), F.lit('", "content": [1]}')))
+        .otherwise(call("calculate", F.lit("{}")))
+    )
+    role = F.element_at(F.array(*map(F.lit, ("user", "assistant", "tool", "assistant"))), (F.col("turn") % 4 + 1).cast("int"))
+    out = chat_format.format_chats(c.select("conv_id", "turn", role.alias("role"), text.alias("text")))
+    return out.select("conv_id", "turn", "item", "role", "kind", "call_id", "status", "linked_turn", "anchor", "depth", F.sha2("json", 256).alias("json_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,6 +82,24 @@ SELECT conv_id, turn, 0 AS item, role, 'message' AS kind, CAST(NULL AS VARCHAR)
 FROM conversations
 """
 
+TOOL_CALLS_SQL = r"""
+WITH c AS (SELECT DISTINCT conv_id, turn, turn % 4 AS m FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+i AS (
+  SELECT c.*, 0 AS item, 'user' AS role, 'message' AS kind, NULL AS call_id, 'ok' AS status, NULL AS linked_turn, turn AS anchor, 0 AS depth,
+    '{"content":"hello ' || conv_id || '","role":"user"}' AS json FROM c WHERE m = 0
+  UNION ALL SELECT c.*, 0, 'assistant', 'message', NULL, 'ok', NULL, turn, 0, '{"content":null,"role":"assistant"}' FROM c WHERE m IN (1, 3)
+  UNION ALL SELECT c.*, 1, 'assistant', 'call', 'c' || c.turn, CASE WHEN c.conv_id % 5 > 0 AND n.turn IS NOT NULL THEN 'ok' ELSE 'unanswered' END, CASE WHEN c.conv_id % 5 > 0 THEN n.turn END, c.turn, 1,
+    '{"arguments":{"limit":3,"query":"' || CASE WHEN c.conv_id % 3 = 0 AND c.turn >= 4 THEN '$c' || (c.turn - 4) ELSE 'q' || c.conv_id END || '"},"id":"c' || c.turn || '","name":"search","type":"call"}'
+    FROM c LEFT JOIN c n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1 WHERE c.m = 1
+  UNION ALL SELECT c.*, 0, 'tool', 'result', CASE WHEN c.conv_id % 5 = 0 THEN 'zz' ELSE 'c' || (c.turn - 1) END, CASE WHEN c.conv_id % 5 > 0 AND b.turn IS NOT NULL THEN 'ok' ELSE 'orphan' END, CASE WHEN c.conv_id % 5 > 0 THEN b.turn END,
+    CASE WHEN c.conv_id % 5 > 0 AND b.turn IS NOT NULL THEN b.turn ELSE c.turn END, CASE WHEN c.conv_id % 5 > 0 AND b.turn IS NOT NULL THEN 2 ELSE 0 END,
+    '{"content":[1],"role":"tool","tool_call_id":"' || CASE WHEN c.conv_id % 5 = 0 THEN 'zz' ELSE 'c' || (c.turn - 1) END || '"}'
+    FROM c LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1 WHERE c.m = 2
+  UNION ALL SELECT c.*, 1, 'assistant', 'call', 'c' || turn, 'invalid: missing expression', NULL, turn, 1, '{"arguments":{},"id":"c' || turn || '","name":"calculate","type":"call"}' FROM c WHERE m = 3
+)
+SELECT conv_id, turn, item, role, kind, call_id, status, linked_turn, anchor, depth, sha256(json) AS json_sha256 FROM i
+"""
+
 OP7_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -113,9 +148,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shingle_join": op4_shingle_join,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
+    "tool_calls": tool_calls,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_vector_join": op9_vector_join,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL}
