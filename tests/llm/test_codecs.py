@@ -112,6 +112,18 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_repeated_rows_and_long_words(spark):
+    long = "z9" * 40_000
+    df = spark.createDataFrame([(1, "a b", "x", "y"), (1, "a b", "x", "y"), (None, None, None, None), (None, "a b", None, None), (2, f"{long} {long}", "x", "y")], DOC)
+    got = packing.pack(df).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    whole.no_truncation()
+    sizes = Counter((r["doc_id"], r["piece"]) for r in got)
+    assert sizes[1, 0] == 2 and sizes[None, 0] == 2
+    assert sum(r["length"] for r in got if r["doc_id"] == 2) == len(whole.encode(f"{long} {long}", add_special_tokens=False).ids) + 1
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
 def test_base_scores_and_better_than_base(spark):
     rng = random.Random(9)
     tongues = [[f"{a}{b}" for a in "bcdfg" for b in ("a", "eo", "i")], [f"{a}{b}" for a in "lmnpr" for b in ("é", "ou", "ä")]]

@@ -63,6 +63,14 @@ def test_exact(spark, colliding):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_with_a_hot_text_and_a_very_long_one(spark):
+    long = "ab " * 400_000
+    rows = [(i, "hot  text" if i % 3 else "hot text", "x", "y") for i in range(900)] + [(i, f"own {i}", "x", "y") for i in range(900, 1000)] + [(2000, long, "x", "y"), (2001, long.replace(" ", ""), "x", "y")]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, DOC).repartition(7), capacity=20).collect()}
+    assert {(r["keep_id"], r["group_size"]) for i, r in got.items() if i < 900} == {(1, 900)}
+    assert got[2001]["keep_id"] == 2000 and not got[2001]["kept"] and sum(r["kept"] for r in got.values()) == 102
+
+
 def test_directory_splits(spark):
     rng = random.Random(1)
     keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)] + [5] * 400 + [rng.randrange(1 << 50) for _ in range(300)]

@@ -254,3 +254,24 @@ def test_chats_that_json_cannot_hold(spark):
     assert kinds[0, 1][0] == kinds[2, 1][0] == "call" and kinds[1, 0] == kinds[3, 0] == kinds[4, 0] == ("message", "ok") and (1, 1) not in kinds
     assert sorted(r["status"] for r in got if r["conv_id"] == 0 and r["item"]) == ["invalid: arguments are no object"] * 2
     assert max(len(r["json"]) for r in got) > 1_000_000
+
+
+def test_pipeline_of_empty_tables_and_of_documents_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "a b", "en", "s", 3), (2, " ", None, None, None)])):
+        d = tmp_path / name
+        frame = spark.createDataFrame(rows, DOC).withColumn("row", F.lit("x")).withColumn("score", F.lit(1))
+        frame.write.parquet(str(d / "documents.parquet"))
+        labels.write.parquet(str(d / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(d)).collect()
+        assert sorted(r["length"] for r in got) == ([] if name == "none" else [1, 3])
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    rows, labels = toxic_corpus(60)
+    docs = spark.createDataFrame([*rows, (500, "w1 " * 200_000 + "vile", "en", "s", 0)], DOC)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), bits=12)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, bits=12).collect()}
+    assert len(got) == 61 and 0 <= got[500] <= 1
