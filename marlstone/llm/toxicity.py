@@ -191,11 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18,
     within = [r["doc_id"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if total <= sample_words]
     if len(within) < len(sizes):
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in within], "doc_id long")), "doc_id", "left_semi")
-    rows = sorted(rows.collect(), key=lambda r: zlib.crc32(b"order%d" % r["doc_id"]))
-    if len({r["toxic"] for r in rows}) < 2:
+    rows = [(zlib.crc32(b"order%d" % r["doc_id"]), r["doc_id"], r["toxic"], r["lang"], r["words"]) for r in rows.toLocalIterator()]  # a partition's at a time
+    rows.sort(key=lambda r: r[:2])
+    if len({r[2] for r in rows}) < 2:
         return None
-    words = [np.frombuffer(r["words"], "<i4").reshape(-1, 2) for r in rows]
-    y = np.array([r["toxic"] for r in rows], float)
+    words = [np.frombuffer(r[4], "<i4").reshape(-1, 2) for r in rows]
+    y = np.array([r[2] for r in rows], float)
     held = np.arange(len(rows)) % 4 == 3
     if not 0 < y[~held].sum() < (~held).sum():
         held[:] = False
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18,
         late = np.flatnonzero(held)
         scores = np.array([score_rows(model, [words[i]])[0] for i in late])
         model.threshold = calibrated(scores, y[late] > 0, model.threshold)
-        spoken = np.array([rows[i]["lang"] or "" for i in late])
+        spoken = np.array([rows[i][3] or "" for i in late])
         for name in sorted(set(spoken) - {""}):
             own = spoken == name
             model.thresholds[str(name)] = calibrated(scores[own], y[late][own] > 0, model.threshold)
