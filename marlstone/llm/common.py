@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,26 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
+
 #: ASCII white space, as the contracts define it.
 SPACES = " \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z only.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, for local masters only; it goes when Python ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder they share")
-        folder = tempfile.mkdtemp(prefix="marlstone-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later stages restart from the files."""
     spark = df.sparkSession
