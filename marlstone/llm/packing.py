@@ -79,20 +79,20 @@ class WordEncoder:
         try:
             return b"".join([ids[w] for w in words])
         except KeyError:
-            out, long = [], {}  # long words are kept for the text only
-            for w in words:
-                found = ids.get(w) or long.get(w)
-                if found is None:
-                    found = self.elder.get(w) or self.word(w)
-                    if len(w) > _LONGEST:
-                        long[w] = found
-                    else:
-                        if len(ids) > _CACHED:
-                            self.elder, self.ids = ids, {}
-                            ids = self.ids
-                        ids[w] = found
-                out.append(found)
-            return b"".join(out)
+            if len(ids) > _CACHED:
+                self.elder, self.ids = ids, {}
+                ids = self.ids
+            elder, missing = self.elder, set(words).difference(ids)
+            many, own = len(missing) > _CACHED // 4, {}  # what is kept for the text only
+            for w in missing:
+                found = elder.get(w) or self.word(w)
+                if many or len(w) > _LONGEST:
+                    own[w] = found
+                else:
+                    ids[w] = found
+            if own:
+                return b"".join([own[w] if w in own else ids[w] for w in words])
+            return b"".join([ids[w] for w in words])
 
 
 def encoder(name: str) -> WordEncoder:
