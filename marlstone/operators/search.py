@@ -57,13 +57,9 @@ def field_tokens(nodes: DataFrame) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """Every term of every field with its count: a field's tokens are counted where they are, without a shuffle."""
-    fields = field_tokens(nodes).select("node", "field", F.size("toks").alias("size"), F.array_sort("toks").alias("toks"))
-    # Of the sorted tokens, the last places of each: their distances are the counts.
-    ends = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("at"), F.coalesce(F.get("toks", i + 1) != t, F.lit(True)).alias("last"))), lambda x: x["last"])
-    fields = fields.withColumn("ends", ends)
-    each = F.transform("ends", lambda x, i: F.struct(x["term"].alias("term"), (x["at"] - F.when(i > 0, F.get("ends", i - 1)["at"]).otherwise(-1)).cast("long").alias("tf")))
-    return fields.select("node", "field", "size", F.explode(each).alias("e")).select("e.term", "node", "field", "e.tf", "size")
+    """Every term of every field with its count."""
+    words = field_tokens(nodes).select("node", "field", F.size("toks").alias("size"), F.explode("toks").alias("term"))
+    return words.groupBy("term", "node", "field", "size").agg(F.count("*").alias("tf")).select("term", "node", "field", "tf", "size")
 
 
 def field_sizes(nodes: DataFrame) -> DataFrame:
