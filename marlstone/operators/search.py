@@ -73,7 +73,7 @@ def index_of(nodes: DataFrame) -> Index:
 
 def by_term(table: DataFrame) -> DataFrame:
     """The postings as they should be stored."""
-    return table.repartitionByRange("term", "node").sortWithinPartitions("term", "node")
+    return table.sortWithinPartitions("term", "node")
 
 
 def occurrences(index: Index, terms: DataFrame) -> DataFrame:
