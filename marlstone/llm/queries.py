@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, context_mixing, exact_dedup, packing, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
+from . import bpe, chat_format, collocations, context_mixing, exact_dedup, packing, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents")).drop("k")
+
+
 # The table holds plain messages only: no tool calls, no results.
 OP6_SQL = r"""
 SELECT conv_id, turn, 0 AS item, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, CAST(NULL AS BIGINT) AS linked_turn,
@@ -141,6 +145,38 @@ SELECT c.vec_id, count(l.b) AS n_links, c.component_id, c.vec_id = c.component_i
 FROM c LEFT JOIN l ON l.a = c.vec_id GROUP BY c.vec_id, c.component_id
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i : array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3)) d(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS n FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(n) AS total FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10
+), parts AS (
+  SELECT lang, k, phrase, n, cut_at, array_to_string(w[1:cut_at], ' ') AS head, array_to_string(w[cut_at + 1:], ' ') AS rest FROM c, (VALUES (1), (2)) d(cut_at) WHERE cut_at < k
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.n AS a, cut_at, x.n AS l, y.n AS r, (1000000 * c.n * c.n) // (x.n * y.n) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = rest
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1
+), held AS (
+  SELECT c.lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, n FROM c WHERE k = 3
+), longest AS (
+  SELECT lang, phrase, max(n) AS longest FROM held GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longest USING (lang, phrase) WHERE b.k = 3 OR longest IS NULL OR 100 * longest < 50 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(total AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -153,5 +189,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_vector_join": op9_vector_join,
     "op10_url_filter": op10_url_filter,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL, "op13_collocations": OP13_SQL}
