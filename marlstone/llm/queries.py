@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, collocations, context_mixing, exact_dedup, packing, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
+from . import bpe, chat_format, collocations, context_mixing, exact_dedup, lexical_search, packing, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents")).drop("k")
 
@@ -145,6 +149,26 @@ SELECT c.vec_id, count(l.b) AS n_links, c.component_id, c.vec_id = c.component_i
 FROM c LEFT JOIN l ON l.a = c.vec_id GROUP BY c.vec_id, c.component_id
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), s AS (
+  SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(t)) AS BIGINT) AS ll FROM d WHERE len(t) > 0
+), p AS (
+  SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, nn
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
+
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
@@ -189,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_vector_join": op9_vector_join,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
     "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL, "op13_collocations": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_collocations": OP13_SQL}
