@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, collocations, context_mixing, exact_dedup, lexical_search, packing, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
+from . import bpe, chat_format, collocations, context_mixing, exact_dedup, lexical_search, packing, relative_lz, shingle_join, suffix_dedup, toxicity, url_filter, vector_join
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.remove_earlier(table(spark, sf_dir, "documents"), with_text=False).drop("n_factors")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents")).drop("k")
 
@@ -169,6 +173,23 @@ WITH d AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS j FROM d WHERE len(w) >= 20
+), f AS (
+  SELECT doc_id, j, row_number() OVER (PARTITION BY array_to_string(w[j:j + 19], ' ') ORDER BY doc_id, j) > 1 AS again FROM s
+), p AS (
+  SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d
+), c AS (
+  SELECT p.*, coalesce(bool_or(coalesce(again, false)) OVER (PARTITION BY p.doc_id ORDER BY p.j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.j = p.j
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
@@ -214,6 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_join": op9_vector_join,
     "op10_url_filter": op10_url_filter,
     "op11_lexical_search": op11_lexical_search,
+    "op12_relative_lz": op12_relative_lz,
     "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_collocations": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "tool_calls": TOOL_CALLS_SQL, "op7_exact_dedup": OP7_SQL, "op9_vector_join": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_relative_lz": OP12_SQL, "op13_collocations": OP13_SQL}
