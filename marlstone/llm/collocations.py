@@ -30,9 +30,10 @@ _PIECES = bytes(_CUT[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else LOWER[c] for c in
 #: Words of a shard, and bytes of a text that are split at once.
 _SHARD = 1 << 21
 _SLICE = 1 << 20
-#: Bits that tell frequent paths.
-_BITS = 1 << 26
-_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("slot", pa.int64()), ("n", pa.int64())])
+#: Bits that tell frequent paths, and what the slot of a path is multiplied by before its last word's hash is added.
+_BITS, _STEP = 1 << 26, 40503
+#: A path is the language, a line break (which no word has), and the words.
+_ROWS = pa.schema([("path", pa.string()), ("n", pa.int64())])
 
 
 def slices(text: bytes) -> Iterator[bytes]:
@@ -75,7 +76,8 @@ class Shard:
             if k == depth - 1 and frequent is not None:
                 alive = alive & ((frequent[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1)
             alive = alive[:-1] & alive[1:]
-            slot = (slot[:-1] * np.uint64(40503) + code[k:]) % np.uint64(_BITS)
+            if k < depth - 1:
+                slot = (slot[:-1] * np.uint64(_STEP) + code[k:]) % np.uint64(_BITS)
         at = np.flatnonzero(alive)
         node = word[at]
         for k in range(1, depth):
@@ -84,10 +86,10 @@ class Shard:
             _, first, n = np.unique(node, return_index=True, return_counts=True)
         at = at[first]
         names = pa.array(order[:-1], pa.binary()).cast(pa.string())
-        phrase = names.take(pa.array(word[at]))
+        path = pc.binary_join_element_wise(self.lang, names, "\n").take(pa.array(word[at]))
         for k in range(1, depth):
-            phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(word[at + k])), " ")
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(at), pa.string()), phrase, pa.array(slot[at].astype(np.int64)), pa.array(n)], schema=_ROWS)
+            path = pc.binary_join_element_wise(path, names.take(pa.array(word[at + k])), " ")
+        return pa.RecordBatch.from_arrays([path, pa.array(n)], schema=_ROWS)
 
 
 def _levels(depth: int, frequent: np.ndarray | None):
@@ -115,6 +117,12 @@ def _levels(depth: int, frequent: np.ndarray | None):
     return run
 
 
+def slot_of(lang: str, phrase: str) -> Column:
+    """The slot of a path, as the shards count it."""
+    code = lambda w: F.crc32(F.concat(lang, w).cast("binary"))
+    return F.aggregate(F.split(phrase, " "), F.lit(0).cast("long"), lambda slot, w: (slot * _STEP + code(w)) % _BITS)
+
+
 def bits_of(paths: DataFrame) -> np.ndarray:
     """The bits of the paths' slots: a fixed number, whatever the number of paths."""
     found = paths.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
@@ -136,18 +144,20 @@ def _cut_scores(words: int) -> Column:
 
 
 def count_phrases(docs: DataFrame, max_words: int = 3, least: int = 10) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, total) of all word occurrences, and of each level 1 to max_words the paths (lang, phrase, slot, n) that occur at least `least` times."""
+    """(lang, total) of all word occurrences, and of each level 1 to max_words the paths (lang, phrase, n) that occur at least `least` times."""
     base = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     totals, levels, frequent = None, [], None
     for depth in range(1, max_words + 1):
-        rows = materialise(base.mapInArrow(_levels(depth, frequent), "lang string, phrase string, slot long, n long"), "shard-tries")
+        rows = materialise(base.mapInArrow(_levels(depth, frequent), "path string, n long"), "shard-tries")
+        phrase = F.substring_index("path", "\n", -1)
+        lang = F.substr("path", F.lit(1), F.length("path") - F.length(phrase) - 1).alias("lang")
         if totals is None:
-            totals = materialise(rows.groupBy("lang").agg(F.sum("n").alias("total")), "words-of-languages")
-        merged = rows.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.min("slot").alias("slot"), F.sum("n").alias("n"))
-        levels.append(materialise(merged.where(F.col("n") >= least), "merged-trie"))
+            totals = materialise(rows.groupBy(lang).agg(F.sum("n").alias("total")), "words-of-languages")
+        merged = rows.repartitionByRange("path").groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        levels.append(materialise(merged.select(lang, phrase.alias("phrase"), "n"), "merged-trie"))
         forget(rows)
         if depth < max_words:
-            frequent = bits_of(levels[-1])
+            frequent = bits_of(levels[-1].select(slot_of("lang", "phrase").alias("slot")))
     return totals, levels
 
 
