@@ -1,6 +1,6 @@
 """Price series: returns, drawdown, volume, fire flags, regime and hurdle.
 
-Every window is partitioned by ticker (or by the pair of a panel), so series run side by side.
+Windows are partitioned by ticker, so series run side by side, and those of a panel of two series by chunk besides (`scan`).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import daily_rate, hurdle
+from .scan import CHUNK, chunked, in_chunk, numbered
 
 
 def by_date(partition: str = "ticker") -> Window:
@@ -49,19 +50,21 @@ def cash_equity(bars: DataFrame, rate_pct: float) -> DataFrame:
     return bars.withColumn("equity", F.pow(1 + daily_rate(F.lit(rate_pct)), F.row_number().over(by_date())))
 
 
-def panel(bars: DataFrame, equity: str = "EQ", bond: str = "BD") -> DataFrame:
+def panel(bars: DataFrame, equity: str = "EQ", bond: str = "BD", size: int = CHUNK) -> DataFrame:
     """One row per date both have: closes, returns, volume and its trailing mean, position i from 0."""
-    a = bars.where(F.col("ticker") == equity).select("date", F.col("close").alias("eq_close"), F.col("volume").alias("eq_volume"))
-    b = bars.where(F.col("ticker") == bond).select("date", F.col("close").alias("bd_close"))
-    joined = a.join(b, "date").withColumn("pair", F.lit(f"{equity}/{bond}"))
-    w, before = Window.partitionBy("pair").orderBy("date"), Window.partitionBy("pair").orderBy("date").rowsBetween(-20, -1)
-    return joined.select(
+    a = bars.where(F.col("ticker") == equity).select("date", F.col("ticker").alias("of"), F.col("close").alias("eq_close"), F.col("volume").alias("eq_volume"))
+    b = bars.where(F.col("ticker") == bond).select("date", F.col("ticker").alias("against"), F.col("close").alias("bd_close"))
+    joined = a.join(b, "date").withColumn("pair", F.concat_ws("/", "of", "against"))
+    rows = chunked(numbered(joined, ["pair"]), 20, size)
+    w = in_chunk(["pair"])
+    before = w.rowsBetween(-20, -1)
+    return rows.select(
         "pair", "date", "eq_close", "bd_close", "eq_volume",
         (F.col("eq_close") / F.lag("eq_close").over(w) - 1).alias("eq_ret"),
         (F.col("bd_close") / F.lag("bd_close").over(w) - 1).alias("bd_ret"),
         F.when(F.count("eq_volume").over(before) == 20, F.avg("eq_volume").over(before)).alias("volume_avg"),
-        (F.row_number().over(w) - 1).alias("i"),
-    )
+        "i", "inside",
+    ).where("inside").drop("inside")
 
 
 def fire_flags(p: DataFrame, move: float = 0.01, volume_times: float = 1.5) -> DataFrame:

@@ -78,16 +78,16 @@ m AS (SELECT period, signal, hold, exp((arg_max(log_equity, i) - arg_min(log_equ
 R = lambda c: f"floor({c} * 1e6 + 0.5) / 1e6 AS {c}"
 
 
-def sweep_runs(spark, d):
-    return backtest.runs(flags(spark, d), HOLDS)
+def exposed(spark, d):
+    return backtest.exposure(backtest.runs(flags(spark, d), HOLDS), RATE, max(HOLDS))
 
 
-query("win08_trades", TRADE_SQL + f"SELECT signal, hold, trade, entry_date, exit_date, entry_price, exit_price, trade_return, {R('cash_return')} FROM tr")(lambda spark, d: backtest.trades(sweep_runs(spark, d), RATE).select("signal", "hold", "trade", "entry_date", "exit_date", "entry_price", "exit_price", "trade_return", r6(F.col("cash_return")).alias("cash_return")))
-query("win08_equity", TRADE_SQL + f"SELECT signal, hold, date, exposed, {R('log_equity')} FROM x")(lambda spark, d: backtest.exposure(sweep_runs(spark, d), RATE).select("signal", "hold", "date", "exposed", r6(F.col("log_equity")).alias("log_equity")))
-query("win09_time_in_market", TRADE_SQL + f"SELECT signal, hold, {R('time_in_market')} FROM m")(lambda spark, d: backtest.exposure(sweep_runs(spark, d), RATE).groupBy("signal", "hold").agg(r6(F.avg(F.col("exposed").cast("double"))).alias("time_in_market")))
+query("win08_trades", TRADE_SQL + f"SELECT signal, hold, trade, entry_date, exit_date, entry_price, exit_price, trade_return, {R('cash_return')} FROM tr")(lambda spark, d: backtest.trades(exposed(spark, d), RATE).select("signal", "hold", "trade", "entry_date", "exit_date", "entry_price", "exit_price", "trade_return", r6(F.col("cash_return")).alias("cash_return")))
+query("win08_equity", TRADE_SQL + f"SELECT signal, hold, date, exposed, {R('log_equity')} FROM x")(lambda spark, d: exposed(spark, d).select("signal", "hold", "date", "exposed", r6(F.col("log_equity")).alias("log_equity")))
+query("win09_time_in_market", TRADE_SQL + f"SELECT signal, hold, {R('time_in_market')} FROM m")(lambda spark, d: exposed(spark, d).groupBy("signal", "hold").agg(r6(F.avg(F.col("exposed").cast("double"))).alias("time_in_market")))
 for key, name in (("agg09_cagr", "cagr"), ("agg10_sharpe", "sharpe"), ("agg11_max_drawdown", "max_dd")):
     scale = "1e3" if name == "cagr" else "1e6"
-    query(key, TRADE_SQL + f"SELECT signal, hold, floor({name} * {scale} + 0.5) / {scale} AS {name} FROM m")(lambda spark, d, name=name, scale=float(scale): backtest.metrics(backtest.exposure(sweep_runs(spark, d), RATE), RATE).select("signal", "hold", (F.floor(F.col(name) * scale + 0.5) / scale).alias(name)))
+    query(key, TRADE_SQL + f"SELECT signal, hold, floor({name} * {scale} + 0.5) / {scale} AS {name} FROM m")(lambda spark, d, name=name, scale=float(scale): backtest.metrics(exposed(spark, d), RATE).select("signal", "hold", (F.floor(F.col(name) * scale + 0.5) / scale).alias(name)))
 query("agg12_strategy", TRADE_SQL + "SELECT m.signal, m.hold, coalesce(count(trade), 0) AS n_trades, floor(coalesce(avg(CASE WHEN trade IS NULL THEN NULL WHEN trade_return > cash_return THEN 1.0 ELSE 0.0 END), 0) * 1e6 + 0.5) / 1e6 AS win_rate, floor(coalesce(avg(trade_return), 0) * 1e6 + 0.5) / 1e6 AS avg_return FROM m LEFT JOIN tr ON m.signal = tr.signal AND m.hold = tr.hold GROUP BY 1, 2")(lambda spark, d: backtest.sweep(flags(spark, d), HOLDS, RATE).select("signal", "hold", "n_trades", r6(F.col("win_rate")).alias("win_rate"), r6(F.col("avg_return")).alias("avg_return")))
 PERIODS = {"full": (None, None), "before_1998": (None, "1997-12-31"), "from_1998": ("1998-01-01", None)}
 SWEEP_HOLDS = [1, 2, 3, 5, 10, 20, 40, 60, 90]
@@ -116,7 +116,7 @@ def swept(spark, d):
 
 
 query("agg13_sweep", SWEEP_SQL)(swept)
-query("src24_trades_csv", TRADE_SQL + "SELECT concat_ws(',', signal, CAST(hold AS VARCHAR), CAST(entry_date AS VARCHAR), CAST(exit_date AS VARCHAR)) AS line FROM tr")(lambda spark, d: tables.csv_lines(backtest.trades(sweep_runs(spark, d), RATE), ["signal", "hold", "entry_date", "exit_date"]))
+query("src24_trades_csv", TRADE_SQL + "SELECT concat_ws(',', signal, CAST(hold AS VARCHAR), CAST(entry_date AS VARCHAR), CAST(exit_date AS VARCHAR)) AS line FROM tr")(lambda spark, d: tables.csv_lines(backtest.trades(exposed(spark, d), RATE), ["signal", "hold", "entry_date", "exit_date"]))
 
 # --- screening
 SCORES_SQL = """

@@ -1,13 +1,14 @@
 """Series, regimes, back-tests and screening against hand-computed values."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalar
-from marlstone.operators import backtest, screener, series
+from marlstone.operators import backtest, scan, screener, series
 
 START = dt.date(2024, 1, 1)
 BARS = "ticker string, date date, close double, volume bigint"
@@ -75,20 +76,48 @@ def test_trades_equal_a_sequential_run(spark):
         closes.append(closes[-1] * (1 + rng.uniform(-0.05, 0.05)))
     fires = [rng.random() < 0.08 for _ in closes]
     fires[-1] = True
-    rows = [("p", START + dt.timedelta(days=i), c, (c / closes[i - 1] - 1 if i else None), f, False, f) for i, (c, f) in enumerate(zip(closes, fires, strict=True))]
-    flags = spark.createDataFrame(rows, "pair string, date date, eq_close double, eq_ret double, big_blue_day boolean, capitulation boolean, combined boolean")
-    for hold in (1, 5, 20):
-        r = backtest.runs(flags, [hold], signals=("combined",))
-        trades, inside = sequential(fires, closes, hold, 4)
-        got = backtest.trades(r, 4.0).orderBy("entry_i").collect()
-        assert [(x["entry_i"], x["exit_i"]) for x in got] == [t[:2] for t in trades]
-        assert [x["trade_return"] for x in got] == pytest.approx([t[2] for t in trades])
-        assert [x["exposed"] for x in backtest.exposure(r, 4.0).orderBy("i").collect()] == inside
+    rows = [("p", i, START + dt.timedelta(days=i), c, (c / closes[i - 1] - 1 if i else None), f, False, f) for i, (c, f) in enumerate(zip(closes, fires, strict=True))]
+    flags = spark.createDataFrame(rows, "pair string, i long, date date, eq_close double, eq_ret double, big_blue_day boolean, capitulation boolean, combined boolean")
+    r = backtest.runs(flags, [1, 5, 20], signals=("combined",))
+    for size in (150, 75, 22):  # 1, 2 and 7 chunks
+        x = backtest.exposure(r, 4.0, 20, size).cache()
+        assert x.select("chunk").distinct().count() == -(-150 // size)
+        dates, found = x.orderBy("i").collect(), backtest.trades(x, 4.0).orderBy("entry_i").collect()
+        figures = {m["hold"]: m for m in backtest.metrics(x, 4.0).collect()}
+        for hold in (1, 5, 20):
+            trades, inside = sequential(fires, closes, hold, 4)
+            got = [t for t in found if t["hold"] == hold]
+            assert [(t["entry_i"], t["exit_i"]) for t in got] == [t[:2] for t in trades] and [t["trade"] for t in got] == list(range(1, len(got) + 1))
+            assert [t["trade_return"] for t in got] == pytest.approx([t[2] for t in trades])
+            assert [d["exposed"] for d in dates if d["hold"] == hold] == inside
+            equity, peak, down = 1.0, 0.0, 0.0
+            for i, d in enumerate(d for d in dates if d["hold"] == hold):
+                equity *= closes[i] / closes[i - 1] if inside[i] else 1.04 ** (1 / 252)
+                assert d["log_equity"] == pytest.approx(math.log(equity))
+                peak = max(peak, equity)
+                down = min(down, equity / peak - 1)
+            assert figures[hold]["max_dd"] == pytest.approx(down) and figures[hold]["time_in_market"] == pytest.approx(sum(inside) / 150)
+
+
+def test_panel_is_the_same_in_any_chunks(spark):
+    rng = random.Random(8)
+    bars = spark.createDataFrame(ramp("EQ", [100 + rng.random() for _ in range(150)], [100 + rng.randrange(90) for _ in range(150)]) + ramp("BD", [100 + rng.random() for _ in range(150)]), BARS)
+    one, two, seven = (series.panel(bars, size=n).orderBy("date").collect() for n in (150, 75, 22))
+    assert one == two == seven
+    assert [r["i"] for r in one] == list(range(150)) and one[0]["eq_ret"] is None and one[19]["volume_avg"] is None and one[20]["volume_avg"] == pytest.approx(sum(r["eq_volume"] for r in one[:20]) / 20)
+
+
+def test_gaps_between_chunks_and_short_series(spark):
+    days = [0, 1, 400, 401, 2000, 2001, 2002]
+    rows = [(k, START + dt.timedelta(days=d), float(n)) for k, ds in (("a", days), ("b", days[:1])) for n, d in enumerate(ds)]
+    x = scan.chunked(scan.numbered(spark.createDataFrame(rows, "k string, date date, v double").repartition(3), ["k"]), 0, 2)
+    got = scan.running(x, ["k"], {"total": F.col("v")}, {"most": -F.col("v")}).orderBy("k", "i").collect()
+    assert [(r["k"], r["i"], r["total"], r["most"]) for r in got] == [("a", n, n * (n + 1) / 2, 0.0) for n in range(7)] + [("b", 0, 0.0, 0.0)]
 
 
 def test_constant_returns_have_no_sharpe(spark):
-    rows = [("full", "cash", 1, START + dt.timedelta(days=i), i * 0.0001) for i in range(300)]
-    m = backtest.metrics(spark.createDataFrame(rows, "period string, signal string, hold int, date date, log_equity double"), 4.0).first()
+    rows = [("p", "full", "cash", 1, i, i // 100, START + dt.timedelta(days=i), 0.0001, i * 0.0001) for i in range(300)]
+    m = backtest.metrics(spark.createDataFrame(rows, "pair string, period string, signal string, hold int, i long, chunk long, date date, factor double, log_equity double"), 4.0).first()
     assert m["sharpe"] == 0 and m["max_dd"] == 0
 
 
