@@ -1,6 +1,6 @@
-"""Filings: HTML and XML to text, sections, pointers and their recovery, chunks, submission feeds and routing.
+"""Filings: HTML to text, generic sections, pointers and their recovery, submission feeds and routing.
 
-Free-form documents are parsed once, in Arrow batches, by the functions of `documents`; all that follows is DataFrame work on typed rows.
+HTML is parsed once, in Arrow batches, by the functions of `documents`; all that follows is DataFrame work on typed rows.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ RAW_FORMS = ["ARS"]
 # Priority by form.
 PRIORITY = {"10-K": 1, "10-Q": 1, "20-F": 1, "40-F": 1, "DEF 14A": 2, "DEFA14A": 2, "DEF 14C": 2, "8-K": 2, "3": 3, "4": 3, "5": 3}
 CORE_FORMS = ["10-K", "20-F", "40-F"]
-SECTION = T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("label", "title", "text")), *(T.StructField(c, T.IntegerType()) for c in ("char_start", "char_end")), T.StructField("is_pointer", T.BooleanType()), T.StructField("target", T.StringType())]))
-
-
 
 
 @F.pandas_udf(T.StringType())
@@ -34,21 +31,6 @@ def html_markdown(html: pd.Series) -> pd.Series:
     return html.map(documents.html_markdown)
 
 
-@F.pandas_udf(T.StringType())
-def xml_report(xml: pd.Series) -> pd.Series:
-    return xml.map(documents.xml_report)
-
-
-@F.pandas_udf(SECTION)
-def sections(content: pd.Series, form: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([documents.sections(c, f, k) for c, f, k in zip(content, form, kind, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks(text: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([documents.chunks(t, int(n)) for t, n in zip(text, tokens, strict=True)], dtype=object)
-
-
 def form_of_feed(form: Column) -> Column:
     """As the feed is searched: no spaces, upper case, amendments kept."""
     return F.upper(F.regexp_replace(form, " ", ""))
@@ -157,17 +139,19 @@ def stale_tree(current: Column, existing: Column) -> Column:
 
 
 def generic_sections(markdown: DataFrame) -> DataFrame:
-    """id, pos, label, title, text: the document cut at its shallowest heading level; all of it if it has none."""
-    lines = markdown.select("id", F.posexplode(F.split("markdown", "\n")).alias("line", "s"))
+    """id, pos, label, title, text, char_start, char_end: the document cut at its shallowest heading level; all of it if it has none."""
+    lines = markdown.select("id", F.length("markdown").alias("size"), F.posexplode(F.split("markdown", "\n")).alias("line", "s"))
     mark = F.regexp_extract("s", r"^(#{1,6})\s+\S", 1)
     lines = lines.withColumn("level", F.nullif(F.length(mark), F.lit(0)))
     whole, w = Window.partitionBy("id"), Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("top", F.min("level").over(whole)).withColumn("starts", F.coalesce(F.col("level") == F.col("top"), F.lit(False)))
-    lines = lines.withColumn("pos", F.sum(F.col("starts").cast("int")).over(w)).where("top IS NULL OR pos > 0")
-    g = lines.groupBy("id", "pos").agg(F.max(F.when(F.col("starts"), F.trim(F.regexp_replace("s", r"^#{1,6}\s+", "")))).alias("title"), F.array_sort(F.collect_list(F.when(~F.col("starts"), F.struct("line", "s")))).alias("body"))
+    lines = lines.withColumns({"pos": F.sum(F.col("starts").cast("int")).over(w), "place": F.sum(F.length("s") + 1).over(w) - F.length("s") - 1}).where("top IS NULL OR pos > 0")
+    g = lines.groupBy("id", "pos").agg(F.min("place").alias("place"), F.max("size").alias("size"), F.max(F.when(F.col("starts"), F.trim(F.regexp_replace("s", r"^#{1,6}\s+", "")))).alias("title"), F.array_sort(F.collect_list(F.when(~F.col("starts"), F.struct("line", "s")))).alias("body"))
     text = F.regexp_replace(F.array_join(F.transform("body", lambda x: x["s"]), "\n"), r"^\s+|\s+$", "")
     label = F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    return g.select("id", "pos", F.when(F.col("title").isNull(), "filing-content").when(label == "", "section").otherwise(label).alias("label"), F.coalesce("title", F.lit("Filing content")).alias("title"), text.alias("text"))
+    end = F.coalesce(F.lead("place").over(Window.partitionBy("id").orderBy("pos")), F.col("size"))
+    first = F.when(F.col("title").isNull(), F.col("pos")).otherwise(F.col("pos") - 1)  # sections are counted from 0
+    return g.select("id", first.cast("int").alias("pos"), F.when(F.col("title").isNull(), "filing-content").when(label == "", "section").otherwise(label).alias("label"), F.coalesce("title", F.lit("Filing content")).alias("title"), text.alias("text"), F.col("place").cast("int").alias("char_start"), end.cast("int").alias("char_end"))
 
 
 def header_spans(headers: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import filings, letters, theses, trees
+from ..operators import filings, letters, sections, theses, trees
+from ..operators.ownership import xml_report
 from ..sources import merge, tables
 from ..streaming import queue
 from .bindings import view
@@ -100,7 +101,7 @@ od AS (SELECT node, grp, long, u, length(u) // 4 AS size, row_number() OVER (PAR
 f AS (SELECT node, grp, idx, 1 AS c, size AS used FROM od WHERE idx = 1 UNION ALL SELECT od.node, od.grp, od.idx, CASE WHEN used + size > 200 THEN c + 1 ELSE c END, CASE WHEN used + size > 200 THEN size ELSE used + size END FROM f JOIN od ON od.node = f.node AND od.grp = f.grp AND od.idx = f.idx + 1),
 ch AS (SELECT f.node, f.grp, c, CASE WHEN any_value(long) THEN string_agg(u, ' ' ORDER BY f.idx) ELSE string_agg(u, chr(10) || chr(10) ORDER BY f.idx) END AS chunk FROM f JOIN od ON od.node = f.node AND od.grp = f.grp AND od.idx = f.idx GROUP BY f.node, f.grp, c)
 SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY grp, c) - 1 AS INT) AS pos, chunk FROM ch"""
-query("sec07_chunks", CHUNK_SQL)(lambda spark, d: view(spark, d, "nodes").select("node", F.posexplode(filings.chunks("text", F.lit(200))).alias("pos", "chunk")))
+query("sec07_chunks", CHUNK_SQL)(lambda spark, d: sections.chunks(view(spark, d, "nodes").select(F.col("node").alias("id"), "text"), 200).withColumnRenamed("id", "node"))
 query("sec08_raw_trees", "SELECT ticker, count(*) AS sections, false AS full FROM nodes GROUP BY ticker")(lambda spark, d: filings.raw_tree(view(spark, d, "nodes").groupBy("ticker").agg(F.collect_list(F.struct("label", "title", "text")).alias("sections"))).select("ticker", F.size("sections").cast("bigint").alias("sections"), "full"))
 
 
@@ -124,7 +125,7 @@ def ownership(spark, d):
     return f.select("id", F.format_string('<ownershipDocument xmlns="x"><documentType>4</documentType><issuer><issuerName>N%s</issuerName></issuer><reportingOwner><rptOwnerName>Owner %d</rptOwnerName>%s</reportingOwner><nonDerivativeTransaction><transactionShares><value>%d</value></transactionShares></nonDerivativeTransaction></ownershipDocument>', "symbol", "id", role, "quantity").alias("xml"))
 
 
-query("str09_ownership_reports", "SELECT id, '# Form 4 — Insider Transaction Report' || chr(10) || chr(10) || '## Issuer' || chr(10) || '- Name: N' || symbol || chr(10) || chr(10) || '## Reporting owner(s)' || chr(10) || '- Owner ' || id || CASE id % 3 WHEN 0 THEN ' — Director' WHEN 1 THEN ' — Director, Officer (Chief ' || account_number || ')' ELSE '' END || chr(10) || chr(10) || '## Non-derivative transactions' || chr(10) || chr(10) || '| Date | Code | Shares | Acquired/Disposed | Price | Post-tx holdings | Security |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |' || chr(10) || '| — | — | ' || quantity || ' | — | — | — | — |' || chr(10) AS report FROM fills")(lambda spark, d: ownership(spark, d).select("id", filings.xml_report("xml").alias("report")))
+query("str09_ownership_reports", "SELECT id, '# Form 4 — Insider Transaction Report' || chr(10) || chr(10) || '## Issuer' || chr(10) || '- Name: N' || symbol || chr(10) || chr(10) || '## Reporting owner(s)' || chr(10) || '- Owner ' || id || CASE id % 3 WHEN 0 THEN ' — Director' WHEN 1 THEN ' — Director, Officer (Chief ' || account_number || ')' ELSE '' END || chr(10) || chr(10) || '## Non-derivative transactions' || chr(10) || chr(10) || '| Date | Code | Shares | Acquired/Disposed | Price | Post-tx holdings | Security |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |' || chr(10) || '| — | — | ' || quantity || ' | — | — | — | — |' || chr(10) AS report FROM fills")(lambda spark, d: ownership(spark, d).select("id", xml_report("xml").alias("report")))
 query("str10_xml_values", "SELECT id, 'N' || symbol AS issuer, CAST(quantity AS VARCHAR) AS shares, id % 3 < 2 AS director FROM fills")(lambda spark, d: ownership(spark, d).select("id", F.xpath_string(F.replace("xml", F.lit(' xmlns="x"'), F.lit("")), F.lit("//issuer/issuerName")).alias("issuer"), F.xpath_string(F.replace("xml", F.lit(' xmlns="x"'), F.lit("")), F.lit("//transactionShares/value")).alias("shares"), F.lower(F.xpath_string(F.replace("xml", F.lit(' xmlns="x"'), F.lit("")), F.lit("//isDirector"))).isin("1", "true", "yes").alias("director")))
 
 # --- theses

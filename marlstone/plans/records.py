@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import records, scalar
-from ..operators import filings, letters, screener, search, theses, timing, trees
+from ..operators import filings, letters, screener, search, sections, theses, timing, trees
 from ..sources import scratch, tables
 from ..streaming import queue
 from . import finding
@@ -123,8 +123,8 @@ UNION ALL SELECT node, 0, 'filing-content', 'Filing content', 'Item 1. Business
 
 
 def report_sections(spark, d, form, kind="html"):
-    r = reports(spark, d).select("node", F.posexplode(filings.sections("content", F.lit(form), F.lit(kind))).alias("pos", "s"))
-    return r.select("node", "pos", "s.label", "s.title", "s.text", "s.target")
+    found = sections.sections(reports(spark, d).select(F.col("node").alias("id"), "content", F.lit(form).alias("form"), F.lit(kind).alias("kind")))
+    return found.select(F.col("id").alias("node"), "pos", "label", "title", "text", "target")
 
 
 query("sec01_curated_sections", f"WITH {CURATED_SQL} SELECT node, pos, label, title, text, target FROM rp WHERE label <> 'filing-content'")(lambda spark, d: report_sections(spark, d, "10-K").where("label <> 'filing-content'"))

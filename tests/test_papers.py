@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import documents, filings, search, theses, trees
+from marlstone.operators import documents, filings, ownership, search, sections, theses, trees
 from marlstone.streaming import queue
 
 PROSE = "We design and sell products in many places and this sentence goes on to be long enough for a body. " * 8
@@ -17,15 +19,36 @@ def report(contents=True):
     return toc + f"PART I\nItem 1. Business\n{PROSE}\nItem 1A. Risk Factors\n{PROSE} as told in Item 7, Management's Discussion and Analysis, and so on. {PROSE}\nItem 7. Management's Discussion and Analysis\n{PROSE}\nItem 8. Financial Statements\nSee pages 50 to 80.\nItem 9. Other\n{PROSE}"
 
 
-def test_curated_sections():
-    got = documents.curated_sections(report())
-    assert [s["label"] for s in got] == ["business", "risk_factors", "mdna", "financial_statements"]
-    assert got[1]["text"].count("products") >= 16 and got[3]["target"] == "unknown" and not got[0]["is_pointer"]
+def found(spark, rows):
+    """Sections of (content, form, kind) by the row's number."""
+    df = spark.createDataFrame([(n, *row) for n, row in enumerate(rows)], "id long, content string, form string, kind string")
+    out = {}
+    for r in sections.sections(df).orderBy("id", "pos").collect():
+        out.setdefault(r["id"], []).append(r)
+    return out
 
 
-def test_contents_alone_give_no_sections():
-    assert documents.curated_sections("Item 1. Business 4 - 9\nItem 1A. Risk Factors 10 - 24\n") == []
-    assert documents.sections("<p>Item 1. Business 4 - 9</p>", "10-K")[0]["label"] == "filing-content"
+def test_curated_sections(spark):
+    unlike = "PART I\nlineitem 1 business\n" + PROSE + "\nItem 1a.\nRisk\u00a0Factors\n(quoted) " + PROSE + "\nPART II Item 7: Management item 7. Analysis\n" + PROSE
+    rows = [(f"<pre>{report()}</pre>", "10-K", "html"), (None, None, None), ("<p>Item 1. Business 4 - 9</p>", "10-K", None), (f"<pre>{unlike}</pre>", " 10-q/a ", "html"), (f"<pre>{report(False)}</pre>", "10-K", "html"), ("# a\nItem 1. Business", "10-K", "text")]
+    got = found(spark, rows)
+    assert [s["label"] for s in got[0]] == ["business", "risk_factors", "mdna", "financial_statements"]
+    assert got[0][1]["text"].count("products") >= 16 and got[0][3]["target"] == "unknown" and not got[0][0]["is_pointer"]
+    text = documents.html_text(f"<pre>{report()}</pre>")
+    for s in got[0]:
+        assert text[s["char_start"] : s["char_end"]].strip() == f"{s['title']}\n{s['text']}"
+    assert got[1][0]["label"] == "filing-content" == got[2][0]["label"] and got[2][0]["pos"] == 0
+    # A word runs into the first header, the second has a bracket after it, the third's name holds another item.
+    assert [(s["label"], s["title"]) for s in got[3]] == [("business", "item 1 business"), ("risk_factors", "Item 1a.\nRisk\u00a0Factors"), ("mdna", "Item 7: Management item 7. Analysis")]
+    assert [s["label"] for s in got[4]] == [s["label"] for s in got[0]] and got[4][0]["char_start"] == 7
+    assert [s["label"] for s in got[5]] == ["a"]
+
+
+def test_entries_of_contents(spark):
+    bodies = [("4 - 9", True), (" 10-12 and more words 14-17 " + "x" * 90, True), ("12345 67890 1 a", True), ("prose of a section", False), ("", False), ("10 - 12 " + "x" * 120, False), ("1 - 2 " * 100, False)]
+    got = spark.createDataFrame(bodies, "b string, want boolean").select(sections.is_contents(F.col("b")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+    assert found(spark, [("<pre>Item 1. Business 4 - 9\nItem 1A. Risk Factors 10 - 24\n</pre>", "10-K", "html")])[0][0]["label"] == "filing-content"
 
 
 def test_html():
@@ -33,33 +56,50 @@ def test_html():
     assert documents.html_markdown(html) == "## Risk & more\n\nOne two\n\nflat x"
     assert "no" not in documents.html_text(html).split()
     assert documents.html_markdown("just text") == "just text" and documents.html_text(None) == ""
-    assert [s["label"] for s in documents.generic_sections("# A b\nx\n## C\ny\n# D\nz")] == ["a-b", "d"]
 
 
-def test_ownership_report():
+def test_ownership_report(spark):
     xml = '<ownershipDocument xmlns="u"><documentType>4</documentType><issuer><issuerName>Co</issuerName></issuer><reportingOwner><rptOwnerName>Ann</rptOwnerName><reportingOwnerRelationship><isOfficer>true</isOfficer><officerTitle>CFO</officerTitle></reportingOwnerRelationship></reportingOwner><nonDerivativeTransaction><transactionShares><value>120000</value></transactionShares><transactionPricePerShare><value>140.50</value></transactionPricePerShare></nonDerivativeTransaction><footnotes><footnote id="F1">note</footnote></footnotes></ownershipDocument>'
-    text = documents.xml_report(xml)
+    rows = [xml, "<a><b>x</b></a>", "<a", None, "<a/>junk", "<a><![CDATA[x<y & z]]></a>", "<?xml version='1.0'?><!-- <a> --><a>t &amp; u<b/></a>", "<ownershipDocument><reportingOwner/></ownershipDocument>"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, x string").select("id", ownership.xml_report("x").alias("r"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    text, *more = (r["r"] for r in df.orderBy("id").collect())
+    assert more == ["# a\n\nx\n", "", "", "", "# a\n\nx<y & z\n", "# a\n\nt & u\n", "# Form Ownership — Insider Transaction Report\n\n## Reporting owner(s)\n- (unnamed)\n"]
     assert "Ann — Officer (CFO)" in text and "| 120000 |" in text and "- (F1) note" in text
-    assert documents.xml_report("<a><b>x</b></a>") == "# a\n\nx\n" and documents.xml_report("<a") == ""
 
 
 @pytest.mark.parametrize(("body", "want"), [("and", "parser_bug"), ("see Exhibit 13", "annual_report_same_doc"), ("Refer to the proxy statement", "def14a"), ("see pages 5 to 8", "unknown"), ("see " + "x" * 600, None)])
 def test_pointers(spark, body, want):
-    assert documents.pointer(body) == want
     assert spark.range(1).select(filings.pointer_target(F.lit(body)).alias("t")).first()["t"] == want
 
 
-def test_chunks():
-    text = "\n\n".join(["a" * 40] * 5 + [". ".join(["B" * 30] * 6)])
-    got = documents.chunks(text, 25)
-    assert [len(c) // 4 <= 30 for c in got] == [True] * len(got) and "".join(got).count("a") == 200 and "".join(got).count("B") == 180
-    assert documents.chunks("", 10) == []
-
-
-def test_sections_udf(spark):
-    df = spark.createDataFrame([(f"<pre>{report()}</pre>", "10-K", "html"), (None, None, None)], "c string, f string, k string")
-    rows = df.select(filings.sections("c", "f", "k").alias("s")).collect()
-    assert len(rows[0]["s"]) == 4 and rows[1]["s"][0]["label"] == "filing-content"
+def filled(text, tokens):
+    """Chunks, one unit after another."""
+    out, open_ = [], None
+    for p in (p.strip() for p in text.split("\n\n")):
+        long = len(p) // 4 > tokens
+        for u in (re.split(r"(?<=[.!?])\s+(?=[A-Z])", p) if long else [p] if p else []):
+            size = len(u) // 4
+            if open_ is None or open_[1] != (long and p) or open_[2] + size > tokens:
+                open_ = [[], long and p, 0]
+                out.append(open_)
+            open_[0].append(u)
+            open_[2] += size
+        if long:
+            open_ = None
+    return [(" " if x[1] else "\n\n").join(x[0]) for x in out]
+
+
+def test_chunks(spark):
+    rng = random.Random(5)
+    parts = ["Word one.", "two three!", "And", "Alpha beta gamma? ", "x" * 30, "\n\n", "\n\n\n\n", " ", "Z" * 70 + ". "]
+    texts = ["", " \n\n ", "a" * 500, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(60))]
+    df = sections.chunks(spark.createDataFrame([(n, t) for n, t in enumerate(texts)] + [(-1, None)], "id long, text string"), 10)
+    got = {}
+    for r in df.orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append(r["chunk"])
+    assert got == {n: filled(t, 10) for n, t in enumerate(texts) if filled(t, 10)}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stems_and_tokens(spark):
