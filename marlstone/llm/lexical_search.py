@@ -73,7 +73,7 @@ class Segment:
         order = np.lexsort((doc, -share, term))
         term, doc, share = term[order], doc[order].astype(np.uint16), share[order].astype(np.uint32)
         first = np.flatnonzero(np.diff(term, prepend=-1))
-        ends = [*first[1:].tolist(), len(term)]
+        ends = np.append(first[1:], len(term))[: len(first)].tolist()
         rows = [(names[term[a]].decode(), seg, b - a, int(share[a]), doc[a:b].tobytes(), share[a:b].tobytes()) for a, b in zip(first.tolist(), ends, strict=True)]
         ids = np.array([i or 0 for i in self.ids], np.int64)
         rows.append(("", seg, len(n), 0, ids.tobytes(), bytes(i is None for i in self.ids)))
