@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import records, scalar
 from ..operators import filings, letters, screener, search, sections, theses, timing, trees
 from ..sources import scratch, tables
-from ..streaming import queue
+from ..streaming import lifecycle, queue
 from . import finding
 from .bindings import view
 from .registry import query
@@ -194,12 +196,30 @@ def log(spark, d):
     return tables.read(spark, d, "events").select(F.col("user_id").alias("id"), kind.alias("kind"), (F.col("event_id") % 3).alias("worker"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
 
 
-query("stm02_states", f"WITH {LOG_SQL}, pt AS (SELECT id, min(struct_pack(a := tm, s := seq)) AS p FROM lg WHERE kind = 'enqueue' GROUP BY id), lt AS (SELECT lg.*, struct_pack(a := tm, s := seq) AS w FROM lg JOIN pt ON lg.id = pt.id WHERE struct_pack(a := tm, s := seq) > p), cl AS (SELECT id, arg_min(worker, w) AS claimed_by, min(w) AS c FROM lt WHERE kind = 'claim' GROUP BY id), en AS (SELECT lt.id, arg_min(kind, w) AS ended, min(w).a AS ended_at FROM lt JOIN cl ON lt.id = cl.id WHERE kind IN ('done', 'failed') AND worker = claimed_by AND w > c GROUP BY lt.id) SELECT pt.id, coalesce(ended, CASE WHEN claimed_by IS NOT NULL THEN 'claimed' ELSE 'pending' END) AS state, claimed_by, ended_at FROM pt LEFT JOIN cl ON cl.id = pt.id LEFT JOIN en ON en.id = pt.id")(lambda spark, d: queue.states(log(spark, d)))
+STATES_SQL = f"WITH {LOG_SQL}, pt AS (SELECT id, min(struct_pack(a := tm, s := seq)) AS p FROM lg WHERE kind = 'enqueue' GROUP BY id), lt AS (SELECT lg.*, struct_pack(a := tm, s := seq) AS w FROM lg JOIN pt ON lg.id = pt.id WHERE struct_pack(a := tm, s := seq) > p), cl AS (SELECT id, arg_min(worker, w) AS claimed_by, min(w) AS c FROM lt WHERE kind = 'claim' GROUP BY id), en AS (SELECT lt.id, arg_min(kind, w) AS ended, min(w).a AS ended_at FROM lt JOIN cl ON lt.id = cl.id WHERE kind IN ('done', 'failed') AND worker = claimed_by AND w > c GROUP BY lt.id) SELECT pt.id, coalesce(ended, CASE WHEN claimed_by IS NOT NULL THEN 'claimed' ELSE 'pending' END) AS state, claimed_by, ended_at FROM pt LEFT JOIN cl ON cl.id = pt.id LEFT JOIN en ON en.id = pt.id"
+query("stm02_states", STATES_SQL)(lambda spark, d: queue.states(log(spark, d)))
 query("stm06_health", f"WITH {LOG_SQL}, sn AS (SELECT worker, max(tm) AS last_at, count(*) FILTER (WHERE kind = 'done') AS done, count(*) FILTER (WHERE kind = 'failed') AS failed FROM lg GROUP BY worker) SELECT v.worker, last_at, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed, coalesce(epoch(TIMESTAMP '2024-01-30 12:00:00')::BIGINT - floor(epoch(last_at))::BIGINT > 600, true) AS late, v.worker <> 1 AS outdated FROM (VALUES (0), (1), (2), (7)) v(worker) LEFT JOIN sn ON sn.worker = v.worker")(
     lambda spark, d: queue.health(log(spark, d), spark.createDataFrame([(0, "old"), (1, "new"), (2, None), (7, "old")], "worker bigint, commit string"), "new", F.to_timestamp(F.lit("2024-01-30 12:00:00")), 600).select(F.col("worker").cast("int").alias("worker"), "last_at", "done", "failed", "late", "outdated")
 )
 
 
+def followed(spark, d, rows, changes, schema):
+    """The last changes of the log in two runs of a stream: the earlier half of it, and after a restart the rest."""
+    folder = f"{scratch.shared_root(spark)}/marlstone-{spark.sparkContext.applicationId}/log-{uuid.uuid4().hex}"
+    rows = rows.select("id", "kind", F.col("worker").cast("long").alias("worker"), F.col("at").cast("timestamp").alias("at"), "seq")
+    middle = rows.agg(F.timestamp_micros(((F.min(F.unix_micros("at")) + F.max(F.unix_micros("at"))) / 2).cast("long"))).first()[0]
+    for part in (F.col("at") < F.lit(middle), F.col("at") >= F.lit(middle)):
+        rows.where(part).write.mode("append").parquet(f"{folder}/log")
+        lifecycle.follow(spark, lambda: changes(lifecycle.log_stream(spark, f"{folder}/log", "5 days")), folder).awaitTermination()
+    return lifecycle.latest(spark, folder, schema)
+
+
+query("stm02_stream", STATES_SQL)(lambda spark, d: followed(spark, d, log(spark, d), lifecycle.request_changes, lifecycle.REQUESTS).select("id", "state", "claimed_by", F.col("ended_at").cast("timestamp_ntz").alias("ended_at")))
+query("stm06_stream", "WITH w AS (SELECT user_id AS worker, max(ts) AS last_at, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type = 'signup') AS failed FROM events GROUP BY user_id) SELECT *, epoch_ms(last_at) + 43200000 < (SELECT max(epoch_ms(ts)) FROM events) - 432000000 AS late FROM w")(
+    lambda spark, d: followed(spark, d, log(spark, d).withColumn("worker", F.col("id")), lambda rows: lifecycle.worker_changes(rows, 43_200), lifecycle.WORKERS).select("worker", F.col("last_at").cast("timestamp_ntz").alias("last_at"), "done", "failed", "late")
+)
+
+
 # --- the stock view
 def stock_view(spark, d):
     t = written(spark, d).select("thesis", F.lower("color").alias("color"), "number")
