@@ -37,6 +37,28 @@ def matches(fills: DataFrame) -> DataFrame:
     return m.select("symbol", "q", F.col("buy.id").alias("buy_id"), F.col("sell.id").alias("sell_id"), (F.col("q") * (F.col("sell.price") - F.col("buy.price"))).alias("realized"))
 
 
+def open_lots(fills: DataFrame) -> DataFrame:
+    """What is left of each fill that is not matched yet, as fills: id, symbol, action, quantity, price, executed_at."""
+    i = lot_intervals(fills).where("buy IS NULL OR sell IS NULL")
+    lot = F.coalesce("buy", "sell")
+    action = F.when(F.col("buy").isNotNull(), "Buy").otherwise("Sell")
+    left = i.groupBy("symbol", lot["id"].alias("id"), action.alias("action"), lot["price"].alias("price"), lot["executed_at"].alias("executed_at")).agg(F.sum("q").alias("quantity"))
+    return left.select("id", "symbol", "action", "quantity", "price", "executed_at")
+
+
+def carry(lots: DataFrame, fills: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matches that new fills make with the open lots and with each other, and the lots that are open then.
+
+    New fills come after all earlier ones by (executed_at, id). A pair of fills is matched when the later one comes, all of it, so the matches of any
+    batches of fills in that order are those of one run. Work grows with the open lots and the new fills, not with the ledger.
+    """
+    columns = ["id", "symbol", "action", "quantity", "price", "executed_at"]
+    touched = lots.join(fills.select("symbol").distinct(), "symbol", "left_semi")
+    both = touched.select(columns).unionByName(fills.select(columns))
+    rest = lots.join(fills.select("symbol").distinct(), "symbol", "left_anti")
+    return matches(both), open_lots(both).select(lots.columns).unionByName(rest)
+
+
 def positions(fills: DataFrame) -> DataFrame:
     """Per symbol: net quantity, average open price (0 when flat), realized profit, fills of either side, first and last time."""
     i = lot_intervals(fills)

@@ -1,12 +1,14 @@
 """Field-weighted full-text ranking over a batch of queries, rank fusion, structural promotion, evaluation.
 
-Nodes are tokenised once, into an inverted table (term, node, field, tf, size) and the sizes of all fields; document frequencies, field means, scores and candidates for phrases
-come from these two, which can be stored (sorted by term, so that a query's terms prune what is read). Query tables are small by
-nature, but nothing here needs that: the terms are joined, and Spark broadcasts them if they are small enough.
+Nodes are tokenised once, into an inverted table (term, node, field, tf, size). What a term weighs in a node, over all fields, does not depend on the query, so these weights are stored too, in
+blocks of nodes with the largest weight of each term beside them: the k best of a query are found without scoring blocks that cannot hold one. Phrases are looked up in a table of
+words with their places and neighbours. All tables can be stored, sorted by term. Query tables are small by nature, but nothing here needs that: the terms are joined, and Spark broadcasts them if
+they are small enough.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,10 +46,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, node, field, tf, size. sizes: field, n (nodes), mean (tokens; 1 if there are none)."""
+    """postings: term, node, field, tf, size. sizes: field, n (nodes), mean (tokens; 1 if there are none). terms: term, df, idf. weights: term, block, node, wtf. bounds: term, block, top.
+
+    places: word, node, field, pos, before, after, of all pieces between single spaces, lower-cased.
+    """
 
     postings: DataFrame
     sizes: DataFrame
+    terms: DataFrame
+    weights: DataFrame
+    bounds: DataFrame
+    places: DataFrame
+
+
+#: Nodes of a block, about; blocks of a query that are scored first.
+BLOCK, PROBED = 16, 8
 
 
 def field_tokens(nodes: DataFrame) -> DataFrame:
@@ -67,8 +80,42 @@ def field_sizes(nodes: DataFrame) -> DataFrame:
     return lengths.select("field", "n", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
 
 
-def index_of(nodes: DataFrame) -> Index:
-    return Index(postings(nodes), field_sizes(nodes))
+def term_table(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(term, df, idf) of postings."""
+    n = sizes.agg(F.max("n").alias("n"))
+    df = found.groupBy("term").agg(F.count_distinct("node").alias("df")).crossJoin(F.broadcast(n))  # n: one row
+    return df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
+
+
+def term_weights(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What each term weighs in each node, over its fields."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for p in FIELDS.items() for x in p]), F.col("field"))
+    part = weight * F.col("tf") / (1 - B + B * (F.col("size") / F.col("mean")))
+    by_node = found.join(F.broadcast(sizes), "field").groupBy("term", "node").agg(F.sum(part).alias("wtf"), F.max("n").alias("n"))  # sizes: one row per field
+    return by_node.select("term", block_of().alias("block"), "node", "wtf")
+
+
+def block_of() -> Column:
+    """The block of a node among n."""
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+
+
+def term_bounds(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("term", "block").agg(F.max("wtf").alias("top"))
+
+
+def word_places(nodes: DataFrame) -> DataFrame:
+    """Every piece between single spaces of every field, with its neighbours."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), " ").alias("w")) for f in FIELDS)))
+    words = nodes.select("node", each.alias("f")).select("node", "f.field", F.col("f.w").alias("w"), F.posexplode("f.w").alias("pos", "word"))
+    return words.select("word", "node", "field", "pos", F.get("w", F.col("pos") - 1).alias("before"), F.get("w", F.col("pos") + 1).alias("after"))
+
+
+def index_of(nodes: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, table: table) -> Index:
+    """The index of nodes. keep(name, table): each table as it will be used, such as written and read again."""
+    found, sizes = keep("postings", by_term(postings(nodes))), keep("sizes", field_sizes(nodes))
+    weights = keep("weights", term_weights(found, sizes).sortWithinPartitions("term", "block"))
+    return Index(found, sizes, keep("terms", term_table(found, sizes)), weights, keep("bounds", term_bounds(weights)), keep("places", word_places(nodes).sortWithinPartitions("word")))
 
 
 def by_term(table: DataFrame) -> DataFrame:
@@ -76,40 +123,56 @@ def by_term(table: DataFrame) -> DataFrame:
     return table.sortWithinPartitions("term", "node")
 
 
-def occurrences(index: Index, terms: DataFrame) -> DataFrame:
-    """The postings of the terms asked for."""
-    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-
-
 def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def statistics(index: Index, found: DataFrame) -> DataFrame:
-    """(term, df, idf) of the terms found."""
-    n = index.sizes.agg(F.max("n").alias("n"))
-    df = found.groupBy("term").agg(F.count_distinct("node").alias("df")).crossJoin(F.broadcast(n))  # n: one row
-    return df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
+def statistics(index: Index, terms: DataFrame) -> DataFrame:
+    """(term, df, idf) of the terms asked for that occur."""
+    return index.terms.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def _saturated(wtf: Column) -> Column:
+    return F.col("idf") * wtf * (K1 + 1) / (wtf + K1)
 
 
-def scores(nodes: DataFrame, queries: DataFrame, with_phrase: bool = True, index: Index | None = None) -> DataFrame:
-    """query_id, node, score of the nodes a query hits, to three digits. index: that of the nodes, if it is at hand."""
+def rounded(score: Column) -> Column:
+    return F.floor(score * 1000 + 0.5) / 1000
+
+
+def scores(nodes: DataFrame, queries: DataFrame, with_phrase: bool = True, index: Index | None = None, blocks: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """query_id, node, score of the nodes a query hits, to three digits. index: that of the nodes, held: the held phrases, if they are at hand. blocks: (query_id, block) to which to keep."""
     index = index or index_of(nodes)
-    terms = query_terms(queries)
-    found = occurrences(index, terms)
-    idf = statistics(index, found)
-    weight = F.element_at(F.create_map(*[F.lit(x) for p in FIELDS.items() for x in p]), F.col("field"))
-    part = weight * F.col("tf") / (1 - B + B * (F.col("size") / F.col("mean")))
-    by_node = found.join(F.broadcast(index.sizes), "field").groupBy("node", "term").agg(F.sum(part).alias("wtf")).join(idf, "term")  # sizes: one row per field
-    hit = by_node.withColumn("s", F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1))
-    within = F.array_distinct(tokens(inner_words(F.col("query"))))
-    terms = terms.join(queries.select("query_id", within.alias("inner")), "query_id")
-    shared = F.count(F.when(F.array_contains("inner", F.col("term")), 1))
-    total = hit.join(terms, "term").groupBy("query_id", "node").agg(F.sum("s").alias("score"), (shared == F.max(F.size("inner"))).alias("may_hold"))
+    terms = query_terms(queries).join(index.terms, "term")
+    asked = terms if blocks is None else terms.join(blocks, "query_id")
+    hit = index.weights.join(asked, ["term"] if blocks is None else ["term", "block"])
+    total = hit.groupBy("query_id", "node").agg(F.sum(_saturated(F.col("wtf"))).alias("score"))
     if with_phrase:
-        bonus = phrase_bonus(nodes, queries, terms.join(idf, "term"), total.where("may_hold"))
+        bonus = phrase_bonus(nodes, queries, terms, total, held_phrases(queries, terms, index) if held is None else held)
         total = total.join(bonus, ["query_id", "node"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
-    return total.select("query_id", "node", (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("score")).where("score > 0")
+    return total.select("query_id", "node", rounded(F.col("score")).alias("score")).where("score > 0")
+
+
+def best_scores(nodes: DataFrame, queries: DataFrame, k: int, index: Index, only: DataFrame | None = None) -> DataFrame:
+    """The scores of the k best nodes of each query at least, of `only` (node) if given: blocks that cannot hold one of them are not scored.
+
+    The most that a block can give to a query is the sum of its terms' largest weights there, and the largest bonus for the phrase. The k-th best of the blocks that can give most is what any
+    other block must reach.
+    """
+    terms = query_terms(queries).join(index.terms, "term")
+    held = written(held_phrases(queries, terms, index), "held-phrases")
+    n = index.sizes.agg(F.max("n").alias("n"))
+    bonus = held.crossJoin(F.broadcast(n)).groupBy("query_id", block_of().alias("block")).agg(F.max("bonus").alias("bonus"))  # n: one row
+    unknown = _phrases(queries, terms).where(F.size("p") <= 2).select("query_id", (0.5 * sum(FIELDS.values()) * F.col("rarest")).alias("unknown"))
+    most = index.bounds.join(terms, "term").groupBy("query_id", "block").agg(F.sum(_saturated(F.col("top"))).alias("most"))
+    most = most.join(bonus, ["query_id", "block"], "left").join(unknown, "query_id", "left")
+    most = written(most.select("query_id", "block", rounded(F.col("most") + F.coalesce("bonus", "unknown", F.lit(0.0)) + 1e-6).alias("bound")), "bounds-of-blocks")
+    first = best_of_each(most, ["query_id"], [F.desc("bound"), F.col("block")], PROBED).select("query_id", "block")
+    kept = lambda rows: rows if only is None else rows.join(only, "node", "left_semi")
+    probed = best_of_each(kept(scores(nodes, queries, index=index, blocks=first, held=held)), ["query_id"], [F.desc("score")], k)
+    bar = probed.where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("bar"))
+    open_ = most.join(bar, "query_id", "left").where("bar IS NULL OR bound >= bar").select("query_id", "block")
+    return kept(scores(nodes, queries, index=index, blocks=open_, held=held))
 
 
 def inner_words(query: Column) -> Column:
@@ -117,17 +180,39 @@ def inner_words(query: Column) -> Column:
     return F.regexp_replace(F.trim(query), r"^\S+|\S+$", "")
 
 
-def phrase_bonus(nodes: DataFrame, queries: DataFrame, weighted_terms: DataFrame, hits: DataFrame) -> DataFrame:
-    """Half a field's weight times the rarest term's idf for each field that holds a query of two words or more verbatim.
-
-    hits: the nodes that may hold it. A node that does has terms of it, all those of its inner words among them, so only such hits are joined with their texts.
-    """
+def _phrases(queries: DataFrame, weighted_terms: DataFrame) -> DataFrame:
+    """query_id, phrase, p (its pieces between spaces), rarest (its rarest term's idf) of the queries of two words or more."""
     rarest = weighted_terms.groupBy("query_id").agg(F.max("idf").alias("rarest")).where("rarest > 0")
     phrase = F.lower(F.trim("query"))
-    asked = queries.select("query_id", phrase.alias("phrase")).where(F.size(F.split("phrase", r"\s+")) >= 2).join(rarest, "query_id")
-    j = hits.select("query_id", "node").join(asked, "query_id").join(nodes.select("node", *FIELDS), "node")
+    return queries.select("query_id", phrase.alias("phrase")).where(F.size(F.split("phrase", r"\s+")) >= 2).join(rarest, "query_id").withColumn("p", F.split("phrase", " "))
+
+
+def held_phrases(queries: DataFrame, weighted_terms: DataFrame, index: Index) -> DataFrame:
+    """query_id, node, bonus of the nodes that hold a query of three pieces or more verbatim: half a field's weight times the rarest term's idf for each field.
+
+    A text holds a phrase where its inner pieces stand in a row, a piece that ends with its first one before and one that begins with its last one after them. Inner pieces are looked up
+    with an inner neighbour, so common words alone bring no rows.
+    """
+    # Written, so that its size is known: a small table is broadcast, and the places are not shuffled.
+    inner = _phrases(queries, weighted_terms).where(F.size("p") > 2).select("query_id", "rarest", "p", F.size("p").alias("m"), F.posexplode("p").alias("j", "word")).where("j > 0 AND j < m - 1")
+    inner = written(inner, "inner-pieces")
+    piece = lambda step: F.get("p", F.col("j") + step)
+    head, tail = F.endswith("before", piece(-1)), F.startswith("after", piece(1))
+    single = inner.where("m = 3").join(index.places, "word").where(head & tail)
+    first = inner.where("m > 3 AND j = 1").withColumn("after", piece(1)).join(index.places, ["word", "after"]).where(head)
+    others = inner.where("m > 3 AND j > 1").withColumn("before", piece(-1)).join(index.places, ["word", "before"]).where((F.col("j") < F.col("m") - 2) | tail)
+    at = ["query_id", "rarest", "m", "node", "field", (F.col("pos") - F.col("j")).alias("start")]
+    rows = single.select(*at).unionByName(first.select(*at)).unionByName(others.select(*at))
+    found = rows.groupBy("query_id", "rarest", "m", "node", "field", "start").agg(F.count("*").alias("c")).where("c = m - 2")
+    weight = F.element_at(F.create_map(*[F.lit(x) for p in FIELDS.items() for x in p]), F.col("field"))
+    return found.select("query_id", "node", "field", "rarest").distinct().groupBy("query_id", "node").agg(F.sum(0.5 * weight * F.col("rarest")).alias("bonus"))
+
+
+def phrase_bonus(nodes: DataFrame, queries: DataFrame, weighted_terms: DataFrame, hits: DataFrame, held: DataFrame) -> DataFrame:
+    """query_id, node, bonus: the held phrases, and those without an inner piece, which are looked for in the texts of hits."""
+    short = hits.select("query_id", "node").join(_phrases(queries, weighted_terms).where(F.size("p") <= 2), "query_id").join(nodes.select("node", *FIELDS), "node")
     total = sum((F.when(F.contains(F.lower(F.coalesce(f, F.lit(""))), F.col("phrase")), w * 0.5).otherwise(0.0) for f, w in FIELDS.items()), F.lit(0.0))
-    return j.select("query_id", "node", (total * F.col("rarest")).alias("bonus"))
+    return held.unionByName(short.select("query_id", "node", (total * F.col("rarest")).alias("bonus")))
 
 
 def holding(nodes: DataFrame, passages: DataFrame, index: Index) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
 from ..operators import ledger, portfolio
-from ..sources import merge, tables
+from ..sources import merge, scratch, tables
 from .bindings import view
 from .registry import query
 
@@ -55,6 +55,25 @@ query("set01_key_sets", f"WITH {BROKER_SQL}, a AS (SELECT symbol FROM br), b AS
 )
 query("mrg02_upsert_daily", "WITH n AS (SELECT date, account_number, nlv + 1 AS nlv FROM portfolio_daily WHERE account_number = '2') SELECT * FROM n UNION ALL SELECT date, account_number, nlv FROM portfolio_daily WHERE account_number <> '2'")(lambda spark, d: (lambda p: merge.newer_wins(p, p.where("account_number = '2'").withColumn("nlv", F.col("nlv") + 1), ["date", "account_number"]))(view(spark, d, "portfolio_daily").select("date", "account_number", "nlv")))
 query("mrg03_insert_absent", "SELECT id, symbol, quantity FROM fills")(lambda spark, d: (lambda f: merge.insert_absent(f.where("id % 3 > 0"), f.withColumn("quantity", F.when(F.col("id") % 3 > 0, F.col("quantity") + 5).otherwise(F.col("quantity"))), ["id"]))(view(spark, d, "fills").select("id", "symbol", "quantity")))
+
+
+def synced(spark, d):
+    """The fills carried in three batches: each from two days before the last one's end on, the first from inception; ids that are there already are not taken twice."""
+    feed = trade_fills(spark, d).select("id", "symbol", "action", "quantity", "price", "executed_at")
+    days = feed.agg(F.min(F.to_date("executed_at")).alias("first"), F.max(F.to_date("executed_at")).alias("last")).select("first", F.date_add("first", (F.datediff("last", "first") / 3).cast("int")).alias("a"), F.date_add("first", (F.datediff("last", "first") * 2 / 3).cast("int")).alias("b"), "last").first()
+    ledger_rows, lots, made = feed.limit(0), feed.limit(0), None
+    for begin, end in ((None, days["a"]), (days["a"], days["b"]), (days["b"], days["last"])):
+        since = None if begin is None else F.date_sub(F.lit(begin), 2)
+        grown = scratch.written(merge.sync(ledger_rows, feed.where(F.to_date("executed_at") <= F.lit(end)), F.to_date("executed_at"), since), "ledger")
+        new = grown.join(ledger_rows.select("id"), "id", "left_anti")
+        found, lots = (scratch.written(x, n) for x, n in zip(ledger.carry(lots, new), ("matches", "open-lots"), strict=True))
+        ledger_rows, made = grown, found if made is None else made.unionByName(found)
+    return ledger_rows, made, lots
+
+
+query("jn13_carried_matches", f"WITH {LOTS_SQL} SELECT symbol, buy_id, sell_id, CAST(q AS BIGINT) AS q, CAST(realized AS DOUBLE) AS realized FROM mt")(lambda spark, d: synced(spark, d)[1].select("symbol", "buy_id", "sell_id", F.col("q").cast("bigint").alias("q"), F.col("realized").cast("double").alias("realized")))
+query("win10_carried_lots", f"WITH {LOTS_SQL} SELECT symbol, CAST(qty AS BIGINT) AS qty FROM po WHERE qty <> 0")(lambda spark, d: synced(spark, d)[2].groupBy("symbol").agg(F.sum(F.when(F.col("action") == "Buy", F.col("quantity")).otherwise(-F.col("quantity"))).cast("bigint").alias("qty")))
+query("src18_synced_ledger", "SELECT id, symbol, quantity FROM fills WHERE transaction_type = 'Trade' AND symbol IS NOT NULL")(lambda spark, d: synced(spark, d)[0].select("id", "symbol", "quantity"))
 query("mrg06_append_history", "SELECT number, status, bucket FROM theses")(lambda spark, d: (lambda t: merge.append_distinct(t.where("number % 2 = 0"), t))(view(spark, d, "theses").select("number", "status", "bucket")))
 query("src18_sync_window", "SELECT id, symbol FROM fills WHERE CAST(executed_at AS DATE) >= (SELECT max(CAST(executed_at AS DATE)) FROM fills) - 7")(lambda spark, d: (lambda f: f.crossJoin(F.broadcast(f.agg(F.max(F.to_date("executed_at")).alias("m")))).where(F.to_date("executed_at") >= F.date_sub("m", 7)).select("id", "symbol"))(view(spark, d, "fills")))
 

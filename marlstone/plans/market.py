@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import daily_rate, hurdle, r6
 from ..operators import backtest, screener, series
-from ..sources import merge, tables
+from ..sources import merge, scratch, store, tables
 from .bindings import view
 from .registry import query
 
@@ -53,6 +55,19 @@ query("jn01_panel", f"WITH {PANEL_SQL} SELECT date, eq_close, bd_close, eq_volum
 query("flt01_date_slice", "SELECT * FROM bars WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")(lambda spark, d: series.date_slice(bars(spark, d), "1997-01-01", "1998-12-31"))
 query("src01_bar_lines", "SELECT * FROM bars")(lambda spark, d: tables.parse_bars(tables.bar_lines(bars(spark, d))))
 query("src03_stale_series", "SELECT ticker, max(date) AS last_date, max(date) < DATE '2001-09-01' AS stale FROM bars GROUP BY ticker")(lambda spark, d: merge.staleness(bars(spark, d), F.to_date(F.lit("2001-09-02")), 1))
+
+
+def refreshed(spark, d):
+    """A store with one series that ends early, one that is up to date (with other closes, so that it shows which were fetched), and one missing: read through."""
+    path = f"{scratch.shared_root(spark)}/marlstone-{spark.sparkContext.applicationId}/bar-store-{uuid.uuid4().hex}"
+    source = bars(spark, d)
+    store.replace_series(source.where("ticker = 'BD' OR ticker = 'EQ' AND date < DATE '1998-01-01'").withColumn("close", F.col("close") - 1), path)
+    last = source.agg(F.max("date").alias("last"))
+    today = F.lit(last.first()["last"])
+    return store.read_through(spark, path, source.select("ticker").distinct(), lambda stale: source.where("date >= DATE '1997-06-01' OR ticker <> 'EQ'").join(stale, "ticker", "left_semi"), today, 30)
+
+
+query("src03_read_through", "SELECT ticker, date, CASE WHEN ticker = 'BD' OR ticker = 'EQ' AND date < DATE '1997-06-01' THEN close - 1 ELSE close END AS close, volume FROM bars")(lambda spark, d: refreshed(spark, d).select("ticker", "date", "close", "volume"))
 query("src05_back_test_scan", "SELECT date, open, high, low, close, volume FROM bars WHERE ticker = 'EQ'")(lambda spark, d: tables.parse_bars(tables.bar_lines(bars(spark, d).where("ticker = 'EQ'"))).drop("ticker"))
 query("src06_curve_latest", "WITH c AS (SELECT date, '3 Mo' AS tenor, CASE WHEN day(date) % 3 > 0 THEN low END AS rate FROM bars WHERE ticker = 'BD' UNION ALL SELECT date, '1 Yr', high FROM bars WHERE ticker = 'BD') SELECT tenor, max(date) AS date, arg_max(rate, date) AS rate FROM c WHERE rate IS NOT NULL GROUP BY tenor")(lambda spark, d: tables.latest_yields(tables.curve(bars(spark, d).where("ticker = 'BD'"))))
 query("src07_tenors", "SELECT date, high AS rate FROM bars WHERE ticker = 'BD'")(lambda spark, d: tables.tenor(tables.long_curve(tables.curve(bars(spark, d).where("ticker = 'BD'"))), "1 Yr").select("date", "rate"))

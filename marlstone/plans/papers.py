@@ -197,7 +197,7 @@ query("top04_pending", f"WITH {FORMS_SQL} SELECT CAST(id AS VARCHAR) AS id, row_
 def worked(spark, d):
     r = asked(spark, d).select(F.col("id").cast("string").alias("id"), "ticker", "form", "requested_at", F.lit(None).cast("int").alias("priority"), F.lit(False).alias("force"))
     index = r.where("ticker < '15'").select("ticker", "form").distinct().withColumn("commit", F.when(F.col("form") == "10-K", "old").otherwise("new"))
-    return queue.outcome(queue.pending(r), index.where("form <> 'S-8'"), "new")
+    return queue.outcome(queue.sound(r), index.where("form <> 'S-8'"), "new")
 
 
 query("stm03_outcomes", f"WITH {FORMS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker, status ORDER BY {PRIORITY_SQL}, requested_at, CAST(id AS VARCHAR)) AS k FROM nf) SELECT CAST(id AS VARCHAR) AS id, CASE WHEN ticker < '15' AND form NOT IN ('S-8', '10-K') THEN 'skipped' WHEN k > 1 THEN 'skipped' ELSE 'indexed' END AS state FROM k")(lambda spark, d: worked(spark, d).select("id", "state"))

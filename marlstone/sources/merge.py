@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def newer_wins(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """All rows by key, new over old. Rows of a key beyond the first of either side drop out."""
+    """All rows by key, new over old. Of several rows of a key on one side that with the largest other columns, from the first to the last, stays (NULL is the least)."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))
-    w = Window.partitionBy(*key).orderBy("_age")
+    rest = [F.desc_nulls_last(c) for c in old.columns if c not in key]
+    w = Window.partitionBy(*key).orderBy("_age", *rest)
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_age", "_k")
 
 
@@ -23,6 +24,14 @@ def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.join(old, key, "left_anti"))
 
 
+def sync(ledger: DataFrame, feed: DataFrame, day: Column, since: Column | None) -> DataFrame:
+    """The ledger with the rows of a feed from the day `since` on, or from inception where that is None or NULL, whose id it has not; of repeated ids of a feed the least row is taken."""
+    recent = feed if since is None else feed.where(since.isNull() | (day >= since))
+    rest = [c for c in feed.columns if c != "id"]
+    recent = last_write_wins(recent, ["id"], [F.asc_nulls_last(c) for c in rest])
+    return insert_absent(ledger, recent.select(ledger.columns), ["id"])
+
+
 def append_distinct(history: DataFrame, entries: DataFrame) -> DataFrame:
     """History, and the entries that no row of it equals."""
     cond = None

@@ -23,21 +23,26 @@ def requests(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame
     return spark.readStream.schema(REQUEST + ", _corrupt_record string").option("maxFilesPerTrigger", max_files).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def sound(batch: DataFrame) -> DataFrame:
+    """Requests that can be worked off, with their priority: that of the form where none is given."""
+    return batch.where("id IS NOT NULL AND ticker IS NOT NULL").withColumn("priority", F.coalesce("priority", priority(F.col("form"))))
+
+
 def pending(batch: DataFrame) -> DataFrame:
-    """Sound requests with their place: by priority (that of the form where none is given), then arrival, then id."""
-    p = batch.where("id IS NOT NULL AND ticker IS NOT NULL").withColumn("priority", F.coalesce("priority", priority(F.col("form"))))
+    """Sound requests with their place: by priority, then arrival, then id."""
+    p = sound(batch)
     # Priorities are a few whole numbers: with the time as a fraction they make one number to cut at.
     when = F.coalesce(F.unix_micros(F.col("requested_at").cast("timestamp")), F.lit(0)) / 1e17
     return row_numbers(p, "place", F.coalesce("priority", F.lit(-1)) + F.greatest(F.lit(0.0), F.least(F.lit(0.999), when)), [F.col("priority"), F.col("requested_at"), F.col("id")])
 
 
 def outcome(batch: DataFrame, index: DataFrame, commit: str | None) -> DataFrame:
-    """What becomes of each request: skipped (indexed and current, not forced) or indexed; of equal requests only the first is done."""
+    """What becomes of each sound request: skipped (indexed and current, not forced) or indexed; of equal requests only the first is done."""
     i = index.select(F.col("ticker").alias("_t"), form_of_status(F.col("form")).alias("_f"), F.col("commit").alias("_c"))
     key = form_of_status(F.col("form"))
     j = batch.withColumn("_key", key).join(i, (F.col("ticker") == F.col("_t")) & (F.col("_key") == F.col("_f")), "left")
     current = F.col("_f").isNotNull() & (F.lit(commit).isNull() | F.col("_c").eqNullSafe(F.lit(commit)))
-    w = Window.partitionBy("ticker", "_key").orderBy("place")
+    w = Window.partitionBy("ticker", "_key").orderBy("priority", "requested_at", "id")
     j = j.withColumn("_k", F.row_number().over(w))
     done = F.when(current & ~F.coalesce("force", F.lit(False)), "skipped").when(F.col("_k") > 1, "skipped").otherwise("indexed")
     return j.withColumn("state", done).drop("_t", "_f", "_c", "_k", "_key")
