@@ -1,9 +1,9 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
 Words (lower-cased A-Z, outer punctuation off) are embedded as the sum of two rows of a hashed table. Filters one, two
-and three words wide slide over a text, each keeps its largest response, and a logistic layer reads these maxima. All of it is trained by Adagrad. The
-embedding starts from small noise, with what the training rows say of each hashed row (a lower bound of its log odds) in its first dimension; with
-`informed=False` from noise alone, which comes to the same with enough labels and to less with few (see the README for figures).
+and three words wide slide over a text, each keeps its largest response, and a logistic layer reads these maxima. All of it is trained by Adagrad from noise, on batches with as many toxic
+texts as others. At first the maximum is a soft one (the logarithm of the mean exponential), through which every word of a text learns; it hardens step by step, and the last quarter of the
+steps trains on the largest response alone, as texts are scored.
 
 A filter of width k responds with a sum of k terms, one for each of its words, so scoring looks up each distinct word's
 terms once and adds. Thresholds are set for each language on labelled rows that training has not seen: the one of the best F1, drawn towards
@@ -82,67 +82,78 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, bits: int, seed: int = 7, dims: int = 8, filters: int = 8, epochs: int = 4, rate: float = 0.1, batch: int = 32, informed: bool = True) -> Model:
-    """texts: of each, the (n, 2) table rows of its words."""
+def train(texts: list[np.ndarray], labels: np.ndarray, bits: int, seed: int = 7, dims: int = 8, filters: int = 8, steps: int = 600, rate: float = 0.1, batch: int = 32, decay: float = 1e-4, window: int = 1500) -> Model:
+    """texts: of each, the (n, 2) table rows of its words; both labels must occur.
+
+    A step sees a random window of so many words of longer texts. Each text is seen at least about twice.
+    """
     rng = np.random.default_rng(seed)
     size = 1 << bits
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    bias = float(np.log(max(n1, 1) / max(n0, 1)))
-    if informed:
-        positive, negative = np.zeros(size), np.zeros(size)
-        for t, y in zip(texts, labels, strict=True):
-            (positive if y else negative)[np.unique(t)] += 1
-        odds = np.log((positive + 0.5) / (n1 + 1)) - np.log((negative + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (positive + 0.5) + 1 / (negative + 0.5))
-        table = rng.normal(0, 0.01, (size, dims))
-        table[:, 0] = np.maximum(odds, 0) / 2
-        model = Model(table, [rng.normal(0, 0.05, (w, dims, filters)) for w in (1, 2, 3)], np.full(3 * filters, -0.2), rng.normal(0, 0.1, 3 * filters), bias)
-        for f in model.filters:
-            f[0, 0, : filters // 2] += 1
-        model.weight[[k * filters + i for k in range(3) for i in range(filters // 2)]] += 1
-    else:
-        table = rng.normal(0, 0.1, (size, dims))
-        model = Model(table, [rng.normal(0, 0.3, (w, dims, filters)) for w in (1, 2, 3)], np.zeros(3 * filters), np.abs(rng.normal(0, 0.3, 3 * filters)) * rng.choice([-1, 1], 3 * filters), bias)
-    sums = {k: np.full(np.shape(v), 1e-3) for k, v in (("table", table), ("shift", model.shift), ("weight", model.weight), ("bias", 0.0), *((f"f{i}", f) for i, f in enumerate(model.filters)))}
+    total, soft, hardness = max(steps, 2 * len(texts) // batch), 0.75, (0.5, 12.0)
+    n = 3 * filters
+    table = rng.normal(0, 0.1, (size, dims)).astype(np.float32)
+    model = Model(table, [rng.normal(0, 0.4 / np.sqrt(w), (w, dims, filters)) for w in (1, 2, 3)], np.zeros(n), np.abs(rng.normal(0, 0.3, n)) * rng.choice([-1, 1], n), 0.0)
+    sums = {k: np.full(np.shape(v), 1e-4) for k, v in (("shift", model.shift), ("weight", model.weight), ("bias", 0.0), *((f"f{i}", f) for i, f in enumerate(model.filters)))}
+    seen = np.full((size, dims), 1e-4, np.float32)
 
     def step(name: str, value, gradient):
         sums[name] += gradient**2
         return value - rate * gradient / np.sqrt(sums[name])
 
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for b in range(0, len(order), batch):
-            some = order[b : b + batch]
-            rows = np.concatenate([texts[i] for i in some] or [np.zeros((0, 2), np.int64)])
-            unique, index = np.unique(rows, axis=0, return_inverse=True)
-            vectors = np.concatenate([model.table[unique[:, 0]] + model.table[unique[:, 1]], np.zeros((1, dims))])
-            ends = np.cumsum([len(texts[i]) for i in some])
-            parts = np.split(index.ravel(), ends[:-1])
-            responses, starts = respond(model, parts, vectors)
-            stops = [*starts[1:], len(responses)]
-            best = np.array([s + responses[s:e].argmax(axis=0) for s, e in zip(starts, stops, strict=True)])
-            top = np.take_along_axis(responses, best, axis=0) + model.shift
-            active = np.maximum(top, 0)
-            error = (sigmoid(active @ model.weight + model.bias) - labels[some]) / len(some)
-            back = error[:, None] * model.weight * (top > 0)
-            at = np.concatenate([x for p in parts for x in (p, [len(vectors) - 1])] + [np.full(2, len(vectors) - 1)])
-            moved = np.zeros_like(vectors)
-            for k, f in enumerate(model.filters):
-                own = slice(k * filters, (k + 1) * filters)
-                g = np.zeros_like(f)
-                for j in range(len(f)):
-                    words = at[best[:, own] + j]
-                    g[j] = np.einsum("bf,bfd->df", back[:, own], vectors[words])
-                    np.add.at(moved, words.ravel(), (back[:, own, None] * f[j].T[None]).reshape(-1, dims))
-                model.filters[k] = step(f"f{k}", f, g)
-            touched = np.flatnonzero(np.abs(moved[:-1]).sum(axis=1) > 0)
-            for col in (0, 1):
-                np.add.at(sums["table"], unique[touched, col], moved[touched] ** 2)
-            for col in (0, 1):
-                np.add.at(model.table, unique[touched, col], -rate * moved[touched] / np.sqrt(sums["table"][unique[touched, col]]))
-            model.weight = step("weight", model.weight, error @ active)
-            model.shift = step("shift", model.shift, back.sum(axis=0))
-            model.bias = float(step("bias", model.bias, error.sum()))
-    model.table = model.table.astype(np.float32)
+    def endless(of: np.ndarray) -> Iterator[int]:
+        while True:
+            yield from rng.permutation(of)
+
+    toxic, others = endless(np.flatnonzero(labels > 0)), endless(np.flatnonzero(labels <= 0))
+    for t in range(total):
+        done = t / total
+        some = np.array([next(of) for of in (toxic, others) for _ in range(batch // 2)])
+        picked = []
+        for i in some:
+            at = rng.integers(0, max(len(texts[i]) - window, 0) + 1)
+            picked.append(texts[i][at : at + window])
+        unique, index = np.unique(np.concatenate(picked), axis=0, return_inverse=True)
+        empty = len(unique)
+        vectors = np.concatenate([model.table[unique[:, 0]] + model.table[unique[:, 1]], np.zeros((1, dims), np.float32)])
+        parts = np.split(index.ravel(), np.cumsum([len(x) for x in picked])[:-1])
+        responses, starts = respond(model, parts, vectors)
+        sizes = np.diff(np.append(starts, len(responses)))
+        of = np.repeat(np.arange(len(some)), sizes)
+        top = np.maximum.reduceat(responses, starts, axis=0)
+        if done < soft:
+            hard = hardness[0] * (hardness[1] / hardness[0]) ** (done / soft)
+            share = np.exp(hard * (responses - top[of]))
+            whole = np.add.reduceat(share, starts, axis=0)
+            share /= whole[of]
+            top = top + np.log(whole / sizes[:, None]) / hard
+        else:
+            share = (responses == top[of]).astype(float)
+            share /= np.add.reduceat(share, starts, axis=0)[of]
+        slope = np.where(top + model.shift > 0, 1.0, 0.1 if done < soft else 0.0)  # filters that are off still learn at first
+        active = (top + model.shift) * slope
+        error = (sigmoid(active @ model.weight + model.bias) - labels[some]) / len(some)
+        back = error[:, None] * model.weight * slope
+        spread = share * back[of]
+        at = np.concatenate([x for p in parts for x in (p, [empty])] + [[empty, empty]])
+        moved = np.zeros_like(vectors, np.float64)
+        for k, f in enumerate(model.filters):
+            own = spread[:, k * filters : (k + 1) * filters]
+            g = np.zeros_like(f)
+            for j in range(len(f)):
+                words = at[j : len(at) - 2 + j]
+                g[j] = vectors[words].T @ own
+                to_words = own @ f[j].T
+                for d in range(dims):
+                    moved[:, d] += np.bincount(words, to_words[:, d], len(vectors))
+            model.filters[k] = step(f"f{k}", f, g + decay * f)
+        for col in (0, 1):
+            rows = unique[:, col]
+            g = moved[:-1] + decay * model.table[rows]
+            np.add.at(seen, rows, (g**2).astype(np.float32))
+            np.add.at(model.table, rows, (-rate * g / np.sqrt(seen[rows])).astype(np.float32))
+        model.weight = step("weight", model.weight, error @ active + decay * model.weight)
+        model.shift = step("shift", model.shift, back.sum(axis=0))
+        model.bias = float(step("bias", model.bias, error.sum()))
     model.filters = [f.astype(np.float32) for f in model.filters]
     return model
 
@@ -165,21 +176,24 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18, learn_from: Column | None = None, sample_words: int = 8_000_000) -> Model | None:
-    """Train on at most `sample` labelled rows of each class (the least hashes of doc_id), whole texts.
+    """Train on at most `sample` labelled rows of each class (the least hashes of doc_id), each with at most an eighth of sample_words of its words.
 
     Every fourth of them is kept from training and sets the thresholds. labels: doc_id, toxic; of repeated ids the largest
-    label counts, null labels don't; of documents with one id the least text counts. If the rows have over sample_words words together, those of the largest
-    hashes are left out, so what the driver gathers is bounded whatever the lengths. None if a class is missing. learn_from: the rows of labels that may be seen.
+    label counts, null labels don't; of documents with one id the least text counts. If the rows have over sample_words words together, those that do not fit any more, in the order of
+    their hashes, are left out, so what the driver gathers is bounded whatever the lengths. None if a class is missing, or no words may be gathered. learn_from: the rows of labels that may be seen.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (learn_from if learn_from is not None else F.lit(True)))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(sample).union(known.where("toxic = 0").orderBy(by_hash, "doc_id").limit(sample))
     text = F.coalesce("text", F.lit("")).cast("binary")
+    most = sample_words // 8
+    if most < 1:
+        return None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rows_of(tokens_of(t.as_py()), bits).astype("<i4").tobytes() for t in batch["text"]]
+            found = [rows_of(tokens_of(t.as_py())[:most], bits).astype("<i4").tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["lang"], pa.array(found, pa.binary())], names=["doc_id", "toxic", "lang", "words"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -188,7 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18,
     rows = materialise(rows.mapInArrow(read, "doc_id long, toxic int, lang string, words binary"), "labelled")
     sizes = rows.select("doc_id", "toxic", F.expr("octet_length(words) div 8").alias("n")).collect()  # numbers, 2 * sample of them
     sizes.sort(key=lambda r: zlib.crc32(b"order%d" % r["doc_id"]))
-    within = [r["doc_id"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if total <= sample_words]
+    within, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= sample_words:
+            within.append(r["doc_id"])
+            total += r["n"]
     if len(within) < len(sizes):
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in within], "doc_id long")), "doc_id", "left_semi")
     rows = [(zlib.crc32(b"order%d" % r["doc_id"]), r["doc_id"], r["toxic"], r["lang"], r["words"]) for r in rows.toLocalIterator()]  # a partition's at a time
