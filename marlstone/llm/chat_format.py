@@ -11,6 +11,7 @@ rounds are needed for calls that name later turns (one for each that follows the
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -54,21 +55,43 @@ def fault(tool: str | None, arguments: object, schemas: dict[str, dict]) -> str
     return None
 
 
+#: JSON that is nested deeper is taken as text: what is read must be written again, inside of other objects.
+DEPTH = 1000
+
+
+def parts_of(value: object) -> Iterator[tuple[object, int]]:
+    """All values within a value, with their depths, without recursion."""
+    todo = [(value, 1)]
+    while todo:
+        part, depth = todo.pop()
+        yield part, depth
+        inner = part.values() if isinstance(part, dict) else part if isinstance(part, list) else ()
+        todo += [(x, depth + 1) for x in inner]
+
+
+def read(text: str) -> object:
+    """A JSON value that can be written again; a ValueError for any other text."""
+    try:
+        value = json.loads(text)
+        if any(depth > DEPTH for _, depth in parts_of(value)):
+            raise ValueError("nested too deep")
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return value
+
+
 def named(value: object) -> set[str]:
     """Identifiers of the calls that arguments name."""
-    if isinstance(value, str):
-        return {value[1:]} if value.startswith("$") and len(value) > 1 else set()
-    parts = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return {x for part in parts for x in named(part)}
+    return {x[1:] for x, _ in parts_of(value) if isinstance(x, str) and x.startswith("$") and len(x) > 1}
 
 
 def items_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     """(item, kind, call_id, tool, fault, names, json) of a message: itself, its calls, or a result."""
     text = text or ""
     try:
-        value = json.loads(text) if text.lstrip()[:1] == "{" else None
-        canonical(value)
-    except (ValueError, RecursionError):
+        value = read(text) if text.lstrip()[:1] == "{" else None
+    except ValueError:
         value = None
     if isinstance(value, dict) and role == "tool" and isinstance(value.get("tool_call_id"), str):
         out = {"content": value.get("content"), "role": "tool", "tool_call_id": value["tool_call_id"]}
@@ -81,12 +104,8 @@ def items_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> li
         call = call if isinstance(call, dict) else {}
         tool, arguments = call.get("name"), call.get("arguments")
         if isinstance(arguments, str):
-            try:
-                read = json.loads(arguments)
-                canonical(read)
-                arguments = read
-            except (ValueError, RecursionError):
-                pass
+            with contextlib.suppress(ValueError):
+                arguments = read(arguments)
         key = call.get("id") if isinstance(call.get("id"), str) else None
         tool = tool if isinstance(tool, str) else None
         out.append((i, "call", key, tool, fault(tool, arguments, schemas), sorted(named(arguments)), canonical({"arguments": arguments, "id": key, "name": tool, "type": "call"})))
@@ -100,7 +119,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> Dat
     call there) or ok; of a result: orphan (no such call) or ok; of a message: ok. Of calls with one identifier in a conversation the first counts, the others are
     invalid: repeated id; every result of an identifier is linked. Names of calls that aren't there are ignored. linked_turn: the call's of a result, the first result's of a call. Null text counts as
     empty; rows with null conv_id or turn keep their rows and link with nothing. Text that isn't such JSON, or can't be written as UTF-8 JSON again (NaN, lone
-    surrogates), is a plain message; arguments like that stay the string they are. Very long texts are parsed whole. Repeated rows are messages of their own.
+    surrogates), or is nested over DEPTH deep, is a plain message; arguments like that stay the string they are. Very long texts are parsed whole. Repeated rows are messages of their own.
     Other columns are not read. An empty table gives an empty result.
     """
     schema = "conv_id long, turn long, role string, item int, kind string, call_id string, tool string, fault string, names array<string>, json string"
