@@ -2,6 +2,7 @@
 
 import json
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -42,12 +43,11 @@ def test_toxicity_on_held_out_rows(spark):
     assert set(model.thresholds) == {"de", "en"}
 
 
-@pytest.mark.parametrize("informed", [True, False])
-def test_toxicity_is_learnt_from_noise_too(informed):
+def test_toxicity_is_learnt_from_noise():
     rows, labels = toxic_corpus(1200, seed=3)
     texts = [toxicity.rows_of(toxicity.tokens_of(t.encode()), 12) for _, t, *_ in rows]
-    truth = np.array([t for *_, t in labels], float)
-    model = toxicity.train(texts[:900], truth[:900], 12, informed=informed, epochs=12)
+    truth = np.array([x[-1] for x in labels], float)
+    model = toxicity.train(texts[:900], truth[:900], 12)
     scores = toxicity.score_rows(model, texts[900:])
     assert ((scores >= 0.7) == (truth[900:] == 1)).mean() >= 0.98
 
@@ -72,6 +72,45 @@ def test_toxicity_gathers_bounded_words(spark):
     assert len(got) == len(rows)
 
 
+def area(scores, labels):
+    """Share of pairs of a toxic and another row whose scores are in order."""
+    gaps = scores[labels > 0][:, None] - scores[labels <= 0][None]
+    return ((gaps > 0) + (gaps == 0) / 2).mean()
+
+
+def test_toxicity_of_the_given_labels(spark):
+    """Whole table, from noise, on rows that training may not see."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, labels, learn_from=~held)
+    late = toxicity.score(docs, model).where(held).join(labels.where("toxic IS NOT NULL").withColumnRenamed("toxic", "label"), "doc_id").collect()
+    assert len(late) > 100 and area(np.array([r["score"] for r in late]), np.array([r["label"] for r in late])) >= 0.9
+
+
+@pytest.mark.parametrize("giant", [0, 1])
+def test_one_long_labelled_text_leaves_the_model(spark, giant):
+    rows, labels = toxic_corpus(60)
+    first = min((i for i, *_ in rows), key=lambda i: zlib.crc32(b"order%d" % i))
+    rows[first] = (first, "long " * 5000, "en", "s", 0)
+    labels[first] = (first, 1, giant)
+    model = toxicity.fit(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), bits=12, sample_words=1500)
+    assert model is not None and len({round(float(s), 6) for s in toxicity.score_rows(model, [toxicity.rows_of([b"vile"], 12), toxicity.rows_of([b"w1"], 12)])}) == 2
+
+
+@pytest.mark.parametrize("depth", [900, 1200, 3000, 20_000])
+def test_deeply_nested_arguments(spark, depth):
+    deep = '{"a":' * depth + '"$x"' + "}" * depth
+    flat = "[" * depth + "]" * depth
+    texts = [f'{{"tool_calls": [{{"name": "search", "id": "c", "arguments": {a}}}]}}' for a in (deep, flat, json.dumps(deep), json.dumps(flat))] + [deep, '{"tool_call_id": "c", "content": ' + flat + "}"]
+    rows = [(1, n, "tool" if n == 5 else "assistant", t) for n, t in enumerate(texts)]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    kinds = [[r["kind"] for r in sorted(got, key=lambda r: r["item"]) if r["turn"] == n] for n in range(6)]
+    within = depth < 950
+    assert kinds == [["message", "call"] if within else ["message"]] * 2 + [["message", "call"]] * 2 + [["message"], ["result"] if within else ["message"]]
+    assert all(json.loads(r["json"]) for r in got)
+
+
 def test_toxicity_without_a_class(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1)], DOC)
     marks = spark.createDataFrame([(1, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
