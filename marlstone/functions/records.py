@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def repaired(record: Column, aliases: dict[str, str], defaults: dict[str, str]) -> Column:
     """A JSON object of text values as a map: keys by their proper names, defaults where a key is missing.
 
@@ -41,3 +42,16 @@ def problems(record: Column, properties: dict[str, str], required: list[str] | N
 def integer_types(schema: Column) -> Column:
     """How many properties of a schema (JSON text) have the type integer, which the service rejects."""
     return F.size(F.regexp_extract_all(schema, F.lit(r'"type"\s*:\s*"(integer)"'), 1))
+
+
+def fetched(status: Column, body: Column) -> Column:
+    """The body of a response: NULL for one that was not found (404), an error for any other status than 200, a missing one too."""
+    told = F.concat(F.lit("fetch failed with status "), F.coalesce(status.cast("string"), F.lit("none")))
+    return F.when(status == 200, body).when(status == 404, F.lit(None)).otherwise(F.raise_error(told))
+
+
+def decoded(json: Column, fields: dict[str, tuple[str, object]]) -> Column:
+    """A record of JSON text with the fields (type, default): a field that is missing, null or of another type has its default; text that is no object gives NULL."""
+    value = F.try_parse_json(json)
+    read = [F.coalesce(F.try_variant_get(value, f"$['{name}']", kind), F.lit(default).cast(kind)).alias(name) for name, (kind, default) in fields.items()]
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.struct(*read))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SNAPSHOT = "date date, accounts array<struct<account_number string, nlv double, positions array<struct<symbol string, direction string, quantity double, mark_price double, cost_basis double, multiplier double, realized_day_pl double>>>>"
@@ -86,3 +89,19 @@ def one_per_symbol(positions: DataFrame) -> DataFrame:
     """One row per symbol of a snapshot: the last account's."""
     w = Window.partitionBy("date", "symbol").orderBy(F.desc("account_number"), F.desc("direction"))
     return positions.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def ask(spark: SparkSession, statement: str, tables: dict[str, DataFrame], args: dict[str, object] | None = None) -> DataFrame:
+    """The rows of a user's query over tables by name, with values for its :parameters. Only queries are taken, no commands."""
+    rest = re.sub(r"(?s)\A(?:\s|--[^\n]*(?:\n|\Z)|/\*.*?\*/)+", "", statement).rstrip().rstrip(";")  # remarks before it
+    words = rest.lstrip(" \t\r\n(").split(None, 1)
+    if not words or words[0].upper() not in ("SELECT", "WITH", "VALUES", "FROM"):
+        raise ValueError("only queries can be asked")
+    views = {name: f"{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, table in tables.items():
+        table.createOrReplaceTempView(views[name])
+    # Names become views of their own, so questions side by side don't see each other's tables.
+    ctes = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+    head = re.match(r"(?is)with\s+(recursive\s+)?", rest)
+    text = f"WITH {head[1] or ''}{ctes}, {rest[head.end():]}" if head else f"WITH {ctes} {rest}"
+    return spark.sql(text if ctes else rest, args=args or {})

@@ -105,6 +105,20 @@ query("top05_newest_values", "SELECT date, account_number, nlv FROM portfolio_da
 query("top05_newest_per_account", "SELECT date, account_number, nlv FROM (SELECT *, row_number() OVER (PARTITION BY account_number ORDER BY date DESC) AS k FROM portfolio_daily) WHERE k <= 10")(lambda spark, d: portfolio.newest_per_account(daily(spark, d), 10).select("date", "account_number", "nlv"))
 query("top06_positions_by_value", f"WITH {PL_SQL} SELECT symbol, direction, unrealized_pl, row_number() OVER (ORDER BY quantity * mark_price DESC, symbol, account_number, direction) AS place FROM pp WHERE date = (SELECT max(date) FROM position_daily)")(lambda spark, d: portfolio.by_value(held(spark, d)).select("symbol", "direction", "unrealized_pl", "place"))
 query("top06_symbol_history", "SELECT date, account_number, quantity FROM position_daily WHERE symbol = '7'")(lambda spark, d: spark.sql("SELECT date, account_number, quantity FROM {p} WHERE symbol = :symbol", args={"symbol": "7"}, p=held(spark, d)))
+#: What a user may ask of the tables, by name.
+QUESTIONS = [
+    "SELECT account_number, CAST(count(*) AS DOUBLE) AS value FROM portfolio_daily WHERE nlv > 200000 GROUP BY account_number",
+    "WITH p AS (SELECT account_number, max(date) AS last FROM position_daily GROUP BY account_number) SELECT p.account_number, max(nlv) AS value FROM p JOIN portfolio_daily d ON d.account_number = p.account_number AND d.date = p.last GROUP BY p.account_number",
+]
+
+
+def answers(spark, d):
+    tables_ = {"portfolio_daily": daily(spark, d), "position_daily": view(spark, d, "position_daily")}
+    first, second = (portfolio.ask(spark, q, tables_).select(F.lit(n).alias("question"), "account_number", "value") for n, q in enumerate(QUESTIONS))
+    return first.unionByName(second)
+
+
+query("top07_user_statements", f"SELECT 0 AS question, * FROM ({QUESTIONS[0]}) a UNION ALL SELECT 1, * FROM ({QUESTIONS[1]}) b /* portfolio_daily position_daily */")(answers)
 query("top07_any_sql", "SELECT account_number, count(*) AS days, max(nlv) AS best FROM portfolio_daily GROUP BY account_number")(lambda spark, d: spark.sql("SELECT account_number, count(*) AS days, max(nlv) AS best FROM {p} GROUP BY account_number", p=daily(spark, d)))
 query("src16_snapshot_accounts", "WITH c AS (SELECT date, account_number, count(*) AS n FROM position_daily GROUP BY 1, 2) SELECT p.date, p.account_number, p.nlv, CAST(coalesce(n, 0) AS INT) AS position_count FROM portfolio_daily p LEFT JOIN c ON p.date = c.date AND p.account_number = c.account_number")(lambda spark, d: portfolio.read_snapshots(portfolio.snapshot_lines(daily(spark, d), held(spark, d)))[0].select("date", "account_number", "nlv", "position_count"))
 query("src17_snapshot_positions", "SELECT q.date, q.account_number, symbol, direction, quantity, mark_price FROM position_daily q JOIN portfolio_daily p ON q.date = p.date AND q.account_number = p.account_number")(lambda spark, d: portfolio.read_snapshots(portfolio.snapshot_lines(daily(spark, d), held(spark, d)))[1].select("date", "account_number", "symbol", "direction", "quantity", "mark_price"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import records, scalar
 from ..operators import filings, letters, sections, theses, trees
 from ..operators.ownership import xml_report
 from ..sources import merge, tables
@@ -51,6 +51,14 @@ query("src10_ticker_map", "SELECT DISTINCT ticker, lpad(ticker, 10, '0') AS cik
 query("src11_latest_filing", f"WITH {FORMS_SQL} SELECT ticker, CAST(arg_max(id, struct_pack(f := CAST(requested_at AS DATE), i := -id)) AS VARCHAR) AS accession FROM nf WHERE feed = '10-K' GROUP BY ticker")(lambda spark, d: filings.recent_filings(filings.submissions(feed(spark, d)), "10-K", None, 1, F.current_date()).select("ticker", "accession"))
 query("src28_missing_manifests", "SELECT CAST(id AS VARCHAR) AS accession, CASE WHEN id % 4 = 0 THEN 'manifest' END AS manifest FROM requests")(lambda spark, d: filed(spark, d).select("accession").join(filed(spark, d).where("accession % 4 = 0").select("accession", F.lit("manifest").alias("manifest")), "accession", "left"))
 query("src29_indexed", "SELECT CAST(id AS VARCHAR) AS accession FROM requests WHERE id % 4 = 0")(lambda spark, d: filed(spark, d).select("accession").join(filed(spark, d).where("accession % 4 = 0").select("accession"), "accession", "left_semi"))
+query("src28_fetched_manifests", "SELECT CAST(id AS VARCHAR) AS accession, CASE WHEN id % 4 = 0 THEN 'manifest ' || id END AS manifest FROM requests")(lambda spark, d: filed(spark, d).select("accession", records.fetched(F.when(F.col("accession") % 4 == 0, 200).otherwise(404), F.concat(F.lit("manifest "), "accession")).alias("manifest")))
+query("src29_decoded_records", "SELECT CAST(id AS VARCHAR) AS accession, CASE WHEN id % 5 < 3 THEN CASE WHEN id % 5 = 1 THEN 3 ELSE id % 7 END END AS priority, CASE WHEN id % 5 < 3 THEN CASE WHEN id % 5 = 2 THEN 'pending' ELSE 's' || id END END AS state FROM requests")(
+    lambda spark, d: filed(spark, d)
+    .select("accession", F.col("accession").cast("long").alias("n"))
+    .select("accession", F.when(F.col("n") % 5 == 0, F.format_string('{"priority": %d, "state": "s%d", "more": 1}', F.col("n") % 7, "n")).when(F.col("n") % 5 == 1, F.format_string('{"priority": "soon", "state": "s%d"}', "n")).when(F.col("n") % 5 == 2, F.format_string('{"state": null, "priority": %d}', F.col("n") % 7)).when(F.col("n") % 5 == 3, "[1]").otherwise('{"broken').alias("json"))
+    .select("accession", records.decoded(F.col("json"), {"priority": ("bigint", 3), "state": ("string", "pending")}).alias("r"))
+    .select("accession", "r.priority", "r.state")
+)
 query("mrg04_filing_status", "SELECT ticker, form, CAST(max(id) AS BIGINT) AS id FROM requests GROUP BY 1, 2")(lambda spark, d: (lambda r: merge.newer_wins(r.where("id % 2 = 0").groupBy("ticker", "form").agg(F.max("id").alias("id")), r.groupBy("ticker", "form").agg(F.max("id").alias("id")), ["ticker", "form"]))(asked(spark, d)))
 query("mrg05_targets", f"WITH {FILED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker, form ORDER BY filed DESC, accession DESC) AS k FROM fi) SELECT ticker, accession FROM n WHERE k <= CASE form WHEN '10-K' THEN 2 WHEN '10-q/A' THEN 3 WHEN ' DEF 14A ' THEN 1 ELSE 0 END OR filed >= DATE '2024-01-30' - 2")(lambda spark, d: merge.top_per_form(filed(spark, d), {"10-K": 2, "10-q/A": 3, " DEF 14A ": 1}, 2, F.to_date(F.lit("2024-01-30"))).select("ticker", "accession"))
 
@@ -104,6 +112,10 @@ SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY grp, c) - 1 AS I
 query("sec07_chunks", CHUNK_SQL)(lambda spark, d: sections.chunks(view(spark, d, "nodes").select(F.col("node").alias("id"), "text"), 200).withColumnRenamed("id", "node"))
 query("sec08_raw_trees", "SELECT ticker, count(*) AS sections, false AS full FROM nodes GROUP BY ticker")(lambda spark, d: filings.raw_tree(view(spark, d, "nodes").groupBy("ticker").agg(F.collect_list(F.struct("label", "title", "text")).alias("sections"))).select("ticker", F.size("sections").cast("bigint").alias("sections"), "full"))
 
+query("sec08_raw_tree_contents", "SELECT ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY node) - 1 AS INT) AS pos, label, title, sha256(text) AS text_sha256, '' AS summary, false AS full FROM nodes")(
+    lambda spark, d: filings.raw_tree(view(spark, d, "nodes").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("node", "label", "title", "text"))).alias("sections"))).select("ticker", "full", F.posexplode("sections").alias("pos", "s")).select("ticker", "pos", "s.label", "s.title", F.sha2("s.text", 256).alias("text_sha256"), "s.summary", "full")
+)
+
 
 def full_trees(spark, d):
     n = view(spark, d, "nodes").withColumn("accession", F.floor(F.col("node") / 4).cast("string")).withColumn("pos", F.col("node") % 4)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import records
-from marlstone.operators import filings, letters, ordering, search, theses, timing
+from marlstone.operators import filings, letters, ordering, portfolio, search, theses, timing
 from marlstone.sources import tables
 from marlstone.streaming import queue
 
@@ -120,3 +120,27 @@ def test_phrases_and_passages(spark):
     assert {k for k in found if found[k] > plain[k]} == {(1, 1), (1, 3)}  # verbatim, parts of words at its ends included
     held = search.holding(nodes, spark.createDataFrame([(7, "red house fel"), (8, "no such house here")], "query_id int, passage string"), search.index_of(nodes.withColumn("text", F.concat_ws(" ", "title", "text")))).collect()
     assert [(r["query_id"], r["node"]) for r in held] == [(7, 3)]
+
+
+def test_fetched_bodies(spark):
+    df = spark.createDataFrame([(200, "x"), (404, "y")], "status int, body string")
+    assert [r["b"] for r in df.select(records.fetched(F.col("status"), F.col("body")).alias("b")).collect()] == ["x", None]
+    for status in (500, None):
+        with pytest.raises(Exception, match="fetch failed with status"):
+            spark.createDataFrame([(status, "z")], "status int, body string").select(records.fetched(F.col("status"), F.col("body"))).collect()
+
+
+def test_records_have_defaults(spark):
+    texts = ['{"n": 5, "s": "a"}', '{"n": "5x", "other": []}', '{"s": null}', "[1]", "{bad", "", None, '{"n": 7.0, "s": 2}']
+    got = [r["r"] for r in spark.createDataFrame([(t,) for t in texts], "j string").select(records.decoded(F.col("j"), {"n": ("bigint", 1), "s": ("string", "none")}).alias("r")).collect()]
+    assert [tuple(r) if r else None for r in got] == [(5, "a"), (1, "none"), (1, "none"), None, None, None, None, (7, "2")]
+
+
+def test_questions_of_users(spark):
+    t = {"t": spark.createDataFrame([(1, "a"), (2, "b")], "n int, v string"), "u": spark.createDataFrame([(2,)], "n int")}
+    ask = lambda q, **args: sorted(tuple(r) for r in portfolio.ask(spark, q, t, args).collect())
+    assert ask("SELECT v FROM t WHERE n = :n", n=2) == [("b",)] == ask("-- with a remark\nWITH w AS (SELECT n FROM u) SELECT v FROM t JOIN w USING (n);")
+    assert ask("with recursive r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT count(*) FROM r") == [(3,)]
+    for command in ("DROP TABLE t", "INSERT INTO t VALUES (1, 'x')", " ", "/* SELECT */ SET a = 1"):
+        with pytest.raises(ValueError, match="only queries"):
+            portfolio.ask(spark, command, t)
