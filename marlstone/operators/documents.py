@@ -132,34 +132,3 @@ def with_metadata(content: str, changes: dict[str, object]) -> str:
         lines.append(line)
     lines += [f"{k}: {v}" for k, v in left.items()]
     return content[: m.start(1)] + "\n".join(lines) + "\n" + content[m.end(1) :]
-
-
-def table(content: str | None, header: str) -> list[list[str]]:
-    """Cells of the first table in the section of that header, without its head and rule; rows with '[' are placeholders and drop out."""
-    rows: list[list[str]] = []
-    inside = False
-    for line in (content or "").splitlines():
-        if line.startswith("#"):
-            if rows:
-                break
-            inside = line.lstrip("#").strip().lower().startswith(header.lower())
-        elif inside and line.lstrip().startswith("|"):
-            rows.append([c.strip() for c in line.strip().strip("|").split("|")])
-        elif rows:
-            break
-    return [r for r in rows[2:] if not any("[" in c for c in r)]
-
-
-def loose_json(raw: str | None, keys: tuple[str, ...]) -> dict[str, int]:
-    """Scores by key from JSON that may stand in a fence or in prose, held to 0 to 100; missing ones are left out."""
-    text = (raw or "").strip()
-    value = None
-    for attempt in (text, *(m[1] for m in re.finditer(r"```(?:json)?\s*(.*?)```", text, re.S)), *(m[0] for m in re.finditer(r"\{.*\}", text, re.S))):
-        try:
-            value = json.loads(attempt)
-            break
-        except ValueError:
-            continue
-    if not isinstance(value, dict):
-        return {}
-    return {k: max(0, min(100, int(s))) for k in keys if isinstance(value.get(k), dict) and isinstance(s := value[k].get("score"), (int, float)) and not isinstance(s, bool)}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,15 +105,31 @@ def metadata_json(content: pd.Series) -> pd.Series:
     return content.map(documents.metadata)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def table_cells(content: pd.Series, header: pd.Series) -> pd.Series:
-    return pd.Series([documents.table(c, h) for c, h in zip(content, header, strict=True)], dtype=object)
+def table_cells(content: Column | str, header: Column) -> Column:
+    """Cells of the first table in the sections of that header, without its head and rule; rows with '[' are placeholders and drop out."""
+    content = F.col(content) if isinstance(content, str) else content
+    parts = F.split(F.coalesce(content, F.lit("")), r"(?m)^(?=#)")
+    heading = lambda p: F.lower(F.trim(F.regexp_replace(F.substring_index(p, "\n", 1), "^#+", "")))
+    own = F.filter(parts, lambda p: F.startswith(p, F.lit("#")) & F.startswith(heading(p), F.lower(header)))
+    tables = F.filter(F.transform(own, lambda p: F.regexp_extract(p, r"(?m)(?:^[ \t]*\|[^\n]*\n?)+", 0)), lambda t: t != "")
+    lines = F.filter(F.split(F.coalesce(F.get(tables, F.lit(0)), F.lit("")), "\n"), lambda s: F.trim(s) != "")
+    strip = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    rows = F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(strip(s), r"^\|+|\|+$", ""), r"\|"), strip))
+    return F.filter(F.slice(rows, 3, F.greatest(F.size(rows), F.lit(1))), lambda r: ~F.exists(r, lambda c: F.contains(c, F.lit("["))))
 
 
-@F.pandas_udf(T.StringType())
-def loose_scores(raw: pd.Series) -> pd.Series:
-    keys = ("business_health", "insider_alignment", "thesis_integrity")
-    return raw.map(lambda r: json.dumps(documents.loose_json(r, keys)))
+#: What a model is asked to score.
+SCORED = ("business_health", "insider_alignment", "thesis_integrity")
+
+
+def loose_scores(raw: Column | str, keys: tuple[str, ...] = SCORED) -> Column:
+    """Scores by key, as JSON, from JSON that may stand in a fence or in prose, held to 0 to 100; missing ones are left out."""
+    text = F.trim(F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit("")))
+    tries = F.concat(F.array(text), F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?s)\{.*\}"), F.lit(0)))
+    value = F.try_parse_json(F.get(F.filter(tries, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0)))
+    number = lambda key: F.regexp_like(F.schema_of_variant(F.try_variant_get(value, f"$['{key}'].score", "variant")), F.lit("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"))
+    score = lambda key: F.greatest(F.lit(0), F.least(F.lit(100), F.try_variant_get(value, f"$['{key}'].score", "double").cast("long")))
+    return F.to_json(F.struct(*(F.when(number(key), score(key)).alias(key) for key in keys)))
 
 
 def read_documents(spark, path: str, but: str = "") -> DataFrame:

@@ -138,7 +138,13 @@ def test_thesis_documents(spark):
     assert [r["description"] for r in theses.kill_conditions_of(parsed).collect()] == ["falls"]
     changed = documents.with_metadata(doc, {"shares": 7, "health_score": 60})
     assert "shares: 7 # held" in changed and "health_score: 60\n```" in changed
-    assert documents.loose_json('x {"business_health": {"score": 140}, "y": 1} z', ("business_health", "y")) == {"business_health": 100}
+    raws = ['x {"business_health": {"score": 140}, "y": 1} z', 'a ```json\n{"business_health": {"score": 12.9}, "y": {"score": "5"}}\n``` {', "5", "null", "", None, '{"y": {"score": true}, "business_health": {"score": -3}}', "{bad"]
+    scores = spark.createDataFrame(list(enumerate(raws)), "i int, r string").select("i", theses.loose_scores("r", ("business_health", "y")).alias("s"))
+    assert [json.loads(r["s"]) for r in scores.orderBy("i").collect()] == [{"business_health": 100}, {"business_health": 12}, {}, {}, {}, {}, {"business_health": 0}, {}]
+    files = ["# A\n## Kill Conditions\n| a | b |\n|---|---|\n| 1 | 2 |\n| [x] | 3 |\n|4|5|\n\n| 6 | 7 |\n", "## Kill conditions x\nno\n## Kill Conditions\n | a |\n |---|\n  | v \t|\r\n", None, "# kill conditions\n| only |\n"]
+    cells = spark.createDataFrame(list(enumerate(files)), "i int, d string").select("i", theses.table_cells("d", F.lit("Kill Conditions")).alias("c"))
+    assert [r["c"] for r in cells.orderBy("i").collect()] == [[["1", "2"], ["4", "5"]], [["v"]], [], []]
+    assert "Python" not in cells._jdf.queryExecution().executedPlan().toString() + scores._jdf.queryExecution().executedPlan().toString()
 
 
 def test_trees(spark):
