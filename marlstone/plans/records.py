@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def nodes(spark, d):
 # --- stores
 def stored_bars(spark, d):
     """Bars as CSV files by ticker, written and read again."""
-    path = f"{scratch.shared_root(spark)}/marlstone-{spark.sparkContext.applicationId}/bars-{abs(hash(d))}"
+    path = f"{scratch.shared_root(spark)}/marlstone-{spark.sparkContext.applicationId}/bars-{zlib.crc32(d.encode())}"
     tables.write_bars(view(spark, d, "bars"), path)
     return tables.read_written_bars(spark, path)
 

@@ -33,12 +33,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_KEPT: dict[tuple[str, ...], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of this key, made and written at its first use in an application."""
-    key = (spark.sparkContext.applicationId, *key)
+def stamp(spark: SparkSession, folder: str) -> tuple[tuple[str, int], ...]:
+    """Names and modification times of what lies in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime()) for f in files.listStatus(path)))
+
+
+def stored(spark: SparkSession, key: tuple[str, str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this key (a name and the folder it is made of), made and written at its first use in an application, and again once something in the folder has changed."""
+    key = (spark.sparkContext.applicationId, *key, stamp(spark, key[1]))
     if key not in _KEPT:
         _KEPT[key] = written(make(), key[1])
     return _KEPT[key]

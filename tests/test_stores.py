@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import ledger, search
-from marlstone.sources import merge, store, tables
+from marlstone.sources import merge, scratch, store, tables
 
 START = dt.date(2024, 1, 1)
 
@@ -37,6 +37,20 @@ def test_only_stale_series_are_written_again(spark, tmp_path):
     assert {f: f.stat().st_mtime_ns for f in path.glob("ticker=*/*")} == files
 
 
+def test_stored_tables_follow_their_folder(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(f"{tmp_path}/t.parquet")
+
+    for n in (3, 3, 5):
+        if not made or n == 5:
+            spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+        assert scratch.stored(spark, ("counted", str(tmp_path)), make).count() == n
+    assert len(made) == 2
+
+
 @pytest.mark.parametrize("batches", [1, 2, 7])
 def test_lots_carried_in_batches_equal_one_run(spark, batches):
     rng = random.Random(batches)
