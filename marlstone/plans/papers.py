@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import records, scalar
 from ..operators import filings, letters, sections, theses, trees
 from ..operators.ownership import xml_report
-from ..sources import merge, tables
+from ..sources import merge, scratch, store, tables
 from ..streaming import queue
 from .bindings import view
 from .registry import query
@@ -48,6 +50,17 @@ query("flt09_coverage", f"WITH {FORMS_SQL}, c AS (SELECT ticker, bool_or(status
 query("flt14_document_names", "SELECT id, CASE WHEN id % 3 = 1 THEN 'forms/xsl/' ELSE '' END || ticker || '-' || id || '.xml' AS document FROM requests")(lambda spark, d: asked(spark, d).select("id", scalar.without_style_prefix(F.concat(F.when(F.col("id") % 3 == 0, F.concat(F.lit("xslF345X0"), F.col("id") % 7, F.lit("/"))).when(F.col("id") % 3 == 1, "forms/xsl/").otherwise(""), "ticker", F.lit("-"), F.col("id").cast("string"), F.lit(".xml"))).alias("document")))
 query("flt16_stale_trees", "SELECT id, CASE WHEN id % 3 = 0 THEN false ELSE id % 2 = 1 OR id % 5 = 0 END AS stale FROM requests")(lambda spark, d: asked(spark, d).select("id", filings.stale_tree(F.when(F.col("id") % 3 > 0, F.lit("a")), F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 2 == 1, "b").otherwise("a"))).alias("stale")))
 query("src10_ticker_map", "SELECT DISTINCT ticker, lpad(ticker, 10, '0') AS cik FROM requests")(lambda spark, d: feed(spark, d).select("ticker", F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik")))
+
+
+def cached_maps(spark, d):
+    """The map as it was kept, although it would be another now; and the other, with the cache disabled."""
+    path = f"{scratch.shared_root(spark)}/marlstone-{spark.sparkContext.applicationId}/ticker-map-{uuid.uuid4().hex}"
+    padded = lambda digit: lambda: feed(spark, d).select("ticker", F.lpad(F.concat(F.lit(digit), F.col("cik").cast("string")), 10, "0").alias("cik"))
+    calls = [store.cached(spark, path, padded(digit), hours).select(F.lit(n).alias("call"), "ticker", "cik") for n, (digit, hours) in enumerate((("", 24), ("9", 24), ("9", 0)))]
+    return calls[0].unionByName(calls[1]).unionByName(calls[2])
+
+
+query("src10_cached_map", "SELECT call, ticker, lpad(CASE WHEN call = 2 THEN '9' ELSE '' END || ticker, 10, '0') AS cik FROM (SELECT DISTINCT ticker FROM requests), (VALUES (0), (1), (2)) v(call)")(cached_maps)
 query("src11_latest_filing", f"WITH {FORMS_SQL} SELECT ticker, CAST(arg_max(id, struct_pack(f := CAST(requested_at AS DATE), i := -id)) AS VARCHAR) AS accession FROM nf WHERE feed = '10-K' GROUP BY ticker")(lambda spark, d: filings.recent_filings(filings.submissions(feed(spark, d)), "10-K", None, 1, F.current_date()).select("ticker", "accession"))
 query("src28_missing_manifests", "SELECT CAST(id AS VARCHAR) AS accession, CASE WHEN id % 4 = 0 THEN 'manifest' END AS manifest FROM requests")(lambda spark, d: filed(spark, d).select("accession").join(filed(spark, d).where("accession % 4 = 0").select("accession", F.lit("manifest").alias("manifest")), "accession", "left"))
 query("src29_indexed", "SELECT CAST(id AS VARCHAR) AS accession FROM requests WHERE id % 4 = 0")(lambda spark, d: filed(spark, d).select("accession").join(filed(spark, d).where("accession % 4 = 0").select("accession"), "accession", "left_semi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -46,3 +47,16 @@ def read_through(spark: SparkSession, path: str, wanted: DataFrame, fetch: Calla
     old = stored.join(fresh.select("ticker").distinct(), "ticker", "left_semi")
     replace_series(written(newer_wins(old, fresh, ["ticker", "date"]), "merged-bars"), path)
     return stored_bars(spark, path).join(wanted.select("ticker").distinct(), "ticker", "left_semi")
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], hours: float, now: float | None = None) -> DataFrame:
+    """A table that is kept in a folder for so many hours: made and written where there is none or it is too old; made each time, and not kept, for hours of 0 or less. now: seconds, the clock if not given."""
+    if hours <= 0:
+        return make()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")  # a write that broke off has none
+    age = (time.time() if now is None else now) - files.getFileStatus(done).getModificationTime() / 1000 if files.exists(done) else None
+    if age is None or age >= hours * 3600:
+        written(make(), "cached").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def test_stored_tables_follow_their_folder(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_tables_are_cached_for_so_many_hours(spark, tmp_path):
+    path, made = str(tmp_path / "map"), []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    rows = lambda hours, now=None: store.cached(spark, path, make, hours, now).count()
+    clock = time.time()
+    assert [rows(1), rows(1), rows(1, clock + 3000), rows(1, clock + 4000), rows(1, clock + 3000)] == [1, 1, 1, 2, 2]
+    (tmp_path / "map" / "_SUCCESS").unlink()  # as after a write that broke off
+    assert [rows(0), rows(1), rows(1), rows(-1)] == [3, 4, 4, 5]
+
+
 @pytest.mark.parametrize("batches", [1, 2, 7])
 def test_lots_carried_in_batches_equal_one_run(spark, batches):
     rng = random.Random(batches)
