@@ -211,7 +211,7 @@ def followed(spark, d, rows, changes, schema):
     middle = rows.agg(F.timestamp_micros(((F.min(F.unix_micros("at")) + F.max(F.unix_micros("at"))) / 2).cast("long"))).first()[0]
     for part in (F.col("at") < F.lit(middle), F.col("at") >= F.lit(middle)):
         rows.where(part).write.mode("append").parquet(f"{folder}/log")
-        lifecycle.follow(spark, lambda: changes(lifecycle.log_stream(spark, f"{folder}/log", "5 days")), folder).awaitTermination()
+        lifecycle.follow(spark, lambda: changes(lifecycle.log_stream(spark, f"{folder}/log", "5 days")), folder, partitions=8).awaitTermination()
     return lifecycle.latest(spark, folder, schema)
 
 

@@ -123,15 +123,18 @@ def worker_changes(log: DataFrame, late_seconds: int) -> DataFrame:
     return rows.select("worker", "change", F.timestamp_micros("last_us").alias("last_at"), "done", "failed", "late")
 
 
-def follow(spark: SparkSession, changes: Callable[[], DataFrame], folder: str, interval: str | None = None):
-    """Write changes to folder/changes, with the state in folder/state; without an interval what is there, and then stop."""
-    before = spark.conf.get(_PROVIDER[0], None)
-    spark.conf.set(*_PROVIDER)
-    try:
+def follow(spark: SparkSession, changes: Callable[[], DataFrame], folder: str, interval: str | None = None, partitions: int | None = None):
+    """Write changes to folder/changes, with the state in folder/state; without an interval what is there, and then stop. partitions: of the state, from the first run on; the session's if not given."""
+    settings = dict([_PROVIDER]) | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:  # a stream takes the settings of its start
         q = changes().writeStream.format("parquet").outputMode("append").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/state")
         return (q.trigger(processingTime=interval) if interval else q.trigger(availableNow=True)).start()
     finally:
-        spark.conf.set(_PROVIDER[0], before) if before else spark.conf.unset(_PROVIDER[0])
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:

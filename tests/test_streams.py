@@ -10,7 +10,7 @@ START = dt.datetime(2024, 1, 1)
 
 def run(spark, folder, rows, changes, delay):
     spark.createDataFrame([(i, k, w, START + dt.timedelta(seconds=s), q) for i, k, w, s, q in rows], lifecycle.LOG).write.mode("append").parquet(f"{folder}/log")
-    lifecycle.follow(spark, lambda: changes(lifecycle.log_stream(spark, f"{folder}/log", delay)), folder).awaitTermination(120)
+    lifecycle.follow(spark, lambda: changes(lifecycle.log_stream(spark, f"{folder}/log", delay)), folder, partitions=3).awaitTermination(120)
 
 
 def test_request_states_over_restarts_equal_the_batch(spark, tmp_path):
