@@ -29,14 +29,43 @@ def _plain(xml: Column) -> Column:
     return F.concat(F.lit("<w>"), x, F.lit("</w>"))
 
 
+# Attributes of an element.
+_ATTRIBUTES = r"(?:\s+[^\s=<>/]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*"
+
+
+def _unescaped(text: Column) -> Column:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def _walked(xml: Column, path: str) -> Column:
+    return F.nullif(F.trim(F.xpath_string(xml, F.lit(f"({path})[1]/value/text() | ({path})[1][not(value)]/text()"))), F.lit(""))
+
+
 def _value(xml: Column, path: str) -> Column:
-    """Text of the first element at a path, or of its value element; '' if there is none."""
-    text = F.xpath_string(xml, F.lit(f"({path})[1]/value/text() | ({path})[1][not(value)]/text()"))
-    return F.when(F.contains(xml, F.lit("<" + path.rsplit("/", 1)[1])), F.trim(F.coalesce(text, F.lit("")))).otherwise("")  # most elements are absent: no path is walked for them
+    """Text of the first element of the path's name, or of its value element; NULL if there is none or it is empty.
+
+    A plain element is cut out by pattern: one that is empty, holds text alone, or begins with a value element that does. For any other the path is walked, which parses the document.
+    """
+    tag = path.rsplit("/", 1)[1]
+    # Up to the end of the text. The empty branch takes the first element of the name whatever it holds, so that no later one is found instead.
+    first = F.regexp_extract(xml, rf"<{tag}(?=[\s/>])(?:{_ATTRIBUTES}(?:/>|>\s*<value{_ATTRIBUTES}>[^<>\r]+(?=<)|>[^<>\r]*(?=</{tag}\s*>))|)", 0)
+    text = lambda e: let(F.trim(F.substring_index(e, ">", -1)), lambda t: F.when(t != "", F.when(F.contains(t, F.lit("&")), F.trim(_unescaped(t))).otherwise(t)))
+    odd = lambda e: (e == f"<{tag}") | F.contains(xml, F.lit("<?")) | (F.contains(e, F.lit("&")) & F.rlike(e, F.lit("&(?!(?:lt|gt|quot|apos|amp);)")))
+    cut = let(first, lambda e: F.when((e != "") & ~e.endswith("/>"), F.when(odd(e), _walked(xml, path)).otherwise(text(e))))
+    return F.when(F.contains(xml, F.lit("<" + tag)), cut)  # most elements are absent: nothing is looked for there
+
+
+def _of_issuer(issuer: Column, xml: Column, name: str) -> Column:
+    """Text of the first element of a name in the first issuer, an element of xml."""
+    again = F.rlike(F.substring(issuer, 2, 2**31 - 1), F.lit(r"<issuer[\s/>]"))
+    return F.when(again, _walked(xml, f"(//issuer)[1]//{name}")).otherwise(_value(issuer, f"//{name}"))
 
 
 def _elements(xml: Column, name: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?:\s[^>]*)?(?:/>|(?<!/)>.*?</{name}\s*>)"), F.lit(0))
+    found = F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}{_ATTRIBUTES}(?:/>|>.*?</{name}\s*>)"), F.lit(0))
+    return F.when(F.contains(xml, F.lit("<" + name)), found).otherwise(F.array().cast("array<string>"))
 
 
 def _lines(*lines: Column) -> Column:
@@ -47,33 +76,32 @@ def _lines(*lines: Column) -> Column:
 def _owner(owner: Column) -> Column:
     roles = []
     for flag, role, detail in _ROLES:
-        more = F.nullif(_value(owner, f"//{detail}"), F.lit("")) if detail else F.lit(None).cast("string")
-        named = F.coalesce(F.concat(F.lit(f"{role} ("), more, F.lit(")")), F.lit(role))
+        named = F.coalesce(F.concat(F.lit(f"{role} ("), _value(owner, f"//{detail}"), F.lit(")")), F.lit(role)) if detail else F.lit(role)
         roles.append(F.when(F.lower(_value(owner, f"//{flag}")).isin("1", "true", "yes"), named))
     listed = F.array_join(F.array_compact(F.array(*roles)), ", ")
-    name = F.coalesce(F.nullif(_value(owner, "//rptOwnerName"), F.lit("")), F.lit("(unnamed)"))
-    return F.concat(F.lit("- "), name, F.when(listed != "", F.concat(F.lit(" — "), listed)).otherwise(""))
+    name = F.coalesce(_value(owner, "//rptOwnerName"), F.lit("(unnamed)"))
+    return F.concat(F.lit("- "), name, let(listed, lambda text: F.when(text != "", F.concat(F.lit(" — "), text)).otherwise("")))
 
 
 def _section(title: str, rows: Column) -> Column:
-    return F.when(F.size(rows) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(rows, "\n")))
+    return let(rows, lambda r: F.when(F.size(r) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(r, "\n"))))
 
 
 def _table(w: Column, title: str, tag: str, columns: tuple[tuple[str, str], ...]) -> Column:
-    cells = lambda t: F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.nullif(_value(t, f"//{name}"), F.lit("")), F.lit("—")) for _, name in columns)), " | "), F.lit(" |"))
+    cells = lambda t: F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(_value(t, f"//{name}"), F.lit("—")) for _, name in columns)), " | "), F.lit(" |"))
     head = f"\n| {' | '.join(c for c, _ in columns)} |\n| {' | '.join('---' for _ in columns)} |"
     return _section(title + "\n" + head, F.transform(_elements(w, tag), cells))
 
 
 def _report(w: Column) -> Column:
-    filled = lambda path, prefix: F.concat(F.lit(prefix), F.nullif(_value(w, path), F.lit("")))
-    kind = F.coalesce(F.nullif(_value(w, "//documentType"), F.lit("")), F.lit("Ownership"))
-    facts = [filled(f"(//issuer)[1]//{tag}", f"- {label}: ") for label, tag in (("Name", "issuerName"), ("Symbol", "issuerTradingSymbol"), ("CIK", "issuerCik"))]
-    issuer = F.when(facts[0].isNotNull(), _lines(F.lit("## Issuer"), *facts))
+    filled = lambda value, prefix: F.concat(F.lit(prefix), value)
+    kind = F.coalesce(_value(w, "//documentType"), F.lit("Ownership"))
+    named = lambda e, name: _lines(F.lit("## Issuer"), name, *(filled(_of_issuer(e, w, tag), f"- {label}: ") for label, tag in (("Symbol", "issuerTradingSymbol"), ("CIK", "issuerCik"))))
+    issuer = let(F.get(_elements(w, "issuer"), F.lit(0)), lambda e: let(filled(_of_issuer(e, w, "issuerName"), "- Name: "), lambda name: F.when(name.isNotNull(), named(e, name))))
     tables = [_table(w, *table) for table in _TABLES]
-    note = lambda f: let(_value(f, "/footnote"), lambda text: F.when(text != "", F.concat(F.lit("- "), F.coalesce(F.concat(F.lit("("), F.nullif(F.xpath_string(f, F.lit("/footnote/@id")), F.lit("")), F.lit(") ")), F.lit("")), text)))
+    note = lambda f: let(_value(f, "/footnote"), lambda text: F.when(text.isNotNull(), F.concat(F.lit("- "), F.coalesce(F.concat(F.lit("("), F.nullif(F.xpath_string(f, F.lit("/footnote/@id")), F.lit("")), F.lit(") ")), F.lit("")), text)))
     notes = F.array_compact(F.transform(_elements(w, "footnote"), note))
-    blocks = F.array(F.concat(F.lit("# Form "), kind, F.lit(" — Insider Transaction Report")), filled("//periodOfReport", "**Period of report:** "), issuer, _section("Reporting owner(s)", F.transform(_elements(w, "reportingOwner"), _owner)), *tables, _section("Footnotes", notes))
+    blocks = F.array(F.concat(F.lit("# Form "), kind, F.lit(" — Insider Transaction Report")), filled(_value(w, "//periodOfReport"), "**Period of report:** "), issuer, _section("Reporting owner(s)", F.transform(_elements(w, "reportingOwner"), _owner)), *tables, _section("Footnotes", notes))
     return F.concat(F.array_join(F.array_compact(blocks), "\n\n"), F.lit("\n"))
 
 
@@ -86,4 +114,7 @@ def xml_report(xml: Column | str) -> Column:
     texts = lambda w: F.array_join(F.filter(F.transform(F.xpath(w, F.lit("//text()")), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != ""), "\n")
     name = lambda w: F.xpath_string(w, F.lit("name(/w/*)"))
     other = lambda w: F.concat(F.lit("# "), name(w), F.lit("\n\n"), texts(w), F.lit("\n"))
-    return let(safe, lambda w: F.when(~alone(w), "").when(name(w) == "ownershipDocument", _report(w)).otherwise(other(w)))
+    root = r"ownershipDocument"
+    # One root of that name, told without a walk; all else is walked.
+    owned = lambda w: F.rlike(w, F.lit(rf"^<w>\s*<{root}{_ATTRIBUTES}>")) & F.rlike(w, F.lit(rf"</{root}\s*>\s*</w>$")) & (F.regexp_count(w, F.lit(rf"<{root}[\s/>]")) == 1) & ~F.contains(w, F.lit("<?"))
+    return let(safe, lambda w: F.when(owned(w), _report(w)).when(~alone(w), "").when(name(w) == "ownershipDocument", _report(w)).otherwise(other(w)))

@@ -145,7 +145,7 @@ query("str14_inline_metadata", "SELECT node, regexp_replace(CASE WHEN node % 4 =
 
 
 def ownership(spark, d):
-    f = view(spark, d, "fills")
+    f = tables.spread(view(spark, d, "fills"), "id")
     role = F.when(F.col("id") % 3 == 0, "<isDirector>true</isDirector>").when(F.col("id") % 3 == 1, F.format_string("<isDirector>1</isDirector><isOfficer>1</isOfficer><officerTitle>Chief %s</officerTitle>", "account_number")).otherwise("")
     return f.select("id", F.format_string('<ownershipDocument xmlns="x"><documentType>4</documentType><issuer><issuerName>N%s</issuerName></issuer><reportingOwner><rptOwnerName>Owner %d</rptOwnerName>%s</reportingOwner><nonDerivativeTransaction><transactionShares><value>%d</value></transactionShares></nonDerivativeTransaction></ownershipDocument>', "symbol", "id", role, "quantity").alias("xml"))
 

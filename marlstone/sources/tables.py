@@ -14,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key: a file of one row group is read by one task, and what costs much a row should have many."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """Bar files with a header, one per ticker; the ticker is the file's name. Malformed lines give NULLs."""
     raw = spark.read.schema(BAR.split(", ", 1)[1]).csv(path, header=True)
