@@ -205,7 +205,7 @@ query("str20_watchlists", "SELECT CAST(number AS INT) AS rank, thesis AS ticker,
 
 
 def files(spark, d):
-    t = written(spark, d)
+    t = tables.spread(written(spark, d), "thesis")
     yaml = F.format_string("# Thesis\n\n```yaml\nticker: t%s\ncompany: C%s\nbucket: %s\nstatus: %s\nopened: 2024-01-05\ncost_basis: %s\nshares: %d  # held\nhealth_components:\n  - {name: Risk, weight: 40, score: %d}\n```\n\n## Kill Conditions\n\n| # | Kill condition | Monitor | Last checked |\n| --- | --- | --- | --- |\n| 1 | falls | daily | 2024-01-01 |\n| 2 | [placeholder] | x | y |\n", "thesis", "thesis", "bucket", "status", F.col("balance").cast("string"), "number", F.col("number") % 100)
     return t.select(F.concat("thesis", F.lit(".md")).alias("name"), yaml.alias("content"), "number")
 

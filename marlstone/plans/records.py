@@ -138,7 +138,7 @@ query("pix05_page_groups", "WITH pg AS (SELECT node // 20 AS doc, node % 20 AS p
 # --- theses
 def files(spark, d):
     """Thesis files: a fence with metadata, components in the fence or in a table, kill conditions in a table."""
-    t = written(spark, d)
+    t = tables.spread(written(spark, d), "thesis")
     listed = F.when(F.col("number") % 2 == 0, F.format_string("health_components:\n  - {name: Risk %s, weight: 40, score: %d}\n", "bucket", F.col("number") % 100)).otherwise("")
     table = F.format_string("\n## Thesis Health\n\n| Component | Weight | Score | Notes |\n| --- | --- | --- | --- |\n| Value %s | 30%% | %d/100 | ok |\n| [name] | 1%% | 2/100 | |\n", "bucket", F.col("number") % 90)
     kills = F.format_string("\n## Kill Conditions\n\n| # | Kill condition | Monitor | Last checked |\n| --- | --- | --- | --- |\n| 1 | falls %s | daily | 2024-01-01 |\n| 2 | [placeholder] | x | y |\n", "thesis")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import records
-from marlstone.operators import filings, letters, ordering, portfolio, search, theses, timing
+from marlstone.operators import documents, filings, letters, ordering, portfolio, search, theses, timing
 from marlstone.sources import tables
 from marlstone.streaming import queue
 
@@ -122,6 +122,17 @@ def test_phrases_and_passages(spark):
     assert [(r["query_id"], r["node"]) for r in held] == [(7, 3)]
 
 
+@pytest.mark.parametrize("name", ["str16_thesis_metadata", "str15_metadata_json", "str18_components", "str18_kill_conditions", "str19_health_update", "sec15_letter_update"])
+def test_files_of_one_table_file_are_parsed_by_many_tasks(spark, name):
+    from marlstone.plans import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_metadata_with_tabs_is_refused_as_before():
+    assert documents.metadata("```yaml\na: \t b\n```") is None and documents.metadata("```yaml\na: b # c\n```") == '{"a": "b"}'
+
+
 def test_fetched_bodies(spark):
     df = spark.createDataFrame([(200, "x"), (404, "y")], "status int, body string")
     assert [r["b"] for r in df.select(records.fetched(F.col("status"), F.col("body")).alias("b")).collect()] == ["x", None]
