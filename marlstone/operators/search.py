@@ -3,7 +3,7 @@
 Nodes are tokenised once, into an inverted table (term, node, field, tf, size). What a term weighs in a node, over all fields, does not depend on the query, so these weights are stored too, in
 blocks of nodes with the largest weight of each term beside them: the k best of a query are found without scoring blocks that cannot hold one. Phrases are looked up in a table of
 words with their places and neighbours. All tables can be stored, sorted by term. Query tables are small by nature, but nothing here needs that: the terms are joined, and Spark broadcasts them if
-they are small enough.
+they are small enough. Where one batch of queries is all that is asked, an index of its terms alone is made (`batch_index`), in one shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from ..sources.tables import spread
 
 # Words that are no search terms.
 STOP_WORDS = ["a", "an", "the", "and", "or", "but", "if", "then", "so", "as", "at", "by", "for", "from", "in", "into", "of", "on", "to", "with", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "this", "that", "these", "those", "it", "its", "which", "who", "whom", "what", "when", "where", "why", "how", "about", "against"]
@@ -48,15 +49,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 class Index:
     """postings: term, node, field, tf, size. sizes: field, n (nodes), mean (tokens; 1 if there are none). terms: term, df, idf. weights: term, block, node, wtf. bounds: term, block, top.
 
-    places: word, node, field, pos, before, after, of all pieces between single spaces, lower-cased.
+    places: word, node, field, pos, before, after, of all pieces between single spaces, lower-cased. An index for a batch of queries has only the terms that they ask for, and neither bounds nor places.
     """
 
     postings: DataFrame
     sizes: DataFrame
     terms: DataFrame
     weights: DataFrame
-    bounds: DataFrame
-    places: DataFrame
+    bounds: DataFrame | None
+    places: DataFrame | None
 
 
 #: Nodes of a block, about; blocks of a query that are scored first.
@@ -75,6 +76,27 @@ def postings(nodes: DataFrame) -> DataFrame:
     return words.groupBy("term", "node", "field", "size").agg(F.count("*").alias("tf")).select("term", "node", "field", "tf", "size")
 
 
+def asked_words(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, node, field, size of every word that is one of terms (term). Words are left out where they are read, so only those asked for are shuffled, if at all."""
+    words = field_tokens(nodes).select("node", "field", F.size("toks").alias("size"), F.explode("toks").alias("term"))
+    return words.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def frequencies(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df, idf) of the terms asked for that occur, without an index."""
+    return term_table(asked_words(nodes, terms), nodes.agg(F.count_distinct("node").alias("n")))
+
+
+def batch_index(nodes: DataFrame, queries: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, table: table) -> Index:
+    """An index of what a batch of queries asks for: each word of a node is dropped where it is read or is shuffled once, by node, where it is also counted and weighed."""
+    sizes = keep("sizes", field_sizes(nodes))
+    found = spread(asked_words(nodes, query_terms(queries)), "node").groupBy("term", "node", "field", "size").agg(F.count("*").alias("tf"))
+    weights = keep("weights", term_weights(found, sizes))
+    n = sizes.agg(F.max("n").alias("n"))
+    df = weights.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n: one row; weights: one row per term and node
+    return Index(found, sizes, keep("terms", df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))), weights, None, None)
+
+
 def field_sizes(nodes: DataFrame) -> DataFrame:
     lengths = field_tokens(nodes).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean"))
     return lengths.select("field", "n", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
@@ -145,9 +167,15 @@ def scores(nodes: DataFrame, queries: DataFrame, with_phrase: bool = True, index
     index = index or index_of(nodes)
     terms = query_terms(queries).join(index.terms, "term")
     asked = terms if blocks is None else terms.join(blocks, "query_id")
-    hit = index.weights.join(asked, ["term"] if blocks is None else ["term", "block"])
+    # Dealt out by node before they multiply by the queries that ask for them: sums by query and node, and joins by node, need no other shuffle.
+    weights = spread(index.weights, "node") if blocks is None else index.weights
+    hit = weights.join(asked, ["term"] if blocks is None else ["term", "block"])
     total = hit.groupBy("query_id", "node").agg(F.sum(_saturated(F.col("wtf"))).alias("score"))
-    if with_phrase:
+    if with_phrase and index.places is None:
+        bonus = bonus_by_node(nodes, _phrases(queries, terms))
+        own = F.get(F.filter("bonuses", lambda b: b["query_id"] == F.col("query_id")), F.lit(0))["bonus"]
+        total = total.join(bonus, "node", "left").select("query_id", "node", (F.col("score") + F.coalesce(own, F.lit(0.0))).alias("score"))
+    elif with_phrase:
         bonus = phrase_bonus(nodes, queries, terms, total, held_phrases(queries, terms, index) if held is None else held)
         total = total.join(bonus, ["query_id", "node"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
     return total.select("query_id", "node", rounded(F.col("score")).alias("score")).where("score > 0")
@@ -215,11 +243,37 @@ def phrase_bonus(nodes: DataFrame, queries: DataFrame, weighted_terms: DataFrame
     return held.unionByName(short.select("query_id", "node", (total * F.col("rarest")).alias("bonus")))
 
 
-def holding(nodes: DataFrame, passages: DataFrame, index: Index) -> DataFrame:
-    """query_id, node of the nodes whose text holds a passage (query_id, passage).
+def _holders(texts: DataFrame, phrases: DataFrame, holds: Column) -> DataFrame:
+    """texts (body: all that is searched) with the phrases (phrase) of a batch that they hold. A phrase's longest inner piece stands in the body between spaces: texts are tried with those whose piece they have.
+
+    All is told where a text is read, so texts stay where they are. Phrases of two pieces or less are tried with every text.
+    """
+    p = F.split("phrase", " ")
+    inner = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    asked = phrases.withColumn("_piece", F.array_max(inner)["w"])
+    pieces = texts.select("*", F.explode(F.array_distinct(F.split("body", " "))).alias("_piece"))
+    found = pieces.join(F.broadcast(asked.where("_piece IS NOT NULL")), "_piece").where(holds).drop("_piece")  # the phrases of a batch of queries
+    return found.unionByName(texts.join(F.broadcast(asked.where("_piece IS NULL").drop("_piece")), holds))
+
+
+def bonus_by_node(nodes: DataFrame, phrases: DataFrame) -> DataFrame:
+    """node, bonuses (query_id, bonus) of the nodes that hold phrases (query_id, phrase, rarest) of a batch: half a field's weight times the rarest term's idf for each field."""
+    texts = nodes.select("node", *(F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS)).withColumn("body", F.concat_ws(" ", *FIELDS))
+    has = {f: F.contains(f, F.col("phrase")) for f in FIELDS}
+    total = sum((F.when(has[f], w * 0.5).otherwise(0.0) for f, w in FIELDS.items()), F.lit(0.0))
+    held = _holders(texts, phrases.select("query_id", "phrase", "rarest"), has["title"] | has["questions"] | has["summary"] | has["text"])
+    held = held.select("node", F.struct("query_id", (total * F.col("rarest")).alias("bonus")).alias("b"))
+    return held.groupBy("node").agg(F.collect_list("b").alias("bonuses"))  # at most one for each query of the batch
+
+
+def holding(nodes: DataFrame, passages: DataFrame, index: Index | None = None) -> DataFrame:
+    """query_id, node of the nodes whose text holds a passage (query_id, passage). Without an index, texts are tried where they are read.
 
     Looked for among the nodes that have the passage's rarest inner term. Passages without any (one or two words, or stop words only) are not looked for.
     """
+    if index is None:
+        phrases = passages.select("query_id", F.col("passage").alias("phrase"))
+        return _holders(nodes.select("node", F.col("text").alias("body")), phrases, F.contains("body", F.col("phrase"))).select("query_id", "node")
     terms = passages.select("query_id", F.explode(F.array_distinct(tokens(inner_words(F.col("passage"))))).alias("term"))
     found = index.postings.where("field = 'text'").join(terms.select("term").distinct(), "term", "left_semi").select("term", "node")
     counts = found.groupBy("term").agg(F.count("*").alias("n"))
@@ -249,7 +303,7 @@ def structural_label(query: Column) -> Column:
 def structural_targets(hits: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """The newest node of the section that a query's wording asks for, where none of its hits is of that section."""
     asked = queries.select("query_id", structural_label(F.col("query")).alias("label")).where("label IS NOT NULL")
-    seen = hits.join(nodes.select("node", "label"), "node").select("query_id", "label")
+    seen = hits.join(nodes.select("node", "label"), "node").select("query_id", "label").distinct()
     missing = asked.join(seen, ["query_id", "label"], "left_anti")
     target = nodes.groupBy("label").agg(F.max("node").alias("node"), F.max_by("ticker", "node").alias("ticker"))
     return missing.join(target, "label").select("node", "query_id", F.lit(0.0).alias("score"), "ticker", "label")

@@ -53,13 +53,16 @@ def asked(spark, d):
     return tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ").alias("query"))
 
 
-def index(spark, d):
-    """The index of the nodes, written once for an application and a folder of tables."""
-    return search.index_of(nodes(spark, d), lambda name, table: scratch.stored(spark, (name, d), lambda: table))
+def index(spark, d, queries=None, name="asked"):
+    """The index of what a batch of queries asks for, those of the benchmark if none are given, written once for an application and a folder of tables."""
+    queries = asked(spark, d) if queries is None else queries
+    return search.batch_index(nodes(spark, d), queries, lambda table, rows: scratch.stored(spark, (f"{name}-{table}", d), lambda: rows))
 
 
 def best(spark, d, k, only=None):
-    return search.best_scores(nodes(spark, d), asked(spark, d), k, index(spark, d), only)
+    """The k best hits of each query."""
+    n = nodes(spark, d)
+    return search.top_hits(hits(spark, d), n if only is None else n.where(only), k)
 
 
 def hits(spark, d, **more):
@@ -67,13 +70,13 @@ def hits(spark, d, **more):
 
 
 def statistics(spark, d):
-    return search.statistics(index(spark, d), search.query_terms(asked(spark, d)))
+    return search.frequencies(nodes(spark, d), search.query_terms(asked(spark, d)))
 
 
 def gold(spark, d):
     b = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     n = nodes(spark, d)
-    return search.holding(n, b, index(spark, d)).join(n.select("node", "label"), "node").groupBy("query_id").agg(F.collect_set("label").alias("expected"))
+    return search.holding(n, b).join(n.select("node", "label"), "node").groupBy("query_id").agg(F.collect_set("label").alias("expected"))
 
 
 query("str01_tokens", f"SELECT node, {toks('summary')} AS toks FROM nodes")(lambda spark, d: nodes(spark, d).select("node", search.tokens(F.col("summary")).alias("toks")))
@@ -86,11 +89,11 @@ query("str05_intent", f"SELECT thesis, CASE WHEN number % {len(search.STATEMENT_
     lambda spark, d: view(spark, d, "theses").select("thesis", search.structural_label(F.concat_ws(" ", "bucket", F.lit("What of"), F.upper(F.element_at(F.array(*map(F.lit, (*search.STATEMENT_PHRASES, "risks", "balance of sheets", "cash"))), (F.col("number") % (len(search.STATEMENT_PHRASES) + 3) + 1).cast("int"))), "thesis")).alias("label"))
 )
 query("agg14_document_frequency", f"WITH {SEARCH_SQL} SELECT term, df FROM df")(lambda spark, d: statistics(spark, d).select("term", "df"))
-query("agg14_field_means", f"WITH {SEARCH_SQL} SELECT field, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM ml")(lambda spark, d: index(spark, d).sizes.select("field", scalar.r6(F.col("mean")).alias("mean")))
+query("agg14_field_means", f"WITH {SEARCH_SQL} SELECT field, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM ml")(lambda spark, d: search.field_sizes(nodes(spark, d)).select("field", scalar.r6(F.col("mean")).alias("mean")))
 query("agg16_idf", f"WITH {SEARCH_SQL} SELECT term, floor(idf * 1e6 + 0.5) / 1e6 AS idf FROM df")(lambda spark, d: statistics(spark, d).select("term", scalar.r6(F.col("idf")).alias("idf")))
 query("agg15_bm25f", f"WITH {SEARCH_SQL} SELECT query_id, node, floor(s * 1000 + 0.5) / 1000 AS score FROM sc")(lambda spark, d: hits(spark, d, with_phrase=False))
 query("agg17_phrase_bonus", f"WITH {SEARCH_SQL} SELECT query_id, node, score FROM hits")(lambda spark, d: hits(spark, d))
-query("top01_hits", f"WITH {SEARCH_SQL} SELECT query_id, node, score, rank FROM rk WHERE rank < 10")(lambda spark, d: search.top_hits(best(spark, d, 10), nodes(spark, d), 10).select("query_id", "node", "score", "rank"))
+query("top01_hits", f"WITH {SEARCH_SQL} SELECT query_id, node, score, rank FROM rk WHERE rank < 10")(lambda spark, d: best(spark, d, 10).select("query_id", "node", "score", "rank"))
 
 
 def mixed_queries(spark, d):
@@ -100,18 +103,18 @@ def mixed_queries(spark, d):
 
 def no_statements(spark, d):
     n = nodes(spark, d)
-    h = search.scores(n, mixed_queries(spark, d), index=index(spark, d))
+    h = search.scores(n, mixed_queries(spark, d), index=index(spark, d, mixed_queries(spark, d), "mixed"))
     return h.join(n.where("label <> 'financial_statements'").select("node"), "node", "left_semi"), n, mixed_queries(spark, d)
 
 
 query("top03_fusion", f"WITH {SEARCH_SQL}, rl AS (SELECT query_id, node, rank, score, 1.0 AS weight FROM rk WHERE rank < 20 UNION ALL SELECT query_id, node, 19 - rank, score, 0.7 FROM rk WHERE rank < 20) SELECT query_id, node, floor(sum(weight / (61 + rank)) * 1e9 + 0.5) / 1e9 AS fused, max(score) AS score FROM rl GROUP BY 1, 2")(
-    lambda spark, d: (lambda t: search.fuse(t.withColumn("weight", F.lit(1.0)).unionByName(t.withColumn("rank", 19 - F.col("rank")).withColumn("weight", F.lit(0.7)))).withColumn("fused", F.floor(F.col("fused") * 1e9 + 0.5) / 1e9))(search.top_hits(best(spark, d, 20), nodes(spark, d), 20).select("query_id", "node", "rank", "score"))
+    lambda spark, d: (lambda t: search.fuse(t.withColumn("weight", F.lit(1.0)).unionByName(t.withColumn("rank", 19 - F.col("rank")).withColumn("weight", F.lit(0.7)))).withColumn("fused", F.floor(F.col("fused") * 1e9 + 0.5) / 1e9))(best(spark, d, 20).select("query_id", "node", "rank", "score"))
 )
 query("top08_lens", f"WITH {SEARCH_SQL} SELECT query_id, node, place AS rank FROM (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticker DESC, node) - 1 AS place FROM rk WHERE label IN ('business', 'mdna')) WHERE place < 4")(
-    lambda spark, d: (lambda n: search.top_hits(best(spark, d, 4, n.select("node")), n, 4).select("query_id", "node", "rank"))(nodes(spark, d).where("label IN ('business', 'mdna')"))
+    lambda spark, d: best(spark, d, 4, "label IN ('business', 'mdna')").select("query_id", "node", "rank")
 )
 query("agg18_evaluation", f"WITH {SEARCH_SQL}, fr AS (SELECT gd.query_id, min(rank) AS rank FROM gd LEFT JOIN rk ON rk.query_id = gd.query_id AND rk.rank < 5 AND list_contains(expected, label) GROUP BY 1) SELECT count(*) AS queries, floor(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END) * 1e6 + 0.5) / 1e6 AS hit_rate, floor(avg(coalesce(1.0 / (rank + 1), 0)) * 1e6 + 0.5) / 1e6 AS mrr FROM fr")(
-    lambda spark, d: search.evaluate(search.top_hits(best(spark, d, 5), nodes(spark, d), 5), gold(spark, d)).select("queries", scalar.r6(F.col("hit_rate")).alias("hit_rate"), scalar.r6(F.col("mrr")).alias("mrr"))
+    lambda spark, d: search.evaluate(best(spark, d, 5), gold(spark, d)).select("queries", scalar.r6(F.col("hit_rate")).alias("hit_rate"), scalar.r6(F.col("mrr")).alias("mrr"))
 )
 query("jn09_chosen_paths", "SELECT CAST(number AS BIGINT) AS node, number % 5 AS pos FROM theses WHERE number IN (SELECT node FROM nodes)")(
     lambda spark, d: (lambda t: search.pick_by_path(nodes(spark, d).select("node", F.col("accession").alias("path")), F.col("chosen"), t).select("node", F.col("pos").cast("bigint").alias("pos")))(view(spark, d, "theses").groupBy((F.col("number") - F.col("number") % 5).alias("g")).agg(F.transform(F.array_sort(F.collect_list("number")), lambda x: F.concat(F.lit(" "), x.cast("string"))).alias("chosen")))
@@ -128,5 +131,5 @@ def filings(spark, d):
 
 
 query("sec10_flatten", "SELECT accession, i AS chunk, label, CASE WHEN i IS NULL THEN summary ELSE 'chunk ' || CAST(i AS VARCHAR) END || ' growth ' || label AS summary, CASE WHEN i IS NULL THEN text ELSE substr(text, 1 + 500 * i, 500) END AS text FROM (SELECT *, unnest(CASE WHEN length(text) > 1000 THEN range(0, (length(text) + 499) // 500) ELSE [NULL] END) AS i FROM nodes)")(lambda spark, d: search.flatten_filings(filings(spark, d)).select("accession", "chunk", "label", "summary", "text"))
-query("sec11_weak_queries", f"WITH {SEARCH_SQL} SELECT query_id, max(score) < 3.0 AS weak FROM hits GROUP BY 1")(lambda spark, d: best(spark, d, 1).groupBy("query_id").agg((F.max("score") < 3.0).alias("weak")))
+query("sec11_weak_queries", f"WITH {SEARCH_SQL} SELECT query_id, max(score) < 3.0 AS weak FROM hits GROUP BY 1")(lambda spark, d: hits(spark, d).groupBy("query_id").agg((F.max("score") < 3.0).alias("weak")))
 query("sec12_paraphrases", "SELECT thesis, list_filter(['growth of ' || thesis, CASE WHEN number % 2 = 0 THEN bucket || ' ' || status END, CASE WHEN number % 3 = 0 THEN repeat('x', 399) END], lambda x : x IS NOT NULL) AS kept FROM theses")(lambda spark, d: view(spark, d, "theses").select("thesis", search.clean_paraphrases(F.array(F.concat(F.element_at(F.array(*map(F.lit, ("- 1. ", "* ", "• 23. ", ""))), (F.col("number") % 4 + 1).cast("int")), F.lit("growth of "), "thesis"), F.lit("*  "), F.when(F.col("number") % 2 == 0, F.concat_ws(" ", "bucket", "status")).otherwise(F.upper("bucket")), F.when(F.col("number") % 3 == 0, F.repeat(F.lit("x"), F.lit(399))).otherwise(F.repeat(F.lit("x"), F.lit(400)))), F.col("bucket")).alias("kept")))

@@ -250,7 +250,8 @@ def searched(spark, d, k=5):
     q = finding.mixed_queries(spark, d)
     p = b.where("item_id % 3 = 0").select(F.col("item_id").alias("query_id"), F.explode(F.array(words(5), words(7))).alias("paraphrase"))
     picks = b.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), F.posexplode(F.array(F.col("item_id") % 50, F.col("item_id") % 50 + 60)).alias("place", "node"))
-    return search.search(nodes(spark, d), q, p, picks, k, LIMIT, finding.index(spark, d))
+    asked = q.select("query_id", "query").unionByName(p.select("query_id", F.col("paraphrase").alias("query")))
+    return search.search(nodes(spark, d), q, p, picks, k, LIMIT, finding.index(spark, d, asked, "lists"))
 
 
 _LISTS = finding.search_sql(

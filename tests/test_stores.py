@@ -131,3 +131,19 @@ def test_phrases_are_found_where_texts_hold_them(spark):
                 phrase = text.strip().lower()
                 held = sum(w for f, w in search.FIELDS.items() if phrase in (n[f] or "").lower()) if len(phrase.split()) > 1 else 0
                 assert (gain[q, n["node"]] > 0.0015) == (held > 0), (text, n)
+
+
+def test_a_batch_is_searched_by_what_it_asks_for(spark):
+    rng = random.Random(11)
+    piece = lambda: rng.choice(["net", "net cash", "cash", "flow", "Flow.", "\n", "of", "the", "netx", "", "a", "other", "words"])
+    nodes = spark.createDataFrame([(i, "T", "10-K", "b", " ".join(piece() for _ in range(4)), None, "", " ".join(piece() for _ in range(rng.randint(0, 40)))) for i in range(200)], NODE)
+    queries = spark.createDataFrame(list(enumerate(["net cash flow", "cash flow", "et cash flow of", "cash  flow", " the net cash flow ", "cash", "flow. of the ne", "of the", "a of net cash flo"])), "query_id int, query string")
+    batch, whole = search.batch_index(nodes, queries), search.index_of(nodes)
+    every = [sorted((r["query_id"], r["node"], r["score"]) for r in search.scores(nodes, queries, index=i).collect()) for i in (batch, whole)]
+    assert every[0] == every[1] and len(every[0]) > 500
+    assert {r["term"] for r in batch.terms.collect()} == {r["term"] for r in search.query_terms(queries).join(whole.terms, "term").select("term").distinct().collect()}
+    assert batch.weights.count() < whole.weights.count()
+    texts = {r["node"]: r["text"] for r in nodes.collect()}
+    passages = ["net cash flow", "of the", "cash  flow a"]
+    held = search.holding(nodes, spark.createDataFrame(list(enumerate(passages)), "query_id int, passage string")).collect()
+    assert sorted(map(tuple, held)) == sorted((q, n) for q, p in enumerate(passages) for n, t in texts.items() if p in t)
