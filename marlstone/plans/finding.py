@@ -49,6 +49,11 @@ def nodes(spark, d):
     return view(spark, d, "nodes")
 
 
+def texts(spark, d):
+    """The nodes, dealt out to tasks: tokenising costs more than the shuffle of the texts."""
+    return tables.spread(nodes(spark, d), "node")
+
+
 def asked(spark, d):
     return tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ").alias("query"))
 
@@ -56,7 +61,7 @@ def asked(spark, d):
 def index(spark, d, queries=None, name="asked"):
     """The index of what a batch of queries asks for, those of the benchmark if none are given, written once for an application and a folder of tables."""
     queries = asked(spark, d) if queries is None else queries
-    return search.batch_index(nodes(spark, d), queries, lambda table, rows: scratch.stored(spark, (f"{name}-{table}", d), lambda: rows))
+    return search.batch_index(texts(spark, d), queries, lambda table, rows: scratch.stored(spark, (f"{name}-{table}", d), lambda: rows))
 
 
 def best(spark, d, k, only=None):
@@ -66,17 +71,17 @@ def best(spark, d, k, only=None):
 
 
 def hits(spark, d, **more):
-    return search.scores(nodes(spark, d), asked(spark, d), index=index(spark, d), **more)
+    return search.scores(texts(spark, d), asked(spark, d), index=index(spark, d), **more)
 
 
 def statistics(spark, d):
-    return search.frequencies(nodes(spark, d), search.query_terms(asked(spark, d)))
+    return search.frequencies(texts(spark, d), search.query_terms(asked(spark, d)))
 
 
 def gold(spark, d):
     b = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     n = nodes(spark, d)
-    return search.holding(n, b).join(n.select("node", "label"), "node").groupBy("query_id").agg(F.collect_set("label").alias("expected"))
+    return search.holding(texts(spark, d), b).join(n.select("node", "label"), "node").groupBy("query_id").agg(F.collect_set("label").alias("expected"))
 
 
 query("str01_tokens", f"SELECT node, {toks('summary')} AS toks FROM nodes")(lambda spark, d: nodes(spark, d).select("node", search.tokens(F.col("summary")).alias("toks")))
@@ -89,7 +94,7 @@ query("str05_intent", f"SELECT thesis, CASE WHEN number % {len(search.STATEMENT_
     lambda spark, d: view(spark, d, "theses").select("thesis", search.structural_label(F.concat_ws(" ", "bucket", F.lit("What of"), F.upper(F.element_at(F.array(*map(F.lit, (*search.STATEMENT_PHRASES, "risks", "balance of sheets", "cash"))), (F.col("number") % (len(search.STATEMENT_PHRASES) + 3) + 1).cast("int"))), "thesis")).alias("label"))
 )
 query("agg14_document_frequency", f"WITH {SEARCH_SQL} SELECT term, df FROM df")(lambda spark, d: statistics(spark, d).select("term", "df"))
-query("agg14_field_means", f"WITH {SEARCH_SQL} SELECT field, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM ml")(lambda spark, d: search.field_sizes(nodes(spark, d)).select("field", scalar.r6(F.col("mean")).alias("mean")))
+query("agg14_field_means", f"WITH {SEARCH_SQL} SELECT field, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM ml")(lambda spark, d: search.field_sizes(texts(spark, d)).select("field", scalar.r6(F.col("mean")).alias("mean")))
 query("agg16_idf", f"WITH {SEARCH_SQL} SELECT term, floor(idf * 1e6 + 0.5) / 1e6 AS idf FROM df")(lambda spark, d: statistics(spark, d).select("term", scalar.r6(F.col("idf")).alias("idf")))
 query("agg15_bm25f", f"WITH {SEARCH_SQL} SELECT query_id, node, floor(s * 1000 + 0.5) / 1000 AS score FROM sc")(lambda spark, d: hits(spark, d, with_phrase=False))
 query("agg17_phrase_bonus", f"WITH {SEARCH_SQL} SELECT query_id, node, score FROM hits")(lambda spark, d: hits(spark, d))
@@ -103,7 +108,7 @@ def mixed_queries(spark, d):
 
 def no_statements(spark, d):
     n = nodes(spark, d)
-    h = search.scores(n, mixed_queries(spark, d), index=index(spark, d, mixed_queries(spark, d), "mixed"))
+    h = search.scores(texts(spark, d), mixed_queries(spark, d), index=index(spark, d, mixed_queries(spark, d), "mixed"))
     return h.join(n.where("label <> 'financial_statements'").select("node"), "node", "left_semi"), n, mixed_queries(spark, d)
 
 

@@ -147,3 +147,9 @@ def test_a_batch_is_searched_by_what_it_asks_for(spark):
     passages = ["net cash flow", "of the", "cash  flow a"]
     held = search.holding(nodes, spark.createDataFrame(list(enumerate(passages)), "query_id int, passage string")).collect()
     assert sorted(map(tuple, held)) == sorted((q, n) for q, p in enumerate(passages) for n, t in texts.items() if p in t)
+
+
+def test_texts_of_one_table_file_are_tokenised_by_many_tasks(spark):
+    from marlstone.plans import finding
+
+    assert finding.texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
