@@ -3,7 +3,7 @@
 Nodes are tokenised once, into an inverted table (term, node, field, tf, size). What a term weighs in a node, over all fields, does not depend on the query, so these weights are stored too, in
 blocks of nodes with the largest weight of each term beside them: the k best of a query are found without scoring blocks that cannot hold one. Phrases are looked up in a table of
 words with their places and neighbours. All tables can be stored, sorted by term. Query tables are small by nature, but nothing here needs that: the terms are joined, and Spark broadcasts them if
-they are small enough. Where one batch of queries is all that is asked, an index of its terms alone is made (`batch_index`), in one shuffle.
+they are small enough. Where one batch of queries is all that is asked, an index of its terms alone is made (`batch_index`), in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) > 4, out).otherwise(word)
 
 
+def raw_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z][A-Za-z0-9\-]*)"), 1)
+
+
 def tokens(text: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z][A-Za-z0-9\-]*)"), 1), F.lower)
+    words = F.transform(raw_words(text), F.lower)
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
     return F.transform(kept, stem)
 
@@ -49,10 +53,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 class Index:
     """postings: term, node, field, tf, size. sizes: field, n (nodes), mean (tokens; 1 if there are none). terms: term, df, idf. weights: term, block, node, wtf. bounds: term, block, top.
 
-    places: word, node, field, pos, before, after, of all pieces between single spaces, lower-cased. An index for a batch of queries has only the terms that they ask for, and neither bounds nor places.
+    places: word, node, field, pos, before, after, of all pieces between single spaces, lower-cased. An index for a batch of queries has only the terms that they ask for, its weights are dealt out by node, and it has no postings, bounds or places.
     """
 
-    postings: DataFrame
+    postings: DataFrame | None
     sizes: DataFrame
     terms: DataFrame
     weights: DataFrame
@@ -76,30 +80,52 @@ def postings(nodes: DataFrame) -> DataFrame:
     return words.groupBy("term", "node", "field", "size").agg(F.count("*").alias("tf")).select("term", "node", "field", "tf", "size")
 
 
-def asked_words(nodes: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, node, field, size of every word that is one of terms (term). Words are left out where they are read, so only those asked for are shuffled, if at all."""
-    words = field_tokens(nodes).select("node", "field", F.size("toks").alias("size"), F.explode("toks").alias("term"))
-    return words.join(terms.select("term").distinct(), "term", "left_semi")
+def field_words(nodes: DataFrame) -> DataFrame:
+    """node, field, word: a row for each of a field's tokens, and some whose word is NULL, one for each field at least.
+
+    The same words as of `tokens`, but a row each from the start: functions over arrays are interpreted, expressions of rows are compiled.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("body")) for f in FIELDS)))
+    words = nodes.select("node", each.alias("f")).select("node", "f.field", F.explode_outer(raw_words(F.col("f.body"))).alias("w")).select("node", "field", F.lower("w").alias("w"))
+    return words.select("node", "field", F.when((F.length("w") > 1) & ~F.col("w").isin(*STOP_WORDS), stem(F.col("w"))).alias("word"))
+
+
+def counted(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """node, the size of each of its fields, found: (term, its count in each field) of the terms (term) that it has. Told in one pass; where nodes are dealt out by node, nothing is shuffled."""
+    asked = terms.select("term").distinct()
+    words = field_words(nodes).join(asked, F.col("word") == F.col("term"), "left")
+    counts = words.groupBy("node", "term").agg(*(F.count(F.when(F.col("field") == f, F.col("word"))).alias(f) for f in FIELDS))
+    found = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", *FIELDS)))  # at most one for each term of the batch
+    return counts.groupBy("node").agg(*(F.sum(f).alias(f) for f in FIELDS), found.alias("found"))
 
 
 def frequencies(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df, idf) of the terms asked for that occur, without an index."""
-    return term_table(asked_words(nodes, terms), nodes.agg(F.count_distinct("node").alias("n")))
+    has = field_words(nodes).join(terms.select(F.col("term").alias("word")).distinct(), "word", "left_semi").select(F.col("word").alias("term"), "node")
+    return term_table(has, nodes.agg(F.count_distinct("node").alias("n")))
 
 
 def batch_index(nodes: DataFrame, queries: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, table: table) -> Index:
-    """An index of what a batch of queries asks for: each word of a node is dropped where it is read or is shuffled once, by node, where it is also counted and weighed."""
-    sizes = keep("sizes", field_sizes(nodes))
-    found = spread(asked_words(nodes, query_terms(queries)), "node").groupBy("term", "node", "field", "size").agg(F.count("*").alias("tf"))
-    weights = keep("weights", term_weights(found, sizes))
-    n = sizes.agg(F.max("n").alias("n"))
-    df = weights.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n: one row; weights: one row per term and node
-    return Index(found, sizes, keep("terms", df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))), weights, None, None)
+    """An index of what a batch of queries asks for: texts are read once, and a row is kept for each node."""
+    found = keep("found", counted(nodes, query_terms(queries)))
+    totals = found.agg(F.count("*").alias("n"), *(F.sum(f).alias(f) for f in FIELDS)).where("n > 0")
+    sizes = keep("sizes", totals.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("total")) for f in FIELDS))).alias("f")).select("f.field", "n", mean_size(F.col("f.total"), F.col("n")).alias("mean")))
+    df = found.select(F.explode("found.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes.agg(F.max("n").alias("n"))))  # one row
+    terms = keep("terms", df.select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf")))
+    means = sizes.agg(F.max("n").alias("n"), *(F.max(F.when(F.col("field") == f, F.col("mean"))).alias(f"mean_{f}") for f in FIELDS))
+    each = spread(found, "node").crossJoin(F.broadcast(means)).select("node", "n", *FIELDS, *(f"mean_{f}" for f in FIELDS), F.explode("found").alias("t"))  # means: one row
+    wtf = sum((w * F.col(f"t.{f}") / (1 - B + B * (F.col(f) / F.col(f"mean_{f}"))) for f, w in FIELDS.items()), F.lit(0.0))
+    return Index(None, sizes, terms, each.select("t.term", block_of().alias("block"), "node", wtf.alias("wtf")), None, None)
+
+
+def mean_size(total: Column, n: Column) -> Column:
+    return F.when(total == 0, 1.0).otherwise(total / n)
 
 
 def field_sizes(nodes: DataFrame) -> DataFrame:
-    lengths = field_tokens(nodes).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean"))
-    return lengths.select("field", "n", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
+    n = nodes.agg(F.count("*").alias("n"))
+    totals = field_words(nodes).groupBy("field").agg(F.count("word").alias("total")).crossJoin(F.broadcast(n))  # one row
+    return totals.select("field", "n", mean_size(F.col("total"), F.col("n")).alias("mean"))
 
 
 def term_table(found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -166,21 +192,45 @@ def scores(nodes: DataFrame, queries: DataFrame, with_phrase: bool = True, index
     """query_id, node, score of the nodes a query hits, to three digits. index: that of the nodes, held: the held phrases, if they are at hand. blocks: (query_id, block) to which to keep."""
     index = index or index_of(nodes)
     terms = query_terms(queries).join(index.terms, "term")
+    if index.places is None:
+        return _batch_scores(nodes, queries, terms, index, with_phrase).select("query_id", "node", rounded(F.col("score")).alias("score")).where("score > 0")
     asked = terms if blocks is None else terms.join(blocks, "query_id")
     # Dealt out by node before they multiply by the queries that ask for them: sums by query and node, and joins by node, need no other shuffle.
     weights = spread(index.weights, "node") if blocks is None else index.weights
     hit = weights.join(asked, ["term"] if blocks is None else ["term", "block"])
     total = hit.groupBy("query_id", "node").agg(F.sum(_saturated(F.col("wtf"))).alias("score"))
-    if with_phrase and index.places is None:
-        bonus = bonus_by_node(nodes, _phrases(queries, terms))
-        own = F.get(F.filter("bonuses", lambda b: b["query_id"] == F.col("query_id")), F.lit(0))["bonus"]
-        total = total.join(bonus, "node", "left").select("query_id", "node", (F.col("score") + F.coalesce(own, F.lit(0.0))).alias("score"))
-    elif with_phrase:
+    if with_phrase:
         bonus = phrase_bonus(nodes, queries, terms, total, held_phrases(queries, terms, index) if held is None else held)
         total = total.join(bonus, ["query_id", "node"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
     return total.select("query_id", "node", rounded(F.col("score")).alias("score")).where("score > 0")
 
 
+def _lowers_to_ascii(text: Column) -> Column:
+    """Whether a text has one of the two characters outside ASCII whose lower case begins with one of ASCII: there, words of the lower-cased text may be others than those of the text."""
+    return F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+
+
+def _batch_scores(nodes: DataFrame, queries: DataFrame, terms: DataFrame, index: Index, with_phrase: bool) -> DataFrame:
+    """query_id, node, score (not rounded) by the index of a batch of queries.
+
+    A text that holds a phrase has all terms of its inner words: only the texts of such hits are looked into.
+    """
+    # Written, so that their sizes are known: small tables are broadcast, and weights and hits stay dealt out by node.
+    if not with_phrase:
+        return index.weights.join(written(terms, "asked-terms"), "term").groupBy("query_id", "node").agg(F.sum(_saturated(F.col("wtf"))).alias("score"))
+    inner = F.when(_lowers_to_ascii(F.col("query")), F.array().cast("array<string>")).otherwise(F.array_distinct(tokens(inner_words(F.col("query")))))
+    inner = queries.select("query_id", inner.alias("inner"))
+    asked = terms.join(inner, "query_id").select("query_id", "term", "idf", F.array_contains("inner", F.col("term")).alias("is_inner"))
+    hit = index.weights.join(written(asked, "asked-terms"), "term").groupBy("query_id", "node").agg(F.sum(_saturated(F.col("wtf"))).alias("score"), F.count_if("is_inner").alias("had"))
+    phrases = _phrases(queries, terms).join(inner, "query_id").select("query_id", "phrase", "rarest", F.size("inner").alias("needed"))
+    hit = hit.join(written(phrases, "asked-phrases"), "query_id", "left")
+    odd = F.greatest(*(F.coalesce(_lowers_to_ascii(F.col(f)), F.lit(False)) for f in FIELDS))
+    texts = nodes.select(F.col("node").alias("_node"), *(F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS), odd.alias("odd"))
+    j = hit.join(texts, (F.col("node") == F.col("_node")) & F.col("phrase").isNotNull() & ((F.col("had") == F.col("needed")) | F.col("odd")), "left")
+    total = sum((F.when(F.contains(f, F.col("phrase")), w * 0.5).otherwise(0.0) for f, w in FIELDS.items()), F.lit(0.0))
+    return j.select("query_id", "node", (F.col("score") + F.coalesce(total * F.col("rarest"), F.lit(0.0))).alias("score"))
+
+
 def best_scores(nodes: DataFrame, queries: DataFrame, k: int, index: Index, only: DataFrame | None = None) -> DataFrame:
     """The scores of the k best nodes of each query at least, of `only` (node) if given: blocks that cannot hold one of them are not scored.
 
@@ -256,16 +306,6 @@ def _holders(texts: DataFrame, phrases: DataFrame, holds: Column) -> DataFrame:
     return found.unionByName(texts.join(F.broadcast(asked.where("_piece IS NULL").drop("_piece")), holds))
 
 
-def bonus_by_node(nodes: DataFrame, phrases: DataFrame) -> DataFrame:
-    """node, bonuses (query_id, bonus) of the nodes that hold phrases (query_id, phrase, rarest) of a batch: half a field's weight times the rarest term's idf for each field."""
-    texts = nodes.select("node", *(F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS)).withColumn("body", F.concat_ws(" ", *FIELDS))
-    has = {f: F.contains(f, F.col("phrase")) for f in FIELDS}
-    total = sum((F.when(has[f], w * 0.5).otherwise(0.0) for f, w in FIELDS.items()), F.lit(0.0))
-    held = _holders(texts, phrases.select("query_id", "phrase", "rarest"), has["title"] | has["questions"] | has["summary"] | has["text"])
-    held = held.select("node", F.struct("query_id", (total * F.col("rarest")).alias("bonus")).alias("b"))
-    return held.groupBy("node").agg(F.collect_list("b").alias("bonuses"))  # at most one for each query of the batch
-
-
 def holding(nodes: DataFrame, passages: DataFrame, index: Index | None = None) -> DataFrame:
     """query_id, node of the nodes whose text holds a passage (query_id, passage). Without an index, texts are tried where they are read.
 
@@ -339,7 +379,7 @@ def search(nodes: DataFrame, queries: DataFrame, paraphrases: DataFrame, picks:
     p = paraphrases.groupBy("query_id").agg(F.array_sort(F.collect_list("paraphrase")).alias("p")).select("query_id", F.posexplode("p").alias("place", "query"))
     lists = queries.select("query_id", F.lit(-1).alias("place"), "query").unionByName(p)
     lists = lists.withColumn("list", F.concat_ws("/", "query_id", "place"))
-    hits = scores(nodes, lists.select(F.col("list").alias("query_id"), "query"), index=index).withColumnRenamed("query_id", "list").join(lists.select("list", "query_id", "place"), "list")
+    hits = scores(spread(nodes, "node"), lists.select(F.col("list").alias("query_id"), "query"), index=index).withColumnRenamed("query_id", "list").join(lists.select("list", "query_id", "place"), "list")
     hits = written(hits, "hits")
     own = hits.where("place = -1")
     best = queries.select("query_id").join(own.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left").select("query_id", (F.coalesce("best", F.lit(0.0)) < weak).alias("weak"))

@@ -153,3 +153,21 @@ def test_texts_of_one_table_file_are_tokenised_by_many_tasks(spark):
     from marlstone.plans import finding
 
     assert finding.texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_a_batch_is_indexed_in_one_pass_over_the_texts(spark, tmp_path):
+    rows = [(i, "T", "10-K", "b", f"n{i}", None, "", text) for i, text in enumerate(["cash flow in \u212abar net x", "cash flow in kbar net x", "cash of kbar in net", "", None, "flow"])]
+    spark.createDataFrame(rows, NODE).write.parquet(str(tmp_path / "nodes"))
+    nodes, plans = spark.read.parquet(str(tmp_path / "nodes")), {}
+
+    def keep(name, table):
+        plans[name] = table._jdf.queryExecution().executedPlan().toString()
+        return scratch.written(table, name)
+
+    queries = spark.createDataFrame([(1, "cash flow in kbar net"), (2, "flow in \u212abar net"), (3, "kbar net"), (4, "net")], "query_id int, query string")
+    batch = search.batch_index(nodes, queries, keep)
+    assert [name for name, plan in plans.items() if str(tmp_path) in plan] == ["found"]
+    # Lower case makes two of the texts alike, though their words are others.
+    every, plain = ({(r["query_id"], r["node"]): r["score"] for r in search.scores(nodes, queries, p, batch).collect()} for p in (True, False))
+    whole = {(r["query_id"], r["node"]): r["score"] for r in search.scores(nodes, queries, index=search.index_of(nodes)).collect()}
+    assert every == whole and {k for k in every if every[k] > plain[k]} == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)}
