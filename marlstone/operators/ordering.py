@@ -19,7 +19,10 @@ def row_numbers(rows: DataFrame, name: str, by: Column, then: Sequence[Column],
     keys = [group] if group else []
     counts = keyed.groupBy(*keys, "_range").agg(F.count("*").alias("n"))
     counts = counts.groupBy(*(F.col(g).alias("_group") for g in keys)).agg(F.collect_list(F.struct("_range", "n")).alias("_counts"))  # as many as ranges
-    placed = keyed.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("_group"))) if group else keyed.crossJoin(F.broadcast(counts))  # a row for each group
-    before = F.aggregate(F.filter("_counts", lambda c: c["_range"] < F.col("_range")), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    # What is before a range is told on its own: rows that carried all counts would be sorted with them.
+    before = F.aggregate(F.filter("_counts", lambda c: c["_range"] < F.col("_c")["_range"]), F.lit(0).cast("long"), lambda t, c: t + c["n"])
+    starts = counts.select("*", F.explode("_counts").alias("_c")).select(*(["_group"] if group else []), F.col("_c")["_range"].alias("_at"), before.alias("_before"))
+    same = (F.col("_range") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")) if group else F.col("_range") == F.col("_at")
+    placed = keyed.join(F.broadcast(starts), same)  # a row for each group and range
     within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_by", *then))
-    return placed.withColumn(name, (before + within).cast("int")).drop("_by", "_range", "_counts", "_group")
+    return placed.withColumn(name, (F.col("_before") + within).cast("int")).drop("_by", "_range", "_at", "_before", "_group")

@@ -26,6 +26,14 @@ def test_row_numbers(spark, ranges):
     assert ordering.row_numbers(df.limit(0), "n", F.col("x"), []).count() == 0
 
 
+def test_sorted_rows_carry_no_counts_of_ranges(spark):
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 2 == 0).alias("flag"))
+    for more in ({}, {"group": "flag"}):
+        lines = ordering.row_numbers(df, "n", F.col("x"), [F.col("id")], **more)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = next(i for i, line in enumerate(lines) if "Window [" in line)
+        assert "_counts" not in lines[at + 1] and "_before" in lines[at + 1], lines[at + 1]
+
+
 def test_bar_files(spark, tmp_path):
     bars = spark.sql("SELECT 'A' AS ticker, DATE '2024-01-02' AS date, 1.5D AS open, 2D AS high, 1D AS low, 1.25D AS close, 7L AS volume UNION ALL SELECT 'B', DATE '2024-01-03', 1D, 2D, 1D, 1D, 8L")
     tables.write_bars(bars, str(tmp_path / "bars"))
